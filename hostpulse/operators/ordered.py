@@ -9,6 +9,7 @@ and what must cross a slice border travels as one *seed row* per (key, slice):
 3. the seeds are unioned to the rows, and a window per (key, slice) does the rest.
 
 So the data is shuffled once, on (key, slice), and no task sees more than one slice of a key.
+The shuffle after each union is explicit: windows must not rely on the partitioning of a union.
 """
 
 from __future__ import annotations
@@ -26,9 +27,15 @@ def with_neighbor(df: DataFrame, keys, order, carry, out: str, slice_by: Column
                   forward: bool = False) -> DataFrame:
     """Add struct column ``out``: columns ``carry`` of the previous (or next) row of the key.
 
-    ``order`` must be a total order within a key; ``slice_by`` must be monotone in it.
+    ``order`` must be a total order within a key; ``slice_by`` must be monotone in it.  On a stream the
+    previous row is kept as keyed state, so every operator built on this runs on streams unchanged.
     """
     keys, order = list(keys), list(order)
+    if df.isStreaming:
+        if forward:
+            raise ValueError("a stream has no next row; use the batch form")
+        from hostpulse.streaming.stateful import previous_row
+        return previous_row(df, keys, order, carry, out)
     shift = F.lead if forward else F.lag
     payload = F.struct(*carry)
     if slice_by is None:
@@ -41,7 +48,7 @@ def with_neighbor(df: DataFrame, keys, order, carry, out: str, slice_by: Column
     seeds = (edges.withColumn(_PAYLOAD, shift(_EDGE).over(across)).where(F.col(_PAYLOAD).isNotNull())
              .select(*keys, _SLICE, _PAYLOAD, F.lit(True).alias(_SEED)))
     both = (rows.withColumn(_PAYLOAD, payload).withColumn(_SEED, F.lit(False))
-            .unionByName(seeds, allowMissingColumns=True))
+            .unionByName(seeds, allowMissingColumns=True).repartition(*keys, _SLICE))
     # False sorts before True: the seed stands first for lag, last for lead.
     seed_rank = F.col(_SEED).asc() if forward else F.col(_SEED).desc()
     within = Window.partitionBy(*keys, _SLICE).orderBy(seed_rank, *order)
@@ -71,6 +78,7 @@ def asof(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry,
 
     latest = F.last(_PAYLOAD, ignorenulls=True)
     if slice_width is None:
+        both = both.repartition(*by)
         w = Window.partitionBy(*by).orderBy(*ordering()).rowsBetween(Window.unboundedPreceding, 0)
         return both.withColumn(out, latest.over(w)).where(~F.col("__mark")).drop("__x", "__mark", _PAYLOAD)
 
@@ -83,7 +91,8 @@ def asof(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry,
     seeds = (edges.withColumn(_PAYLOAD, F.last(f"{_EDGE}.{_PAYLOAD}", ignorenulls=True).over(across))
              .where(F.col(_PAYLOAD).isNotNull())
              .select(*by, _SLICE, _PAYLOAD, F.lit(True).alias(_SEED), F.lit(True).alias("__mark")))
-    both = both.withColumn(_SEED, F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+    both = (both.withColumn(_SEED, F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+            .repartition(*by, _SLICE))
     within = (Window.partitionBy(*by, _SLICE).orderBy(*ordering(F.col(_SEED).desc()))
               .rowsBetween(Window.unboundedPreceding, 0))
     return (both.withColumn(out, latest.over(within)).where(~F.col("__mark"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hostpulse.functions import columns as C
 from hostpulse.operators.ordered import asof, rank_in_order, top_per_key, with_neighbor
@@ -73,6 +73,9 @@ def ema(df: DataFrame, keys, order, cols, alpha: float, slice_by: Column | None
     if alpha <= 0:
         return df
     keys, order, cols = list(keys), list(order), list(cols)
+    if df.isStreaming:
+        from hostpulse.streaming.stateful import stream_ema
+        return stream_ema(df, keys, order, cols, alpha)
     rows = df.withColumn("__slice", slice_by if slice_by is not None else F.lit(0).cast("bigint"))
     group = [*keys, "__slice"]
     out_schema = df.select("*", *[F.lit(0.0).alias(f"{c}_ema") for c in cols]).schema
@@ -86,7 +89,7 @@ def ema(df: DataFrame, keys, order, cols, alpha: float, slice_by: Column | None
     slim = rows.select(*dict.fromkeys([*group, *order, *cols]))
     sum_schema = slim.select(*group).schema
     for c in cols:
-        sum_schema = sum_schema.add(f"n_{c}", "bigint").add(f"zero_{c}", "double").add(f"own_{c}", "double")
+        sum_schema = sum_schema.add(f"n_{c}", T.LongType()).add(f"zero_{c}", T.DoubleType()).add(f"own_{c}", T.DoubleType())
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -101,7 +104,7 @@ def ema(df: DataFrame, keys, order, cols, alpha: float, slice_by: Column | None
     summaries = slim.groupBy(*group).applyInPandas(summarise, sum_schema)
     start_schema = slim.select(*group).schema
     for c in cols:
-        start_schema = start_schema.add(f"__start_{c}", "double")
+        start_schema = start_schema.add(f"__start_{c}", T.DoubleType())
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         # one row per slice of the key

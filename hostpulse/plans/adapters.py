@@ -77,6 +77,16 @@ TABLES = {
                  sum(case when event_type = 'purchase' then 1 else 0 end) as i,
                  sum(case when event_type = 'signup' then 1 else 0 end) as o from ev group by 1, 2, 3) h
         window w as (partition by host, cpu order by ts_us)""",
+    "tot_counters": """
+        select host, cpu, ts_us, cast(sum(u) over w as bigint) as user_j, cast(sum(s) over w as bigint) as system_j,
+               cast(sum(i) over w as bigint) as idle_j, cast(sum(o) over w as bigint) as iowait_j from (
+          select host, 'cpu' as cpu,
+                 (timestamp_ns - timestamp_ns % 3600000000000) $DIV 1000 as ts_us,
+                 sum(case when event_type = 'click' then 1 else 0 end) as u,
+                 sum(case when event_type = 'view' then 1 else 0 end) as s,
+                 sum(case when event_type = 'purchase' then 1 else 0 end) as i,
+                 sum(case when event_type = 'signup' then 1 else 0 end) as o from ev group by 1, 2, 3) h
+        window w as (partition by host, cpu order by ts_us)""",
     "sys_counters": """
         select host, ts_us, cast(sum(c) over w as bigint) as ctxt, cast(sum(i) over w as bigint) as intr, c as running
         from (select host, (timestamp_ns - timestamp_ns % 3600000000000) $DIV 1000 as ts_us,
@@ -210,8 +220,8 @@ def stack_samples(spark, sf_dir) -> DataFrame:
                     C.frames_from_names("user_names").alias("user_stack"))
 
 
-def cpu_counters(spark, sf_dir) -> DataFrame:
-    c = with_ts(table(spark, sf_dir, "cpu_counters"))
+def cpu_counters(spark, sf_dir, name: str = "cpu_counters") -> DataFrame:
+    c = with_ts(table(spark, sf_dir, name))
     zero = F.lit(0).cast("bigint")
     return c.select("host", "cpu", "ts", F.col("user_j").alias("user"), zero.alias("nice"),
                     F.col("system_j").alias("system"), F.col("idle_j").alias("idle"),
