@@ -58,7 +58,7 @@ TABLES = {
               "case when p_partkey % 5 = 0 then 0 else p_partkey * 100 + 1 end as a2, p_partkey * 100 + 2 as a3 "
               "from {part}",
     "stacks": """
-        select concat('h', cast(l_suppkey % 2 as string)) as host, l_orderkey * 10 + l_linenumber as seq,
+        select concat('h', cast(l_suppkey % 2 as string)) as host, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 1000 as seq,
                $NS(l_shipdate) + l_orderkey * 10 + l_linenumber as timestamp_ns, l_suppkey as pid, l_partkey as tid,
                concat('comm_', l_returnflag) as comm, l_linenumber % 4 as cpu,
                case when l_linestatus = 'F' then 'offcpu' else 'oncpu' end as sample_type,
@@ -116,7 +116,7 @@ TABLES = {
              "+ p_partkey * 10 as decimal(20,0)) as address, case when p_partkey % 3 = 0 then 'D' else 'T' end as type, "
              "concat('ksym_', cast(p_partkey as string)) as name from {part}",
     "kframes": "select concat('h', cast(l_suppkey % 2 as string)) as host, cast(cast($KBASE as decimal(20,0)) "
-               "+ l_partkey * 10 + l_linenumber as decimal(20,0)) as address, l_suppkey as pid, l_orderkey * 10 + l_linenumber as seq "
+               "+ l_partkey * 10 + l_linenumber as decimal(20,0)) as address, l_suppkey as pid, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 1000 as seq "
                "from {lineitem}",
     # every second map is two pages long, so it overlaps the next one
     "maps": "select concat('h', cast(p_partkey % 2 as string)) as host, p_partkey % 20 as pid, cast(4194304 + (p_partkey $DIV 20) * 4096 as decimal(20,0)) "
@@ -129,7 +129,7 @@ TABLES = {
            "case when p_partkey % 11 = 0 then 'SECTION' else 'FUNC' end as type from {part}",
     "uframes": "select concat('h', cast(l_suppkey % 2 as string)) as host, l_partkey % 23 as pid, "
                "cast(4194304 + (l_partkey $DIV 20) * 4096 + l_linenumber * 517 as decimal(20,0)) as address, "
-               "l_orderkey * 10 + l_linenumber as seq from {lineitem}",
+               "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 1000 as seq from {lineitem}",
     "stages": "select host, timestamp_ns $DIV 1000 as ts_us, seq, concat('stage_', cast(user_id % 12 as string)) "
               "as name, user_id % 4 <> 0 as running, false as stub, seq as batches, seq * 3 as records, "
               "user_id % 5 as errors, 100 as capacity, (seq * 7) % 100 as size, seq * 2 as enqueued, "
