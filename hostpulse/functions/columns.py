@@ -149,18 +149,21 @@ def frame_hex(frame: Column) -> Column:
     return F.coalesce(F.nullif(frame["function_name"], F.lit("")), F.concat(F.lit("0x"), address_hex(frame["address"])))
 
 
+def frame(name: Column, address: Column | None = None) -> Column:
+    """Frame struct from a name and an address."""
+    return F.struct((F.lit(0) if address is None else address).cast(ADDRESS).alias("address"),
+                    name.alias("function_name"), F.lit("").alias("file_name"),
+                    F.lit(0).cast("bigint").alias("line_number"), F.lit("").alias("module_name"))
+
+
 def frames_from_addresses(addresses) -> Column:
     """Address array -> array of unnamed frames."""
-    return F.transform(_col(addresses), lambda a: F.struct(
-        a.cast(ADDRESS).alias("address"), F.lit("").alias("function_name"), F.lit("").alias("file_name"),
-        F.lit(0).cast("bigint").alias("line_number"), F.lit("").alias("module_name")))
+    return F.transform(_col(addresses), lambda a: frame(F.lit(""), a))
 
 
 def frames_from_names(names) -> Column:
     """Name array -> array of frames without address."""
-    return F.transform(_col(names), lambda n: F.struct(
-        F.lit(0).cast(ADDRESS).alias("address"), n.alias("function_name"), F.lit("").alias("file_name"),
-        F.lit(0).cast("bigint").alias("line_number"), F.lit("").alias("module_name")))
+    return F.transform(_col(names), lambda n: frame(n))
 
 
 # --- codes ----------------------------------------------------------------------------------

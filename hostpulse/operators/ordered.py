@@ -56,6 +56,25 @@ def with_neighbor(df: DataFrame, keys, order, carry, out: str, slice_by: Column
             .drop(_SLICE, _PAYLOAD, _SEED))
 
 
+def with_neighbors(df: DataFrame, keys, order, carry, before: str, after: str, slice_by: Column) -> DataFrame:
+    """Structs ``before`` and ``after`` (previous and next row of the key) from a single shuffle."""
+    keys, order = list(keys), list(order)
+    payload, at = F.struct(*carry), F.struct(*order)
+    rows = df.withColumn(_SLICE, slice_by)
+    edges = rows.groupBy(*keys, _SLICE).agg(F.min_by(payload, at).alias("__first"), F.max_by(payload, at).alias("__last"))
+    across = Window.partitionBy(*keys).orderBy(_SLICE)
+    # seed position -1 stands before the rows of a slice, 1 after them
+    borders = edges.withColumn("__b", F.lag("__last").over(across)).withColumn("__a", F.lead("__first").over(across))
+    seeds = borders.select(*keys, _SLICE, F.inline(F.array(
+        F.struct(F.lit(-1).alias(_SEED), F.col("__b").alias(_PAYLOAD)),
+        F.struct(F.lit(1).alias(_SEED), F.col("__a").alias(_PAYLOAD))))).where(F.col(_PAYLOAD).isNotNull())
+    both = (rows.withColumn(_PAYLOAD, payload).withColumn(_SEED, F.lit(0))
+            .unionByName(seeds, allowMissingColumns=True).repartition(*keys, _SLICE))
+    within = Window.partitionBy(*keys, _SLICE).orderBy(_SEED, *order)
+    return (both.withColumn(before, F.lag(_PAYLOAD).over(within)).withColumn(after, F.lead(_PAYLOAD).over(within))
+            .where(F.col(_SEED) == 0).drop(_SLICE, _PAYLOAD, _SEED))
+
+
 def asof(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry, out: str,
          slice_width: int | None = None, direction: str = "backward") -> DataFrame:
     """Add struct ``out``: ``carry`` of the mark nearest at or before (``forward``: at or after) ``point``.

@@ -1,7 +1,7 @@
 """Call-stack samples: counting, merging, flame trees, function totals, diffs, folded stacks.
 
-Stack arrays are leaf first.  Every tree operator aggregates by full path before it expands
-prefixes, so the expansion grows with distinct stacks, not with samples.
+Stack arrays are leaf first.  Samples are first summed by their raw stacks, so names and paths are
+built once per distinct stack, and trees are summed by full path before prefixes are expanded.
 """
 
 from __future__ import annotations
@@ -66,16 +66,25 @@ def merge_stacks(samples: DataFrame, by: str = "comm", include_kernel: bool = Tr
     first-sample duration loses.
     """
     group = MERGE_KEYS.get(by, MERGE_KEYS["comm"])
-    path = {"__u": F.transform("user_stack", lambda f: C.frame_label(f, "u"))}
-    if include_kernel:
-        path["__k"] = F.transform("kernel_stack", lambda f: C.frame_label(f, "k"))
-    keyed = samples.select("*", *[c.alias(n) for n, c in path.items()])
+    stacks = ["user_stack"] + (["kernel_stack"] if include_kernel else [])
     first = ["timestamp_ns", "pid", "tid"] + (["seq"] if "seq" in samples.columns else [])
-    rest = [c for c in samples.columns if c not in group and c != "count"]
-    merged = keyed.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group], *path).agg(
+    rest = [c for c in samples.columns if c not in (*group, *stacks, "count")]
+    at = F.struct(*first)
+    # the hash in front makes the sort of wide stack keys a sort of numbers
+    raw = samples.groupBy(F.xxhash64(*group, *stacks).alias("__h"), *group, *stacks).agg(
         F.sum("count").alias("count"), F.sum("duration_ns").alias("duration_ns_sum"),
-        F.min_by(F.struct(*rest), F.struct(*first)).alias("__first"))
-    return merged.select(*[F.col(f"__g_{g}").alias(g) for g in group], "count", "duration_ns_sum", "__first.*")
+        F.min_by(F.struct(*rest), at).alias("__rest"), F.min(at).alias("__at"))
+    path = [_labels(c) for c in stacks]
+    merged = raw.groupBy(*group, *[p.alias(f"__p_{c}") for p, c in zip(path, stacks)]).agg(
+        F.sum("count").alias("count"), F.sum("duration_ns_sum").alias("duration_ns_sum"),
+        F.min_by(F.struct("__rest", *stacks), "__at").alias("__first"))
+    return merged.select(*group, "count", "duration_ns_sum", "__first.__rest.*",
+                         *[F.col(f"__first.{c}").alias(c) for c in stacks])
+
+
+def _labels(stack: str):
+    kind = "u" if stack == "user_stack" else "k"
+    return F.transform(stack, lambda f: C.frame_label(f, kind))
 
 
 # --- flame trees ------------------------------------------------------------------------------
@@ -104,13 +113,16 @@ def sample_paths(samples: DataFrame, offcpu: bool = False, keys=()) -> DataFrame
         spent = F.coalesce(F.col("duration_ns"), F.lit(0))
         rounded = C.int_div(spent + F.lit(500), 1000)
         weight = F.when(spent != 0, F.greatest(F.lit(1).cast("bigint"), rounded)).otherwise(count)
+    names = _names(samples, keys)
+    raw = (samples.select(*keys, "comm", "user_stack", "kernel_stack", weight.alias("weight"))
+           .groupBy(*names, "comm", "user_stack", "kernel_stack")
+           .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("samples")))
     empty = F.array().cast("array<struct<function_name:string>>")
-    names = {k: F.coalesce(F.transform(k, lambda f: F.struct(f["function_name"].alias("function_name"))), empty)
-             for k in ("user_stack", "kernel_stack")}
-    path = _path(F.col("comm"), names["user_stack"], names["kernel_stack"])
-    return (samples.select(*keys, path.alias("path"), weight.alias("weight"))
-            .groupBy(*_names(samples, keys), "path")
-            .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("samples")))
+    frames = {k: F.coalesce(F.transform(k, lambda f: F.struct(f["function_name"].alias("function_name"))), empty)
+              for k in ("user_stack", "kernel_stack")}
+    path = _path(F.col("comm"), frames["user_stack"], frames["kernel_stack"])
+    return (raw.select(*names, path.alias("path"), "weight", "samples").groupBy(*names, "path")
+            .agg(F.sum("weight").alias("weight"), F.sum("samples").alias("samples")))
 
 
 def _names(df, keys):
@@ -196,5 +208,6 @@ def folded_stacks(samples: DataFrame) -> DataFrame:
     """``comm;root;...;leaf`` over user frames, with summed counts; samples without any name are skipped."""
     frames = F.transform(F.reverse("user_stack"), lambda f: F.concat(F.lit(";"), C.frame_hex(f)))
     stack = F.concat(F.coalesce("comm", F.lit("")), F.coalesce(F.array_join(frames, ""), F.lit("")))
-    return (samples.select(stack.alias("stack"), "count").where(F.col("stack") != "")
+    raw = samples.groupBy("comm", "user_stack").agg(F.sum("count").alias("count"))
+    return (raw.select(stack.alias("stack"), "count").where(F.col("stack") != "")
             .groupBy("stack").agg(F.sum("count").alias("count")))

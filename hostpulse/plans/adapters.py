@@ -11,9 +11,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hostpulse.functions import columns as C
+from hostpulse.schemas import FRAME
 from hostpulse.session import prepare
 
-BASE_TABLES = ("events", "lineitem", "part", "supplier", "orders", "customer")
+# Base tables and the column their rows are spread by when a table comes as a single unsplittable file.
+BASE_TABLES = {"events": "event_id", "lineitem": "l_orderkey", "part": "p_partkey", "orders": "o_orderkey"}
 
 # Start of kernel text, above 2^63.
 KERNEL_BASE = "18446744071562067968"
@@ -63,6 +65,8 @@ TABLES = {
                concat('comm_', l_returnflag) as comm, l_linenumber % 4 as cpu,
                case when l_linestatus = 'F' then 'offcpu' else 'oncpu' end as sample_type,
                cast(floor(l_quantity) as bigint) as cnt, cast(floor(l_extendedprice) as bigint) * 1000 as duration_ns,
+               concat('leaf_', cast(l_linenumber as string)) as leaf, concat('mid_', cast(l_suppkey % 5 as string)) as mid,
+               case when l_linestatus = 'F' then concat('sys_', cast(l_linenumber % 3 as string)) end as sys,
                $LIST(concat('leaf_', cast(l_linenumber as string)), concat('mid_', cast(l_suppkey % 5 as string)),
                      'main') as user_names,
                case when l_linestatus = 'F' then $LIST(concat('sys_', cast(l_linenumber % 3 as string)))
@@ -174,6 +178,15 @@ def duck_with(*names: str) -> str:
     return "with " + ", ".join(f"{n} as ({duck_text(TABLES[n])})" for n in wanted) + " "
 
 
+def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; a table with fewer splits than cores is spread once, a large one is read as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    wanted = spark.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, BASE_TABLES[name])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One adapter table on Spark."""
     prepare(spark)
@@ -181,7 +194,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = set(re.findall(r"\{(\w+)\}", text))
     frames = {}
     for n in used:
-        frames[n] = table(spark, sf_dir, n) if n == "ev" else spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        frames[n] = table(spark, sf_dir, n) if n == "ev" else base(spark, sf_dir, n)
     return spark.sql(text, **frames)
 
 
@@ -216,8 +229,9 @@ def stack_samples(spark, sf_dir) -> DataFrame:
     return s.select("host", "seq", F.lit("profile").alias("pipeline"), "timestamp_ns",
                     C.ns_to_ts("timestamp_ns").alias("ts"), "pid", "tid", "comm", F.col("cpu").cast("bigint").alias("cpu"),
                     "sample_type", F.col("cnt").alias("count"), "duration_ns",
-                    C.frames_from_names("kernel_names").alias("kernel_stack"),
-                    C.frames_from_names("user_names").alias("user_stack"))
+                    F.when(F.col("sys").isNotNull(), F.array(C.frame(F.col("sys")))).otherwise(
+                        F.array().cast(f"array<{FRAME}>")).alias("kernel_stack"),
+                    F.array(C.frame(F.col("leaf")), C.frame(F.col("mid")), C.frame(F.lit("main"))).alias("user_stack"))
 
 
 def cpu_counters(spark, sf_dir, name: str = "cpu_counters") -> DataFrame:

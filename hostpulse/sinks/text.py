@@ -66,7 +66,7 @@ def prometheus_exposition(records: DataFrame, prefix: str = "hostpulse") -> Data
     values = last.withColumn("labels_text", text)
     samples = values.select("metric", F.lit(2).alias("ord"), "labels_text",
                             F.concat("metric", "labels_text", F.lit(" "), F.col("value").cast("string")).alias("line"))
-    heads = values.select("metric").distinct().select("metric", F.inline(F.array(
+    heads = long.select(metric.alias("metric")).distinct().select("metric", F.inline(F.array(
         F.struct(F.lit(0).alias("ord"), F.lit("").alias("labels_text"),
                  F.concat(F.lit("# HELP "), "metric", F.lit(" gauge of "), "metric").alias("line")),
         F.struct(F.lit(1).alias("ord"), F.lit("").alias("labels_text"),
