@@ -83,8 +83,8 @@ def asof(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry,
     least) payload wins, so results do not depend on row order.
     """
     by = list(by)
-    left = points.withColumn("__x", F.col(point)).withColumn("__mark", F.lit(False))
-    right = marks.select(*by, F.col(mark).alias("__x"), F.struct(*carry).alias(_PAYLOAD),
+    left = points.withColumn("__x", _ordinal(points, point)).withColumn("__mark", F.lit(False))
+    right = marks.select(*by, _ordinal(marks, mark).alias("__x"), F.struct(*carry).alias(_PAYLOAD),
                          F.lit(True).alias("__mark"))
     both = left.unionByName(right, allowMissingColumns=True)
     back = direction == "backward"
@@ -101,15 +101,19 @@ def asof(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry,
         w = Window.partitionBy(*by).orderBy(*ordering()).rowsBetween(Window.unboundedPreceding, 0)
         return both.withColumn(out, latest.over(w)).where(~F.col("__mark")).drop("__x", "__mark", _PAYLOAD)
 
-    both = both.withColumn(_SLICE, F.call_function("div", F.col("__x"), F.lit(slice_width).cast("bigint")))
+    cell = F.call_function("div", F.col("__x"), F.lit(slice_width).cast("bigint"))
     pick = F.max_by if back else F.min_by
-    edges = both.groupBy(*by, _SLICE).agg(
-        pick(F.struct(_PAYLOAD), F.when(F.col("__mark"), F.struct("__x", _PAYLOAD))).alias(_EDGE))
+    edges = (right.withColumn(_SLICE, cell).groupBy(*by, _SLICE)
+             .agg(pick(_PAYLOAD, F.struct("__x", _PAYLOAD)).alias(_EDGE)))
+    needed = left.select(*by, cell.alias(_SLICE)).distinct()
     step = F.col(_SLICE).asc() if back else F.col(_SLICE).desc()
-    across = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    seeds = (edges.withColumn(_PAYLOAD, F.last(f"{_EDGE}.{_PAYLOAD}", ignorenulls=True).over(across))
-             .where(F.col(_PAYLOAD).isNotNull())
+    # everything in slices strictly before (forward: after) the own one
+    across = Window.partitionBy(*by).orderBy(step).rangeBetween(Window.unboundedPreceding, -1)
+    borders = needed.withColumn("__need", F.lit(True)).unionByName(edges, allowMissingColumns=True).repartition(*by)
+    seeds = (borders.withColumn(_PAYLOAD, F.last(_EDGE, ignorenulls=True).over(across))
+             .where(F.col("__need") & F.col(_PAYLOAD).isNotNull())
              .select(*by, _SLICE, _PAYLOAD, F.lit(True).alias(_SEED), F.lit(True).alias("__mark")))
+    both = both.withColumn(_SLICE, cell)
     both = (both.withColumn(_SEED, F.lit(False)).unionByName(seeds, allowMissingColumns=True)
             .repartition(*by, _SLICE))
     within = (Window.partitionBy(*by, _SLICE).orderBy(*ordering(F.col(_SEED).desc()))
@@ -118,6 +122,13 @@ def asof(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry,
             .drop("__x", "__mark", _PAYLOAD, _SLICE, _SEED))
 
 
+def _ordinal(df: DataFrame, name: str) -> Column:
+    """Sort position of a column: unsigned addresses become BIGINT in the same order (cheap to sort)."""
+    if not df.schema[name].dataType.typeName().startswith("decimal"):
+        return F.col(name)
+    return (F.col(name).cast("decimal(21,0)") - F.lit("9223372036854775808").cast("decimal(21,0)")).cast("bigint")
+
+
 def rank_in_order(df: DataFrame, keys, order, slice_by: Column, out: str) -> DataFrame:
     """Dense 0-based position of each row within its key (or globally for no keys), slice by slice.
 

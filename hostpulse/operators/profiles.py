@@ -208,6 +208,7 @@ def folded_stacks(samples: DataFrame) -> DataFrame:
     """``comm;root;...;leaf`` over user frames, with summed counts; samples without any name are skipped."""
     frames = F.transform(F.reverse("user_stack"), lambda f: F.concat(F.lit(";"), C.frame_hex(f)))
     stack = F.concat(F.coalesce("comm", F.lit("")), F.coalesce(F.array_join(frames, ""), F.lit("")))
-    raw = samples.groupBy("comm", "user_stack").agg(F.sum("count").alias("count"))
-    return (raw.select(stack.alias("stack"), "count").where(F.col("stack") != "")
-            .groupBy("stack").agg(F.sum("count").alias("count")))
+    # a sample without comm and frames has no name; said in cheap terms, since Spark moves this filter to the scan
+    named = (F.coalesce("comm", F.lit("")) != "") | (F.size("user_stack") > 0)
+    raw = samples.where(named).groupBy("comm", "user_stack").agg(F.sum("count").alias("count"))
+    return raw.select(stack.alias("stack"), "count").groupBy("stack").agg(F.sum("count").alias("count"))
