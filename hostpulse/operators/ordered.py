@@ -24,18 +24,19 @@ _GROUP_LIMIT = 1000
 
 
 def with_neighbor(df: DataFrame, keys, order, carry, out: str, slice_by: Column | None = None,
-                  forward: bool = False) -> DataFrame:
+                  forward: bool = False, ttl_ms: int | None = None) -> DataFrame:
     """Add struct column ``out``: columns ``carry`` of the previous (or next) row of the key.
 
     ``order`` must be a total order within a key; ``slice_by`` must be monotone in it.  On a stream the
-    previous row is kept as keyed state, so every operator built on this runs on streams unchanged.
+    previous row is kept as keyed state (for ``ttl_ms`` if given), so every operator built on this runs on
+    streams unchanged.
     """
     keys, order = list(keys), list(order)
     if df.isStreaming:
         if forward:
             raise ValueError("a stream has no next row; use the batch form")
         from hostpulse.streaming.stateful import previous_row
-        return previous_row(df, keys, order, carry, out)
+        return previous_row(df, keys, order, carry, out, ttl_ms)
     shift = F.lead if forward else F.lag
     payload = F.struct(*carry)
     if slice_by is None:
@@ -154,7 +155,8 @@ def top_per_key(df: DataFrame, keys, order, n: int, rank: str | None = None) ->
     """
     keys = list(keys)
     if n > _GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if not _is_map(df, c)]), F.lit(64))
+        hashable = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+        salt = F.pmod(F.xxhash64(*hashable), F.lit(64))
         parts = Window.partitionBy(*keys, "__salt").orderBy(*order)
         df = (df.withColumn("__salt", salt).withColumn("__rn", F.row_number().over(parts))
               .where(F.col("__rn") <= n).drop("__salt", "__rn"))
@@ -162,6 +164,3 @@ def top_per_key(df: DataFrame, keys, order, n: int, rank: str | None = None) ->
     out = df.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rn) <= n)
     return out if rank else out.drop(rn)
 
-
-def _is_map(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() in ("map", "variant")

@@ -21,10 +21,15 @@ def _slice(slice_ns: int | None, ts: str = "timestamp_ns") -> Column | None:
 
 
 def pair_events(df: DataFrame, keys, order, is_open: Column, is_close: Column, carry,
-                out: str = "opened", slice_ns: int | None = SLICE_NS, ts: str = "timestamp_ns") -> DataFrame:
-    """Close rows with struct ``out`` holding ``carry`` of the matching open row (NULL: unmatched)."""
+                out: str = "opened", slice_ns: int | None = SLICE_NS, ts: str = "timestamp_ns",
+                ttl_ms: int | None = None) -> DataFrame:
+    """Close rows with struct ``out`` holding ``carry`` of the matching open row (NULL: unmatched).
+
+    On a stream an open row waits as state of its key, for at most ``ttl_ms`` if given.
+    """
     rows = df.where(is_open | is_close).withColumn("__open", F.coalesce(is_open, F.lit(False)))
-    rows = with_neighbor(rows, keys, order, [*carry, "__open"], "__before", _slice(slice_ns, ts))
+    rows = with_neighbor(rows, keys, order, [*carry, "__open"], "__before", _slice(slice_ns, ts),
+                         ttl_ms=ttl_ms)
     matched = F.when(F.col("__before.__open"), F.struct(*[F.col(f"__before.{c}").alias(c) for c in carry]))
     return rows.where(~F.col("__open")).withColumn(out, matched).drop("__before", "__open")
 

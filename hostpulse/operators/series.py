@@ -157,7 +157,7 @@ def snapshots(counters: DataFrame, slice_ns: int | None = SLICE_NS) -> DataFrame
                        F.when(delta == 0, 1).otherwise(delta).alias("delta_total"))
 
 
-def _with_cpu_pct(rows: DataFrame) -> DataFrame:
+def with_cpu_pct(rows: DataFrame) -> DataFrame:
     """Add user, system and total percent from struct ``__p`` (previous counters) and ``delta_total``."""
     scale = F.lit(100.0)
 
@@ -181,7 +181,7 @@ def process_cpu(counters: DataFrame, top_n: int = 50, key_starttime: bool = Fals
     rows = rows.join(snapshots(counters, slice_ns), ["host", "ts"])
     has_prev = F.coalesce(F.col("__p.ts") == F.col("prev_ts"), F.lit(False))
     rows = rows.withColumn("__has_prev", has_prev).withColumn("__p", F.when(F.col("__has_prev"), F.col("__p")))
-    ranked = top_n_per(_with_cpu_pct(rows), ["host", "ts"], [F.col("cpu_total_pct").desc(), F.col("pid")], top_n)
+    ranked = top_n_per(with_cpu_pct(rows), ["host", "ts"], [F.col("cpu_total_pct").desc(), F.col("pid")], top_n)
     return (ranked.where(F.col("__has_prev"))
             .withColumn("rss_kb", F.col("rss_pages") * 4).withColumn("vsize_kb", C.int_div("vsize", 1024))
             .drop("__p", "__has_prev", "prev_ts", "delta_total"))
@@ -206,7 +206,7 @@ def thread_cpu(threads: DataFrame, procs: DataFrame, pids=(), threshold: float =
     rows = rows.where(F.col("__p").isNotNull()).join(
         procs.where(chosen).select("host", "ts", "pid"), ["host", "ts", "pid"], "left_semi")
     rows = rows.join(snapshots(threads, slice_ns), ["host", "ts"])
-    return (_with_cpu_pct(rows).select("host", "ts", "pid", "tid", "comm", "parent_comm", "cpu_user_pct",
+    return (with_cpu_pct(rows).select("host", "ts", "pid", "tid", "comm", "parent_comm", "cpu_user_pct",
                                        "cpu_sys_pct", "cpu_total_pct", "state"))
 
 

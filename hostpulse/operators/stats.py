@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hostpulse.functions import columns as C
 
 DEFAULT_WINDOW = "10 seconds"
+MAX_SLICES = 10_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _window_ns(window) -> int:
@@ -50,7 +52,8 @@ def exact_percentiles(rows: DataFrame, keys, value: str, percentiles, hot_rows:
     """Basic statistics and exact percentiles per key, safe for keys of any size."""
     keys, ps = list(keys), list(percentiles)
     hot = None
-    if hot_rows is not None:
+    # a stream is aggregated in one pass; its groups are bounded by the window
+    if hot_rows is not None and not rows.isStreaming:
         sizes = rows.groupBy(*keys).agg(F.count(value).alias("__n")).where(F.col("__n") > hot_rows)
         top = sizes.agg(F.count(F.lit(1)).alias("k"), F.max("__n").alias("n")).first()
         hot = (top["k"], top["n"]) if top["k"] else None
@@ -66,24 +69,39 @@ def exact_percentiles(rows: DataFrame, keys, value: str, percentiles, hot_rows:
     if hot is None:
         return single(rows)
     groups, largest = hot
-    slices = int(min(-(-largest // hot_rows), 10_000))
-    cuts = [i / slices for i in range(1, slices)] or [0.5]
-    # number of hot keys <= total rows / hot_rows; Spark broadcasts it only below its size threshold
+    slices = int(min(max(-(-largest // hot_rows), 2), MAX_SLICES))
+    cuts = [i / slices for i in range(1, slices)]
     hot_keys = (rows.join(sizes.drop("__n"), _null_safe(rows, sizes, keys), "left_semi").groupBy(*keys)
                 .agg(*_basic(value), F.percentile_approx(value, cuts, 10 * slices).alias("__cuts")))
     cold = single(rows.join(sizes, _null_safe(rows, sizes, keys), "left_anti"))
-    return cold.unionByName(_split_percentiles(rows, hot_keys, keys, value, ps, named))
+    small = groups * (8 * slices + 1024) <= BROADCAST_BYTES
+    return cold.unionByName(_split_percentiles(rows, hot_keys, keys, value, ps, named, small))
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys):
     return C.all_of([left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def _split_percentiles(rows, hot_keys, keys, value, ps, named) -> DataFrame:
-    """Percentiles of oversized groups: cut each group by value, then read only the needed ranks."""
-    h = hot_keys.select(*[F.col(k).alias(f"h_{k}") for k in keys], "__cuts")
-    on = C.all_of([rows[k].eqNullSafe(h[f"h_{k}"]) for k in keys])
-    part = F.size(F.filter("__cuts", lambda c: c <= F.col(value)))
+def _position(cuts: str, coarse: str, value: str, step: int):
+    """How many of the sorted ``cuts`` are at or below ``value``, in two short scans."""
+    block = F.size(F.filter(coarse, lambda c: c <= F.col(value)))
+    fine = F.slice(cuts, (block - 1) * step + 1, F.lit(step))
+    inside = F.size(F.filter(fine, lambda c: c <= F.col(value)))
+    return F.when(block == 0, 0).otherwise((block - 1) * step + inside)
+
+
+def _split_percentiles(rows, hot_keys, keys, value, ps, named, small: bool) -> DataFrame:
+    """Percentiles of oversized groups: cut each group by value, then read only the needed ranks.
+
+    ``small``: the counted hot keys with their cuts are known to fit a broadcast; otherwise the join is
+    left to Spark, which splits skewed partitions.
+    """
+    step = 100
+    coarse = F.transform(F.sequence(F.lit(1), F.size("__cuts"), F.lit(step)), lambda i: F.element_at("__cuts", i))
+    h = hot_keys.select(*[F.col(k).alias(f"h_{k}") for k in keys], "__cuts", coarse.alias("__coarse"))
+    h = F.broadcast(h) if small else h
+    on = C.all_of([rows[k].eqNullSafe(F.col(f"h_{k}")) for k in keys])
+    part = _position("__cuts", "__coarse", value, step)
     # copies of a value collapse before the values of a slice meet
     counts = (rows.join(h, on).select(*keys, part.alias("__part"), value)
               .groupBy(*keys, "__part", value).agg(F.count(F.lit(1)).alias("__c")))

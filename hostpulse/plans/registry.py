@@ -167,6 +167,11 @@ def _exposition(df, batch_id, path, prefix="hostpulse"):
     tables.write_exposition(df, path, prefix)
 
 
+@register_sink("gauge_board")
+def _gauge_board(df, batch_id, path, prefix="hostpulse"):
+    tables.GaugeBoard(path, prefix)(df, batch_id)
+
+
 @register_sink("console")
 def _console(df, batch_id, rows=20):
     df.show(rows, truncate=False)

@@ -146,3 +146,41 @@ class FanOut:
 
 def fan_out(sinks) -> FanOut:
     return FanOut(sinks)
+
+
+# --- gauge board ------------------------------------------------------------------------------
+
+class GaugeBoard:
+    """``foreachBatch`` target that shows the last value of every series ever seen.
+
+    The last values are a table with one version per micro-batch under ``path``; a repeated batch
+    rebuilds the same version from the one before it.  ``<path>/exposition`` holds the text.
+    """
+
+    KEEP = 2
+
+    def __init__(self, path: str, prefix: str = "hostpulse"):
+        self.path, self.prefix = path.rstrip("/"), prefix
+
+    def _versions(self, spark) -> list[int]:
+        fs, _ = _fs(spark, self.path)
+        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/v=*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName().split("=", 1)[1]) for f in found)
+
+    def __call__(self, df: DataFrame, batch_id: int) -> None:
+        from hostpulse.sinks.text import exposition_lines, last_gauges
+        spark = df.sparkSession
+        known = [v for v in self._versions(spark) if v < batch_id]
+        gauges = last_gauges(df, self.prefix)
+        if known:
+            before = spark.read.schema(gauges.schema).parquet(f"{self.path}/state/v={known[-1]}")
+            gauges = (before.unionByName(gauges).groupBy("metric", "labels")
+                      .agg(F.max_by(F.struct("value", "at"), "at").alias("l")).select("metric", "labels", "l.value", "l.at"))
+        current = f"{self.path}/state/v={batch_id}"
+        gauges.write.mode("overwrite").parquet(current)
+        lines = exposition_lines(spark.read.schema(gauges.schema).parquet(current))
+        (lines.orderBy("metric", "ord", "labels_text").select(F.col("line").alias("value"))
+         .write.mode("overwrite").text(f"{self.path}/exposition"))
+        fs, _ = _fs(spark, self.path)
+        for old in known[:1 - self.KEEP]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/v={old}"), True)

@@ -51,22 +51,25 @@ def export_jsonl(records: DataFrame, include_ts: bool = False) -> DataFrame:
 
 # --- Prometheus -------------------------------------------------------------------------------
 
-def prometheus_exposition(records: DataFrame, prefix: str = "hostpulse") -> DataFrame:
-    """Gauge exposition: ``(metric, ord, labels_text, line)``; order by the first three to print.
-
-    The last value of each (metric, label set) wins; HELP and TYPE appear once per metric.
-    """
-    tie = ["seq"] if "seq" in records.columns else []
-    long = gauge_fields(records, C.labels_key("labels").alias("labels"), "timestamp_ns", *tie)
+def last_gauges(records: DataFrame, prefix: str = "hostpulse") -> DataFrame:
+    """Last value of each (metric, label set): ``(metric, labels, value, at)``."""
+    tie = F.col("seq") if "seq" in records.columns else F.lit(0).cast("bigint")
+    long = gauge_fields(records, C.labels_key("labels").alias("labels"), "timestamp_ns", tie.alias("seq"))
     metric = C.sanitize_metric_name(F.concat(F.lit(f"{prefix}_"), "field"))
-    last = (long.select(metric.alias("metric"), "labels", "value", F.struct("timestamp_ns", *tie, "field").alias("at"))
-            .groupBy("metric", "labels").agg(F.max_by("value", "at").alias("value")))
+    return (long.select(metric.alias("metric"), "labels", "value", F.struct("timestamp_ns", "seq", "field").alias("at"))
+            .groupBy("metric", "labels").agg(F.max_by(F.struct("value", "at"), "at").alias("l"))
+            .select("metric", "labels", "l.value", "l.at"))
+
+
+def exposition_lines(gauges: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """HELP and TYPE once per metric, then one line per series: ``(metric, ord, labels_text, line)``."""
     pairs = F.transform("labels", lambda e: F.concat(e["key"], F.lit('="'), C.escape_label(e["value"]), F.lit('"')))
     text = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
-    values = last.withColumn("labels_text", text)
+    values = gauges.withColumn("labels_text", text)
     samples = values.select("metric", F.lit(2).alias("ord"), "labels_text",
                             F.concat("metric", "labels_text", F.lit(" "), F.col("value").cast("string")).alias("line"))
-    heads = long.select(metric.alias("metric")).distinct().select("metric", F.inline(F.array(
+    names = (gauges if metrics is None else metrics).select("metric").distinct()
+    heads = names.select("metric", F.inline(F.array(
         F.struct(F.lit(0).alias("ord"), F.lit("").alias("labels_text"),
                  F.concat(F.lit("# HELP "), "metric", F.lit(" gauge of "), "metric").alias("line")),
         F.struct(F.lit(1).alias("ord"), F.lit("").alias("labels_text"),
@@ -74,6 +77,16 @@ def prometheus_exposition(records: DataFrame, prefix: str = "hostpulse") -> Data
     return heads.unionByName(samples)
 
 
+def prometheus_exposition(records: DataFrame, prefix: str = "hostpulse") -> DataFrame:
+    """Gauge exposition: ``(metric, ord, labels_text, line)``; order by the first three to print.
+
+    The last value of each (metric, label set) wins.
+    """
+    metric = C.sanitize_metric_name(F.concat(F.lit(f"{prefix}_"), "field"))
+    names = gauge_fields(records).select(metric.alias("metric"))
+    return exposition_lines(last_gauges(records, prefix), names)
+
+
 def numbered_lines(exposition: DataFrame) -> DataFrame:
     """``(line_no, line)``: line numbers grow in print order (distributed sort, gaps between tasks)."""
     ordered = exposition.orderBy("metric", "ord", "labels_text")

@@ -34,32 +34,47 @@ def _group_columns(df: DataFrame, keys, order):
     return [key_text.alias("pair_key"), *[F.col(o).alias(f"ord{i}") for i, o in enumerate(order)]]
 
 
-class _Previous(StatefulProcessor):
+class _Expiring(StatefulProcessor):
+    """Clears the state of a key once the watermark is ``ttl_ms`` past its last row."""
+
+    def keep(self, pdf) -> None:
+        if self.ttl_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(pdf[self.time_name].max().value // 10**6) + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.value.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class _Previous(_Expiring):
     """Emit every row with the payload of the row before it in its key."""
 
     def __init__(self, order, time_name, ttl_ms):
         self.order, self.time_name, self.ttl_ms = order, time_name, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "payload STRING", self.ttl_ms)
+        self.handle, self.value = handle, handle.getValueState("last", "payload STRING")
 
     def handleInputRows(self, key, rows, timerValues):
         # a key's rows of one micro-batch; their number is bounded by the trigger's input limit
         pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         before = pdf["payload_text"].shift(1)
-        known = self.last.get()
+        known = self.value.get()
         before.iloc[0] = known[0] if known else None
-        self.last.update((pdf["payload_text"].iloc[-1],))
+        self.value.update((pdf["payload_text"].iloc[-1],))
         out = {"row_text": pdf["row_text"].to_numpy(), "before_text": before.to_numpy()}
         if self.time_name:
             out[self.time_name] = pdf[self.time_name].to_numpy()
+        self.keep(pdf)
         yield pd.DataFrame(out)
 
-    def close(self) -> None:
-        pass
-
 
-class _Ema(StatefulProcessor):
+class _Ema(_Expiring):
     """Continue an exponential average per key and column."""
 
     def __init__(self, order, cols, alpha, time_name, ttl_ms):
@@ -68,11 +83,11 @@ class _Ema(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = ", ".join(f"c{i} DOUBLE" for i in range(len(self.cols)))
-        self.state = handle.getValueState("average", fields, self.ttl_ms)
+        self.handle, self.value = handle, handle.getValueState("average", fields)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        known = self.state.get()
+        known = self.value.get()
         out = {"row_text": pdf["row_text"].to_numpy()}
         ends = []
         for i in range(len(self.cols)):
@@ -83,18 +98,18 @@ class _Ema(StatefulProcessor):
             y = x.ewm(alpha=self.alpha, adjust=False, ignore_na=True).mean()
             out[f"y{i}"] = (y.iloc[1:] if seed is not None else y).to_numpy()
             ends.append(None if pd.isna(y.iloc[-1]) else float(y.iloc[-1]))
-        self.state.update(tuple(ends))
+        self.value.update(tuple(ends))
         if self.time_name:
             out[self.time_name] = pdf[self.time_name].to_numpy()
+        self.keep(pdf)
         yield pd.DataFrame(out)
 
-    def close(self) -> None:
-        pass
-
 
 def _run(df, rows, processor, schema, time_name):
-    mode = "ProcessingTime" if processor.ttl_ms else ("EventTime" if time_name else "None")
-    kwargs = {"eventTimeColumnName": time_name} if time_name and mode == "EventTime" else {}
+    if processor.ttl_ms and not time_name:
+        raise ValueError("expiring state needs a watermark on the stream")
+    mode = "EventTime" if time_name else "None"
+    kwargs = {"eventTimeColumnName": time_name} if time_name else {}
     _use_rocksdb(df)
     return rows.groupBy("pair_key").transformWithStateInPandas(processor, schema, "Append", mode, **kwargs)
 

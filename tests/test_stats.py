@@ -49,7 +49,7 @@ def percentile(values, p):
     return values[lo] * (1 - (i - lo)) + values[hi] * (i - lo) if lo != hi else values[lo]
 
 
-@pytest.mark.parametrize("hot_rows", [40, 10**6])
+@pytest.mark.parametrize("hot_rows", [5, 40, 10**6])
 def test_split_percentiles_equal_plain_ones(spark, hot_rows):
     rnd = random.Random(1)
     rows = [("hot" if i % 3 else f"k{i % 50}", rnd.choice([5.0, 5.0, rnd.random() * 100])) for i in range(3000)]

@@ -126,3 +126,63 @@ def test_late_rows_are_dropped(spark):
     got = run.to_table(windows.stream_window_stats(s, "5 minutes", "10 minutes"))
     # minute 1 arrives after the watermark passed its window
     assert sorted((r["max"], r["count"]) for r in got.collect()) == [(0.0, 1), (31.0, 2)]
+
+
+@pytest.mark.parametrize("by", [None, "comm", "global"])
+def test_profile_windows(spark, events, folder, by):
+    from hostpulse.functions import columns as C
+    from hostpulse.operators import profiles
+
+    def shape(df):
+        return df.select("host", "ts", "timestamp_ns", F.col("next_pid").alias("pid"), F.col("cpu").alias("tid"),
+                         F.col("next_comm").alias("comm"), F.lit(2).cast("bigint").alias("count"),
+                         F.lit(5).cast("bigint").alias("duration_ns"),
+                         C.frames_from_names(F.array("event_type")).alias("user_stack"),
+                         C.frames_from_addresses(F.array("cpu")).alias("kernel_stack"))
+
+    got = run.to_table(windows.stream_profile(shape(stream(spark, folder)), "20 seconds", "5 seconds", by))
+    closed = events.agg(F.max("timestamp_ns")).first()[0] - 5 * 10**9
+    batch = shape(events).withColumn("window_ns", C.floor_to("timestamp_ns", 20 * 10**9)).where(
+        F.col("window_ns") + 20 * 10**9 <= closed)
+    total = {r[0]: r[1] for r in batch.groupBy("window_ns").agg(F.sum("count")).collect()}
+    assert {r[0]: r[1] for r in got.groupBy("window_ns").agg(F.sum("count")).collect()} == total
+    one = batch.where(F.col("window_ns") == min(total))
+    want = profiles.window_profile(one, "20 seconds") if by is None else profiles.merge_stacks(one, by)
+    assert sorted(r["count"] for r in got.where(F.col("window_ns") == min(total)).collect()) == sorted(r["count"] for r in want.collect())
+
+
+def test_pair_with_ttl(spark, events, folder):
+    from hostpulse.streaming.live import stream_pair
+    with pytest.raises(ValueError):
+        stream_pair(stream(spark, folder), ["next_pid"], ["seq"], F.lit(True), F.lit(False), ["seq"], ttl_ms=1)
+    marked = stream(spark, folder).withWatermark("ts", "5 seconds")
+    got = run.to_table(stream_pair(marked, ["next_pid"], ["timestamp_ns", "seq"], F.col("event_type") == "wakeup",
+                                   F.col("event_type") == "switch", ["seq"], ttl_ms=3_600_000).select("seq", F.col("opened.seq").alias("o")))
+    want = pairing.pair_events(events, ["next_pid"], ["timestamp_ns", "seq"], F.col("event_type") == "wakeup",
+                               F.col("event_type") == "switch", ["seq"]).select("seq", F.col("opened.seq").alias("o"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_process_cpu_live(spark):
+    from hostpulse.streaming.live import stream_process_cpu
+    base = datetime(2024, 1, 1)
+    schema = "host STRING, ts TIMESTAMP, pid BIGINT, utime BIGINT, stime BIGINT, rss_pages BIGINT, vsize BIGINT, total_jiffies BIGINT, num_cpus BIGINT"
+    path = durable_dir(spark, "procs")
+    for snap, pids in enumerate([(1, 2), (1,), (1, 2)]):
+        spark.createDataFrame([("h", base + timedelta(seconds=2 * snap), p, snap * 10, 0, 1, 4096, snap * 100, 4) for p in pids], schema) \
+            .coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = run.to_table(stream_process_cpu(s, 2000)).orderBy("ts", "pid").collect()
+    assert [(r["pid"], r["cpu_user_pct"], r["vsize_kb"]) for r in got] == [(1, 40.0, 4), (1, 40.0, 4)]
+
+
+def test_gauge_board_keeps_series_of_earlier_batches(spark, tmp_path):
+    from hostpulse.sinks.tables import GaugeBoard
+    schema = "timestamp_ns BIGINT, seq BIGINT, labels MAP<STRING,STRING>, fields MAP<STRING,DOUBLE>"
+    board = GaugeBoard(str(tmp_path / "board"), "x")
+    batches = [[(1, 1, {"n": "a"}, {"t": 1.0}), (1, 2, {"n": "b"}, {"t": 2.0})], [(2, 3, {"n": "a"}, {"t": 5.0})], [(3, 4, {"n": "c"}, {"t": 7.0})]]
+    for i, b in enumerate(batches):
+        for _ in range(2):      # a repeated batch changes nothing
+            board(spark.createDataFrame(b, schema), i)
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "board" / "exposition")).collect()]
+    assert lines == ["# HELP x_t gauge of x_t", "# TYPE x_t gauge", 'x_t{n="a"} 5.0', 'x_t{n="b"} 2.0', 'x_t{n="c"} 7.0']
