@@ -13,9 +13,9 @@ def _limited(df: DataFrame, n: int | None) -> DataFrame:
 
 def rank_processes(df: DataFrame, by: str = "cpu", n: int | None = None) -> DataFrame:
     """By total cpu (descending), numeric pid, or comm."""
-    pid = F.col("pid").cast("bigint")
-    order = {"cpu": [F.col("cpu_total_pct").desc(), pid], "pid": [pid], "comm": [F.col("comm"), pid]}
-    return _limited(df.orderBy(*order[by]), n)
+    ties = [F.col("pid").cast("bigint"), *[F.col(c) for c in ("host", "ts") if c in df.columns]]
+    first = {"cpu": [F.col("cpu_total_pct").desc()], "pid": [], "comm": [F.col("comm")]}
+    return _limited(df.orderBy(*first[by], *ties), n)
 
 
 def rank_sched(df: DataFrame, by: str = "switches", n: int | None = None) -> DataFrame:

@@ -40,17 +40,17 @@ SLICE = DAY
 # records and windows
 
 STATS_SQL = A.duck_with("rec") + """
-select host, window_ns, labels, field, round(avg(value), 6) as avg, min(value) as min, max(value) as max,
-       count(*) as count, round(case when count(*) >= 4 then quantile_cont(value, 0.5) end, 6) as p50,
-       round(case when count(*) >= 4 then quantile_cont(value, 0.99) end, 6) as p99
+select host, window_ns, labels, field, round(avg(value), 9) as avg, min(value) as min, max(value) as max,
+       count(*) as count, round(case when count(*) >= 4 then quantile_cont(value, 0.5) end, 9) as p50,
+       round(case when count(*) >= 4 then quantile_cont(value, 0.99) end, 9) as p99
 from (select host, timestamp_ns - timestamp_ns % 3600000000000 as window_ns,
              'type=' || event_type || ';' as labels, 'value' as field, value from rec)
 group by all"""
 
 
 def _stats_columns(df):
-    return df.select("host", "window_ns", C.labels_text("labels").alias("labels"), "field", r("avg"), "min", "max",
-                     "count", r("p50"), r("p99"))
+    return df.select("host", "window_ns", C.labels_text("labels").alias("labels"), "field", r("avg", 9), "min", "max",
+                     "count", r("p50", 9), r("p99", 9))
 
 
 @query("window_stats", STATS_SQL)
@@ -65,15 +65,15 @@ def window_stats_split(spark, sf):
 
 
 @query("window_stats_records", A.duck_with("rec") + """
-select host, window_ns as timestamp_ns, event_type as type, round(avg(value), 6) as value_avg,
-       count(*)::double as value_count, round(case when count(*) >= 4 then quantile_cont(value, 0.5) end, 6) as value_p50
+select host, window_ns as timestamp_ns, event_type as type, round(avg(value), 9) as value_avg,
+       count(*)::double as value_count, round(case when count(*) >= 4 then quantile_cont(value, 0.5) end, 9) as value_p50
 from (select host, timestamp_ns - timestamp_ns % 86400000000000 as window_ns, event_type, value from rec) group by 1, 2, 3""")
 def window_stats_records(spark, sf):
     wide = stats.window_stats(A.type_records(spark, sf), "1 day", wide=True)
     f = lambda k: F.try_element_at("fields", F.lit(k))
     return wide.select("host", "timestamp_ns", F.try_element_at("labels", F.lit("type")).alias("type"),
-                       F.round(f("value_avg"), 6).alias("value_avg"), f("value_count").alias("value_count"),
-                       F.round(f("value_p50"), 6).alias("value_p50"))
+                       F.round(f("value_avg"), 9).alias("value_avg"), f("value_count").alias("value_count"),
+                       F.round(f("value_p50"), 9).alias("value_p50"))
 
 
 @query("record_range", A.duck_with("rec") + """
@@ -555,7 +555,8 @@ def profile_snapshots(spark, sf):
     return profiles.profile_snapshots(A.stack_samples(spark, sf), "30 days")
 
 
-TWO_TREES = A.duck_with("stacks") + _tree("cnt", "seq % 10 <= 3", "base") + _tree("cnt", "seq % 10 > 2", "comp") + """
+TWO_TREES = A.duck_with("stacks") + _tree("cnt", "sample_type = 'oncpu'", "base") + _tree(
+    "cnt", "sample_type = 'offcpu'", "comp") + """
 , bt as (select name, cast(sum(value) as bigint) as v from base group by 1),
   ct as (select name, cast(sum(value) as bigint) as v from comp group by 1),
   diff as (select name, coalesce(bt.v, 0) as base_value, coalesce(ct.v, 0) as comp_value from bt full join ct using (name)
@@ -563,9 +564,9 @@ TWO_TREES = A.duck_with("stacks") + _tree("cnt", "seq % 10 <= 3", "base") + _tre
 
 
 def _two_trees(spark, sf):
+    """On-CPU profile as base, off-CPU profile as comparison."""
     s = A.stack_samples(spark, sf)
-    line = F.col("seq") % 10
-    return profiles.flame_tree(s.where(line <= 3)), profiles.flame_tree(s.where(line > 2))
+    return tuple(profiles.flame_tree(s.where(F.col("sample_type") == kind)) for kind in ("oncpu", "offcpu"))
 
 
 @query("function_totals", A.duck_with("stacks") + _tree("cnt") + """

@@ -129,19 +129,12 @@ def top_n_processes(spark, sf):
 
 
 def _rank_procs(by):
-    order = {"cpu": "cpu_total_pct desc, pid", "pid": "pid", "comm": "comm, pid"}[by]
-    sql = PROC_CPU.replace("{n}", "50") + f""", one as (select * from proc where host = 'h1' and ts_us =
-      (select max(ts_us) from proc where host = 'h1'))
-      select row_number() over (order by {order}) as pos, pid, comm from one order by {order} limit 20"""
+    order = {"cpu": "round(cpu_total_pct, 6) desc, pid, host, ts_us", "pid": "pid, host, ts_us", "comm": "comm, pid, host, ts_us"}[by]
+    sql = PROC_CPU.replace("{n}", "50") + f"select host, ts_us, pid, comm from proc order by {order} limit 20"
 
     def fn(spark, sf):
-        procs = _procs(spark, sf, 50).where(F.col("host") == "h1")
-        last = procs.where(F.col("ts") == procs.agg(F.max("ts")).scalar())
-        top = rank.rank_processes(last, by, 20)
-        # 20 rows: numbering them shows the order
-        from pyspark.sql import Window
-        w = {"cpu": [F.col("cpu_total_pct").desc(), F.col("pid")], "pid": [F.col("pid")], "comm": [F.col("comm"), F.col("pid")]}[by]
-        return top.select(F.row_number().over(Window.orderBy(*w)).cast("bigint").alias("pos"), "pid", "comm")
+        procs = _procs(spark, sf, 50).withColumn("cpu_total_pct", r("cpu_total_pct"))
+        return rank.rank_processes(procs, by, 20).select("host", micros(), "pid", "comm")
     return sql, fn
 
 
@@ -179,16 +172,17 @@ def core_heatmap(spark, sf):
     return out.select("host", "cpu", "core", micros(), r("busy_pct"))
 
 
-@query("nearest_join", A.duck_with("cpu_counters", "proc_counters") + UTIL + """
-, g as (select distinct host, 'cpu1' as cpu, ts_us + 1800000000 as grid_us from proc_counters where pid = 7),
-near as (select g.*, util.ts_us, busy_pct, row_number() over (partition by g.host, grid_us order by abs(util.ts_us - grid_us), util.ts_us) as rn
+@query("nearest_join", A.duck_with("cpu_counters", "ev") + UTIL + """
+, g as (select host, 'cpu' || user_id % 4 as cpu, seq, timestamp_ns // 1000 as grid_us from ev),
+near as (select g.*, util.ts_us, busy_pct, row_number() over (partition by g.seq order by abs(util.ts_us - grid_us), util.ts_us) as rn
    from g join util on util.host = g.host and util.cpu = g.cpu)
-select host, grid_us, round(busy_pct, 6) as busy_pct from near where rn = 1""")
+select seq, grid_us, round(busy_pct, 6) as busy_pct from near where rn = 1""")
 def nearest_join(spark, sf):
-    p = A.table(spark, sf, "proc_counters").where(F.col("pid") == 7)
-    grid = p.select("host", F.lit("cpu1").alias("cpu"), F.timestamp_micros(F.col("ts_us") + 1800000000).alias("ts")).distinct()
+    """The utilization sample nearest to each event on its cpu."""
+    ev = A.table(spark, sf, "ev")
+    grid = ev.select("host", F.concat(F.lit("cpu"), F.col("user_id") % 4).alias("cpu"), "seq", C.ns_to_ts("timestamp_ns").alias("ts"))
     out = series.nearest_join(grid, _util(spark, sf))
-    return out.select("host", F.unix_micros("ts").alias("grid_us"), r("busy_pct"))
+    return out.select("seq", F.unix_micros("ts").alias("grid_us"), r("busy_pct"))
 
 
 @query("utilization_history", A.duck_with("tot_counters") + UTIL.replace("from cpu_counters", "from tot_counters") + """
@@ -663,7 +657,7 @@ def _sched_stream(spark, sf):
 
 
 @query("stream_window_stats", A.duck_with("rec") + """
-select host, window_ns, round(avg(value), 6) as avg, count(*) as count, round(case when count(*) >= 4 then quantile_cont(value, 0.5) end, 6) as p50,
+select host, window_ns, round(avg(value), 9) as avg, count(*) as count, round(case when count(*) >= 4 then quantile_cont(value, 0.5) end, 9) as p50,
   type from (select *, timestamp_ns - timestamp_ns % 21600000000000 as window_ns, event_type as type from rec)
 group by host, window_ns, type having window_ns // 1000 + 21600000000 <= (select max(timestamp_ns // 1000) from rec) - 3600000000""")
 def stream_window_stats(spark, sf):
@@ -671,7 +665,7 @@ def stream_window_stats(spark, sf):
         "host", "ts", F.create_map(F.lit("type"), F.col("event_type")).alias("labels"),
         F.create_map(F.lit("value"), F.col("value")).alias("fields"))
     out = run.to_table(windows.stream_window_stats(recs, "6 hours", "1 hour"))
-    return out.select("host", "window_ns", F.col("labels")[0]["value"].alias("type"), r("avg"), "count", r("p50"))
+    return out.select("host", "window_ns", F.col("labels")[0]["value"].alias("type"), r("avg", 9), "count", r("p50", 9))
 
 
 @query("stream_runqueue_latency", A.duck_with("sched") + """
