@@ -496,7 +496,7 @@ def _merged(by, include_kernel):
     sql = A.duck_with("stacks") + f"""
 , x as (select *, array_to_string(kernel_names, ';') as k, array_to_string(user_names, ';') as u from stacks)
 select {keys}, cast(sum(cnt) as bigint) as count, cast(sum(duration_ns) as bigint) as duration_ns_sum,
-       arg_min(duration_ns, [timestamp_ns, pid, tid, seq]) as duration_ns, arg_min(cpu, [timestamp_ns, pid, tid, seq]) as cpu
+       arg_min(duration_ns, [timestamp_ns, pid, tid, seq]) as duration_ns, cast(arg_min(cpu, [timestamp_ns, pid, tid, seq]) as bigint) as cpu
 from x group by {keys}"""
 
     def run(spark, sf):
@@ -583,8 +583,8 @@ def profile_diff(spark, sf):
 
 
 @query("diff_summary", TWO_TREES + """
-select count(*) as total, count_if(comp_value > base_value) as increased, count_if(comp_value < base_value) as decreased,
-       count_if(base_value = 0 and comp_value > 0) as new, count_if(base_value > 0 and comp_value = 0) as removed from diff""")
+select count(*) as total, count(*) filter (where comp_value > base_value) as increased, count(*) filter (where comp_value < base_value) as decreased,
+       count(*) filter (where base_value = 0 and comp_value > 0) as new, count(*) filter (where base_value > 0 and comp_value = 0) as removed from diff""")
 def diff_summary(spark, sf):
     return profiles.diff_summary(profiles.profile_diff(*_two_trees(spark, sf)))
 

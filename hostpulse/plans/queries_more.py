@@ -245,9 +245,9 @@ def _stages(spark, sf):
 
 
 @query("fleet_health", LAST_STAGE + """
-select count_if(running) as running, count(*) as total, cast(sum(batches) as bigint) as batches,
+select count(*) filter (where running) as running, count(*) as total, cast(sum(batches) as bigint) as batches,
  cast(sum(records) as bigint) as records, cast(sum(errors) as bigint) as errors, cast(sum(dropped) as bigint) as dropped,
- count_if(size > 80) as critical, count_if(size > 50 and size <= 80) as warning from l""")
+ count(*) filter (where size > 80) as critical, count(*) filter (where size > 50 and size <= 80) as warning from l""")
 def fleet_health(spark, sf):
     return stats.stage_health(_stages(spark, sf))
 
@@ -682,8 +682,8 @@ def stream_runqueue_latency(spark, sf):
    window w as (partition by host, next_pid order by timestamp_ns, seq)),
 lat as (select host, seq, timestamp_ns, next_pid, event_type, case when event_type = 'switch' and pt = 'wakeup' then timestamp_ns - pn else 0 end as lat from w
   union all select host, seq, timestamp_ns, next_pid, event_type, 0 from sched where event_type = 'migrate')
-select host, timestamp_ns - timestamp_ns % 21600000000000 as window_ns, next_pid as pid, count_if(event_type = 'switch') as switch_count,
-  cast(sum(lat) as bigint) as total_runqueue_latency_ns, count_if(event_type = 'migrate') as migrate_count from lat
+select host, timestamp_ns - timestamp_ns % 21600000000000 as window_ns, next_pid as pid, count(*) filter (where event_type = 'switch') as switch_count,
+  cast(sum(lat) as bigint) as total_runqueue_latency_ns, count(*) filter (where event_type = 'migrate') as migrate_count from lat
 where (event_type = 'switch' and next_pid <> 0) or event_type = 'migrate' group by 1, 2, 3
 having window_ns // 1000 + 21600000000 <= (select max(timestamp_ns // 1000) from sched) - 3600000000""")
 def stream_sched_stats(spark, sf):
