@@ -758,8 +758,9 @@ def stream_fan_out(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("ids"))
 
 
-@query("stream_counters")
+@query("stream_counters", """select 0::bigint as running, 1::bigint as total, 1::bigint as batches, count(*) as records,
+ 0::bigint as errors, 0::bigint as dropped from events""")
 def stream_counters(spark, sf):
-    """Progress counters of a bounded run."""
+    """Fleet totals from the progress counters of a bounded run over the events table."""
     q = run.run_available(_event_stream(spark, sf, None), [lambda df, i: df.agg(F.count(F.lit(1))).first()])
-    return run.progress_rows(spark, q)
+    return stats.stage_health(run.progress_rows(spark, q)).select("running", "total", "batches", "records", "errors", "dropped")

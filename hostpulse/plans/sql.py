@@ -30,9 +30,13 @@ def run_sql(spark: SparkSession, sql: str, limit: int = ROW_LIMIT) -> DataFrame:
         df = spark.sql(f"SELECT * FROM (\n{text}\n)")
     else:
         df = spark.sql(text)
-    shown = [F.when(F.col(f"`{c}`").isNotNull(), F.lit("[blob]")).alias(c) if t == "binary" else F.col(f"`{c}`")
-             for c, t in df.dtypes]
-    return df.select(*shown).limit(limit)
+    # the last of equally named columns wins
+    kinds = [t for _, t in df.dtypes]
+    last = {name: i for i, name in enumerate(df.columns)}
+    plain = df.toDF(*[f"c{i}" for i in range(len(kinds))])
+    shown = [(F.when(F.col(f"c{i}").isNotNull(), F.lit("[blob]")) if kinds[i] == "binary" else F.col(f"c{i}")).alias(name)
+             for name, i in last.items()]
+    return plain.select(*shown).limit(limit)
 
 
 def register_views(spark: SparkSession, base: str | None = None, tables: dict[str, DataFrame] | None = None) -> list[str]:

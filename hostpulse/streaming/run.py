@@ -41,14 +41,22 @@ def to_table(stream: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Stage counters of a query's recent progress: batches, rows in, rows dropped as late."""
-    rows = []
+    """Running totals of a query as stage counters (``schemas.COUNTERS["stages"]``), one row per progress report.
+
+    Spark keeps a bounded number of reports.  Feed the result to ``stats.stage_health``.
+    """
+    rows, records, dropped = [], 0, 0
+    failed = 1 if query.exception() is not None else 0
     for p in query.recentProgress:
-        dropped = sum(int(s.numRowsDroppedByWatermark) for s in p.stateOperators)
-        rows.append((p.name or str(p.id), p.timestamp, int(p.batchId), int(p.numInputRows), dropped))
-    raw = spark.createDataFrame(rows, "name STRING, timestamp STRING, batches BIGINT, records BIGINT, dropped BIGINT")
-    return raw.select("name", F.to_timestamp("timestamp").alias("ts"), (F.col("batches") + 1).alias("batches"),
-                      "records", "dropped")
+        records += int(p.numInputRows)
+        dropped += sum(int(s.numRowsDroppedByWatermark) for s in p.stateOperators)
+        rows.append((p.name or str(p.id), p.timestamp, bool(query.isActive), int(p.batchId) + 1, records, failed, dropped))
+    raw = spark.createDataFrame(rows, "name STRING, timestamp STRING, running BOOLEAN, batches BIGINT, records BIGINT, "
+                                      "errors BIGINT, dropped BIGINT")
+    zero = F.lit(0).cast("bigint")
+    return raw.select(F.lit("driver").alias("host"), F.to_timestamp("timestamp").alias("ts"), "name", "running",
+                      F.lit(False).alias("stub"), "batches", "records", "errors", zero.alias("capacity"), zero.alias("size"),
+                      F.col("records").alias("enqueued"), F.col("records").alias("dequeued"), "dropped")
 
 
 class ProgressCounter(StreamingQueryListener):

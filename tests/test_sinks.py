@@ -162,3 +162,17 @@ def test_chain_runs_and_counts_failing_sinks(spark):
 
     errors = registry.start_pipeline(spark, {"source": "ten", "processors": ["even"], "aggregator": "total", "sinks": ["fail", "keep"]})
     assert seen == [20] and sum(errors.values()) == 1
+
+
+def test_equal_column_names_and_stored_views(spark, tmp_path):
+    assert tuple(sql.run_sql(spark, "select 1 as a, 2 as a, 3 as `count(1)`").first()) == (2, 3)
+    tables.write_records(rec(spark, ({"k": "v"}, {"x": 1.0})), str(tmp_path / "records"))
+    assert sql.register_views(spark, str(tmp_path)) == ["records"]
+    assert sql.run_sql(spark, "SELECT pipeline, fields['x'] AS x FROM records").first()["x"] == 1.0
+
+
+def test_scan_reads_only_what_is_asked(spark, tmp_path):
+    tables.write_profiles(spark.createDataFrame([("h", "p", "cpu", 1, 2, 3, b"x")], "host STRING, pipeline STRING, "
+                          "profile_type STRING, start_ns BIGINT, end_ns BIGINT, sample_count BIGINT, data BINARY"), str(tmp_path / "profiles"))
+    plan = readers.list_profiles(spark.read.parquet(str(tmp_path / "profiles")), "p", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "data:binary" not in plan and "GreaterThanOrEqual(end_ns,1)" in plan

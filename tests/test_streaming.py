@@ -110,9 +110,20 @@ def test_declared_stream_with_failing_sink_and_restart(spark, events, folder):
 
 
 def test_progress(spark, folder):
-    q = run.run_available(stream(spark, folder), [lambda df, i: df.count()])
-    got = run.progress_rows(spark, q)
-    assert got.agg(F.sum("records")).first()[0] == 900
+    import time
+    counter = run.ProgressCounter()
+    spark.streams.addListener(counter)
+    try:
+        q = run.run_available(stream(spark, folder), [lambda df, i: df.count()])
+        got = stats.stage_health(run.progress_rows(spark, q)).first()
+        assert (got["records"], got["batches"], got["errors"], got["total"]) == (900, 3, 0, 1)
+        for _ in range(50):
+            if sum(t["records"] for t in counter.totals.values()) == 900:
+                break
+            time.sleep(0.2)
+        assert list(counter.totals.values()) == [{"batches": 3, "records": 900, "dropped": 0, "errors": 0}]
+    finally:
+        spark.streams.removeListener(counter)
 
 
 def test_late_rows_are_dropped(spark):
