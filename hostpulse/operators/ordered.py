@@ -123,6 +123,39 @@ def asof(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry,
             .drop("__x", "__mark", _PAYLOAD, _SLICE, _SEED))
 
 
+def asof_both(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry, before: str, after: str,
+              slice_width: int) -> DataFrame:
+    """Structs ``before`` and ``after``: marks nearest at or below and at or above ``point``, from one shuffle."""
+    by = list(by)
+    left = points.withColumn("__x", _ordinal(points, point)).withColumn("__mark", F.lit(False))
+    right = marks.select(*by, _ordinal(marks, mark).alias("__x"), F.struct(*carry).alias(_PAYLOAD),
+                         F.lit(True).alias("__mark"))
+    cell = F.call_function("div", F.col("__x"), F.lit(slice_width).cast("bigint"))
+    at = F.struct("__x", _PAYLOAD)
+    edges = (right.withColumn(_SLICE, cell).groupBy(*by, _SLICE)
+             .agg(F.max_by(_PAYLOAD, at).alias("__last"), F.min_by(_PAYLOAD, at).alias("__first")))
+    needed = left.select(*by, cell.alias(_SLICE)).distinct().withColumn("__need", F.lit(True))
+    borders = needed.unionByName(edges, allowMissingColumns=True).repartition(*by)
+    earlier = Window.partitionBy(*by).orderBy(F.col(_SLICE).asc()).rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*by).orderBy(F.col(_SLICE).desc()).rangeBetween(Window.unboundedPreceding, -1)
+    borders = (borders.withColumn("__b", F.last("__last", ignorenulls=True).over(earlier))
+               .withColumn("__a", F.last("__first", ignorenulls=True).over(later)).where(F.col("__need")))
+    # seed position -1 stands before the rows of a slice, 1 after them
+    seeds = borders.select(*by, _SLICE, F.lit(True).alias("__mark"), F.inline(F.array(
+        F.struct(F.lit(-1).alias(_SEED), F.col("__b").alias(_PAYLOAD)),
+        F.struct(F.lit(1).alias(_SEED), F.col("__a").alias(_PAYLOAD))))).where(F.col(_PAYLOAD).isNotNull())
+    both = (left.unionByName(right, allowMissingColumns=True).withColumn(_SLICE, cell).withColumn(_SEED, F.lit(0))
+            .unionByName(seeds, allowMissingColumns=True).repartition(*by, _SLICE))
+    marks_first = F.col("__mark").desc()
+    up = Window.partitionBy(*by, _SLICE).orderBy(F.col(_SEED).asc(), F.col("__x").asc(), marks_first, F.col(_PAYLOAD).asc())
+    down = Window.partitionBy(*by, _SLICE).orderBy(F.col(_SEED).desc(), F.col("__x").desc(), marks_first,
+                                                   F.col(_PAYLOAD).desc())
+    latest = F.last(_PAYLOAD, ignorenulls=True)
+    return (both.withColumn(before, latest.over(up.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn(after, latest.over(down.rowsBetween(Window.unboundedPreceding, 0)))
+            .where(~F.col("__mark")).drop("__x", "__mark", _PAYLOAD, _SLICE, _SEED))
+
+
 def _ordinal(df: DataFrame, name: str) -> Column:
     """Sort position of a column: unsigned addresses become BIGINT in the same order (cheap to sort)."""
     if not df.schema[name].dataType.typeName().startswith("decimal"):

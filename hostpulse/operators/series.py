@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hostpulse.functions import columns as C
-from hostpulse.operators.ordered import asof, rank_in_order, top_per_key, with_neighbor, with_neighbors
+from hostpulse.operators.ordered import asof_both, rank_in_order, top_per_key, with_neighbor, with_neighbors
 from hostpulse.schemas import CPU_STATES
 
 # Counter series are cut every six hours: 1,460 border rows per series and year.
@@ -244,8 +244,7 @@ def nearest_join(grid: DataFrame, series: DataFrame, by=("host", "cpu"), ts: str
     width = slice_ns // 1000
     micros = series.withColumn("__t", F.unix_micros(ts)).select(*by, "__t", *carry)
     left = grid.withColumn("__g", F.unix_micros(ts))
-    both = asof(left, micros, by, "__g", "__t", ["__t", *carry], "__b", width, "backward")
-    both = asof(both, micros, by, "__g", "__t", ["__t", *carry], "__f", width, "forward")
+    both = asof_both(left, micros, by, "__g", "__t", ["__t", *carry], "__b", "__f", width)
     back, fwd = F.col("__g") - F.col("__b.__t"), F.col("__f.__t") - F.col("__g")
     near = F.when(F.col("__f").isNull() | (back <= fwd), F.col("__b")).otherwise(F.col("__f"))
     return both.withColumn(out, near).drop("__g", "__b", "__f").select(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostpulse.functions import columns as C
-from hostpulse.operators.ordered import asof, rank_in_order, top_per_key, with_neighbor, with_neighbors
+from hostpulse.operators.ordered import asof, asof_both, rank_in_order, top_per_key, with_neighbor, with_neighbors
 
 
 @pytest.fixture(scope="module")
@@ -93,6 +93,17 @@ def test_asof(spark, rows, width, direction):
     assert got == want
 
 
+@pytest.mark.parametrize("width", [64, 5000])
+def test_asof_both_equals_two_asofs(spark, rows, width):
+    rnd = random.Random(5)
+    marks = [("hot" if i % 3 == 0 else f"k{rnd.randrange(40)}", rnd.randrange(20_000), f"m{i:04d}") for i in range(300)]
+    points, m = frame(spark, rows).select("k", "t", "seq"), spark.createDataFrame(marks, "k STRING, at BIGINT, name STRING")
+    got = asof_both(points, m, ["k"], "t", "at", ["name"], "b", "a", width).select("seq", "b.name", "a.name").collect()
+    back = {r[0]: r[1] for r in asof(points, m, ["k"], "t", "at", ["name"], "x").select("seq", "x.name").collect()}
+    ahead = {r[0]: r[1] for r in asof(points, m, ["k"], "t", "at", ["name"], "x", None, "forward").select("seq", "x.name").collect()}
+    assert {r[0]: (r[1], r[2]) for r in got} == {q: (back[q], ahead[q]) for q in back}
+
+
 def test_asof_above_signed_range(spark):
     base = 2**63
     points = spark.createDataFrame([(str(base - 5),), (str(base + 5),), (str(2**64 - 1),)], "a STRING").select(
