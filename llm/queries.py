@@ -93,3 +93,17 @@ select doc_id, max(doc_id) over (partition by norm) keep_id, count(*) over (part
 def op9_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.exact import exact_groups
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.toxicity import fit_toxicity, score_toxicity
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.language import identify, language_samples
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, language_samples(docs))
