@@ -107,3 +107,9 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.language import identify, language_samples
     docs = table(spark, sf_dir, "documents")
     return identify(docs, language_samples(docs))
+
+
+@query("op5_substrings")
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.substrings import dedup_substrings
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text")
