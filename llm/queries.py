@@ -113,3 +113,9 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.substrings import dedup_substrings
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.near import near_components
+    return near_components(table(spark, sf_dir, "documents"))
