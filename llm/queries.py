@@ -119,3 +119,9 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.near import near_components
     return near_components(table(spark, sf_dir, "documents"))
+
+
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.pages import main_text
+    return main_text(table(spark, sf_dir, "pages"))
