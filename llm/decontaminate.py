@@ -198,7 +198,14 @@ def _merge(it):
         yield _final(col("doc_id"), col("n_words").to_pylist(), hits, col("items").to_pylist(), col("longest").cast(LONGEST))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of ``docs`` without any window of ``benchmark``, with all their columns."""
-    bad = find_contamination(docs, benchmark, window, id_col, text_col, **more).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id",
+                      item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any window of ``benchmark``, with all their columns; a scan per block, no shuffle."""
+    for block in blocks_of(benchmark, item_id, item_text, block_words):
+        def run(batch: pa.RecordBatch, tests: list = [], block=block) -> pa.RecordBatch:  # noqa: B006  (kept per task)
+            if not tests:
+                tests.append(TestSet(block, window))
+            items, _, _ = shard_matches(tests[0], [words_of(t) for t in texts_of(batch, text_col)])
+            return batch.filter(pa.array([not x for x in items], pa.bool_()))
+        docs = docs.mapInArrow(per_batch(run, text_col, SHARD_BYTES), docs.schema)
+    return docs

@@ -91,3 +91,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: floa
     copies = F.least(F.floor(upto * step + offset) - F.floor((upto - 1) * step + offset), F.lit(cap))
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"),
                       copies.cast("int").alias("copies"))
+
+
+def sample_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its copies, with all its columns.
+
+    Rows that repeat an identifier are emitted as often as the most favoured of them."""
+    copies = mix_sources(docs, id_col=id_col, **how).groupBy(F.col(id_col).alias("_mixed")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    taken = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mixed")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -125,3 +125,9 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.pages import main_text
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.pii import personal_data
+    return personal_data(table(spark, sf_dir, "documents"))
