@@ -8,8 +8,9 @@ below the chosen miss probability. What survives all batches is checked on the f
 Buckets may be very large, so pairs are not formed within them. Each bucket has a hub (the member that shares most
 buckets); members are compared with the hub first, then those still apart with a second hub. Only members of
 buckets that still span several components are compared with each other, in blocks of bounded size inside tasks,
-and only across components: a link between two documents of one component could not change the result. Documents
-with the same words are one vertex from the start.
+and only across components: a link between two documents of one component could not change the result. Before
+that, shingles that no other document of these buckets has are counted: they bound how much a document can share
+with any other, which rules most of them out exactly. Documents with the same words are one vertex from the start.
 """
 
 from __future__ import annotations
@@ -106,11 +107,8 @@ def verify_batches(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float)
     return two.mapInArrow(run, "a long, b long")
 
 
-def verify_exactly(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough. Only texts of documents in pairs are carried."""
-    pairs = stored(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))).distinct()
-    texts = stored(docs.join(wanted, F.col("doc_id") == F.col("_w"), "left_semi").select("doc_id", "text"), "near-texts")
+def verify_exactly(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets are similar enough; ``texts`` has the documents that share a bucket."""
     one = pairs.join(texts.select(F.col("doc_id").alias("_a"), F.col("text").alias("text_a")), F.col("a") == F.col("_a")).drop("_a")
     two = one.join(texts.select(F.col("doc_id").alias("_b"), F.col("text").alias("text_b")), F.col("b") == F.col("_b")).select("a", "b", "text_a", "text_b")
 
@@ -134,32 +132,60 @@ def verify_exactly(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> D
     return two.mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, sigs: DataFrame, percent: int, miss: float, block: int = BLOCK) -> DataFrame:
-    """Plausible pairs of different components in buckets (key, doc_id, component, first: component of the hub).
+def with_unique(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Add ``n`` (shingles) and ``own`` (those that no other document among ``members`` has)."""
+    ids = members.select(F.col("doc_id").alias("_w")).distinct()
+    wanted = texts.join(ids, F.col("doc_id") == F.col("_w"), "left_semi")
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, starts = flat_words([t.translate(LOWER) for t in texts_of(batch, "text")])
+        hashes = word_hashes(words)
+        sets = [shingles(hashes[a:b], k) for a, b in zip(starts, starts[1:])]
+        owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+        return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["owner", "shingle"])
+
+    flat = wanted.mapInArrow(per_batch(spread, "text"), "owner long, shingle long")
+    # Both counts come from one shuffle by shingle: a shingle of one document counts for it.
+    seen = flat.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("owner").alias("_owner")).where("_n = 1")
+    own = seen.groupBy("_owner").agg(F.count("*").alias("_own"))
+    return members.join(own, F.col("doc_id") == F.col("_owner"), "left").withColumn("own", F.coalesce("_own", F.lit(0))).drop("_owner", "_own")
 
-    Members outside the hub's component are probes, all members are targets. Probes and targets are dealt into
-    chunks of about ``block``; each pair of chunks is one group, compared on one byte of each hash, which can only
-    make a pair look more alike."""
-    size = members.groupBy("key").agg(F.count("*").alias("_m"), F.sum((F.col("component") != F.col("first")).cast("long")).alias("_r"))
+
+def across(members: DataFrame, sigs: DataFrame, percent: int, miss: float, block: int = BLOCK) -> DataFrame:
+    """Plausible pairs of different components in buckets (key, doc_id, component, first: component of the hub, n, own).
+
+    Members outside the hub's component are probes, all members are targets. A document of n shingles, of which
+    ``own`` are in no other, reaches the threshold t only with documents of t * n to (n - own) / t - own shingles; it
+    is a probe only if its bucket has such sizes. Probes and targets are dealt into chunks of about ``block``; each
+    pair of chunks is one group, compared by that bound and on one byte of each hash, which can only make a pair
+    look more alike."""
+    t = percent / 100
+    sized = members.groupBy("key").agg(F.min("n").alias("_least"), F.max("n").alias("_most")).withColumnRenamed("key", "_key")
+    low_n, high_n = F.floor(F.col("n") * t), F.ceil((F.col("n") - F.col("own")) / t - F.col("own"))
+    fits = (low_n <= high_n) & (low_n <= F.col("_most")) & (high_n >= F.col("_least"))
+    members = members.join(sized, F.col("key") == F.col("_key")).where(fits).drop("_key", "_least", "_most")
+    size = members.groupBy("key").agg(F.count("*").alias("_m"), F.sum((F.col("component") != F.col("first")).cast("long")).alias("_r")).where("_r > 0 and _m > 1")
     size = size.select(F.col("key").alias("_key"), F.ceil(F.col("_m") / block).cast("int").alias("_targets"), F.ceil(F.col("_r") / block).cast("int").alias("_probes"))
     both = members.join(size, F.col("key") == F.col("_key"))
     chunk = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    targets = both.select("key", "doc_id", "component", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("_probes") - 1)).alias("i"), chunk(F.col("_targets")).alias("j"))
-    probes = both.where("component != first").select("key", "doc_id", "component", F.lit(1).alias("role"), chunk(F.col("_probes")).alias("i"),
+    targets = both.select("key", "doc_id", "component", "n", "own", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("_probes") - 1)).alias("i"), chunk(F.col("_targets")).alias("j"))
+    probes = both.where("component != first").select("key", "doc_id", "component", "n", "own", F.lit(1).alias("role"), chunk(F.col("_probes")).alias("i"),
                                                      F.explode(F.sequence(F.lit(0), F.col("_targets") - 1)).alias("j"))
     narrow = sigs.select(F.col("doc_id").alias("_doc"), "low")
     rows = targets.unionByName(probes).join(narrow, F.col("doc_id") == F.col("_doc"))
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select(F.xxhash64("key", "i", "j").alias("cell"), "role", "doc_id", "component", "low").repartition(tasks, "cell").sortWithinPartitions("cell", "role")
+    rows = rows.select(F.xxhash64("key", "i", "j").alias("cell"), "role", "doc_id", "component", "low", "n", "own").repartition(tasks, "cell").sortWithinPartitions("cell", "role")
 
     def compare(cell: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         role = np.array([r[1] for r in cell])
         doc, comp = (np.array([r[n] for r in cell], np.int64) for n in (2, 3))
         low = np.frombuffer(b"".join(r[4] for r in cell), np.uint8).reshape(len(cell), -1)
         target = np.flatnonzero(role == 0)
+        n, own = (np.array([r[i] for r in cell], np.int64) for i in (5, 6))
         left, right = [], []
         for p in np.flatnonzero(role == 1):
-            apart = target[comp[target] != comp[p]]
+            most = np.minimum(n[target] - own[target], n[p] - own[p])
+            apart = target[(comp[target] != comp[p]) & (100 * most >= percent * (n[target] + n[p] - most))]
             hits = apart[plausible(np.broadcast_to(low[p], (len(apart), low.shape[1])), low[apart], percent, miss)]
             left.append(np.full(len(hits), doc[p]))
             right.append(doc[hits])
@@ -207,6 +233,9 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     band = stored(band.join(size, F.col("key") == F.col("_key")).select("key", "doc_id", "_n"), "near-bands")
     hub = band.groupBy("doc_id").agg(F.sum("_n").alias("hub")).withColumnRenamed("doc_id", "_doc")
     members = stored(band.join(hub, F.col("doc_id") == F.col("_doc")).select("key", "doc_id", "hub"), "near-members")
+    # The texts of all documents that share a bucket are picked once; a merge join at every size, so costs grow evenly.
+    shared = members.select(F.col("doc_id").alias("_w")).distinct()
+    texts = stored(base.hint("merge").join(shared, F.col("doc_id") == F.col("_w"), "left_semi").dropDuplicates(["doc_id"]), "near-texts")
     top = F.max(F.struct("hub", (-F.col("doc_id")).alias("minus")))
 
     def pairs_with(rest: DataFrame, of: DataFrame) -> DataFrame:
@@ -214,7 +243,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         out = rest.join(hubs, F.col("key") == F.col("_key")).where("doc_id != _hub")
         return out.select(F.greatest("doc_id", "_hub").alias("a"), F.least("doc_id", "_hub").alias("b")).distinct()
 
-    links = stored(verify_exactly(verify_batches(pairs_with(members, members), sigs, percent, miss), base, shingle, percent), "near-links")
+    links = stored(verify_exactly(verify_batches(pairs_with(members, members), sigs, percent, miss), texts, shingle, percent), "near-links")
     for step in ("second", "blocks"):
         comps = components(links).select(F.col("doc_id").alias("_doc"), "component_id")
         named = members.join(comps, F.col("doc_id") == F.col("_doc"), "left").select("key", "doc_id", "hub", F.coalesce("component_id", "doc_id").alias("component"))
@@ -227,8 +256,10 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             rest = open_.where("component != first")
             more = verify_batches(pairs_with(rest, rest), sigs, percent, miss)
         else:
-            more = across(open_, sigs, percent, miss, block)
-        links = stored(links.unionByName(verify_exactly(more, base, shingle, percent)).distinct(), "near-links")
+            sizes = info.select(F.col("doc_id").alias("_doc"), F.col("n_shingles").alias("n")).dropDuplicates(["_doc"])
+            counted = with_unique(open_, texts, shingle).join(sizes, F.col("doc_id") == F.col("_doc")).drop("_doc")
+            more = across(counted, sigs, percent, miss, block)
+        links = stored(links.unionByName(verify_exactly(more, texts, shingle, percent)).distinct(), "near-links")
     comps = components(links).select(F.col("doc_id").alias("_doc"), "component_id")
     vertex = info.join(least, F.col("words") == F.col("_words"), "left").select("doc_id", "n_shingles", F.coalesce("vertex", "doc_id").alias("vertex"))
     out = vertex.join(comps, F.col("vertex") == F.col("_doc"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "vertex").alias("component_id"))
