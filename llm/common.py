@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that one numpy step works on; a longer document is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 # ASCII white space as the contracts define words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,7 +37,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows that Spark hands to a Python worker at once; whole texts come in them, so few at a time.
+ARROW_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table. Sets the Arrow batch size of the session, as the operators carry whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

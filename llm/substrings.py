@@ -27,7 +27,7 @@ WINDOW, PREFIX = 50, 16
 # Suffixes of one prefix that a single tree may hold; above, the prefix is lengthened to the window.
 GROUP_ROWS = 4_000
 # Suffixes that a task holds at once (whole groups).
-TREE_ROWS = 40_000
+TREE_ROWS = 10_000
 
 
 def anchors_of(hashes: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
