@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import mix, per_batch, texts_of, word_hashes
+from llm.common import mix, per_batch, stored, texts_of, word_hashes
 
 # A class must be in this share of a host's pages, in so many pages and have so many tokens.
 SHARE, LEAST_PAGES, LEAST_TOKENS = 0.9, 8, 3
 # A container whose text is links to this share over the host's pages is a menu.
 LINK_SHARE = 0.6
+# Templates that are broadcast, by their counted size; slices of a host where they are not.
+BROADCAST_BYTES, SLICES = 32 << 20, 64
 
 # HTML's own element lists, and words that name page furniture in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -208,6 +210,18 @@ def extract(source: str, template: set[int], menus: set[int]) -> str:
     return "\n".join(b.text for b in body)
 
 
+def with_template(pages: DataFrame, known: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Add each page's ``template`` and ``menus``.
+
+    Templates are a few numbers a host. While their counted size is at most ``most`` bytes they are broadcast and
+    pages stay where they are; beyond it pages meet them by host and slice, so a large host is many groups."""
+    size = known.agg(F.coalesce(F.sum(8 * (F.size("template") + F.size("menus")) + F.octet_length("_host") + 64), F.lit(0))).first()[0]
+    if size <= most:
+        return pages.join(F.broadcast(known), F.col("host") == F.col("_host"), "left")
+    sliced = known.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return pages.join(sliced, (F.col("host") == F.col("_host")) & (F.pmod(F.xxhash64("row"), F.lit(SLICES)) == F.col("_slice")), "left").drop("_slice")
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: ``page_id``, ``url``, ``text``, ``n_chars``.
 
@@ -219,7 +233,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     base = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("row"),
                         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    known = base.join(templates(occurrences(base)), F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "template", "menus", "host")
+    known = with_template(base, stored(templates(occurrences(base)), "pages-templates")).select("page_id", "url", "html", "template", "menus", "host")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets: dict[str, tuple[set, set]] = {}

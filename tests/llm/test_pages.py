@@ -38,6 +38,14 @@ def test_template_of_a_host(spark):
     assert got == {k: f"Body & text number {k}\nsecond part {k}" for k in range(20)}
 
 
+def test_large_templates_are_not_broadcast(spark):
+    from llm.pages import with_template
+    pages = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("", 4)], "host string, row long")
+    known = spark.createDataFrame([("a", [1], [2]), ("c", [3], [])], "_host string, template array<long>, menus array<long>")
+    got = [sorted(map(str, with_template(pages, known, most).select("host", "row", "template", "menus").collect())) for most in (0, 10**6)]
+    assert got[0] == got[1] and len(got[0]) == 4
+
+
 def test_odd_rows(spark):
     rows = [(None, 1, "http://a/x", None, None), ("", 2, None, "x", 3), ("just text", 3, "no url", None, None), ("a < b & c", 4, "http://a/y", None, None),
             ("<p>one<p>two", 5, "http://a/z", None, None), ("<p>one<p>two", 5, "http://a/z", None, None), ("<article>" + "<p>long" * 5000, 6, "http://a/", None, None),
