@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import re
+import logging
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, functions as F
 
 from hostpulse.functions import columns as C
 
-COMM_LENGTH = 15          # visible characters of a task name
+log = logging.getLogger(__name__)
+
+COMM_LENGTH = 15          # characters of a task name that the kernel shows
 ISIN_LIMIT = 1000         # longer allow-lists are joined instead of inlined
 
 # TCP states and event names.
@@ -46,28 +50,30 @@ def allow_pids(df: DataFrame, pids, cols=("pid",)) -> DataFrame:
 
 
 def filter_cpu_samples(df: DataFrame, pids=(), comms=()) -> DataFrame:
-    """Drop the idle task; optional pid set AND optional exact comm set (15 characters compared)."""
+    """Drop the idle task; optional pid set AND optional exact comm set (15 characters of both sides)."""
     conditions = [F.col("pid") != 0]
     if comms:
-        conditions.append(F.col("comm").isin([c[:COMM_LENGTH] for c in comms]))
+        conditions.append(F.substring("comm", 1, COMM_LENGTH).isin([c[:COMM_LENGTH] for c in comms]))
     return allow_pids(df.where(C.all_of(conditions)), pids)
 
 
-def _usable(pattern: str | None) -> bool:
+def _usable(df: DataFrame, pattern: str | None) -> bool:
+    """Whether Java, which runs the match, can compile the pattern."""
     if not pattern:
         return False
     try:
-        re.compile(pattern)
-    except re.error:
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        log.warning("comm pattern %r is not valid and filters nothing", pattern)
         return False
     return True
 
 
 def filter_comm(df: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """Unanchored regex filters on comm (Java dialect); ``.*`` or an invalid pattern is no filter."""
-    if _usable(include) and include != ".*":
+    if include != ".*" and _usable(df, include):
         df = df.where(F.col("comm").rlike(include))
-    if _usable(exclude):
+    if _usable(df, exclude):
         df = df.where(~F.col("comm").rlike(exclude))
     return df
 

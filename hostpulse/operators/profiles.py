@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 from hostpulse.functions import columns as C
 from hostpulse.operators.ordered import top_per_key
 
-MAX_SNAPSHOTS = 60
-MAX_DEPTH = 127
 ROOT = "root"
 
 
@@ -27,9 +25,12 @@ def profile_counts(cpu_samples: DataFrame, window="1 second") -> DataFrame:
                                 "user_stack_id", "comm").agg(F.count(F.lit(1)).alias("count")))
 
 
-def attach_stacks(samples: DataFrame, stack_frames: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """Replace stack ids by frames; id <= 0 or unknown gives an empty stack, a 0 address ends it."""
-    cut = F.slice("addresses", 1, min(depth, MAX_DEPTH))
+def attach_stacks(samples: DataFrame, stack_frames: DataFrame, depth: int | None = None) -> DataFrame:
+    """Replace stack ids by frames; id <= 0 or unknown gives an empty stack, a 0 address ends it.
+
+    ``depth`` keeps so many frames at most; all are kept without it.
+    """
+    cut = F.col("addresses") if depth is None else F.slice("addresses", 1, depth)
     zero = F.array_position(cut, F.lit(0).cast(C.ADDRESS))
     known = stack_frames.where(F.col("stack_id") > 0).select(
         "host", F.col("stack_id").alias("__id"),
@@ -147,9 +148,12 @@ def flame_tree(samples: DataFrame, offcpu: bool = False, keys=()) -> DataFrame:
                     "value", "self_value"))
 
 
-def profile_snapshots(samples: DataFrame, window="5 seconds", keep: int = MAX_SNAPSHOTS,
+def profile_snapshots(samples: DataFrame, window="5 seconds", keep: int | None = None,
                       start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
-    """One row per snapshot window and profile type: tree nodes (root included), samples, total."""
+    """One row per snapshot window and profile type: tree nodes (root included), samples, total.
+
+    ``keep`` names the newest windows of each host and type; trees are built for those alone.
+    """
     if start_ns is not None:
         samples = samples.where(F.col("timestamp_ns") >= start_ns)
     if end_ns is not None:
@@ -157,11 +161,14 @@ def profile_snapshots(samples: DataFrame, window="5 seconds", keep: int = MAX_SN
     w = C.duration_ns(window)
     keyed = samples.withColumn("window_ns", C.floor_to("timestamp_ns", w))
     keys = ["host", "sample_type", "window_ns"]
+    if keep is not None:
+        newest = top_per_key(keyed.select(*keys).distinct(), keys[:2], [F.col("window_ns").desc()], keep)
+        keyed = keyed.join(newest, keys, "left_semi")
     tree = flame_tree(keyed, keys=keys)
     nodes = tree.groupBy(*keys).agg(F.count(F.lit(1)).alias("node_count"),
                                     F.max(F.when(F.col("depth") == 0, F.col("value"))).alias("value"))
     sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
-    return top_per_key(nodes.join(sizes, keys), ["host", "sample_type"], [F.col("window_ns").desc()], keep)
+    return nodes.join(sizes, keys)
 
 
 def function_totals(tree: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ from hostpulse.functions import columns as C
 from hostpulse.operators.ordered import top_per_key, with_neighbor
 from hostpulse.operators.pairing import SLICE_NS, _slice
 
-HISTORY_KEEP = 360
-WAKEUPS_KEEP = 2000
 
 # Upper bounds (microseconds) and names of the latency buckets.
 LATENCY_BUCKETS = (
@@ -57,8 +55,8 @@ def history_aggregates():
     ]
 
 
-def sched_history(stats: DataFrame, keep: int | None = HISTORY_KEEP) -> DataFrame:
-    """Totals per interval and host, the last ``keep`` intervals."""
+def sched_history(stats: DataFrame, keep: int | None = None) -> DataFrame:
+    """Totals per interval and host; with ``keep`` the last so many intervals."""
     points = stats.groupBy("host", "window_ns").agg(*history_aggregates())
     return points if keep is None else top_per_key(points, ["host"], [F.col("window_ns").desc()], keep)
 
@@ -96,7 +94,7 @@ def sched_overview(summary: DataFrame) -> DataFrame:
         F.coalesce(F.max("max_runqueue_latency_us"), F.lit(0.0)).alias("max_latency_us"))
 
 
-def wakeup_graph(sched: DataFrame, limit: int | None = 500) -> tuple[DataFrame, DataFrame]:
+def wakeup_graph(sched: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges (waker, wakee, count) of the last ``limit`` wakeups (None: all) and their endpoints."""
     wakeups = sched.where(F.col("event_type") == "wakeup")
     if limit is not None:

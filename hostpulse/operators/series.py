@@ -14,6 +14,9 @@ SLICE_NS = 6 * 3600 * 10**9
 TOTAL_CPU = "cpu"
 
 
+HOUR_NS = 3600 * 10**9
+
+
 def time_slice(ts: str, slice_ns: int | None) -> Column | None:
     return None if slice_ns is None else F.floor(F.unix_micros(ts) / F.lit(slice_ns // 1000))
 
@@ -68,7 +71,8 @@ def ema(df: DataFrame, keys, order, cols, alpha: float, slice_by: Column | None
 
     The average of a slice depends on its past only through the value it starts from, so slices are
     summarised (decay and end value), the start values are chained over these summaries, and each
-    slice is then averaged on its own.  NULL keeps the previous average.
+    slice is then averaged on its own.  NULL keeps the previous average.  ``slice_by`` must be monotone in
+    ``order``; without it times are cut into hours and numbers (nanoseconds by name, else counts) into stretches.
     """
     if alpha <= 0:
         return df
@@ -76,16 +80,10 @@ def ema(df: DataFrame, keys, order, cols, alpha: float, slice_by: Column | None
     if df.isStreaming:
         from hostpulse.streaming.stateful import stream_ema
         return stream_ema(df, keys, order, cols, alpha)
-    rows = df.withColumn("__slice", slice_by if slice_by is not None else F.lit(0).cast("bigint"))
+    rows = df.withColumn("__slice", slice_by if slice_by is not None else _default_slice(df, order[0]))
     group = [*keys, "__slice"]
     out_schema = df.select("*", *[F.lit(0.0).alias(f"{c}_ema") for c in cols]).schema
 
-    if slice_by is None:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _ema_frame(pdf.sort_values(order), cols, alpha, {})[out_schema.names]
-
-        return rows.groupBy(*group).applyInPandas(whole, out_schema)
-
     slim = rows.select(*dict.fromkeys([*group, *order, *cols]))
     sum_schema = slim.select(*group).schema
     for c in cols:
@@ -130,6 +128,14 @@ def ema(df: DataFrame, keys, order, cols, alpha: float, slice_by: Column | None
     return rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(finish, out_schema)
 
 
+def _default_slice(df: DataFrame, order: str) -> Column:
+    """Hours of a time, stretches of an hour in nanoseconds or of 100,000 of another number."""
+    if df.schema[order].dataType.typeName().startswith("timestamp"):
+        return time_slice(order, HOUR_NS)
+    width = HOUR_NS if order.endswith("_ns") else 100_000
+    return F.floor(F.col(order) / F.lit(width)).cast("bigint")
+
+
 def _ewm(x: pd.Series, alpha: float) -> pd.Series:
     return x.ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
 
@@ -169,9 +175,9 @@ def with_cpu_pct(rows: DataFrame) -> DataFrame:
     return rows.withColumn("cpu_total_pct", F.col("cpu_user_pct") + F.col("cpu_sys_pct"))
 
 
-def process_cpu(counters: DataFrame, top_n: int = 50, key_starttime: bool = False,
+def process_cpu(counters: DataFrame, top_n: int | None = None, key_starttime: bool = False,
                 slice_ns: int | None = SLICE_NS) -> DataFrame:
-    """CPU percent of the ``top_n`` processes of each snapshot.
+    """CPU percent of the processes of each snapshot, of all or of the ``top_n`` busiest.
 
     The predecessor is the same pid in the previous snapshot of the host.  Rows without one rank
     as 0 and are dropped after the cut.  ``key_starttime`` keeps reused pids apart.
@@ -181,7 +187,9 @@ def process_cpu(counters: DataFrame, top_n: int = 50, key_starttime: bool = Fals
     rows = rows.join(snapshots(counters, slice_ns), ["host", "ts"])
     has_prev = F.coalesce(F.col("__p.ts") == F.col("prev_ts"), F.lit(False))
     rows = rows.withColumn("__has_prev", has_prev).withColumn("__p", F.when(F.col("__has_prev"), F.col("__p")))
-    ranked = top_n_per(with_cpu_pct(rows), ["host", "ts"], [F.col("cpu_total_pct").desc(), F.col("pid")], top_n)
+    ranked = with_cpu_pct(rows)
+    if top_n is not None:
+        ranked = top_n_per(ranked, ["host", "ts"], [F.col("cpu_total_pct").desc(), F.col("pid")], top_n)
     return (ranked.where(F.col("__has_prev"))
             .withColumn("rss_kb", F.col("rss_pages") * 4).withColumn("vsize_kb", C.int_div("vsize", 1024))
             .drop("__p", "__has_prev", "prev_ts", "delta_total"))

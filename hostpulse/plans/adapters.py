@@ -14,9 +14,6 @@ from hostpulse.functions import columns as C
 from hostpulse.schemas import FRAME
 from hostpulse.session import prepare
 
-# Base tables and the column their rows are spread by when a table comes as a single unsplittable file.
-BASE_TABLES = {"events": "event_id", "lineitem": "l_orderkey", "part": "p_partkey", "orders": "o_orderkey"}
-
 # Start of kernel text, above 2^63.
 KERNEL_BASE = "18446744071562067968"
 
@@ -30,11 +27,9 @@ TABLES = {
                concat('proc_', cast(next_pid % 10 as string)) as next_comm,
                concat('proc_', cast(prev_pid % 10 as string)) as prev_comm from (
           select host, seq, timestamp_ns, cpu, event_type, next_pid,
-                 case event_type
-                   when 'switch' then coalesce(lag(next_pid) over (partition by host, cpu, event_type
-                                                                   order by timestamp_ns, seq), 0)
+                 case event_type when 'switch' then (user_id + seq * 13) % 150
                    when 'wakeup' then waker else next_pid end as prev_pid from (
-            select host, seq, timestamp_ns, user_id % 8 as cpu, user_id as next_pid, (seq * 7) % 150 as waker,
+            select host, seq, timestamp_ns, user_id % 8 as cpu, user_id, user_id as next_pid, (seq * 7) % 150 as waker,
                    case when event_type in ('click', 'view', 'purchase') then 'switch'
                         when event_type = 'signup' then 'wakeup' else 'migrate' end as event_type from ev) a) b""",
     "block": "select host, seq, timestamp_ns, case when event_type = 'click' then 'issue' "
@@ -179,12 +174,8 @@ def duck_with(*names: str) -> str:
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; a table with fewer splits than cores is spread once, a large one is read as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    wanted = spark.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, BASE_TABLES[name])
+    """A driver table, read as it is."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

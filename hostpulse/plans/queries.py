@@ -552,7 +552,7 @@ def flame_tree_offcpu(spark, sf):
        join t using (host, sample_type, window_ns))
 select host, sample_type, window_ns, node_count, value, samples from x where rn <= 60""")
 def profile_snapshots(spark, sf):
-    return profiles.profile_snapshots(A.stack_samples(spark, sf), "30 days")
+    return profiles.profile_snapshots(A.stack_samples(spark, sf), "30 days", keep=60)
 
 
 TWO_TREES = A.duck_with("stacks") + _tree("cnt", "sample_type = 'oncpu'", "base") + _tree(

@@ -647,10 +647,10 @@ def _event_stream(spark, sf, watermark="1 hour"):
     return out.withWatermark("ts", watermark) if watermark else out
 
 
-def _sched_stream(spark, sf):
+def _sched_stream(spark, sf, watermark="1 hour"):
     kind = F.when(F.col("event_type").isin("click", "view", "purchase"), "switch").when(
         F.col("event_type") == "signup", "wakeup").otherwise("migrate")
-    return _event_stream(spark, sf).select(
+    return _event_stream(spark, sf, watermark).select(
         "host", "seq", "ts", "timestamp_ns", (F.col("user_id") % 8).alias("cpu"), kind.alias("event_type"),
         F.col("user_id").alias("next_pid"), ((F.col("seq") * 7) % 150).alias("prev_pid"),
         F.concat(F.lit("proc_"), F.col("user_id") % 10).alias("next_comm"))
@@ -674,7 +674,7 @@ def stream_window_stats(spark, sf):
 select seq, event_type, case when event_type = 'switch' and pt = 'wakeup' then timestamp_ns - pn else 0 end as latency_ns from w
 union all select seq, event_type, 0 from sched where event_type = 'migrate'""")
 def stream_runqueue_latency(spark, sf):
-    return run.to_table(pairing.runqueue_latency(_sched_stream(spark, sf))).select("seq", "event_type", "latency_ns")
+    return run.to_table(pairing.runqueue_latency(_sched_stream(spark, sf, None))).select("seq", "event_type", "latency_ns")
 
 
 @query("stream_sched_stats", A.duck_with("sched") + """

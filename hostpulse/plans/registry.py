@@ -13,10 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hostpulse.operators import filters, pairing, profiles, sched, series, stats
-from hostpulse.sinks import tables
+from hostpulse.operators import filters, pairing, profiles, sched, series, stats, symbolize
+from hostpulse.sinks import tables, text
 from hostpulse.sinks.tables import FanOut
 from hostpulse.sources import readers
 from hostpulse.streaming import run, windows
@@ -65,7 +65,7 @@ def _resolve(kind: str, stage) -> Callable:
 
 
 class Pipeline:
-    """A chain built from ``{"name", "source", "processors", "aggregator", "sinks", "checkpoint"}``."""
+    """A chain built from ``{"name", "source", "processors", "aggregator", "sinks", "checkpoint", "spool"}``."""
 
     def __init__(self, spec: dict):
         self.name = spec.get("name", "chain")
@@ -78,7 +78,8 @@ class Pipeline:
         self.aggregator = _resolve("aggregator", spec["aggregator"]) if spec.get("aggregator") else None
         self.sinks = [_resolve("sink", s) for s in spec["sinks"]]
         self.checkpoint = spec.get("checkpoint")
-        self.fan_out = FanOut(self.sinks)
+        self.spool = spec.get("spool")
+        self.fan_out = FanOut(self.sinks, self.spool)
 
     def transform(self, df: DataFrame) -> DataFrame:
         for step in self.processors:
@@ -92,8 +93,8 @@ class Pipeline:
         """Batch source: write once to every sink.  Stream source: start a query."""
         df = self.plan(spark)
         if df.isStreaming:
-            return run.start(df, [self.fan_out], self.checkpoint, available_now, name=self.name)
-        self.fan_out(df, 0)
+            return run.start(df, self.fan_out, self.checkpoint, available_now, name=self.name)
+        self.fan_out(df, None)
         return self.fan_out.errors
 
 
@@ -144,17 +145,57 @@ for _name, _fn in {
 
 @register_sink("records_table")
 def _records_table(df, batch_id, path):
-    tables.write_records(df, path)
+    tables.write_records(df, path, batch_id)
+
+
+@register_sink("samples_table")
+def _samples_table(df, batch_id, path):
+    tables.write_stack_samples(df, path, batch_id)
+
+
+@register_sink("profiles_table")
+def _profiles_table(df, batch_id, path):
+    tables.write_profiles(df, path, batch_id)
 
 
 @register_sink("parquet")
 def _parquet(df, batch_id, path):
-    df.write.mode("append").parquet(path)
+    if batch_id is None:
+        df.write.mode("append").parquet(path)
+    else:
+        tables.publish(df, path, batch_id)
+
+
+def _lines(lines, batch_id, path):
+    """Text lines; a micro-batch is a folder of its own, so a repeated one replaces itself."""
+    if batch_id is None:
+        lines.write.mode("append").text(path)
+    else:
+        lines.write.mode("overwrite").text(f"{path}/batch={batch_id}")
 
 
 @register_sink("jsonl")
 def _jsonl(df, batch_id, path, include_ts=False):
-    tables.write_jsonl(df, path, include_ts)
+    _lines(text.export_jsonl(df, include_ts), batch_id, path)
+
+
+@register_sink("otlp")
+def _otlp(df, batch_id, path, max_items=None):
+    batch = df if "batch_id" in df.columns else df.withColumn("batch_id", F.lit(batch_id or 0))
+    _lines(text.otlp_payload(batch, max_items=max_items).select("payload"), batch_id, path)
+
+
+@register_sink("console_text")
+def _console_text(df, batch_id, path, mode="text"):
+    """Every row of the batch as console lines, written by the tasks."""
+    lines = text.format_stacks(df) if "user_stack" in df.columns else text.format_records(df, mode)
+    _lines(lines.select("line"), batch_id, path)
+
+
+@register_sink("recent_batches")
+def _recent_batches(df, batch_id, path, n=30, key="pipeline"):
+    """The last ``n`` batches as a table, replaced version by version."""
+    tables.RecentBatches(path, n, key)(df, batch_id)
 
 
 @register_sink("folded")
@@ -173,5 +214,8 @@ def _gauge_board(df, batch_id, path, prefix="hostpulse"):
 
 
 @register_sink("console")
-def _console(df, batch_id, rows=20):
-    df.show(rows, truncate=False)
+def _console(df, batch_id):
+    """Prints every row of the batch, a partition at a time."""
+    lines = text.format_stacks(df) if "user_stack" in df.columns else text.format_records(df)
+    for row in lines.select("line").toLocalIterator():
+        print(row["line"])

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-ROW_LIMIT = 1000
 READ_ONLY = ("SELECT", "WITH", "EXPLAIN", "DESCRIBE", "DESC", "PRAGMA", "SHOW")
 
 
@@ -14,8 +13,8 @@ class NotReadOnly(PermissionError):
     pass
 
 
-def run_sql(spark: SparkSession, sql: str, limit: int = ROW_LIMIT) -> DataFrame:
-    """Run one read-only statement; at most ``limit`` rows, binary columns shown as ``[blob]``."""
+def run_sql(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
+    """Run one read-only statement; all rows unless ``limit`` is given, binary columns shown as ``[blob]``."""
     text = sql.strip().rstrip(";").strip()
     words = text.split(None, 1)
     if not words or words[0].upper() not in READ_ONLY:
@@ -36,7 +35,8 @@ def run_sql(spark: SparkSession, sql: str, limit: int = ROW_LIMIT) -> DataFrame:
     plain = df.toDF(*[f"c{i}" for i in range(len(kinds))])
     shown = [(F.when(F.col(f"c{i}").isNotNull(), F.lit("[blob]")) if kinds[i] == "binary" else F.col(f"c{i}")).alias(name)
              for name, i in last.items()]
-    return plain.select(*shown).limit(limit)
+    shown = plain.select(*shown)
+    return shown if limit is None else shown.limit(limit)
 
 
 def register_views(spark: SparkSession, base: str | None = None, tables: dict[str, DataFrame] | None = None) -> list[str]:

@@ -41,11 +41,14 @@ def build_session(app: str = "hostpulse", master: str | None = None, **conf) ->
 def durable_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made and recorded.
+    Only on a ``local`` master, which has one machine, a temporary folder serves where the setting is absent;
+    on a cluster that is an error, as executors and driver would each see their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)

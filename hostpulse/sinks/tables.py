@@ -3,33 +3,64 @@
 from __future__ import annotations
 
 import logging
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hostpulse.functions import columns as C
+from hostpulse.sources.readers import read_table
 
 log = logging.getLogger(__name__)
 PARTITIONS = ("pipeline", "date")
 
 
-def _append(df: DataFrame, path: str, time_column: str) -> None:
+def _append(df: DataFrame, path: str, time_column: str, batch_id: int | None = None) -> None:
     dated = df.withColumn("date", C.ns_to_ts(time_column).cast("date"))
     # rebalance: adaptive execution merges small and splits large output partitions
-    dated.hint("rebalance", *[F.col(p) for p in PARTITIONS]).write.partitionBy(*PARTITIONS).mode("append").parquet(path)
+    dated = dated.hint("rebalance", *[F.col(p) for p in PARTITIONS])
+    if batch_id is None:
+        dated.write.partitionBy(*PARTITIONS).mode("append").parquet(path)
+    else:
+        publish(dated, path, batch_id, PARTITIONS)
+
 
+def publish(df: DataFrame, path: str, batch_id: int, parts=()) -> None:
+    """Add a micro-batch once: files are staged, then moved in under names that carry the batch id.
 
-def write_records(df: DataFrame, path: str) -> None:
-    _append(df, path, "timestamp_ns")
+    A repeated batch first takes away what an earlier attempt left, so no row is there twice.
+    """
+    spark, staging = df.sparkSession, f"{path}/_staging-{batch_id}"
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*parts) if parts else writer).parquet(staging)
+    fs, _ = _fs(spark, path)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    depth = "/*" * len(parts)
+    for status in _list(fs, Path(f"{path}{depth}/batch-{batch_id}-*")):
+        fs.delete(status.getPath(), False)
+    base = fs.makeQualified(Path(staging)).toUri().getPath()
+    for i, status in enumerate(_list(fs, Path(f"{staging}{depth}/part-*"))):
+        source = status.getPath()
+        inside = source.getParent().toUri().getPath()[len(base):].strip("/")
+        target = Path(Path(path), inside) if inside else Path(path)
+        fs.mkdirs(target)
+        if not fs.rename(source, Path(target, f"batch-{batch_id}-{i:05d}.parquet")):
+            raise OSError(f"{source} could not be moved to {target}")
+    fs.delete(Path(staging), True)
+    spark.catalog.refreshByPath(path)
 
 
-def write_stack_samples(df: DataFrame, path: str) -> None:
+def write_records(df: DataFrame, path: str, batch_id: int | None = None) -> None:
+    _append(df, path, "timestamp_ns", batch_id)
+
+
+def write_stack_samples(df: DataFrame, path: str, batch_id: int | None = None) -> None:
     """All columns are kept, kernel frames included."""
-    _append(df, path, "timestamp_ns")
+    _append(df, path, "timestamp_ns", batch_id)
 
 
-def write_profiles(df: DataFrame, path: str) -> None:
-    _append(df, path, "start_ns")
+def write_profiles(df: DataFrame, path: str, batch_id: int | None = None) -> None:
+    _append(df, path, "start_ns", batch_id)
 
 
 def write_jsonl(records: DataFrame, path: str, include_ts: bool = False) -> None:
@@ -80,44 +111,79 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def _list(fs, path) -> list:
+    return list(fs.globStatus(path) or [])
+
+
 def prune_table(spark: SparkSession, path: str, max_age_ns: int, now_ns: int, time_column: str = "timestamp_ns") -> None:
-    """Drop rows before the cutoff: whole dates by directory, the border date by rewriting it."""
+    """Drop rows before the cutoff: directories of dates before the border date, rows of the border date.
+
+    The border date is decided per pipeline from the data. Its directories are taken from the files themselves, so
+    names that are escaped on disk or look like numbers are as safe as others; a NULL pipeline is one too.
+    """
     if max_age_ns <= 0:
         return
     cutoff = now_ns - max_age_ns
     border = spark.range(1).select(C.ns_to_ts(F.lit(cutoff)).cast("date").cast("string")).first()[0]
-    table = spark.read.parquet(path)
-    edge = table.where((F.col("date") == F.lit(border).cast("date")))
-    kept = edge.where(F.col(time_column) >= cutoff)
-    alive = {row[0] for row in kept.select("pipeline").distinct().collect()}   # pipeline names only
-    (kept.hint("rebalance", *[F.col(p) for p in PARTITIONS]).write.partitionBy(*PARTITIONS).mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").parquet(path))
+    edge = read_table(spark, path).where(F.col("date") == F.lit(border).cast("date"))
+    fresh = F.col(time_column) >= cutoff
+    # one row per directory of the border date
+    state = (edge.withColumn("__dir", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).groupBy("__dir")
+             .agg(F.coalesce(F.max(fresh), F.lit(False)).alias("some"), F.coalesce(F.min(fresh), F.lit(False)).alias("all")).collect())
+    if any(r["some"] and not r["all"] for r in state):
+        (edge.where(fresh).hint("rebalance", *[F.col(p) for p in PARTITIONS]).write.partitionBy(*PARTITIONS).mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").parquet(path))
     fs, _ = _fs(spark, path)
-    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pipeline=*/date=*")) or []:
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    for r in state:
+        if not r["some"]:
+            fs.delete(Path(spark._jvm.java.net.URI(r["__dir"])), True)
+    for status in _list(fs, Path(f"{path}/pipeline=*/date=*")):
         date = status.getPath().getName().split("=", 1)[1]
-        pipeline = status.getPath().getParent().getName().split("=", 1)[1]
-        if date < border or (date == border and pipeline not in alive):
+        if re.fullmatch(r"\d{4}-\d{2}-\d{2}", date) and date < border:
             fs.delete(status.getPath(), True)
     spark.catalog.refreshByPath(path)
 
 
+STORES = {"records": "timestamp_ns", "stack_samples": "timestamp_ns", "profiles": "start_ns"}
+
+
+def prune_store(spark: SparkSession, base: str, max_age_ns: int, now_ns: int) -> list[str]:
+    """Retention over all tables of a store; returns the names of those that exist."""
+    done = []
+    for name, column in STORES.items():
+        fs, jpath = _fs(spark, f"{base.rstrip('/')}/{name}")
+        if fs.exists(jpath):
+            prune_table(spark, f"{base.rstrip('/')}/{name}", max_age_ns, now_ns, column)
+            done.append(name)
+    return done
+
+
 def compact_table(spark: SparkSession, path: str, target_mb: int = 256) -> None:
-    """Rewrite a table into files of about ``target_mb`` and swap it in."""
+    """Rewrite a table into files of about ``target_mb`` and swap it in.
+
+    Adaptive execution deals the rows out: small partitions are merged, one larger than the target is split by its
+    own size.  The old table goes only after the new one is in its place.
+    """
     fs, jpath = _fs(spark, path)
-    size = fs.getContentSummary(jpath).getLength()
-    files = max(1, -(-size // (target_mb * 1024 * 1024)))
-    table = spark.read.parquet(path)
+    table = read_table(spark, path)
     fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     parts = [p for p in PARTITIONS if p in table.columns]
-    if parts:
-        # rows of a date stay together, and a large date spreads over several files
-        spread = F.pmod(F.xxhash64(*[c for c, t in table.dtypes if not t.startswith(("map", "variant"))]), F.lit(files))
-        table.repartition(int(files), *parts, spread).write.partitionBy(*parts).parquet(fresh)
-    else:
-        table.repartition(int(files)).write.parquet(fresh)
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory, None)
+    spark.conf.set(advisory, str(target_mb * 1024 * 1024))
+    try:
+        writer = table.hint("rebalance", *[F.col(p) for p in parts]).write
+        (writer.partitionBy(*parts) if parts else writer).parquet(fresh)
+    finally:
+        spark.conf.unset(advisory) if before is None else spark.conf.set(advisory, before)
     Path = spark._jvm.org.apache.hadoop.fs.Path
-    fs.rename(jpath, Path(old))
-    fs.rename(Path(fresh), jpath)
+    if not fs.rename(jpath, Path(old)):
+        raise OSError(f"{path} could not be moved; the compacted copy is in {fresh}")
+    if not fs.rename(Path(fresh), jpath):
+        if not fs.rename(Path(old), jpath):
+            raise OSError(f"{path} is in {old}, its compacted copy in {fresh}")
+        raise OSError(f"{fresh} could not be moved to {path}; the table is as it was")
     fs.delete(Path(old), True)
     spark.catalog.refreshByPath(path)
 
@@ -125,27 +191,57 @@ def compact_table(spark: SparkSession, path: str, target_mb: int = 256) -> None:
 # --- fan-out ----------------------------------------------------------------------------------
 
 class FanOut:
-    """``foreachBatch`` target that gives a batch to every sink; a failing sink is counted, not fatal."""
+    """``foreachBatch`` target that gives a batch to every sink; a failing sink is counted, not fatal.
 
-    def __init__(self, sinks):
-        self.sinks = list(sinks)
-        self.errors = {getattr(s, "__name__", f"sink{i}"): 0 for i, s in enumerate(self.sinks)}
+    With several sinks and a ``spool`` folder the batch is written there once and every sink reads that, so its
+    lineage is not run again for each.  Batches that a sink failed on stay in the spool: ``replay`` gives them to it.
+    """
 
-    def __call__(self, df: DataFrame, batch_id: int) -> None:
-        df.persist()
-        try:
-            for i, sink in enumerate(self.sinks):
-                try:
-                    sink(df, batch_id)
-                except Exception:
-                    self.errors[getattr(sink, "__name__", f"sink{i}")] += 1
-                    log.exception("sink failed in batch %s", batch_id)
-        finally:
-            df.unpersist()
+    def __init__(self, sinks, spool: str | None = None):
+        self.sinks = list(sinks)
+        self.spool = spool
+        self.names = [getattr(s, "__name__", f"sink{i}") for i, s in enumerate(self.sinks)]
+        self.errors = dict.fromkeys(self.names, 0)
+        self.failed: list[tuple[int, int]] = []        # (sink, batch)
 
+    def _stored(self, spark, schema, batch_id):
+        return spark.read.schema(schema).parquet(f"{self.spool}/batch={batch_id}")
 
-def fan_out(sinks) -> FanOut:
-    return FanOut(sinks)
+    def _give(self, i: int, df: DataFrame, batch_id: int) -> bool:
+        try:
+            self.sinks[i](df, batch_id)
+            return True
+        except Exception:
+            self.errors[self.names[i]] += 1
+            log.exception("sink failed in batch %s", batch_id)
+            return False
+
+    def __call__(self, df: DataFrame, batch_id: int | None) -> None:
+        spark, path = df.sparkSession, f"{self.spool}/batch={batch_id}"
+        self.schema = df.schema
+        if self.spool:
+            df.write.mode("overwrite").parquet(path)
+            df = self._stored(spark, self.schema, batch_id)
+        bad = [i for i in range(len(self.sinks)) if not self._give(i, df, batch_id)]
+        self.failed += [(i, batch_id) for i in bad]
+        if self.spool and not bad:
+            fs, jpath = _fs(spark, path)
+            fs.delete(jpath, True)
+
+    def replay(self, spark: SparkSession) -> int:
+        """Give spooled batches to the sinks that failed on them; returns how many still fail."""
+        again, self.failed = self.failed, []
+        for i, batch_id in again:
+            if not self._give(i, self._stored(spark, self.schema, batch_id), batch_id):
+                self.failed.append((i, batch_id))
+        for batch_id in {b for _, b in again} - {b for _, b in self.failed}:
+            fs, jpath = _fs(spark, f"{self.spool}/batch={batch_id}")
+            fs.delete(jpath, True)
+        return len(self.failed)
+
+
+def fan_out(sinks, spool: str | None = None) -> FanOut:
+    return FanOut(sinks, spool)
 
 
 # --- gauge board ------------------------------------------------------------------------------
@@ -154,7 +250,8 @@ class GaugeBoard:
     """``foreachBatch`` target that shows the last value of every series ever seen.
 
     The last values are a table with one version per micro-batch under ``path``; a repeated batch
-    rebuilds the same version from the one before it.  ``<path>/exposition`` holds the text.
+    rebuilds the same version from the one before it.  ``batch_id`` None (batch runs) adds the next version.
+    ``<path>/exposition`` holds the text.
     """
 
     KEEP = 2
@@ -167,10 +264,13 @@ class GaugeBoard:
         found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/v=*/_SUCCESS")) or []
         return sorted(int(f.getPath().getParent().getName().split("=", 1)[1]) for f in found)
 
-    def __call__(self, df: DataFrame, batch_id: int) -> None:
+    def __call__(self, df: DataFrame, batch_id: int | None) -> None:
         from hostpulse.sinks.text import exposition_lines, last_gauges
         spark = df.sparkSession
-        known = [v for v in self._versions(spark) if v < batch_id]
+        versions = self._versions(spark)
+        if batch_id is None:
+            batch_id = versions[-1] + 1 if versions else 0
+        known = [v for v in versions if v < batch_id]
         gauges = last_gauges(df, self.prefix)
         if known:
             before = spark.read.schema(gauges.schema).parquet(f"{self.path}/state/v={known[-1]}")
@@ -184,3 +284,37 @@ class GaugeBoard:
         fs, _ = _fs(spark, self.path)
         for old in known[:1 - self.KEEP]:
             fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/v={old}"), True)
+
+
+class RecentBatches:
+    """``foreachBatch`` target that keeps the rows of the last ``n`` batches per key under ``path``.
+
+    One version per batch is written, from the one before it and the new rows, so a repeated batch replaces itself.
+    """
+
+    KEEP = 2
+
+    def __init__(self, path: str, n: int = 30, key: str = "pipeline"):
+        self.path, self.n, self.key = path.rstrip("/"), n, key
+
+    def _versions(self, spark) -> list[int]:
+        fs, _ = _fs(spark, self.path)
+        found = _list(fs, spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS"))
+        return sorted(int(f.getPath().getParent().getName().split("=", 1)[1]) for f in found)
+
+    def __call__(self, df: DataFrame, batch_id: int | None) -> None:
+        spark = df.sparkSession
+        versions = self._versions(spark)
+        if batch_id is None:
+            batch_id = versions[-1] + 1 if versions else 0
+        known = [v for v in versions if v < batch_id]
+        rows = df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        if known:
+            rows = spark.read.schema(rows.schema).parquet(f"{self.path}/v={known[-1]}").unionByName(rows)
+        recent_batches(rows, self.key, self.n).write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        fs, _ = _fs(spark, self.path)
+        for old in known[:1 - self.KEEP]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={old}"), True)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/v={self._versions(spark)[-1]}")

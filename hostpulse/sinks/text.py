@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostpulse.functions import columns as C
 
-# A document above this many items is split into several parts, so no task assembles an unbounded one.
-MAX_ITEMS = 10_000
-
 FIELD_MAPS = ("fields", "fields_str", "fields_bool")
 
 
@@ -95,26 +92,25 @@ def numbered_lines(exposition: DataFrame) -> DataFrame:
 
 # --- documents per batch ----------------------------------------------------------------------
 
-def document_parts(df: DataFrame, keys, order, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Add ``part``: 0 for ordinary batches, a hash share for batches above ``max_items`` rows.
+def document_parts(df: DataFrame, keys, order, max_items: int | None = None) -> DataFrame:
+    """Add ``part``: 0, or with ``max_items`` consecutive stretches of ``order`` of so many rows each.
 
-    Batch sizes are counted with map-side aggregation; only oversized batches take part in the join.
+    Without ``max_items`` a batch is one document, as a task must then hold it; rows of a batch are ranked in one
+    task too, so bound batches by the trigger.
     """
-    keys = list(keys)
-    sizes = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_items)
-             .select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.ceil(F.col("__n") / max_items).alias("__parts")))
-    on = C.all_of([F.col(k) == F.col(f"__k_{k}") for k in keys])
-    share = F.pmod(F.xxhash64(*order), F.coalesce(F.col("__parts"), F.lit(1)))
-    return df.join(sizes, on, "left").withColumn("part", share).drop("__parts", *[f"__k_{k}" for k in keys])
+    if max_items is None:
+        return df.withColumn("part", F.lit(0).cast("bigint"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("part", F.floor((rank - 1) / max_items))
 
 
 def _joined(piece: Column, order) -> Column:
-    """Comma list of ``piece`` in ``order`` (the group is bounded by ``document_parts``)."""
+    """Comma list of ``piece`` in ``order`` (one document)."""
     items = F.array_sort(F.collect_list(F.struct(*order, piece.alias("__text"))))
     return F.array_join(F.transform(items, lambda i: i["__text"]), ",")
 
 
-def otlp_payload(records: DataFrame, keys=("host", "batch_id"), max_items: int = MAX_ITEMS) -> DataFrame:
+def otlp_payload(records: DataFrame, keys=("host", "batch_id"), max_items: int | None = None) -> DataFrame:
     """Gauge payloads, one data point per (record, field): ``(keys, part, payload)``."""
     attributes = F.transform(F.map_entries("labels"), lambda e: F.struct(
         e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
@@ -122,7 +118,7 @@ def otlp_payload(records: DataFrame, keys=("host", "batch_id"), max_items: int =
     rows = gauge_fields(records, *keys, "timestamp_ns", "seq", attributes.alias("attributes"))
     point = F.struct(F.col("timestamp_ns").alias("timeUnixNano"), F.col("value").alias("asDouble"), "attributes")
     metric = F.to_json(F.struct(F.col("field").alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("gauge")))
-    parts = document_parts(rows.withColumn("__metric", metric), keys, ["seq", "field"], max_items)
+    parts = document_parts(rows.withColumn("__metric", metric), keys, ["timestamp_ns", "seq", "field"], max_items)
     payload = F.concat(F.lit('{"resourceMetrics":[{"scopeMetrics":[{"metrics":['),
                        _joined(F.col("__metric"), ["timestamp_ns", "seq", "field"]), F.lit("]}]}]}"))
     return parts.groupBy(*keys, "part").agg(payload.alias("payload"))
@@ -144,10 +140,10 @@ def sample_json(samples: DataFrame) -> Column:
 
 
 def batch_json(records: DataFrame, samples: DataFrame | None = None, keys=("pipeline", "batch_id"),
-               max_items: int = MAX_ITEMS) -> DataFrame:
+               max_items: int | None = None) -> DataFrame:
     """One JSON document per batch: ``{"pipeline","records":[..],"stack_samples":[..]}``.
 
-    The sample part is left out where a batch has none.  Oversized batches give several documents.
+    The sample part is left out where a batch has none.  With ``max_items`` a batch gives several documents.
     """
     keys = list(keys)
 
@@ -157,7 +153,7 @@ def batch_json(records: DataFrame, samples: DataFrame | None = None, keys=("pipe
     rows = pieces(records, record_json(records), 0)
     if samples is not None:
         rows = rows.unionByName(pieces(samples, sample_json(samples), 1))
-    rows = document_parts(rows, keys, ["kind", "seq"], max_items)
+    rows = document_parts(rows, keys, ["kind", "timestamp_ns", "seq"], max_items)
     items = F.array_sort(F.collect_list(F.struct("kind", "timestamp_ns", "seq", "__text")))
     grouped = rows.groupBy(*keys, "part").agg(items.alias("items"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from hostpulse import schemas
 from hostpulse.functions import columns as C
@@ -25,9 +25,15 @@ def read_counters(spark: SparkSession, path: str, kind: str, streaming: bool = F
     return _read(spark, path, schemas.COUNTERS[kind], streaming, fmt, options)
 
 
+PARTITION_TYPES = {"pipeline": T.StringType(), "date": T.DateType()}
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table written by ``sinks.tables``."""
-    return spark.read.parquet(path)
+    """A table written by ``sinks.tables``; partition values keep their text (pipeline ``007`` is not 7)."""
+    found = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, PARTITION_TYPES[f.name])
+                           if f.name in PARTITION_TYPES else f for f in found])
+    return spark.read.schema(schema).parquet(path)
 
 
 def _time_bounds(df: DataFrame, pipeline: str, start_ns: int, end_ns: int) -> DataFrame:
@@ -50,13 +56,13 @@ def _newest(df: DataFrame, limit: int | None, descending: bool) -> DataFrame:
     return df if limit is None else df.limit(limit)
 
 
-def query_records(df: DataFrame, pipeline: str, start_ns: int = 0, end_ns: int = 0, limit: int | None = 1000,
+def query_records(df: DataFrame, pipeline: str, start_ns: int = 0, end_ns: int = 0, limit: int | None = None,
                   descending: bool = True) -> DataFrame:
     return _newest(_time_bounds(df, pipeline, start_ns, end_ns), limit, descending)
 
 
 def query_stack_samples(df: DataFrame, pipeline: str, start_ns: int = 0, end_ns: int = 0,
-                        limit: int | None = 1000, descending: bool = True) -> DataFrame:
+                        limit: int | None = None, descending: bool = True) -> DataFrame:
     return _newest(_time_bounds(df, pipeline, start_ns, end_ns), limit, descending)
 
 
@@ -71,41 +77,32 @@ def list_profiles(df: DataFrame, pipeline: str, start_ns: int = 0, end_ns: int =
     return df.select(*meta).orderBy(F.col("start_ns").desc(), *[c for c in meta if c != "start_ns"])
 
 
+def typed_fields(loose: Column) -> list[Column]:
+    """``fields``, ``fields_str`` and ``fields_bool`` of a ``map<string,variant>``; null gives empty maps."""
+    loose = F.coalesce(loose, F.create_map().cast("map<string,variant>"))
+
+    def only(name, value):
+        return F.map_filter(F.transform_values(loose, lambda k, v: value(v)), lambda k, v: v.isNotNull()).alias(name)
+
+    def of(kind, target):
+        return lambda v: F.when(F.schema_of_variant(v) == kind, F.try_variant_get(v, "$", target))
+
+    return [only("fields", C.agg_numeric), only("fields_str", of("STRING", "string")), only("fields_bool", of("BOOLEAN", "boolean"))]
+
+
 def decode_records(df: DataFrame, labels_json: str = "labels_json", fields_json: str = "fields_json") -> DataFrame:
     """Stored JSON to typed maps; unreadable JSON gives empty maps and the row stays."""
     labels = F.from_json(labels_json, "map<string,string>")
-    loose = F.coalesce(F.from_json(fields_json, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-
-    def typed(m, kind):
-        pairs = F.transform_values(m, lambda k, v: v)
-        if kind == "number":
-            pairs = F.transform_values(m, lambda k, v: C.agg_numeric(v))
-        elif kind == "string":
-            pairs = F.transform_values(m, lambda k, v: F.when(
-                F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
-        else:
-            pairs = F.transform_values(m, lambda k, v: F.when(
-                F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")))
-        return F.map_filter(pairs, lambda k, v: v.isNotNull())
-
-    out = df.withColumn("labels", F.coalesce(labels, F.create_map().cast("map<string,string>")))
-    out = out.withColumn("__loose", loose)
-    return (out.withColumn("fields", typed(F.col("__loose"), "number"))
-            .withColumn("fields_str", typed(F.col("__loose"), "string"))
-            .withColumn("fields_bool", typed(F.col("__loose"), "boolean"))
-            .drop("__loose", labels_json, fields_json))
+    loose = F.from_json(fields_json, "map<string,variant>")
+    out = df.withColumn("labels", F.coalesce(labels, F.create_map().cast("map<string,string>"))).withColumn("__loose", loose)
+    kept = [c for c in out.columns if c not in ("__loose", labels_json, fields_json)]
+    return out.select(*kept, *typed_fields(F.col("__loose")))
 
 
-EXPORTED = ("labels MAP<STRING,STRING>, fields MAP<STRING,STRING>, timestamp_ns BIGINT, host STRING")
+EXPORTED = ("labels MAP<STRING,STRING>, fields MAP<STRING,VARIANT>, timestamp_ns BIGINT, host STRING")
 
 
 def read_jsonl(spark: SparkSession, path: str, streaming: bool = False, **options) -> DataFrame:
-    """Records exported as JSON lines; numeric fields and text fields end up in separate maps."""
+    """Records exported as JSON lines; numbers, text and booleans keep the type that the line gives them."""
     raw = _read(spark, path, EXPORTED, streaming, "json", options)
-    number = F.map_filter(F.transform_values("fields", lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
-    flag = F.map_filter(F.transform_values("fields", lambda k, v: F.when(v.isin("true", "false"), v == "true")),
-                        lambda k, v: v.isNotNull())
-    text = F.map_filter("fields", lambda k, v: v.isNotNull() & v.try_cast("double").isNull()
-                        & ~v.isin("true", "false"))
-    return raw.select("host", "timestamp_ns", "labels", number.alias("fields"), text.alias("fields_str"),
-                      flag.alias("fields_bool"))
+    return raw.select("host", "timestamp_ns", "labels", *typed_fields(F.col("fields")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -13,7 +15,9 @@ def start(stream: DataFrame, sinks, checkpoint: str | None = None, available_now
           every: str | None = None, name: str | None = None) -> StreamingQuery:
     """Start a stream that hands each micro-batch to every sink ``(df, batch_id)``."""
     checkpoint = checkpoint or durable_dir(stream.sparkSession, "stream")
-    writer = stream.writeStream.foreachBatch(FanOut(sinks)).outputMode("append").option("checkpointLocation", checkpoint)
+    target = sinks if isinstance(sinks, FanOut) else FanOut(sinks)
+    counter_of(stream.sparkSession)
+    writer = stream.writeStream.foreachBatch(target).outputMode("append").option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
     if available_now:
@@ -41,16 +45,16 @@ def to_table(stream: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Running totals of a query as stage counters (``schemas.COUNTERS["stages"]``), one row per progress report.
+    """Running totals of a query as stage counters (``schemas.COUNTERS["stages"]``), one row per micro-batch.
 
-    Spark keeps a bounded number of reports.  Feed the result to ``stats.stage_health``.
+    The rows come from the session's ``ProgressCounter``, which adds up every report as it arrives, so totals are
+    right however few reports Spark keeps.  Feed the result to ``stats.stage_health``.
     """
-    rows, records, dropped = [], 0, 0
+    counter = counter_of(spark)
+    counter.wait_for(query)
     failed = 1 if query.exception() is not None else 0
-    for p in query.recentProgress:
-        records += int(p.numInputRows)
-        dropped += sum(int(s.numRowsDroppedByWatermark) for s in p.stateOperators)
-        rows.append((p.name or str(p.id), p.timestamp, bool(query.isActive), int(p.batchId) + 1, records, failed, dropped))
+    rows = [(name, at, bool(query.isActive), batches, records, failed, dropped)
+            for name, at, batches, records, dropped in counter.history.get(str(query.id), [])]
     raw = spark.createDataFrame(rows, "name STRING, timestamp STRING, running BOOLEAN, batches BIGINT, records BIGINT, "
                                       "errors BIGINT, dropped BIGINT")
     zero = F.lit(0).cast("bigint")
@@ -59,11 +63,32 @@ def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
                       F.col("records").alias("enqueued"), F.col("records").alias("dequeued"), "dropped")
 
 
+_COUNTERS: dict[int, "ProgressCounter"] = {}
+
+
+def counter_of(spark: SparkSession) -> "ProgressCounter":
+    """The session's counter; made and attached on first use, before a query starts."""
+    key = id(spark._jsparkSession)
+    if key not in _COUNTERS:
+        _COUNTERS[key] = ProgressCounter()
+        spark.streams.addListener(_COUNTERS[key])
+    return _COUNTERS[key]
+
+
 class ProgressCounter(StreamingQueryListener):
     """Totals per query while it runs: batches, records, late drops, failures."""
 
     def __init__(self):
         self.totals: dict[str, dict[str, int]] = {}
+        self.history: dict[str, list[tuple]] = {}      # (name, time, batches, records, dropped) after each report
+        self.newest: dict[str, int] = {}
+
+    def wait_for(self, query: StreamingQuery, seconds: float = 30.0) -> None:
+        """Reports arrive after their batch; wait until the last one is in."""
+        last = query.lastProgress
+        end = time.monotonic() + seconds
+        while last and self.newest.get(str(query.id), -1) < int(last.batchId) and time.monotonic() < end:
+            time.sleep(0.05)
 
     def _of(self, key) -> dict[str, int]:
         return self.totals.setdefault(str(key), {"batches": 0, "records": 0, "dropped": 0, "errors": 0})
@@ -76,6 +101,8 @@ class ProgressCounter(StreamingQueryListener):
         t["batches"] += 1
         t["records"] += int(p.numInputRows)
         t["dropped"] += sum(int(s.numRowsDroppedByWatermark) for s in p.stateOperators)
+        self.history.setdefault(str(p.id), []).append((p.name or str(p.id), p.timestamp, int(p.batchId) + 1, t["records"], t["dropped"]))
+        self.newest[str(p.id)] = int(p.batchId)
 
     def onQueryIdle(self, event):
         pass

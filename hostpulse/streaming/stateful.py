@@ -7,6 +7,8 @@ and nested columns pass the Python boundary unchanged.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -34,75 +36,119 @@ def _group_columns(df: DataFrame, keys, order):
     return [key_text.alias("pair_key"), *[F.col(o).alias(f"ord{i}") for i, o in enumerate(order)]]
 
 
-class _Expiring(StatefulProcessor):
-    """Clears the state of a key once the watermark is ``ttl_ms`` past its last row."""
+def _comparable(pdf: pd.DataFrame, order) -> list[tuple]:
+    """Order columns as tuples of plain values; times as nanoseconds."""
+    columns = [pdf[o].map(lambda t: t.value) if str(pdf[o].dtype).startswith("datetime") else pdf[o] for o in order]
+    return [tuple(x.item() if hasattr(x, "item") else x for x in row) for row in zip(*columns)]
+
+
+class _Keyed(StatefulProcessor):
+    """Rows of a key in order, whatever micro-batch they come in.
+
+    With a watermark, rows wait in the state until it has passed them and are then handled in event-time order:
+    later arrivals can no longer come before them, and rows that are too late are dropped and counted by Spark.
+    Without one, rows are handled as they arrive; a row that is older than the last one handled gets no
+    predecessor, so no negative duration is ever made.  ``ttl_ms`` after its last row a key is forgotten.
+    """
+
+    def __init__(self, order, time_name, ttl_ms, width: int):
+        self.order, self.time_name, self.ttl_ms, self.width = order, time_name, ttl_ms, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("last", "state STRING")
+        self.pending = handle.getListState("pending", "at BIGINT, ord STRING, row STRING") if self.time_name else None
 
-    def keep(self, pdf) -> None:
-        if self.ttl_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(pdf[self.time_name].max().value // 10**6) + self.ttl_ms)
+    def handleInputRows(self, key, rows, timerValues):
+        arrived = []
+        for pdf in rows:        # chunk by chunk
+            ordered = list(zip(_comparable(pdf, self.order), *[pdf[c] for c in self.columns()]))
+            if self.time_name:
+                at = [int(t.value // 1000) for t in pdf[self.time_name]]
+                self.pending.appendList([(a, json.dumps(o), json.dumps([_plain(x) for x in rest])) for a, (o, *rest) in zip(at, ordered)])
+            else:               # bounded by the trigger's input limit
+                arrived += [(None, o, rest) for o, *rest in ordered]
+        if self.time_name:
+            self.arm()
+        elif arrived:
+            yield self.emit(sorted(arrived, key=lambda r: r[1]))
+
+    def arm(self) -> None:
+        """One timer per key: when the oldest waiting row is due, else when the key may be forgotten."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        waiting = [r[0] for r in self.pending.get()] if self.pending.exists() else []
+        if waiting:
+            self.handle.registerTimer(-(-min(waiting) // 1000))
+        elif self.ttl_ms and self.value.exists():
+            self.handle.registerTimer(json.loads(self.value.get()[0])["at"] // 1000 + self.ttl_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.value.clear()
-        return iter([])
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = list(self.pending.get()) if self.pending.exists() else []
+        due = sorted(((tuple(json.loads(o)), a, r) for a, o, r in waiting if a <= passed))
+        if due:
+            rest = [r for r in waiting if r[0] > passed]
+            self.pending.put(rest) if rest else self.pending.clear()
+            yield self.emit([(a, o, json.loads(r)) for o, a, r in due])
+        elif not waiting and self.ttl_ms:
+            self.value.clear()
+        self.arm()
+
+    def emit(self, rows) -> pd.DataFrame:
+        known = json.loads(self.value.get()[0]) if self.value.exists() else None
+        out, state = self.handle_rows(rows, known)
+        last = max(rows, key=lambda r: r[1])
+        newest = list(last[1]) if not known or last[1] > tuple(known["ord"]) else known["ord"]
+        self.value.update((json.dumps({"ord": newest, "at": last[0] or 0, "state": state}),))
+        if self.time_name:
+            out[self.time_name] = pd.to_datetime([r[0] for r in rows], unit="us")
+        return pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-class _Previous(_Expiring):
-    """Emit every row with the payload of the row before it in its key."""
+def _plain(x):
+    return None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else x.item() if hasattr(x, "item") else x
 
-    def __init__(self, order, time_name, ttl_ms):
-        self.order, self.time_name, self.ttl_ms = order, time_name, ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.value = handle, handle.getValueState("last", "payload STRING")
+class _Previous(_Keyed):
+    """Emit every row with the payload of the row before it in its key."""
 
-    def handleInputRows(self, key, rows, timerValues):
-        # a key's rows of one micro-batch; their number is bounded by the trigger's input limit
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        before = pdf["payload_text"].shift(1)
-        known = self.value.get()
-        before.iloc[0] = known[0] if known else None
-        self.value.update((pdf["payload_text"].iloc[-1],))
-        out = {"row_text": pdf["row_text"].to_numpy(), "before_text": before.to_numpy()}
-        if self.time_name:
-            out[self.time_name] = pdf[self.time_name].to_numpy()
-        self.keep(pdf)
-        yield pd.DataFrame(out)
+    def columns(self):
+        return ["row_text", "payload_text"]
+
+    def handle_rows(self, rows, known):
+        before, last = [], (tuple(known["ord"]), known["state"]) if known else None
+        for _, order, (_, payload) in rows:
+            before.append(last[1] if last and last[0] <= order else None)
+            if not last or last[0] <= order:
+                last = (order, payload)
+        return {"row_text": [r[2][0] for r in rows], "before_text": before}, last[1]
 
 
-class _Ema(_Expiring):
+class _Ema(_Keyed):
     """Continue an exponential average per key and column."""
 
     def __init__(self, order, cols, alpha, time_name, ttl_ms):
-        self.order, self.cols, self.alpha = order, cols, alpha
-        self.time_name, self.ttl_ms = time_name, ttl_ms
+        super().__init__(order, time_name, ttl_ms, len(cols))
+        self.alpha = alpha
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"c{i} DOUBLE" for i in range(len(self.cols)))
-        self.handle, self.value = handle, handle.getValueState("average", fields)
+    def columns(self):
+        return ["row_text", *[f"x{i}" for i in range(self.width)]]
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        known = self.value.get()
-        out = {"row_text": pdf["row_text"].to_numpy()}
-        ends = []
-        for i in range(len(self.cols)):
-            x = pdf[f"x{i}"].astype("float64")
-            seed = known[i] if known and known[i] is not None else None
-            if seed is not None:
-                x = pd.concat([pd.Series([seed]), x])
-            y = x.ewm(alpha=self.alpha, adjust=False, ignore_na=True).mean()
-            out[f"y{i}"] = (y.iloc[1:] if seed is not None else y).to_numpy()
-            ends.append(None if pd.isna(y.iloc[-1]) else float(y.iloc[-1]))
-        self.value.update(tuple(ends))
-        if self.time_name:
-            out[self.time_name] = pdf[self.time_name].to_numpy()
-        self.keep(pdf)
-        yield pd.DataFrame(out)
+    def handle_rows(self, rows, known):
+        values = list(known["state"]) if known else [None] * self.width
+        out = {"row_text": [r[2][0] for r in rows], **{f"y{i}": [] for i in range(self.width)}}
+        for _, _, (_, *xs) in rows:
+            for i, x in enumerate(map(_plain, xs)):
+                if x is not None:
+                    values[i] = x if values[i] is None else self.alpha * x + (1 - self.alpha) * values[i]
+                out[f"y{i}"].append(values[i])
+        for i in range(self.width):
+            out[f"y{i}"] = pd.array(out[f"y{i}"], dtype="float64") if None not in out[f"y{i}"] else pd.Series(out[f"y{i}"], dtype="float64").to_numpy()
+        return out, values
 
 
 def _run(df, rows, processor, schema, time_name):
@@ -117,7 +163,9 @@ def _run(df, rows, processor, schema, time_name):
 def previous_row(df: DataFrame, keys, order, carry, out: str, ttl_ms: int | None = None) -> DataFrame:
     """Streaming form of ``ordered.with_neighbor``: struct ``out`` with ``carry`` of the previous row.
 
-    Rows of one micro-batch are put in ``order``; across micro-batches arrival order counts.
+    With a watermark (its column must rise with ``order``) the answer is that of the batch form for all rows that
+    the watermark has passed, whatever order they arrive in; rows wait that long.  Without one, rows are put in
+    ``order`` within a micro-batch and an older row of a later one gets no predecessor.
     """
     time_name = event_time_column(df)
     payload = F.struct(*[F.col(c) if isinstance(c, str) else c for c in carry])
@@ -130,7 +178,7 @@ def previous_row(df: DataFrame, keys, order, carry, out: str, ttl_ms: int | None
     if time_name:
         schema = schema.add(time_name, T.TimestampType())
     names = [f"ord{i}" for i in range(len(order))]
-    result = _run(df, rows, _Previous(names, time_name, ttl_ms), schema, time_name)
+    result = _run(df, rows, _Previous(names, time_name, ttl_ms, 1), schema, time_name)
     parsed = F.from_json("row_text", row_type, JSON_OPTIONS)
     result = result.select(*([time_name] if time_name else []), parsed.alias("__r"),
                            F.from_json("before_text", payload_type, JSON_OPTIONS).alias(out))

@@ -26,6 +26,19 @@ def test_allow_lists_agree(spark):
     assert filters.allow_pids(df, []).count() == 3000
 
 
+def test_cpu_sample_filter_long_names(spark):
+    df = spark.createDataFrame([(1, "twentycharacterslong"), (2, "twentycharacte")], "pid BIGINT, comm STRING")
+    assert [r["pid"] for r in filters.filter_cpu_samples(df, comms=["twentycharacterslong"]).collect()] == [1]
+
+
+def test_comm_patterns_are_java_s(spark, caplog):
+    df = spark.createDataFrame([(1, "abc"), (2, "a1")], "pid BIGINT, comm STRING")
+    pids = lambda **how: [r["pid"] for r in filters.filter_comm(df, **how).collect()]
+    assert pids(include=r"^\p{L}+$") == [1]
+    assert pids(include="(?P<x>a)") == [1, 2] and "not valid" in caplog.text
+    assert pids(exclude="[") == [1, 2]
+
+
 def test_cpu_sample_filter(spark):
     df = spark.createDataFrame([(0, "a"), (1, "averyveryverylo"), (2, "b")], "pid BIGINT, comm STRING")
     assert [r["pid"] for r in filters.filter_cpu_samples(df, comms=["averyveryverylongname"]).collect()] == [1]

@@ -54,6 +54,55 @@ def test_offcpu_over_micro_batches(spark, events, folder):
     assert rows(run.to_table(pairing.offcpu_intervals(stream(spark, folder))), *cols) == rows(pairing.offcpu_intervals(events), *cols)
 
 
+@pytest.fixture(scope="module")
+def shuffled(spark, events):
+    """The same rows in files that overlap in time by up to 100 rows, with two rows that come far too late."""
+    path = durable_dir(spark, "shuffled")
+    own = F.when(F.col("seq") < 100, 0).when(F.col("seq").isin(5, 6), 2).otherwise(
+        F.floor((F.col("seq") - 50 + F.pmod(F.xxhash64("seq"), F.lit(100))) / 300)).cast("int")
+    parted = events.withColumn("__f", F.when(F.col("seq").isin(5, 6), 2).otherwise(F.greatest(F.lit(0), F.least(F.lit(2), own))))
+    for i in range(3):
+        parted.where(F.col("__f") == i).drop("__f").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_rows_out_of_order_give_the_batch_answer(spark, events, shuffled):
+    """Late within the watermark: waited for. Later than it: dropped, counted, and never a negative latency."""
+    delay = 60
+    marked = stream(spark, shuffled).withWatermark("ts", f"{delay} seconds")
+    path = durable_dir(spark, "ordered")
+    q = (pairing.runqueue_latency(marked).writeStream.format("parquet").option("path", path)
+         .option("checkpointLocation", durable_dir(spark, "chk")).trigger(availableNow=True))
+    run.counter_of(spark)
+    q = q.start()
+    q.awaitTermination()
+    got = spark.read.parquet(path)
+    closed = events.agg(F.max("timestamp_ns")).first()[0] - delay * 10**9
+    kept = events.where(~F.col("seq").isin(5, 6))
+    want = pairing.runqueue_latency(kept).where(F.col("timestamp_ns") <= closed)
+    assert rows(got.where("event_type != 'migrate'"), "seq", "latency_ns") == rows(want.where("event_type != 'migrate'"), "seq", "latency_ns")
+    assert got.agg(F.min("latency_ns")).first()[0] >= 0
+    total = run.progress_rows(spark, q).agg(F.max("dropped"), F.max("records")).first()
+    lost = events.where(F.col("seq").isin(5, 6) & (F.col("event_type") != "migrate")).count()
+    assert total[0] >= lost > 0 and total[1] == 900
+
+
+def test_without_watermark_no_negative_latency(spark, shuffled):
+    got = run.to_table(pairing.runqueue_latency(stream(spark, shuffled)))
+    assert got.agg(F.min("latency_ns")).first()[0] >= 0 and got.count() == 900
+
+
+def test_totals_outlive_spark_s_reports(spark, folder):
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        q = run.run_available(stream(spark, folder), [lambda df, i: df.count()])
+        assert len(q.recentProgress) <= 2
+        assert run.progress_rows(spark, q).agg(F.max("records"), F.max("batches")).first()[0] == 900
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+
+
 def test_stats_and_history_chained(spark, events, folder):
     latency = pairing.runqueue_latency(stream(spark, folder).withWatermark("ts", "5 seconds"))
     s = windows.stream_sched_stats(latency, "10 seconds", None)
@@ -167,10 +216,11 @@ def test_pair_with_ttl(spark, events, folder):
     with pytest.raises(ValueError):
         stream_pair(stream(spark, folder), ["next_pid"], ["seq"], F.lit(True), F.lit(False), ["seq"], ttl_ms=1)
     marked = stream(spark, folder).withWatermark("ts", "5 seconds")
+    closed = events.agg(F.max("timestamp_ns")).first()[0] - 5 * 10**9
     got = run.to_table(stream_pair(marked, ["next_pid"], ["timestamp_ns", "seq"], F.col("event_type") == "wakeup",
                                    F.col("event_type") == "switch", ["seq"], ttl_ms=3_600_000).select("seq", F.col("opened.seq").alias("o")))
     want = pairing.pair_events(events, ["next_pid"], ["timestamp_ns", "seq"], F.col("event_type") == "wakeup",
-                               F.col("event_type") == "switch", ["seq"]).select("seq", F.col("opened.seq").alias("o"))
+                               F.col("event_type") == "switch", ["seq"]).where(F.col("timestamp_ns") <= closed).select("seq", F.col("opened.seq").alias("o"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
