@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hostpulse.functions import columns as C
-from hostpulse.operators.ordered import asof_both, rank_in_order, top_per_key, with_neighbor, with_neighbors
+from hostpulse.operators.ordered import asof_both, rank_in_order, top_per_key, with_neighbor
 from hostpulse.schemas import CPU_STATES
 
 # Counter series are cut every six hours: 1,460 border rows per series and year.
@@ -267,20 +267,11 @@ def core_heatmap(util: DataFrame, start=None, end=None, max_cols: int = 60, slic
     if end is not None:
         cores = cores.where(F.col("ts") <= F.lit(end))
     times = downsample_times(cores, max_cols, slice_ns=slice_ns)
-    # at most max_cols times per host
-    columns = times.groupBy("host").agg(F.sort_array(F.collect_list("ts")).alias("__times"))
-    rows = with_neighbors(cores.select("host", "cpu", "ts", F.coalesce("busy_pct", F.lit(0.0)).alias("busy_pct")),
-                          ["host", "cpu"], ["ts"], ["ts"], "__b", "__a", time_slice("ts", slice_ns))
-    # a sample owns the grid times nearer to it than to its neighbours (ties go to the earlier sample)
-    t = F.unix_micros("ts")
-    lower, upper = t + F.unix_micros("__b.ts"), t + F.unix_micros("__a.ts")
-
-    def owned(g):
-        twice = F.unix_micros(g) * 2
-        return F.coalesce(twice > lower, F.lit(True)) & F.coalesce(twice <= upper, F.lit(True))
-
-    cells = rows.join(columns, "host").select("host", "cpu", "busy_pct", F.explode(F.filter("__times", owned)).alias("ts"))
-    return cells.withColumn("core", C.core_sort_key("cpu"))
+    # at most max_cols times for each core of a host; one as-of pass finds the samples around each
+    grid = times.join(cores.select("host", "cpu").distinct(), "host")
+    known = cores.select("host", "cpu", "ts", F.coalesce("busy_pct", F.lit(0.0)).alias("busy_pct"))
+    cells = nearest_join(grid, known, ("host", "cpu"), "ts", ("busy_pct",), slice_ns=slice_ns)
+    return cells.select("host", "cpu", "busy_pct", "ts", C.core_sort_key("cpu").alias("core"))
 
 
 def utilization_history(util: DataFrame, keep: int = 900) -> DataFrame:

@@ -85,8 +85,12 @@ def user_names(addresses: DataFrame, proc_maps: DataFrame, elf_symbols: DataFram
         (F.col("address") - F.col("__m.start")).cast(C.ADDRESS).alias("delta"),
         (F.col("address") - F.col("__m.start") + F.col("__m.offset")).cast(C.ADDRESS).alias("file_offset"))
     symbols = prepare_symbols(elf_symbols)
+    # addresses outside every map share no key, so they don't meet in the joins below
+    plain = F.concat(F.lit("[0x"), C.address_hex("address"), F.lit("]"))
+    outside = placed.where(F.col("path").isNull()).select("host", "pid", "address", plain.alias("name"))
+    placed = placed.where(F.col("path").isNotNull())
     # the same file offset is looked up once for all hosts and processes
-    offsets = placed.where(F.col("path").isNotNull()).select("path", "file_offset").distinct()
+    offsets = placed.select("path", "file_offset").distinct()
     found = asof(offsets, symbols, ["path"], "file_offset", "value", ["value", "size", "name"], "__s", slice_width)
     covers = (F.col("__s.size") == 0) | (F.col("file_offset") < F.col("__s.value") + F.col("__s.size"))
     found = found.select("path", "file_offset", F.when(covers, F.col("__s.name")).alias("symbol"))
@@ -94,8 +98,7 @@ def user_names(addresses: DataFrame, proc_maps: DataFrame, elf_symbols: DataFram
     named = placed.join(found, ["path", "file_offset"], "left").join(readable, "path", "left")
     in_file = F.when(F.col("readable"), F.concat(F.lit("["), F.col("path"), F.lit("+0x"), C.address_hex("delta"),
                                                  F.lit("]")))
-    plain = F.concat(F.lit("[0x"), C.address_hex("address"), F.lit("]"))
-    return named.select("host", "pid", "address", F.coalesce("symbol", in_file, plain).alias("name"))
+    return named.select("host", "pid", "address", F.coalesce("symbol", in_file, plain).alias("name")).unionByName(outside)
 
 
 def _demangled(names: DataFrame, demangle) -> DataFrame:

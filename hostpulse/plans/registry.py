@@ -19,7 +19,7 @@ from hostpulse.operators import filters, pairing, profiles, sched, series, stats
 from hostpulse.sinks import tables, text
 from hostpulse.sinks.tables import FanOut
 from hostpulse.sources import readers
-from hostpulse.streaming import run, windows
+from hostpulse.streaming import live, run, windows
 
 KINDS = ("source", "processor", "aggregator", "sink")
 _STAGES: dict[str, dict[str, Callable]] = {k: {} for k in KINDS}
@@ -130,10 +130,31 @@ for _name, _fn in {
     "runqueue_latency": pairing.runqueue_latency, "offcpu_intervals": pairing.offcpu_intervals,
     "block_io_latency": pairing.block_io_latency, "pair_allocations": pairing.pair_allocations,
     "classify_sockets": filters.classify_sockets, "cpu_utilization": series.cpu_utilization,
-    "system_rates": series.system_rates, "merge_stacks": profiles.merge_stacks,
+    "system_rates": series.system_rates, "merge_stacks": _either(profiles.merge_stacks, windows.stream_profile),
+    "process_cpu": _either(series.process_cpu, live.stream_process_cpu), "ema": series.ema,
 }.items():
     register_processor(_name, _fn)
 
+def _given(df: DataFrame, table) -> DataFrame:
+    """A side table of a stage: a DataFrame or the path of one."""
+    return table if isinstance(table, DataFrame) else df.sparkSession.read.parquet(table)
+
+
+@partial(register_processor, "attach_stacks")
+def _attach_stacks(df, frames, depth=None):
+    return profiles.attach_stacks(df, _given(df, frames), depth)
+
+
+@partial(register_processor, "stack_symbolizer")
+def _stack_symbolizer(df, kernel_symbols=None, proc_maps=None, elf_symbols=None, demangle=None):
+    """Names for kernel stacks, user stacks or both, by what tables are given."""
+    if kernel_symbols is not None:
+        df = symbolize.symbolize_kernel(df, _given(df, kernel_symbols), demangle)
+    if proc_maps is not None and elf_symbols is not None:
+        df = symbolize.symbolize_user(df, _given(df, proc_maps), _given(df, elf_symbols), demangle)
+    return df
+
+
 for _name, _fn in {
     "window_stats": _either(stats.window_stats, windows.stream_window_stats),
     "window_profile": _either(profiles.window_profile, windows.stream_profile),

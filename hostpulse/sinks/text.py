@@ -58,14 +58,14 @@ def last_gauges(records: DataFrame, prefix: str = "hostpulse") -> DataFrame:
             .select("metric", "labels", "l.value", "l.at"))
 
 
-def exposition_lines(gauges: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+def exposition_lines(gauges: DataFrame) -> DataFrame:
     """HELP and TYPE once per metric, then one line per series: ``(metric, ord, labels_text, line)``."""
     pairs = F.transform("labels", lambda e: F.concat(e["key"], F.lit('="'), C.escape_label(e["value"]), F.lit('"')))
     text = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
     values = gauges.withColumn("labels_text", text)
     samples = values.select("metric", F.lit(2).alias("ord"), "labels_text",
                             F.concat("metric", "labels_text", F.lit(" "), F.col("value").cast("string")).alias("line"))
-    names = (gauges if metrics is None else metrics).select("metric").distinct()
+    names = gauges.select("metric").distinct()
     heads = names.select("metric", F.inline(F.array(
         F.struct(F.lit(0).alias("ord"), F.lit("").alias("labels_text"),
                  F.concat(F.lit("# HELP "), "metric", F.lit(" gauge of "), "metric").alias("line")),
@@ -79,9 +79,7 @@ def prometheus_exposition(records: DataFrame, prefix: str = "hostpulse") -> Data
 
     The last value of each (metric, label set) wins.
     """
-    metric = C.sanitize_metric_name(F.concat(F.lit(f"{prefix}_"), "field"))
-    names = gauge_fields(records).select(metric.alias("metric"))
-    return exposition_lines(last_gauges(records, prefix), names)
+    return exposition_lines(last_gauges(records, prefix))
 
 
 def numbered_lines(exposition: DataFrame) -> DataFrame:
