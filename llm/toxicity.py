@@ -22,6 +22,7 @@ SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 4_000, 8_000
 # Terms enter if their presence differs between the classes by this chi-square value (p below 0.0001).
 LEAST_CHI2 = 15.1
 FACTORS, EPOCHS, RATE, DECAY, SEED = 4, 40, 0.1, 1e-4, 7
+ODDS_SHARE, PAIR_DECAY = 0.5, 1e-2
 PREFIXES = (4, 5)
 THRESHOLD = 0.3
 
@@ -74,15 +75,17 @@ class Machine:
         return 1 / (1 + np.exp(-x)) if np.isfinite(self.bias) else np.zeros(len(texts))
 
 
-def chosen_terms(owner: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Terms whose presence depends on the label (chi-square with one degree of freedom)."""
+def chosen_terms(owner: np.ndarray, terms: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms whose presence depends on the label (chi-square with one degree of freedom), and their log odds."""
     found, inverse = np.unique(terms, return_inverse=True)
     a = np.bincount(inverse, y[owner], len(found))
     n1, n = y.sum(), len(y)
     df = np.bincount(inverse, minlength=len(found))
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = n * (a * n - df * n1) ** 2 / (df * (n - df) * n1 * (n - n1))
-    return found[(df >= 3) & (chi2 >= LEAST_CHI2)]
+    chosen = (df >= 3) & (chi2 >= LEAST_CHI2)
+    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((df - a + 0.5) / (n - n1 + 1))
+    return found[chosen], odds[chosen]
 
 
 def fit_machine(owner: np.ndarray, terms: np.ndarray, y: np.ndarray) -> Machine:
@@ -90,9 +93,11 @@ def fit_machine(owner: np.ndarray, terms: np.ndarray, y: np.ndarray) -> Machine:
     if not len(y):
         return Machine()
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    m = Machine(float(np.log(share / (1 - share))), chosen_terms(owner, terms, y) if 0 < y.sum() < len(y) else np.zeros(0, np.uint32))
+    chosen, odds = chosen_terms(owner, terms, y) if 0 < y.sum() < len(y) else (np.zeros(0, np.uint32), np.zeros(0))
+    m = Machine(float(np.log(share / (1 - share))), chosen)
     rng = np.random.default_rng(SEED)
-    m.w, m.v = np.zeros(len(m.terms)), rng.normal(0, 0.05, (len(m.terms), FACTORS))
+    # Weights start from a part of the log odds, so a term that few documents show alone counts alone too.
+    m.w, m.v = ODDS_SHARE * odds, rng.normal(0, 0.05, (len(m.terms), FACTORS))
     owner, at = m.known(owner, terms)
     bounds = np.searchsorted(owner, np.arange(len(y) + 1))
     gw, gv, gb = np.full(len(m.w), 1e-6), np.full(m.v.shape, 1e-6), 1e-6
@@ -111,7 +116,7 @@ def fit_machine(owner: np.ndarray, terms: np.ndarray, y: np.ndarray) -> Machine:
                 used, inverse = np.unique(x, return_inverse=True)
                 dw = np.bincount(inverse, err[local], len(used)) + DECAY * m.w[used]
                 step = err[local][:, None] * (summed[local] - m.v[x])
-                dv = np.stack([np.bincount(inverse, step[:, f], len(used)) for f in range(FACTORS)], 1) + DECAY * m.v[used]
+                dv = np.stack([np.bincount(inverse, step[:, f], len(used)) for f in range(FACTORS)], 1) + PAIR_DECAY * m.v[used]
                 gw[used] += dw ** 2
                 gv[used] += dv ** 2
                 m.w[used] -= RATE * dw / gw[used] ** 0.5
