@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import stored
+
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DIGEST = ["_sha", "_check", "_length"]
 
@@ -38,6 +40,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).alias("_id"), normalized(F.col(text_col)).alias("_text"))
     base = base.select("_id", F.unhex(F.sha2(F.col("_text"), 256)).alias("_sha"), F.xxhash64("_text").alias("_check"),
                        F.octet_length("_text").alias("_length"), F.pmod(F.xxhash64("_id"), F.lit(fan ** levels)).cast("int").alias("_run"))
+    base = stored(base, "exact-digests")  # texts are read and digested once, though four joins use the digests
     level = base.groupBy(*DIGEST, "_run").agg(pick("_id").alias("_keep"), F.count("*").alias("_n"))
     tree = [level]
     for _ in range(levels):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import WORD
+from llm.common import WORD, stored
 
 WEIGHTS = (3, 1, 2)
 TIMES, CAP, SLICES = 1.5, 2, 64
@@ -69,6 +69,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: floa
     The offset of a source is derived from ``seed`` and its name, so reruns agree.
     """
     base = docs.select(F.col(id_col).alias("_id"), source_key(F.col(source_col)).alias("_src"), n_words(F.col(text_col)).alias("size"))
+    base = stored(base, "mixing-sizes")  # texts are read once, though targets, cells and ranks use the sizes
     targets = source_targets(base.select("_src", "size"), weights, times, cap)
     base = base.withColumn("_class", size_class(F.col("size"))).withColumn("_slice", F.coalesce(F.pmod(F.col("_id"), F.lit(slices)), F.lit(0)).cast("int"))
     cells = base.groupBy("_src", "_class", "_slice").agg(F.count("*").alias("_n"))
