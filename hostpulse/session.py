@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -38,6 +40,19 @@ def build_session(app: str = "hostpulse", master: str | None = None, **conf) ->
     return prepare(builder.getOrCreate())
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for sessions whose workers don't find it on their path.
+
+    Stateful streams import it there; an installed package (``pyproject.toml``) needs no shipping.
+    """
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def durable_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder named by ``spark.checkpoint.dir``.
 

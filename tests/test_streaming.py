@@ -247,3 +247,29 @@ def test_gauge_board_keeps_series_of_earlier_batches(spark, tmp_path):
             board(spark.createDataFrame(b, schema), i)
     lines = [r[0] for r in spark.read.text(str(tmp_path / "board" / "exposition")).collect()]
     assert lines == ["# HELP x_t gauge of x_t", "# TYPE x_t gauge", 'x_t{n="a"} 5.0', 'x_t{n="b"} 2.0', 'x_t{n="c"} 7.0']
+
+
+def test_stream_from_another_folder(tmp_path):
+    """A script elsewhere ships the package; the stream's Python workers find it."""
+    import subprocess
+    import sys
+    from pathlib import Path
+    root = Path(__file__).resolve().parents[1]
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from hostpulse.operators import pairing
+from hostpulse.session import build_session, ship_package
+from hostpulse.streaming import run
+spark = build_session("elsewhere", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"}})
+ship_package(spark)
+schema = "host STRING, seq BIGINT, timestamp_ns BIGINT, event_type STRING, prev_pid BIGINT, next_pid BIGINT, cpu BIGINT"
+path = {str(tmp_path / "events")!r}
+spark.createDataFrame([("h", 1, 10, "wakeup", 0, 5, 0), ("h", 2, 30, "switch", 0, 5, 0)], schema).write.parquet(path)
+got = run.to_table(pairing.runqueue_latency(spark.readStream.schema(schema).parquet(path)))
+print("LATENCY", [r["latency_ns"] for r in got.where("event_type = 'switch'").collect()])
+""")
+    env = {"PATH": __import__("os").environ["PATH"], "HOME": str(tmp_path)}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "LATENCY [20]" in done.stdout, done.stderr[-2000:]
