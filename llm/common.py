@@ -18,10 +18,15 @@ STEP_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def is_local(spark: SparkSession) -> bool:
+    """One machine: master ``local`` or ``local[...]`` (``local-cluster`` is none)."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; only where that is unset (tests) a temporary folder is used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -33,6 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: its lineage ends there, so a lost executor
     costs no earlier work and no branch computes it twice."""
     path = shared_dir(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,9 +47,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 ARROW_ROWS = "1000"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Sets the Arrow batch size of the session, as the operators carry whole texts."""
+def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; Arrow batches of the session are made small, as the operators carry whole texts."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
