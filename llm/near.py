@@ -151,14 +151,15 @@ def with_unique(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return members.join(own, F.col("doc_id") == F.col("_owner"), "left").withColumn("own", F.coalesce("_own", F.lit(0))).drop("_owner", "_own")
 
 
-def across(members: DataFrame, sigs: DataFrame, percent: int, miss: float, block: int = BLOCK) -> DataFrame:
-    """Plausible pairs of different components in buckets (key, doc_id, component, first: component of the hub, n, own).
+def across(members: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int, miss: float, block: int = BLOCK) -> DataFrame:
+    """Links between components in buckets (key, doc_id, component, first: component of the hub, n, own).
 
     Members outside the hub's component are probes, all members are targets. A document of n shingles, of which
     ``own`` are in no other, reaches the threshold t only with documents of t * n to (n - own) / t - own shingles; it
     is a probe only if its bucket has such sizes. Probes and targets are dealt into chunks of about ``block``; each
     pair of chunks is one group, compared by that bound and on one byte of each hash, which can only make a pair
-    look more alike."""
+    look more alike. What stays plausible is checked there on full sets, and a group returns only links that join
+    what its earlier links have not joined: fewer rows than documents, which connect all that belongs together."""
     t = percent / 100
     sized = members.groupBy("key").agg(F.min("n").alias("_least"), F.max("n").alias("_most")).withColumnRenamed("key", "_key")
     low_n, high_n = F.floor(F.col("n") * t), F.ceil((F.col("n") - F.col("own")) / t - F.col("own"))
@@ -171,10 +172,10 @@ def across(members: DataFrame, sigs: DataFrame, percent: int, miss: float, block
     targets = both.select("key", "doc_id", "component", "n", "own", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("_probes") - 1)).alias("i"), chunk(F.col("_targets")).alias("j"))
     probes = both.where("component != first").select("key", "doc_id", "component", "n", "own", F.lit(1).alias("role"), chunk(F.col("_probes")).alias("i"),
                                                      F.explode(F.sequence(F.lit(0), F.col("_targets") - 1)).alias("j"))
-    narrow = sigs.select(F.col("doc_id").alias("_doc"), "low")
+    narrow = sigs.select(F.col("doc_id").alias("_doc"), "low").join(texts.select(F.col("doc_id").alias("_text"), "text"), F.col("_doc") == F.col("_text"))
     rows = targets.unionByName(probes).join(narrow, F.col("doc_id") == F.col("_doc"))
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select(F.xxhash64("key", "i", "j").alias("cell"), "role", "doc_id", "component", "low", "n", "own").repartition(tasks, "cell").sortWithinPartitions("cell", "role")
+    rows = rows.select(F.xxhash64("key", "i", "j").alias("cell"), "role", "doc_id", "component", "low", "n", "own", "text").repartition(tasks, "cell").sortWithinPartitions("cell", "role")
 
     def compare(cell: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         role = np.array([r[1] for r in cell])
@@ -182,14 +183,35 @@ def across(members: DataFrame, sigs: DataFrame, percent: int, miss: float, block
         low = np.frombuffer(b"".join(r[4] for r in cell), np.uint8).reshape(len(cell), -1)
         target = np.flatnonzero(role == 0)
         n, own = (np.array([r[i] for r in cell], np.int64) for i in (5, 6))
+        head = {c: c for c in comp.tolist()}
+        sets: dict[int, np.ndarray] = {}
+
+        def root(c):
+            while head[c] != c:
+                head[c] = c = head[head[c]]
+            return c
+
+        def full(i):
+            if i not in sets:
+                sets[i] = shingles(word_hashes(cell[i][7].encode().translate(LOWER).split()), k)
+            return sets[i]
+
         left, right = [], []
-        for p in np.flatnonzero(role == 1):
+        for p in np.flatnonzero(role == 1).tolist():
             most = np.minimum(n[target] - own[target], n[p] - own[p])
             apart = target[(comp[target] != comp[p]) & (100 * most >= percent * (n[target] + n[p] - most))]
-            hits = apart[plausible(np.broadcast_to(low[p], (len(apart), low.shape[1])), low[apart], percent, miss)]
-            left.append(np.full(len(hits), doc[p]))
-            right.append(doc[hits])
-        return (np.concatenate(left), np.concatenate(right)) if left else (doc[:0], doc[:0])
+            likely = apart[plausible(np.broadcast_to(low[p], (len(apart), low.shape[1])), low[apart], percent, miss)]
+            # The most alike come first, so that one link spares the rest of its component.
+            for t in likely[np.argsort(-(low[likely] == low[p]).sum(1), kind="stable")].tolist():
+                x, y = root(int(comp[p])), root(int(comp[t]))
+                if x == y:
+                    continue
+                both = len(np.intersect1d(full(p), full(t), assume_unique=True))
+                if 100 * both >= percent * (len(full(p)) + len(full(t)) - both):
+                    head[max(x, y)] = min(x, y)
+                    left.append(int(doc[p]))
+                    right.append(int(doc[t]))
+        return np.array(left, np.int64), np.array(right, np.int64)
 
     def run(it):
         held: list[tuple] = []
@@ -254,12 +276,12 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         open_ = stored(named.join(tops, F.col("key") == F.col("_key")).select("key", "doc_id", "hub", "component", "first"), "near-open")
         if step == "second":
             rest = open_.where("component != first")
-            more = verify_batches(pairs_with(rest, rest), sigs, percent, miss)
+            found = verify_exactly(verify_batches(pairs_with(rest, rest), sigs, percent, miss), texts, shingle, percent)
         else:
             sizes = info.select(F.col("doc_id").alias("_doc"), F.col("n_shingles").alias("n")).dropDuplicates(["_doc"])
             counted = with_unique(open_, texts, shingle).join(sizes, F.col("doc_id") == F.col("_doc")).drop("_doc")
-            more = across(counted, sigs, percent, miss, block)
-        links = stored(links.unionByName(verify_exactly(more, texts, shingle, percent)).distinct(), "near-links")
+            found = across(counted, sigs, texts, shingle, percent, miss, block)
+        links = stored(links.unionByName(found).distinct(), "near-links")
     comps = components(links).select(F.col("doc_id").alias("_doc"), "component_id")
     vertex = info.join(least, F.col("words") == F.col("_words"), "left").select("doc_id", "n_shingles", F.coalesce("vertex", "doc_id").alias("vertex"))
     out = vertex.join(comps, F.col("vertex") == F.col("_doc"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "vertex").alias("component_id"))

@@ -18,7 +18,7 @@ from llm.common import flat_words, held_out, per_batch, texts_of, word_hashes
 from llm.decontaminate import TABLE
 
 # The sample of labelled rows that the machine is fitted on: at most so many of each class, chosen by hash of the id.
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 4_000, 8_000
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 3_000, 6_000
 # Terms enter if their presence differs between the classes by this chi-square value (p below 0.0001).
 LEAST_CHI2 = 15.1
 FACTORS, EPOCHS, RATE, DECAY, SEED = 4, 40, 0.1, 1e-4, 7
@@ -77,10 +77,11 @@ class Machine:
 
 def chosen_terms(owner: np.ndarray, terms: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms whose presence depends on the label (chi-square with one degree of freedom), and their log odds."""
-    found, inverse = np.unique(terms, return_inverse=True)
-    a = np.bincount(inverse, y[owner], len(found))
+    found, df = np.unique(terms, return_counts=True)
+    toxic, seen = np.unique(terms[y[owner] > 0], return_counts=True)
+    a = np.zeros(len(found))
+    a[np.searchsorted(found, toxic)] = seen
     n1, n = y.sum(), len(y)
-    df = np.bincount(inverse, minlength=len(found))
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = n * (a * n - df * n1) ** 2 / (df * (n - df) * n1 * (n - n1))
     chosen = (df >= 3) & (chi2 >= LEAST_CHI2)
@@ -148,8 +149,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSI
     if not got:
         return Machine()
     terms = [np.frombuffer(r[2], np.uint32) for r in got]
-    owner = np.repeat(np.arange(len(got), dtype=np.int64), [len(t) for t in terms])
-    return fit_machine(owner, np.concatenate(terms), np.array([r[1] for r in got], float))
+    owner = np.repeat(np.arange(len(got), dtype=np.int32), [len(t) for t in terms])
+    y = np.array([r[1] for r in got], float)
+    del got
+    return fit_machine(owner, np.concatenate(terms), y)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
