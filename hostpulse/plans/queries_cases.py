@@ -38,20 +38,24 @@ def retention_names(spark, sf):
 @query("retention_tables", A.duck_with("rec", "stacks", "profs") + """
 , now as (select max(timestamp_ns) as newest from rec)
 select 'records' as kind, seq as id from rec, now where timestamp_ns >= newest - 864000000000000
-union all select 'stack_samples', seq from stacks, now where timestamp_ns >= newest - 864000000000000
-union all select 'profiles', start_ns from profs, now where start_ns >= newest - 864000000000000""")
+union all select 'stack_samples', seq from stacks, now where newest - (seq % 20) * 86400000000000 >= newest - 864000000000000
+union all select 'profiles', start_ns from profs, now where newest - (sample_count % 20) * 86400000000000 >= newest - 864000000000000""")
 def retention_tables(spark, sf):
     """One call prunes records, stack samples and profiles."""
     base = durable_dir(spark, "store")
     rec = A.records(spark, sf)
     tables.write_records(rec, f"{base}/records")
-    tables.write_stack_samples(A.stack_samples(spark, sf), f"{base}/stack_samples")
-    profs = A.table(spark, sf, "profs").withColumnRenamed("feed", "pipeline")
+    newest = rec.agg(F.max("timestamp_ns")).first()[0]
+    # samples and profiles are dealt over the last twenty days
+    samples = A.stack_samples(spark, sf).withColumn("timestamp_ns", F.lit(newest) - F.col("seq") % 20 * DAY)
+    tables.write_stack_samples(samples, f"{base}/stack_samples")
+    profs = A.table(spark, sf, "profs").withColumnRenamed("feed", "pipeline").withColumnRenamed("start_ns", "id")
+    profs = profs.withColumn("start_ns", F.lit(newest) - F.col("sample_count") % 20 * DAY)
     tables.write_profiles(profs, f"{base}/profiles")
-    tables.prune_store(spark, base, 10 * DAY, rec.agg(F.max("timestamp_ns")).first()[0])
+    tables.prune_store(spark, base, 10 * DAY, newest)
     out = None
-    for kind, column in (("records", "seq"), ("stack_samples", "seq"), ("profiles", "start_ns")):
-        schema = {"records": rec, "stack_samples": A.stack_samples(spark, sf), "profiles": profs}[kind].schema
+    for kind, column in (("records", "seq"), ("stack_samples", "seq"), ("profiles", "id")):
+        schema = {"records": rec, "stack_samples": samples, "profiles": profs}[kind].schema
         part = spark.read.schema(schema).parquet(f"{base}/{kind}").select(F.lit(kind).alias("kind"), F.col(column).alias("id"))
         out = part if out is None else out.unionByName(part)
     return out
