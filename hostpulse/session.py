@@ -43,8 +43,13 @@ def build_session(app: str = "hostpulse", master: str | None = None, **conf) ->
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, for sessions whose workers don't find it on their path.
 
-    Stateful streams import it there; an installed package (``pyproject.toml``) needs no shipping.
+    An installed package (``pyproject.toml``) needs no shipping.  Processors of stateful streams also start in a worker
+    that gets no files, so their module travels by value.
     """
+    from pyspark import cloudpickle
+
+    from hostpulse.streaming import stateful
+    cloudpickle.register_pickle_by_value(stateful)
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:

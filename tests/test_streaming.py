@@ -264,12 +264,12 @@ from hostpulse.session import build_session, ship_package
 from hostpulse.streaming import run
 spark = build_session("elsewhere", "local[2]", **{{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"}})
 ship_package(spark)
-schema = "host STRING, seq BIGINT, timestamp_ns BIGINT, event_type STRING, prev_pid BIGINT, next_pid BIGINT, cpu BIGINT"
+schema = "host STRING, seq BIGINT, timestamp_ns BIGINT, event_type STRING, prev_pid BIGINT, next_pid BIGINT, prev_comm STRING, next_comm STRING, cpu BIGINT"
 path = {str(tmp_path / "events")!r}
-spark.createDataFrame([("h", 1, 10, "wakeup", 0, 5, 0), ("h", 2, 30, "switch", 0, 5, 0)], schema).write.parquet(path)
+spark.createDataFrame([("h", 1, 10, "wakeup", 0, 5, "a", "b", 0), ("h", 2, 30, "switch", 0, 5, "a", "b", 0)], schema).write.parquet(path)
 got = run.to_table(pairing.runqueue_latency(spark.readStream.schema(schema).parquet(path)))
 print("LATENCY", [r["latency_ns"] for r in got.where("event_type = 'switch'").collect()])
 """)
-    env = {"PATH": __import__("os").environ["PATH"], "HOME": str(tmp_path)}
+    env = {**{k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}, "PATH": __import__("os").environ["PATH"], "HOME": str(tmp_path)}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "LATENCY [20]" in done.stdout, done.stderr[-2000:]
