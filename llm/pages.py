@@ -4,8 +4,10 @@ A page is a sequence of tokens: opening tags and text pieces, each told apart by
 occurrence vector lists how often each page of the host has it; here a sum of hashes of (page, count), which adds
 up in any order, stands for the vector. Tokens of one host with the same vector form an equivalence class. A class
 is valid if it is frequent (in most pages of the host) and large, and its tokens nest: what contains each one is
-frequent too. Valid classes are the host's template; the gaps between template tokens are slots. Text
-that belongs to the template is dropped, slots of links or of page furniture are dropped, the rest is the article.
+frequent too. Valid classes are the host's template; the gaps between template tokens are slots. On every
+page text that belongs to the template and slots of links are dropped first; what tags and names say (furniture,
+article, main part) is a check of what is left. A page all of whose text is template repeats other pages: there the
+classes can't tell, and tags and names decide alone.
 
 Counting per host is pre-aggregated in each task, so a host with a third of all pages is a few rows per task.
 """
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from llm.common import mix, per_batch, stored, texts_of, word_hashes
 
 # A class must be in this share of a host's pages, in so many pages and have so many tokens.
-SHARE, LEAST_PAGES, LEAST_TOKENS = 0.9, 8, 3
+SHARE, LEAST_PAGES, LEAST_TOKENS = 0.9, 3, 3
+# An article that template text fills by more than so many characters and more than half is a copy of other pages' articles.
+COPY_CHARS = 500
 # A container whose text is links to this share over the host's pages is a menu.
 LINK_SHARE = 0.6
 # Templates that are broadcast, by their counted size; slices of a host where they are not.
@@ -200,14 +204,28 @@ def templates(counted: DataFrame) -> DataFrame:
 def extract(source: str, template: set[int], menus: set[int]) -> str:
     """Text of the slots that belong to the article, one block a line."""
     blocks, _ = parse(source)
+    body = marked(slots(blocks, template, menus)) if template else marked(blocks)
+    if template:
+        whole = marked(blocks)
+        lost = sum(len(b.text) for b in whole) - sum(len(b.text) for b in body)
+        copied = whole[:1] and whole[0].article and lost > COPY_CHARS and 2 * lost > sum(len(b.text) for b in whole)
+        # An article without a slot of its own is a copy; a block outside of it must not take its place.
+        if copied or not body or whole[0].article > body[0].article:
+            body = whole
+    return "\n".join(b.text for b in body)
+
+
+def slots(blocks: list[Block], template: set[int], menus: set[int]) -> list[Block]:
+    """Blocks that are neither template text nor in a container of links."""
+    texts, paths = numbers([f"{b.path}#{b.text}" for b in blocks]).tolist(), numbers([b.path for b in blocks]).tolist()
+    return [b for b, t, p in zip(blocks, texts, paths) if t not in template and p not in menus]
+
+
+def marked(blocks: list[Block]) -> list[Block]:
+    """Blocks outside page furniture, of the article (or else the main part) where there is one."""
     body = [b for b in blocks if not b.furniture]
     deepest = max((b.article for b in body), default=0)
-    if deepest:
-        body = [b for b in body if b.article == deepest]
-    elif template:
-        texts, paths = numbers([f"{b.path}#{b.text}" for b in body]).tolist(), numbers([b.path for b in body]).tolist()
-        body = [b for b, t, p in zip(body, texts, paths) if t not in template and p not in menus]
-    return "\n".join(b.text for b in body)
+    return [b for b in body if b.article == deepest]
 
 
 def with_template(pages: DataFrame, known: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -225,10 +243,11 @@ def with_template(pages: DataFrame, known: DataFrame, most: int = BROADCAST_BYTE
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: ``page_id``, ``url``, ``text``, ``n_chars``.
 
-    Null html is empty and gives an empty text; a page without a host, or of a host with too few pages for a
-    template, is judged by its own markup. Page furniture is what its tags or names say (menus, headers, footers,
-    sidebars, notices, adverts, forms, comments); a page with an article (or else a main part) keeps only that.
-    Template text is dropped outside articles only, so pages that repeat one article keep it. Repeated rows are
+    Null html is empty and gives an empty text; a page of a host with fewer than three pages has nothing to be
+    compared with and is judged by its own markup. On all others template text and menus go first, in articles too;
+    of what is left, page furniture goes by its tags or names (menus, headers, footers, sidebars, notices, adverts,
+    forms, comments), and a page with an article (or else a main part) keeps only that. Pages that repeat a whole
+    article, or a long one for the greater part, keep it. Repeated rows are
     each answered; an empty table gives an empty result; other columns are not looked at.
     """
     base = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("row"),

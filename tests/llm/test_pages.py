@@ -38,6 +38,19 @@ def test_template_of_a_host(spark):
     assert got == {k: f"Body & text number {k}\nsecond part {k}" for k in range(20)}
 
 
+@pytest.mark.parametrize("n", [4, 20])
+def test_template_inside_articles(spark, n):
+    """The host's own lines go from its articles, on small hosts too; an article that is repeated whole stays."""
+    lines = "<p>By our staff</p>{}<div><p>Read more on this site</p><p>Licence: all of it is ours</p></div>"
+    rows = [(f"<html><body><article><h1>Head {k}</h1>{lines.format(f'<p>Story {k}</p>')}</article><p>Town</p></body></html>", k, "http://h.example/", None, 1)
+            for k in range(n)]
+    rows += [("<html><body><article><h1>Same</h1><p>copy</p></article></body></html>", n + k, "http://copies/", None, 1) for k in range(n)]
+    rows += [("<article><p>" + "long " * 200 + f"</p><h1>edit {k}</h1><p>end</p></article>", 2 * n + k, "http://edits/", None, 1) for k in range(n)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == ({k: f"Head {k}\nStory {k}" for k in range(n)} | {n + k: "Same\ncopy" for k in range(n)}
+                   | {2 * n + k: ("long " * 200).strip() + f"\nedit {k}\nend" for k in range(n)})
+
+
 def test_large_templates_are_not_broadcast(spark):
     from llm.pages import with_template
     pages = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("", 4)], "host string, row long")
