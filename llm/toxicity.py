@@ -128,10 +128,13 @@ def fit_machine(owner: np.ndarray, terms: np.ndarray, y: np.ndarray) -> Machine:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSITIVE, negative: int = SAMPLE_NEGATIVE,
                  id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fit on labelled rows that are not held out. The sample's identifiers (a bounded number) are broadcast, its
-    terms come to the driver. Several labels of one document: any 1 wins; null labels and ids don't count."""
+    terms come to the driver. The classes are sampled at different rates, which depend on the table's size; the bias
+    is corrected for them by the counts of all labelled rows, so that a score means the same on any size. Several
+    labels of one document: any 1 wins; null labels and ids don't count."""
     known = (labels.select(F.col(id_col).cast("long").alias("_label_id"), F.col(label_col).cast("int").alias("_y"))
              .where("_label_id is not null and _y is not null").where(~held_out("_label_id"))
              .groupBy("_label_id").agg(F.max("_y").alias("_y")).withColumn("_order", F.xxhash64("_label_id")))
+    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().where("_y in (0, 1)").collect()}
     sample = None
     for y, most in ((1, positive), (0, negative)):
         part = known.where(F.col("_y") == y).orderBy("_order", "_label_id").limit(most)
@@ -152,7 +155,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSI
     owner = np.repeat(np.arange(len(got), dtype=np.int32), [len(t) for t in terms])
     y = np.array([r[1] for r in got], float)
     del got
-    return fit_machine(owner, np.concatenate(terms), y)
+    machine = fit_machine(owner, np.concatenate(terms), y)
+    if counts.get(1) and counts.get(0):
+        machine.bias -= float(np.log(min(1, positive / counts[1]) / min(1, negative / counts[0])))
+    return machine
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -203,6 +203,23 @@ def test_machine_learns_pairs():
     assert score(b"insult group n1") > .8 and max(score(b"insult n1"), score(b"group n1"), score(b"")) < .2
 
 
+def test_toxicity_scores_on_any_size(spark):
+    """A sample that takes the classes at other rates than the table has them gives about the scores of all rows."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(8000):
+        toxic = rng.random() < .11
+        bad = [f"bad{rng.randrange(4)}"] if rng.random() < (.6 if toxic else .06) else []
+        rows.append((" ".join(bad + [f"n{rng.randrange(60)}" for _ in range(6)]), None, i, *[None] * 5))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    probes = [f"bad{k} n{n} n{n + 1}".encode() for k in range(4) for n in range(20)], [f"n{n} n{n + 7}".encode() for n in range(50)]
+    whole, part = (toxicity.fit_toxicity(docs, labels, *most) for most in ((10**6, 10**6), (400, 800)))
+    odds = lambda m, texts: float(np.mean(np.log(1 / m.score(texts) - 1)))
+    for texts in probes:
+        assert abs(odds(whole, texts) - odds(part, texts)) < .5
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, 1, *[None] * 5), ("", None, 2, *[None] * 5), ("x " * 50_000, None, None, *[None] * 5)], SCHEMA)
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
