@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from llm.common import flat_words, gram_hashes, per_batch, sliding_min, stored, texts_of, word_hashes
 
 WINDOW, PREFIX = 50, 16
-# Suffixes of one prefix that a single tree may hold; above, the prefix is lengthened to the window.
+# Suffixes (occurrences, however many documents have them) of one prefix that a single tree may hold; above, the prefix is lengthened to the window.
 GROUP_ROWS = 4_000
 # Suffixes that a task holds at once (whole groups).
 TREE_ROWS = 10_000
@@ -63,24 +63,28 @@ def _runs(texts: list[bytes]):
 
 
 def digests(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """``doc_id``, ``n_words``, ``sha`` of the words joined by one space, ``anchors`` (distinct prefix hashes)."""
+    """``doc_id``, ``n_words``, ``sha`` of the words joined by one space, ``anchors`` (distinct prefix hashes), ``times`` (occurrences of each)."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, starts, hashes = _runs(texts_of(batch, "text"))
-        shas, lists = [], []
+        shas, lists, times = [], [], []
         for i, (a, b) in enumerate(zip(starts, starts[1:])):
             shas.append(hashlib.sha256(b" ".join(words[a:b])).hexdigest())
             grams = gram_hashes(hashes[a:b], prefix)
-            lists.append(np.unique(grams[anchors_of(hashes[a:b], window, prefix)[0]]).view(np.int64) if len(grams) else np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(shas), pa.array(lists, pa.list_(pa.int64()))],
-                                          ["doc_id", "n_words", "sha", "anchors"])
-    return docs.mapInArrow(per_batch(run, "text"), "doc_id long, n_words long, sha string, anchors array<long>")
+            values, often = np.unique(grams[anchors_of(hashes[a:b], window, prefix)[0]], return_counts=True)
+            lists.append(values.view(np.int64))
+            times.append(often)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(shas), pa.array(lists, pa.list_(pa.int64())),
+                                           pa.array(times, pa.list_(pa.int64()))], ["doc_id", "n_words", "sha", "anchors", "times"])
+    return docs.mapInArrow(per_batch(run, "text"), "doc_id long, n_words long, sha string, anchors array<long>, times array<long>")
 
 
-SNIPPET = "prefix long, doc_id long, place int, first int, last int, snippet binary"
+SNIPPET = "prefix long, doc_id long, place int, span int, firsts array<int>, snippet binary"
 
 
 def snippets(hit: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Suffixes of moderate groups: from ``hit`` (doc_id, text, repeated) the words that the anchor's windows span."""
+    """Suffixes of moderate groups: from ``hit`` (doc_id, text, repeated) the words that the anchor's windows span.
+
+    Equal suffixes of one document are one row, with the places where they begin (``firsts``)."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, starts, hashes = _runs(texts_of(batch, "text"))
         ids, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -88,15 +92,17 @@ def snippets(hit: DataFrame, window: int, prefix: int) -> DataFrame:
         for i, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
             places, first, last = anchors_of(hashes[a:b], window, prefix)
             values = gram_hashes(hashes[a:b], prefix)[places].view(np.int64)
+            own: dict[tuple, list[int]] = {}
             for k in np.flatnonzero(np.isin(values, np.asarray(wanted[i] or [], np.int64))).tolist():
                 f, l = int(first[k]), int(last[k])
-                out.append((int(values[k]), ids[i], int(places[k]) - f, f, l, b" ".join(words[a + f:a + l + window])))
-        return _rows(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()], ["prefix", "doc_id", "place", "first", "last", "snippet"])
+                own.setdefault((int(values[k]), int(places[k]) - f, l - f, b" ".join(words[a + f:a + l + window])), []).append(f)
+            out += [(value, ids[i], place, span, firsts, snippet) for (value, place, span, snippet), firsts in own.items()]
+        return _rows(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()], ["prefix", "doc_id", "place", "span", "firsts", "snippet"])
     return hit.mapInArrow(per_batch(run, "text"), SNIPPET)
 
 
 def full_prefixes(hit: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Leaf nodes of groups that are too large for one tree: digest of each window, document, start."""
+    """Leaf nodes of groups that are too large for one tree: digest of each window, document, starts (one row per document)."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, starts, hashes = _runs(texts_of(batch, "text"))
         ids, wanted = batch.column(0).to_pylist(), batch.column(3).to_pylist()
@@ -106,11 +112,13 @@ def full_prefixes(hit: DataFrame, window: int, prefix: int) -> DataFrame:
                 continue
             places, first, last = anchors_of(hashes[a:b], window, prefix)
             values = gram_hashes(hashes[a:b], prefix)[places].view(np.int64)
+            own: dict[bytes, list[int]] = {}
             for k in np.flatnonzero(np.isin(values, np.asarray(wanted[i], np.int64))).tolist():
                 for s in range(int(first[k]), int(last[k]) + 1):
-                    out.append((hashlib.blake2b(b" ".join(words[a + s:a + s + window]), digest_size=16).digest(), ids[i], s))
-        return _rows(out, [pa.binary(), pa.int64(), pa.int32()], ["node", "doc_id", "start"])
-    return hit.mapInArrow(per_batch(run, "text"), "node binary, doc_id long, start int")
+                    own.setdefault(hashlib.blake2b(b" ".join(words[a + s:a + s + window]), digest_size=16).digest(), []).append(s)
+            out += [(node, ids[i], at) for node, at in own.items()]
+        return _rows(out, [pa.binary(), pa.int64(), pa.list_(pa.int32())], ["node", "doc_id", "starts"])
+    return hit.mapInArrow(per_batch(run, "text"), "node binary, doc_id long, starts array<int>")
 
 
 def _rows(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
@@ -128,9 +136,10 @@ def shared_lengths(keys: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def deep_nodes(rows: list[tuple], window: int) -> list[tuple[int, int]]:
-    """Windows of whole groups of suffixes that repeat in a smaller document: (row number, window start).
+    """Windows of whole groups of suffixes that repeat in a smaller document: (row number, window start
+    within the snippet).
 
-    Rows: (prefix, doc_id, place of the anchor in the snippet, first, last, snippet). Both trees are arrays of sorted
+    Rows: (prefix, doc_id, place of the anchor in the snippet, last start in the snippet, firsts, snippet). Both trees are arrays of sorted
     word numbers; the node of a row at depth t is the run of neighbours that share t entries or more.
     """
     number: dict[bytes, int] = {}
@@ -138,8 +147,7 @@ def deep_nodes(rows: list[tuple], window: int) -> list[tuple[int, int]]:
     coded = [np.fromiter([number.setdefault(w, len(number) + 1) for w in s], np.int64, len(s)) for s in split]
     n = len(rows)
     place = np.fromiter([r[2] for r in rows], np.int64, n)
-    first = np.fromiter([r[3] for r in rows], np.int64, n)
-    last = np.fromiter([r[4] for r in rows], np.int64, n)
+    span = np.fromiter([r[3] for r in rows], np.int64, n)
     doc = np.fromiter([r[1] for r in rows], np.int64, n)
     group = np.unique(np.fromiter([r[0] for r in rows], np.int64, n), return_inverse=True)[1]
     reach = max(int(place.max()), 1)
@@ -159,7 +167,7 @@ def deep_nodes(rows: list[tuple], window: int) -> list[tuple[int, int]]:
     rows_at = np.arange(n)
     for d in range(reach + 1):
         # The window that starts d words before the anchor belongs to the row if d is in its range.
-        mine = (place >= d) & (place - d <= last - first)
+        mine = (place >= d) & (place - d <= span)
         if not mine.any():
             continue
         nodes = []
@@ -173,7 +181,7 @@ def deep_nodes(rows: list[tuple], window: int) -> list[tuple[int, int]]:
         least = np.full(inverse.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, inverse, doc[at])
         for r in at[least[inverse] < doc[at]].tolist():
-            found.append((r, int(first[r] + place[r] - d)))
+            found.append((r, int(place[r] - d)))
     return found
 
 
@@ -195,7 +203,7 @@ def tree_repeats(suffixes: DataFrame, window: int, tree_rows: int) -> DataFrame:
     def solve(rows: list[tuple]):
         by_doc: dict[int, list[int]] = {}
         for r, start in deep_nodes(rows, window) if rows else ():
-            by_doc.setdefault(rows[r][1], []).append(start)
+            by_doc.setdefault(rows[r][1], []).extend([first + start for first in rows[r][4]])
         if by_doc:
             yield pa.RecordBatch.from_arrays([pa.array(list(by_doc), pa.int64()), pa.array(list(by_doc.values()), pa.list_(pa.int32()))], ["doc_id", "starts"])
 
@@ -231,8 +239,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     # Documents with the same words, all but the smallest id, are repeats as a whole.
     least = info.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("_least")).select("_least")
     own = info.where(F.col("n_words") >= window).join(least, F.col("doc_id") == F.col("_least"), "left_semi")
-    suffix = own.select("doc_id", F.explode("anchors").alias("prefix"))
-    often = suffix.groupBy("prefix").agg(F.count("*").alias("_n")).where("_n > 1").withColumnRenamed("prefix", "_prefix")
+    suffix = own.select("doc_id", F.explode(F.arrays_zip("anchors", "times")).alias("_a")).select("doc_id", F.col("_a.anchors").alias("prefix"), F.col("_a.times").alias("_times"))
+    often = suffix.groupBy("prefix").agg(F.count("*").alias("_docs"), F.sum("_times").alias("_n")).where("_docs > 1").withColumnRenamed("prefix", "_prefix")
     again = suffix.join(often, F.col("prefix") == F.col("_prefix"))
     large = F.col("_n") > group_rows
     lists = again.groupBy("doc_id").agg(F.collect_list(F.when(~large, F.col("prefix"))).alias("moderate"), F.collect_list(F.when(large, F.col("prefix"))).alias("large"))
@@ -240,14 +248,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     hit = stored(docs.join(lists, F.col("doc_id") == F.col("_hit")).select("doc_id", "text", "moderate", "large"), "substrings-hit")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_prefix = snippets(hit, window, prefix).repartition(tasks, "prefix").sortWithinPartitions("prefix")
-    starts = tree_repeats(by_prefix, window, tree_rows).select("doc_id", F.explode("starts").alias("start"))
+    starts = tree_repeats(by_prefix, window, tree_rows)
     leaves = full_prefixes(hit.where(F.size("large") > 0), window, prefix)
     nodes = leaves.groupBy("node").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least < _most")
     nodes = nodes.select(F.col("node").alias("_node"), "_least")
-    hot = leaves.join(nodes, (F.col("node") == F.col("_node")) & (F.col("_least") < F.col("doc_id"))).select("doc_id", "start")
-    found = starts.unionByName(hot).groupBy("doc_id").agg(F.collect_set("start").alias("starts")).withColumnRenamed("doc_id", "_found")
+    hot = leaves.join(nodes, (F.col("node") == F.col("_node")) & (F.col("_least") < F.col("doc_id"))).select("doc_id", "starts")
+    found = starts.unionByName(hot).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts")).withColumnRenamed("doc_id", "_found")
     copies = info.where(F.col("n_words") >= window).join(least, F.col("doc_id") == F.col("_least"), "left_anti").select("doc_id")
-    return info.drop("anchors"), hit, found, copies
+    return info.drop("anchors", "times"), hit, found, copies
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col: str = "doc_id", text_col: str = "text",

@@ -54,6 +54,20 @@ def test_equals_brute_force(spark, seed, group_rows, tree_rows):
             assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
 
 
+def test_groups_count_occurrences(spark, monkeypatch):
+    """Few documents that repeat a word or a line often are a large group too; equal suffixes of a document are one."""
+    from llm import substrings
+    line = " ".join(f"k{i}" for i in range(25))
+    rows = [("z " * 300, 1, "x", "y"), ("z " * 290 + "end", 2, "x", "y"), (f"{line} " * 3 + "a b", 3, "x", "y"), (f"c {line} " * 4, 4, "x", "y"), (f"{line} " * 2 + "e", 5, "x", "y")]
+    seen, trees = [], substrings.tree_repeats
+    monkeypatch.setattr(substrings, "tree_repeats", lambda suffixes, *a: seen.extend(suffixes.collect()) or trees(suffixes, *a))
+    got = dedup_substrings(spark.createDataFrame(rows, SCHEMA), window=20, prefix=6, group_rows=100).collect()
+    assert {tuple(r)[:4] for r in got} == brute(rows, 20)
+    groups = [r["prefix"] for r in seen]
+    own = [(r["prefix"], r["doc_id"], r["place"], r["snippet"]) for r in seen]
+    assert seen and max(groups.count(g) for g in groups) <= 100 and len(own) == len(set(own))
+
+
 def test_empty(spark):
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
 
