@@ -37,7 +37,9 @@ BROADCAST_BYTES, SLICES = 32 << 20, 64
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
-RAW = "script|style|noscript|template|textarea|svg|iframe|object|head|select|button|canvas|audio|video"
+# What is no text up to the end tag; without one, scripts and styles run to the end of the page, of others only the tag goes.
+RAW = "script|style"
+SKIPPED = frozenset("noscript template textarea svg iframe object select button canvas audio video title".split())
 FURNITURE = frozenset("nav footer aside form menu dialog header".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner nav navbar navigation "
                   "menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal "
@@ -46,18 +48,38 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense s
 COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 ROOT = "/"
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+# Ends of compounds that say nothing of the content (sidebar-left), and beginnings that tell of a layout (has-sidebar).
+ENDS = frozenset("area bar block box buttons container inner items left links list right section top bottom widgets wrap wrapper".split())
+LAYOUT = frozenset("has with without no not is show hide".split())
+# How a block lies in furniture: named so outside its article, or in any other way.
+AROUND, WITHIN = 1, 2
+
+
+def named(attributes: str) -> set[str]:
+    """Names of furniture (or ``main``) that class, id and role give as a whole or at the end of a compound."""
+    found = set()
+    for name in " ".join("".join(v) for v in NAMED.findall(attributes)).split():
+        parts = [w.lower() for w in PARTS.findall(name)]
+        found.add("".join(parts))
+        if parts and parts[0] not in LAYOUT:
+            while len(parts) > 1 and (parts[-1] in ENDS or parts[-1].isdigit()):
+                parts.pop()
+            found.add(parts[-1])
+            if parts[0] == "main":
+                found.add("main")
+    return found
 
 
 class Block:
     """A piece of text: its words, where it lies, whether in page furniture or an article, its characters in links."""
     __slots__ = ("text", "path", "furniture", "article", "links")
 
-    def __init__(self, text: str, path: str, furniture: bool, article: int, links: int):
+    def __init__(self, text: str, path: str, furniture: int, article: int, links: int):
         self.text, self.path, self.furniture, self.article, self.links = text, path, furniture, article, links
 
 
@@ -65,8 +87,8 @@ def parse(source: str) -> tuple[list[Block], list[str]]:
     """Blocks in page order, and the tag tokens (containers above and the tag with its names)."""
     blocks: list[Block] = []
     tags: list[str] = []
-    # Of each open element: tag, container path, in furniture, in an article (2) or a main part (1), in a link.
-    stack: list[tuple[str, str, bool, int, bool]] = [("", ROOT, False, 0, False)]
+    # Of each open element: tag, container path, in furniture, in an article (3), a main element (2) or a part named main (1), in a link.
+    stack: list[tuple[str, str, int, int, bool]] = [("", ROOT, 0, 0, False)]
     pieces: list[str] = []
     links = 0
 
@@ -88,15 +110,27 @@ def parse(source: str) -> tuple[list[Block], list[str]]:
                 links += len(text.strip())
 
     at = 0
-    for m in TOKEN.finditer(source):
+    endless: set[str] = set()
+    while m := TOKEN.search(source, at):
         add(source[at:m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
-            if m[1] and m[1].lower() not in ("svg", "button", "select"):
+            if m[1]:
                 flush()
             continue
         tag = tag.lower()
+        if tag in SKIPPED:
+            if tag not in ("svg", "button", "select"):
+                flush()
+            # Only svg can close itself; an end that is missing is looked for once.
+            if not m[2] and tag not in endless and not (tag == "svg" and m[4].endswith("/")):
+                end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+            continue
         if tag == "br":
             pieces.append(" ")
             continue
@@ -124,15 +158,19 @@ def parse(source: str) -> tuple[list[Block], list[str]]:
         token = f"{path}<{tag}" + "".join(f".{w}" for w in names)
         if tag not in INLINE:
             tags.append(token)
-        if tag in ("article", "main") or "main" in names and tag not in INLINE:
-            article = max(article, 2 if tag == "article" else 1)
+        says = named(attributes) if attributes else set()
+        if tag in ("article", "main") or "main" in says and tag not in INLINE:
+            article = max(article, {"article": 3, "main": 2}.get(tag, 1))
         if tag not in ("html", "body", "main"):
-            told = NAMES.intersection(names)
+            told = NAMES & says
             if tag == "article":
                 told &= COMMENTS
             elif article:
                 told -= {"header"}
-            furniture = furniture or bool(told) or (tag in FURNITURE and not (tag == "header" and article)) or bool(attributes and HIDDEN.search(attributes))
+            if (tag in FURNITURE and tag != "form" and not (tag == "header" and article)) or attributes and HIDDEN.search(attributes) or told & COMMENTS:
+                furniture = WITHIN
+            elif told or tag == "form":
+                furniture = max(furniture, WITHIN if article else AROUND)
         if tag not in VOID and not attributes.endswith("/"):
             stack.append((tag, token if tag not in INLINE else path, furniture, article, link or tag == "a"))
     add(source[at:])
@@ -210,7 +248,7 @@ def extract(source: str, template: set[int], menus: set[int]) -> str:
         lost = sum(len(b.text) for b in whole) - sum(len(b.text) for b in body)
         copied = whole[:1] and whole[0].article and lost > COPY_CHARS and 2 * lost > sum(len(b.text) for b in whole)
         # An article without a slot of its own is a copy; a block outside of it must not take its place.
-        if copied or not body or whole[0].article > body[0].article:
+        if copied or not body or min(whole[0].article, 2) > min(body[0].article, 2):
             body = whole
     return "\n".join(b.text for b in body)
 
@@ -222,10 +260,14 @@ def slots(blocks: list[Block], template: set[int], menus: set[int]) -> list[Bloc
 
 
 def marked(blocks: list[Block]) -> list[Block]:
-    """Blocks outside page furniture, of the article (or else the main part) where there is one."""
+    """Blocks outside page furniture, of the articles and main elements (or else a part named main) where there are any.
+
+    Names around an article, or a form, don't count where no other article or main element is left."""
     body = [b for b in blocks if not b.furniture]
+    if all(b.article < 2 for b in body):
+        body = [b for b in blocks if b.article >= 2 and b.furniture < WITHIN] or body
     deepest = max((b.article for b in body), default=0)
-    return [b for b in body if b.article == deepest]
+    return [b for b in body if b.article >= min(deepest, 2)]
 
 
 def with_template(pages: DataFrame, known: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:

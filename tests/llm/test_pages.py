@@ -69,6 +69,19 @@ def test_odd_rows(spark):
     assert main_text(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("source,want", [
+    ("<div class='has-sidebar'><article><p>a</p></article></div>", "a"), ("<div class='with-comments'><article>a</article></div>", "a"),
+    ("<div class='share-layout'><p>a</p></div>", "a"), ("<article class='post comments-open'><p>a</p></article>", "a"),
+    ("<div class='page-sidebar'><article>a</article></div><p>x</p>", "a"), ("<form><main>a</main></form>", "a"),
+    ("<div class='sidebar-left'>x</div><div class='mainNav'>x</div><p>a</p>", "a"),
+    ("<main><p>body</p><article>teaser</article></main>", "body\nteaser"),
+    ("<head><title>t</title><style>p{}</style><body><p>a</p>", "a"), ("<head><meta charset=x><title>t</title><p>a", "a"),
+    ("<p>a <svg/> b</p><p>c</p>", "a b\nc"), ("<p>a <svg><text>x</text></svg> b", "a b"), ("<p>a</p><select><p>b</p>", "a\nb"), ("<video-list><p>a</p></video-list>", "a")])
+def test_markup_loses_no_main_text(source, want):
+    from llm.pages import extract
+    assert extract(source, set(), set()) == want
+
+
 @pytest.mark.parametrize("source", ["<" * 5000, "<a " * 5000, '<a href="' * 2000, "<!--" * 3000, "<p>" * 20000])
 def test_hostile_markup_ends(source):
     assert isinstance(parse(source), tuple)
