@@ -131,3 +131,9 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.pii import personal_data
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
