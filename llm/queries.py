@@ -137,3 +137,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.whitening import whiten
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
+sized as (select doc_id, w, len(w)::bigint n from d where len(w) > 0),
+total as (select count(*)::bigint nn, sum(n)::bigint ll from sized),
+q as (select item_id, t, count(*)::bigint times from (select item_id, unnest(list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) t from benchmark)
+      group by all),
+tf as (select doc_id, n, t, count(*)::bigint tf from (select doc_id, n, unnest(w) t from sized) where t in (select t from q) group by all),
+weight as (select t, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint w from tf, total group by t, nn),
+scored as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::bigint score
+           from q join weight using (t) join tf using (t), total group by item_id, doc_id),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int rank, doc_id, score from scored where score > 0)
+select * from ranked where rank <= 20
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.search import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
