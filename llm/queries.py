@@ -139,6 +139,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_quality_rules")
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.quality import fit_quality, quality_rules
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 OP13_SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
