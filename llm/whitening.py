@@ -29,6 +29,8 @@ ZERO, AGAIN, SEED = 1e-12, 1e-8, 11
 # The largest residual of a wanted component, as a share of the first deviation, at which the steps end.
 TOLERANCE = 1e-15
 MOST = 2 ** 63 - 1
+# Sums of tasks are added on the driver up to so many numbers, by a tree of tasks beyond.
+NUMBERS = 1_000_000
 
 
 @dataclass
@@ -97,7 +99,7 @@ class Rows:
         self.blocks, self.d, self.middle, self.rest = blocks.rdd, len(sums), np.array(model.middle, np.int64), model.rest
 
     def sums(self, fn, width: int) -> np.ndarray:
-        """Sum over all rows of ``fn(centred rows)``, ``width`` numbers: each task adds its own, then a tree of tasks
+        """Sum over all rows of ``fn(centred rows)``, ``width`` numbers: each task adds its own, then a tree
         adds the tasks'. The same few numbers a task at any size, and no plan to make anew for each of many products."""
         d, middle, rest = self.d, self.middle, self.rest
 
@@ -106,7 +108,8 @@ class Rows:
             for (raw,) in blocks:
                 total += fn((np.frombuffer(raw, "<i8").reshape(-1, d) - middle).astype(float) - rest)
             return [total]
-        return self.blocks.mapPartitions(run).treeReduce(np.add)
+        depth = 1 if self.blocks.getNumPartitions() * width <= NUMBERS else 2
+        return self.blocks.mapPartitions(run).treeReduce(np.add, depth)
 
 
 def bidiagonalise(rows: Rows, steps: int, wanted: int, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, float]:
