@@ -69,12 +69,12 @@ def _usable(df: DataFrame, pattern: str | None) -> bool:
     return True
 
 
-def filter_comm(df: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:
+def filter_comm(df: DataFrame, include: str | None = None, exclude: str | None = None, column: str = "comm") -> DataFrame:
     """Unanchored regex filters on comm (Java dialect); ``.*`` or an invalid pattern is no filter."""
     if include != ".*" and _usable(df, include):
-        df = df.where(F.col("comm").rlike(include))
+        df = df.where(F.col(column).rlike(include))
     if _usable(df, exclude):
-        df = df.where(~F.col("comm").rlike(exclude))
+        df = df.where(~F.col(column).rlike(exclude))
     return df
 
 

@@ -84,7 +84,7 @@ order by timestamp_ns desc, seq desc limit 1000""")
 def record_range(spark, sf):
     rec = A.records(spark, sf)
     lo, hi = rec.agg(F.min("timestamp_ns"), F.max("timestamp_ns")).first()
-    out = readers.query_records(rec, "feed_1", lo + DAY, hi - DAY)
+    out = readers.query_records(rec, "feed_1", lo + DAY, hi - DAY, limit=1000)
     return out.select("seq", "timestamp_ns", F.try_element_at("labels", F.lit("type")).alias("event_type"))
 
 

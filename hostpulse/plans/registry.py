@@ -19,7 +19,8 @@ from hostpulse.operators import filters, pairing, profiles, sched, series, stats
 from hostpulse.sinks import tables, text
 from hostpulse.sinks.tables import FanOut
 from hostpulse.sources import readers
-from hostpulse.streaming import live, run, windows
+from hostpulse.session import durable_dir
+from hostpulse.streaming import live, run, stages as counted, windows
 
 KINDS = ("source", "processor", "aggregator", "sink")
 _STAGES: dict[str, dict[str, Callable]] = {k: {} for k in KINDS}
@@ -65,7 +66,11 @@ def _resolve(kind: str, stage) -> Callable:
 
 
 class Pipeline:
-    """A chain built from ``{"name", "source", "processors", "aggregator", "sinks", "checkpoint", "spool"}``."""
+    """A chain built from ``{"name", "source", "processors", "aggregator", "sinks", "checkpoint", "spool", "count", "flush"}``.
+
+    ``count`` keeps counters of every stage (``counts``); it needs a spool folder, which is made where none is given.
+    ``flush`` (``{"delay", "window"}``, for a stream source without a watermark) closes a bounded run: the newest windows come out too.
+    """
 
     def __init__(self, spec: dict):
         self.name = spec.get("name", "chain")
@@ -73,30 +78,63 @@ class Pipeline:
             raise SpecError(f"{self.name}: a source is required")
         if not spec.get("sinks"):
             raise SpecError(f"{self.name}: at least one sink is required")
+        self.counts = counted.StageCounts(self.name) if spec.get("count") else None
+        self.flush = spec.get("flush")
+        self.names = {k: [x if isinstance(x, str) else x["type"] for x in v] for k, v in
+                      {"source": [spec["source"]], "processor": spec.get("processors", []), "aggregator": [spec["aggregator"]] if spec.get("aggregator") else [],
+                       "sink": spec["sinks"]}.items()}
         self.source = _resolve("source", spec["source"])
         self.processors = [_resolve("processor", p) for p in spec.get("processors", [])]
         self.aggregator = _resolve("aggregator", spec["aggregator"]) if spec.get("aggregator") else None
         self.sinks = [_resolve("sink", s) for s in spec["sinks"]]
         self.checkpoint = spec.get("checkpoint")
         self.spool = spec.get("spool")
-        self.fan_out = FanOut(self.sinks, self.spool)
+        self.fan_out = FanOut(self.sinks, self.spool, self.names["sink"], self.counts.took if self.counts else None)
+
+    def _edge(self, df: DataFrame, kind: str, i: int = 0) -> DataFrame:
+        return self.counts.edge(df, self.names[kind][i], kind) if self.counts else df
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for step in self.processors:
-            df = df.transform(step)
-        return df.transform(self.aggregator) if self.aggregator else df
+        for i, step in enumerate(self.processors):
+            df = self._edge(df.transform(step), "processor", i)
+        return self._edge(df.transform(self.aggregator), "aggregator") if self.aggregator else df
 
     def plan(self, spark: SparkSession) -> DataFrame:
-        return self.transform(self.source(spark))
+        return self.transform(self._edge(self.source(spark), "source"))
 
     def run(self, spark: SparkSession, available_now: bool = False):
         """Batch source: write once to every sink.  Stream source: start a query."""
-        df = self.plan(spark)
-        if df.isStreaming:
-            return run.start(df, self.fan_out, self.checkpoint, available_now, name=self.name)
-        self.fan_out(df, None)
+        if self.counts:
+            self.counts.stages, self.counts.running = [], True
+            self.fan_out.spool = self.fan_out.spool or durable_dir(spark, "spool")
+        source = self._edge(self.source(spark), "source")
+        if source.isStreaming:
+            return self._run_stream(spark, source, available_now)
+        self.fan_out(self.transform(source), None)
+        if self.counts:
+            self.counts.finish_batch()
+            self.counts.running = False
         return self.fan_out.errors
 
+    def _run_stream(self, spark: SparkSession, source: DataFrame, available_now: bool):
+        if self.counts:
+            counted.watch(spark, self.counts)
+        closing = None
+        if self.flush:
+            self.checkpoint = self.checkpoint or durable_dir(spark, "stream")
+            closing = run.Closing(spark, f"{self.checkpoint}.end", self.flush["delay"], self.flush["window"])
+            source = closing.attach(source)
+        df = self.transform(source)
+        if closing and available_now:
+            query = run.run_available(df, self.fan_out, self.checkpoint, closing, self.name)
+        else:
+            query = run.start(df, self.fan_out, self.checkpoint, available_now, name=self.name)
+        if self.counts and available_now:
+            query.awaitTermination()
+            counted.settle(spark, query)
+            self.counts.running = False
+        return query
+
 
 def start_pipeline(spark: SparkSession, spec: dict):
     return Pipeline(spec).run(spark)

@@ -194,50 +194,68 @@ class FanOut:
     """``foreachBatch`` target that gives a batch to every sink; a failing sink is counted, not fatal.
 
     With several sinks and a ``spool`` folder the batch is written there once and every sink reads that, so its
-    lineage is not run again for each.  Batches that a sink failed on stay in the spool: ``replay`` gives them to it.
+    lineage is not run again for each.  Batches that a sink failed on stay in the spool, and a marker names the sink:
+    ``replay`` gives them to it, also after a restart, as all it needs lies in the folder.
     """
 
-    def __init__(self, sinks, spool: str | None = None):
+    def __init__(self, sinks, spool: str | None = None, names=None, took=None):
         self.sinks = list(sinks)
         self.spool = spool
-        self.names = [getattr(s, "__name__", f"sink{i}") for i, s in enumerate(self.sinks)]
+        self.names = list(names or [getattr(s, "__name__", f"sink{i}") for i, s in enumerate(self.sinks)])
         self.errors = dict.fromkeys(self.names, 0)
-        self.failed: list[tuple[int, int]] = []        # (sink, batch)
+        self.took = took                               # told of every (batch, sink, whether it took the batch)
 
     def _stored(self, spark, schema, batch_id):
         return spark.read.schema(schema).parquet(f"{self.spool}/batch={batch_id}")
 
-    def _give(self, i: int, df: DataFrame, batch_id: int) -> bool:
+    def _give(self, i: int, df: DataFrame, batch_id: int | None) -> bool:
         try:
             self.sinks[i](df, batch_id)
-            return True
+            fine = True
         except Exception:
             self.errors[self.names[i]] += 1
             log.exception("sink failed in batch %s", batch_id)
-            return False
+            fine = False
+        if self.took:
+            self.took(batch_id, self.names[i], fine)
+        return fine
 
     def __call__(self, df: DataFrame, batch_id: int | None) -> None:
         spark, path = df.sparkSession, f"{self.spool}/batch={batch_id}"
-        self.schema = df.schema
         if self.spool:
             df.write.mode("overwrite").parquet(path)
-            df = self._stored(spark, self.schema, batch_id)
+            df = self._stored(spark, df.schema, batch_id)
         bad = [i for i in range(len(self.sinks)) if not self._give(i, df, batch_id)]
-        self.failed += [(i, batch_id) for i in bad]
-        if self.spool and not bad:
-            fs, jpath = _fs(spark, path)
-            fs.delete(jpath, True)
+        if self.spool:
+            self._mark(spark, batch_id, bad)
+
+    def _mark(self, spark, batch_id, bad: list[int]) -> None:
+        """Leave markers of the sinks that a spooled batch still waits for; a batch that waits for none goes."""
+        fs, folder = _fs(spark, f"{self.spool}/failed/batch={batch_id}")
+        fs.delete(folder, True)
+        for i in bad:
+            fs.create(spark._jvm.org.apache.hadoop.fs.Path(folder, f"sink={i}"), True).close()
+        if not bad:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.spool}/batch={batch_id}"), True)
+
+    def waiting(self, spark: SparkSession) -> dict[int | None, list[int]]:
+        """Spooled batches and the sinks that they wait for."""
+        fs, _ = _fs(spark, self.spool)
+        out: dict = {}
+        for f in _list(fs, spark._jvm.org.apache.hadoop.fs.Path(f"{self.spool}/failed/batch=*/sink=*")):
+            batch = f.getPath().getParent().getName().split("=", 1)[1]
+            out.setdefault(None if batch == "None" else int(batch), []).append(int(f.getPath().getName().split("=", 1)[1]))
+        return {b: sorted(out[b]) for b in sorted(out, key=lambda b: -1 if b is None else b)}
 
     def replay(self, spark: SparkSession) -> int:
         """Give spooled batches to the sinks that failed on them; returns how many still fail."""
-        again, self.failed = self.failed, []
-        for i, batch_id in again:
-            if not self._give(i, self._stored(spark, self.schema, batch_id), batch_id):
-                self.failed.append((i, batch_id))
-        for batch_id in {b for _, b in again} - {b for _, b in self.failed}:
-            fs, jpath = _fs(spark, f"{self.spool}/batch={batch_id}")
-            fs.delete(jpath, True)
-        return len(self.failed)
+        left = 0
+        for batch_id, sinks in self.waiting(spark).items():
+            df = spark.read.parquet(f"{self.spool}/batch={batch_id}")
+            bad = [i for i in sinks if not self._give(i, df, batch_id)]
+            self._mark(spark, batch_id, bad)
+            left += len(bad)
+        return left
 
 
 def fan_out(sinks, spool: str | None = None) -> FanOut:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import time
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from hostpulse.functions import columns as C
 from hostpulse.session import durable_dir
 from hostpulse.sinks.tables import FanOut
 
@@ -27,10 +30,63 @@ def start(stream: DataFrame, sinks, checkpoint: str | None = None, available_now
     return writer.start()
 
 
-def run_available(stream: DataFrame, sinks, checkpoint: str | None = None) -> StreamingQuery:
-    """Process everything that is there, then stop.  The last windows stay until the watermark passes."""
-    query = start(stream, sinks, checkpoint, available_now=True)
+class Closing:
+    """The end of a stream as a row: what state holds comes out when the input is known to be complete.
+
+    ``attach`` unites the stream with a folder of marks that is empty while it runs, and sets the watermark on both.
+    ``close`` adds a mark so far behind the last row that the watermark passes the end of every open window; the mark
+    itself goes no further than the watermark.  A mark reaches just as far as needed: rows of later windows that come
+    in a later run are still taken.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, delay: str, window: str, time: str = "ts"):
+        self.spark, self.folder, self.delay, self.time = spark, folder, delay, time
+        self.delay_us, self.window_us = C.duration_ns(delay) // 1000, C.duration_ns(window) // 1000
+        self._marks([]).write.mode("append").parquet(folder)
+
+    def _marks(self, at_us: list[int]) -> DataFrame:
+        return self.spark.createDataFrame([(x,) for x in at_us], "at BIGINT").coalesce(1)
+
+    def attach(self, stream: DataFrame) -> DataFrame:
+        marks = self.spark.readStream.schema("at BIGINT").parquet(self.folder)
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != self.time else F.timestamp_micros("at").alias(f.name) for f in stream.schema]
+        both = stream.withColumn("__end", F.lit(False)).unionByName(marks.select(*empty, F.lit(True).alias("__end")))
+        both = both.withWatermark(self.time, self.delay)
+        # the watermark has to see the mark: no filter is moved below a column that isn't deterministic
+        return both.withColumn("__bar", F.rand()).where(~F.col("__end") & (F.col("__bar") >= 0)).drop("__end", "__bar")
+
+    def close(self, query: StreamingQuery) -> bool:
+        """Add a mark for what ``query`` has left in its state; False if there is one already."""
+        times = [p["eventTime"] for p in map(_progress, query.recentProgress)]
+        newest = max((_micros(t["max"]) for t in times if "max" in t), default=None)
+        reached = max((_micros(t["watermark"]) for t in times if "watermark" in t), default=0)
+        last = max(newest or 0, reached + self.delay_us if reached else 0)
+        mark = last + self.window_us + self.delay_us
+        known = self.spark.read.schema("at BIGINT").parquet(self.folder).agg(F.max("at")).first()[0]
+        if not last or (known is not None and (known >= mark or newest is None or newest == known)):
+            return False
+        self._marks([mark]).write.mode("append").parquet(self.folder)
+        return True
+
+
+def _progress(p) -> dict:
+    return p if isinstance(p, dict) else json.loads(p.json)
+
+
+def _micros(text: str) -> int:
+    return round(datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp() * 1_000_000)
+
+
+def run_available(stream: DataFrame, sinks, checkpoint: str | None = None, closing: Closing | None = None,
+                  name: str | None = None) -> StreamingQuery:
+    """Process everything that is there, then stop.  The last windows stay in state until the watermark passes, unless
+    ``closing`` (whose ``attach`` made the stream) is given: then a second run from the same checkpoint brings them out."""
+    checkpoint = checkpoint or durable_dir(stream.sparkSession, "stream")
+    query = start(stream, sinks, checkpoint, available_now=True, name=name)
     query.awaitTermination()
+    if closing is not None and closing.close(query):
+        query = start(stream, sinks, checkpoint, available_now=True, name=name)
+        query.awaitTermination()
     return query
 
 
