@@ -205,6 +205,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, id_col: str = "doc
     totals = index.where("term = ''").agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)).alias("l")).first()
     n_docs, n_terms = totals["n"] or 0, totals["l"] or 0
     wanted = queries.select(F.col("term").alias("q_term")).distinct()
+    if wanted.count() <= block_terms:  # few enough to send to every task; else index and terms are shuffled by term
+        wanted = F.broadcast(wanted)
     df = (index.select("term", F.size("at").alias("df")).join(wanted, F.col("term") == F.col("q_term"), "left_semi")
           .groupBy("term").agg(F.sum("df").alias("df")).select(F.col("term").alias("q_term"), "df"))
     terms = stored(queries.join(df, F.col("term") == F.col("q_term")).select("block", "item", "item_id", "term", "times", "df"), "search-terms")
