@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hostpulse.functions import columns as C
 from hostpulse.operators import pairing
+from hostpulse.operators.aggregators import Aggregator, aggregate
 from hostpulse.plans import adapters as A
 from hostpulse.plans import queries_cases, registry  # noqa: F401  (registers the other parts)
 from hostpulse.plans.queries import query, r
 from hostpulse.plans.queries_more import _event_stream
+from hostpulse.plans import sql as S
 from hostpulse.session import durable_dir
+from hostpulse.sources import datasource
 
 EVENT_SCHEMA = "host STRING, seq BIGINT, ts TIMESTAMP, timestamp_ns BIGINT, event_type STRING, prev_pid BIGINT, next_pid BIGINT, next_comm STRING, prev_comm STRING, cpu BIGINT"
 
@@ -103,3 +107,131 @@ def stream_closed(spark, sf):
         registry.run_available(spark, spec)
     got = spark.read.parquet(out).select("host", "window_ns", F.col("labels")[0]["value"].alias("type"), r("avg", 9), "count", r("p50", 9))
     return got.groupBy(*got.columns).agg(F.count(F.lit(1)).alias("times"))
+
+
+class TopValue(Aggregator):
+    """The largest value, the earliest time that has it, and how many values there were."""
+
+    columns = ("value", "timestamp_ns")
+    schema = "top DOUBLE, top_ns BIGINT, n BIGINT"
+
+    def zero(self):
+        return [None, None, 0]
+
+    def add(self, state, rows):
+        value, at = rows["value"], rows["timestamp_ns"]
+        if not value.notna().any():
+            return state
+        top = value.max()
+        return self.merge(state, [float(top), int(at[value == top].min()), int(value.notna().sum())])
+
+    def merge(self, a, b):
+        if a[0] is None or b[0] is None:
+            return [*(b if a[0] is None else a)[:2], a[2] + b[2]]
+        top, at = min((-a[0], a[1]), (-b[0], b[1]))
+        return [-top, at, a[2] + b[2]]
+
+    def flush(self, state):
+        return [tuple(state)]
+
+
+TOP_SQL = A.duck_with("rec") + """
+, k as (select case when user_id % 3 = 0 then 'hot' else event_type end as label, timestamp_ns - timestamp_ns % {size} as window_ns, value, timestamp_ns from rec)
+select label, {window} max(value) as top, arg_min(timestamp_ns, (-value, timestamp_ns)) as top_ns, count(*) as n from k group by {keys}"""
+
+
+def _labelled(df):
+    return df.select("ts", "timestamp_ns", "value", F.when(F.col("user_id") % 3 == 0, "hot").otherwise(F.col("event_type")).alias("label"))
+
+
+@query("user_aggregator", TOP_SQL.format(size=1, window="", keys="label"))
+def user_aggregator(spark, sf):
+    """Top value and its time per label by a user's add, merge and flush; one label holds a third of all rows."""
+    rows = A.table(spark, sf, "rec").withColumn("ts", C.ns_to_ts("timestamp_ns"))
+    registry.register_aggregator("top_value", lambda df: aggregate(df, TopValue(), ["label"]))
+    registry.register_source("labelled", lambda s: _labelled(rows))
+    out = durable_dir(spark, "tops")
+    registry.start_pipeline(spark, {"name": "tops", "source": "labelled", "aggregator": "top_value", "sinks": [{"type": "parquet", "options": {"path": out}}]})
+    return spark.read.parquet(out)
+
+
+@query("stream_user_aggregator", TOP_SQL.format(size=21600000000000, window="window_ns,", keys="label, window_ns"))
+def stream_user_aggregator(spark, sf):
+    """The same accumulator as keyed state of a stream, with its last flush."""
+    out = durable_dir(spark, "tops")
+    registry.register_source("labelled_stream", lambda s: _labelled(_event_stream(s, sf, None)))
+    registry.register_aggregator("top_windows", lambda df: aggregate(df, TopValue(), ["label"], "6 hours"))
+    registry.run_available(spark, {"name": "tops", "source": "labelled_stream", "aggregator": "top_windows", "flush": {"delay": "1 hour", "window": "6 hours"},
+                                   "sinks": [{"type": "parquet", "options": {"path": out}}]})
+    return spark.read.parquet(out)
+
+
+def _captured_maps(spark, sf) -> str:
+    """Map dumps as captured files, a folder for each host and a file for each process."""
+    path = durable_dir(spark, "captured")
+    m = A.table(spark, sf, "maps")
+    hexed = lambda c: F.lower(F.hex(F.col(c).cast("bigint")))
+    line = F.concat(hexed("start_at"), F.lit("-"), hexed("end_at"), F.lit(" r-xp "), hexed("file_at"), F.lit(" 08:01 1234      "), "path")
+    m.select("host", "pid", line.alias("value")).repartition("host", "pid").write.partitionBy("host", "pid").text(path)
+    return path
+
+
+MAPS_SQL = A.duck_with("maps") + """select host, pid::varchar as pid, start_at::varchar as start, end_at::varchar as "end", path from maps"""
+
+
+def _maps_columns(df):
+    return df.select("host", "pid", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "path")
+
+
+@query("captured_dumps", MAPS_SQL)
+def captured_dumps(spark, sf):
+    """Captured map files through the Python data source, a partition for each file."""
+    return _maps_columns(datasource.read_dumps(spark, _captured_maps(spark, sf), "maps", keys=("host", "pid")))
+
+
+@query("captured_dumps_stream", MAPS_SQL)
+def captured_dumps_stream(spark, sf):
+    """The same files as a stream of a few files at a time, into the exactly-once store; a second run adds nothing."""
+    path, out, checkpoint = _captured_maps(spark, sf), durable_dir(spark, "store"), durable_dir(spark, "checkpoint")
+    for _ in range(2):
+        stream = datasource.read_dumps(spark, path, "maps", streaming=True, keys=("host", "pid"), maxFiles="15")
+        datasource.stream_to_store(_maps_columns(stream), out, checkpoint).awaitTermination()
+    return datasource.read_store(spark, out, "host STRING, pid STRING, start STRING, end STRING, path STRING")
+
+
+def _sql_views(spark, sf):
+    from hostpulse.session import prepare
+    prepare(spark)
+    S.register_views(spark, tables={"records_now": A.type_records(spark, sf), "sched_now": A.sched(spark, sf), "samples_now": A.stack_samples(spark, sf)})
+
+
+@query("sql_window_stats", A.duck_with("rec") + """
+select host, window_ns, round(avg(value), 9) as avg, count(*) as count, round(case when count(*) >= 4 then quantile_cont(value, 0.5) end, 9) as p50
+from (select *, timestamp_ns - timestamp_ns % 3600000000000 as window_ns from rec) where event_type <> 'click' group by host, window_ns, event_type""")
+def sql_window_stats(spark, sf):
+    """An operator called from SQL, over a query, with a named argument."""
+    _sql_views(spark, sf)
+    return S.run_sql(spark, """
+        select host, window_ns, round(avg, 9) as avg, count, round(p50, 9) as p50 -- 'not ( a call'
+        from window_stats(TABLE(select * from records_now where labels['type'] <> 'click'), window => '1 hour')""")
+
+
+@query("sql_pairing", A.duck_with("sched") + """
+, w as (select *, lag(event_type) over w as pt, lag(timestamp_ns) over w as pn from sched where event_type <> 'migrate'
+   window w as (partition by host, next_pid order by timestamp_ns, seq))
+select host, next_pid, count(*) as n, cast(sum(timestamp_ns - pn) as bigint) as total_ns from w where event_type = 'switch' and pt = 'wakeup' group by 1, 2""")
+def sql_pairing(spark, sf):
+    _sql_views(spark, sf)
+    return S.run_sql(spark, """
+        with paired as (select * from RUNQUEUE_LATENCY (TABLE(sched_now)) where event_type = 'switch' and latency_ns > 0)
+        select host, next_pid, count(*) as n, sum(latency_ns) as total_ns from paired group by host, next_pid""")
+
+
+@query("sql_function_totals", A.duck_with("stacks") + """
+, p as (select unnest([comm] || list_reverse(user_names) || list_reverse(kernel_names)) as name, cnt from stacks where sample_type = 'oncpu')
+select name, cast(sum(cnt) as bigint) as value from (select * from p union all select 'root', cnt from stacks where sample_type = 'oncpu') group by 1""")
+def sql_function_totals(spark, sf):
+    """A call inside a call: flame tree of merged stacks, summed by function."""
+    _sql_views(spark, sf)
+    return S.run_sql(spark, """select * from function_totals(TABLE(select * from flame_tree(TABLE(
+        select * from merge_stacks(TABLE(select * from samples_now where sample_type = 'oncpu'), 'comm')))))""")

@@ -201,3 +201,47 @@ def stream_ema(df: DataFrame, keys, order, cols, alpha: float, ttl_ms: int | Non
     result = result.withColumn("__r", F.from_json("row_text", df.schema, JSON_OPTIONS))
     own = [F.col(time_name) if c == time_name else F.col(f"__r.{c}").alias(c) for c in df.columns]
     return result.select(*own, *[F.col(f"y{i}").alias(f"{c}_ema") for i, c in enumerate(cols)])
+
+
+class _Held(StatefulProcessor):
+    """The merged partial state of a key and window, flushed when the watermark passes the window's end."""
+
+    def __init__(self, agg, names):
+        self.agg, self.names = agg, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("held", "state STRING")
+
+    def handleInputRows(self, key, rows, timerValues):
+        total = json.loads(self.value.get()[0]) if self.value.exists() else None
+        fresh, end = total is None, None
+        for pdf in rows:
+            end = int(pdf["end_ms"].iloc[0])
+            if end <= timerValues.getCurrentWatermarkInMs():
+                return          # the window was flushed
+            for text in pdf["state"]:
+                state = json.loads(text)
+                total = state if total is None else self.agg.merge(total, state)
+        if total is not None:
+            self.value.update((json.dumps(total),))
+            if fresh:
+                self.handle.registerTimer(end)
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.value.exists():
+            rows = self.agg.flush(json.loads(self.value.get()[0]))
+            self.value.clear()
+            yield pd.DataFrame([(key[0], *r) for r in rows], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def held_states(parts: DataFrame, agg, schema: T.StructType) -> DataFrame:
+    """Merge partial states of ``operators.aggregators`` on a stream; ``schema`` begins with the key."""
+    _use_rocksdb(parts)
+    rows = parts.groupBy("key_text", "end_ms").transformWithStateInPandas(_Held(agg, schema.names), schema, "Append", "EventTime")
+    return rows
