@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 ARROW_ROWS = "1000"
 
 
+_SHIPPED: weakref.WeakSet = weakref.WeakSet()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this subpackage to the Python workers, once a session: they need not find it on their path."""
+    context = spark.sparkContext
+    if context in _SHIPPED:
+        return
+    _SHIPPED.add(context)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.glob("*.py")):
+            z.write(f, f"{root.name}/{f.name}")
+    context.addPyFile(str(archive))
+
+
 def small_batches(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
@@ -57,6 +78,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has a column of that name in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True where crc32(doc_id as text) mod 4 is 2; such rows are never learnt from."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -4,20 +4,22 @@ Documents are cut into shards (one Arrow piece each). A shard's array holds the
 outside the benchmark's vocabulary separate runs, and runs shorter than the shortest window are left out, which
 changes no answer. Every suffix of every test item is looked up by binary search, word by word, which yields its
 longest verbatim match and, for windows, all places. Test items come to the workers in blocks of a bounded
-number of words, so the benchmark may grow; documents are never shuffled.
+number of words, one at a time, so the benchmark may grow; texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import per_batch, stored, texts_of
+from llm.common import batches, per_batch, stored, texts_of
 
 WINDOW = 10
 # Words of test items that one pass over the documents holds in memory.
@@ -35,7 +37,7 @@ def words_of(text: bytes) -> list[bytes]:
 class TestSet:
     """The suffixes of a block of items as word numbers, 1 upwards; 0 is any other word."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         self.items = []
         for key, text in items:
@@ -107,21 +109,35 @@ def shard_matches(tests: TestSet, docs: list[list[bytes]]) -> tuple[list[set[str
     return items, [np.cumsum(m)[:-1] > 0 for m in marks], longest
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """Items in blocks of about ``block_words`` words, streamed to the driver a partition at a time."""
-    out, room = [[]], block_words
-    for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
-        text = (row[1] or "").encode()
-        size = len(text) // 2 + 1
-        if room < size and out[-1]:
-            out.append([])
-            room = block_words
-        out[-1].append((row[0], text))
-        room -= size
-    return out
-
-
-OUT = "doc_id long, n_words long, hit binary, items array<string>, longest array<struct<item_id:string,words:long,position:long>>"
+def block_table(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> DataFrame:
+    """Items with the block each belongs to, of about ``block_words`` words at most, stored in the shared folder."""
+    def run(it):
+        part, block, room = TaskContext.get().partitionId(), 0, block_words
+        for batch in batches(it, "text"):
+            names = []
+            for text in texts_of(batch, "text"):
+                size = len(text) // 2 + 1
+                if room < size and room < block_words:
+                    block, room = block + 1, block_words
+                room -= size
+                names.append(f"{part}-{block}")
+            yield pa.RecordBatch.from_arrays([pa.array(names), *batch.columns], ["block", "item_id", "text"])
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return stored(items.mapInArrow(run, "block string, item_id string, text string"), "decontaminate-items")
+
+
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Items block by block: the driver and a task hold one block at a time. An empty benchmark is one empty block."""
+    table = block_table(benchmark, id_col, text_col, block_words)
+    names = [r[0] for r in table.select("block").distinct().orderBy("block").toLocalIterator()]
+    for name in names or [""]:
+        yield [(r[0], r[1].encode()) for r in table.where(F.col("block") == name).select("item_id", "text").collect()]
+
+
+PART = "doc_id long, key long, n_words long, rows long, hit binary, items array<string>, longest array<struct<item_id:string,words:long,position:long>>"
+FINAL = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
+         "longest array<struct<item_id:string,words:long,position:long>>")
+LONGEST = pa.list_(pa.struct([("item_id", pa.string()), ("words", pa.int64()), ("position", pa.int64())]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -129,46 +145,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """Per row of ``docs``: ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``,
     and ``longest``: per item found, its longest verbatim match in words and where it begins.
 
-    An item shorter than ``window`` is one window of its own length; null and wordless items never match. Null
-    text has no words. Repeated rows are each reported; items that share an id count once. Empty ``docs`` give an
-    empty result; an empty benchmark hits nothing. Other columns are not looked at.
+    An item shorter than ``window`` is one window of its own length; null and wordless items never match. An item whose
+    id is null hits words like any other, but as it can't be named it is neither counted in ``n_items`` nor listed. Null
+    text has no words; very long texts are a shard of their own. Repeated rows are each reported; items that share an id
+    count once. Empty ``docs`` give an empty result; an empty benchmark hits nothing. Other columns are not looked at.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = blocks_of(benchmark, item_id, item_text, block_words)
-    if len(blocks) == 1:
-        return base.mapInArrow(per_batch(_scan(blocks[0], window, True), "text", SHARD_BYTES), FINAL)
-    # More blocks: one pass each, joined by a row number that repeated ids don't share.
-    numbered = stored(base.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     parts = None
-    for block in blocks:
-        part = numbered.mapInArrow(per_batch(_scan(block, window, False), "text", SHARD_BYTES), f"_row long, {OUT}")
+    # One pass a block, each written before the next block is fetched. The first pass counts every row, the others
+    # bring only hits; rows with the same id and text have the same result.
+    for i, block in enumerate(blocks_of(benchmark, item_id, item_text, block_words)):
+        part = stored(base.mapInArrow(per_batch(_scan(block, window, i == 0), "text", SHARD_BYTES), PART), "decontaminate-part")
         parts = part if parts is None else parts.unionByName(part)
-    grouped = parts.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hit").alias("hits"),
-                                        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("longest")).alias("longest"))
-    return grouped.mapInArrow(_merge, FINAL)
-
-
-FINAL = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-         "longest array<struct<item_id:string,words:long,position:long>>")
-LONGEST = pa.list_(pa.struct([("item_id", pa.string()), ("words", pa.int64()), ("position", pa.int64())]))
+    grouped = parts.groupBy("doc_id", "key").agg(
+        F.max("n_words").alias("n_words"), F.sum("rows").alias("rows"), F.collect_set("hit").alias("hits"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_set("longest"))).alias("longest"))
+    each = grouped.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    return each.select("doc_id", "n_words", "hits", "items", "longest").mapInArrow(_merge, FINAL)
 
 
 def _digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest()
-
-
-def _found(longest: list[dict]) -> pa.Array:
-    return pa.array([[{"item_id": k, "words": n, "position": p} for k, (n, p) in sorted(x.items(), key=str)] for x in longest], LONGEST)
-
-
-def _final(ids, counts, hits, items, longest: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [ids, pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-         pa.array([_digest(x) for x in items]), pa.array([h > 0 for h in hits], pa.bool_()), longest],
-        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _scan(block, window: int, last: bool):
+def _scan(block, window: int, every: bool):
     tests: list[TestSet] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -176,36 +176,44 @@ def _scan(block, window: int, last: bool):
             tests.append(TestSet(block, window))
         words = [words_of(t) for t in texts_of(batch, "text")]
         items, hit, longest = shard_matches(tests[0], words)
-        ids = batch.column(batch.schema.get_field_index("doc_id"))
-        if last:
-            return _final(ids, [len(w) for w in words], [int(h.sum()) for h in hit], items, _found(longest))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("_row")), ids, pa.array([len(w) for w in words], pa.int64()),
-             pa.array([np.packbits(h).tobytes() if h.any() else b"" for h in hit], pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), _found(longest)],
-            ["_row", "doc_id", "n_words", "hit", "items", "longest"])
+        out = pa.RecordBatch.from_arrays(
+            [*batch.columns[:2], pa.array([len(w) for w in words], pa.int64()), pa.array([int(every)] * len(words), pa.int64()),
+             pa.array([np.packbits(h).tobytes() if h.any() else None for h in hit], pa.binary()), pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string())),
+             pa.array([[{"item_id": k, "words": n, "position": p} for k, (n, p) in sorted(x.items(), key=str)] for x in longest], LONGEST)],
+            [f.split()[0] for f in PART.split(", ")[:6]] + ["longest"])
+        return out if every else out.filter(pa.array([bool(x) for x in items], pa.bool_()))
     return run
 
 
 def _merge(it):
     for batch in it:
+        col = lambda n: batch.column(batch.schema.get_field_index(n))
         hits = []
-        for masks in batch.column(batch.schema.get_field_index("hits")).to_pylist():
+        for masks in col("hits").to_pylist():
             total = 0
             for m in masks:
                 total |= int.from_bytes(m, "big")
             hits.append(total.bit_count())
-        col = lambda n: batch.column(batch.schema.get_field_index(n))
-        yield _final(col("doc_id"), col("n_words").to_pylist(), hits, col("items").to_pylist(), col("longest").cast(LONGEST))
+        items = col("items").to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [col("doc_id"), col("n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+             pa.array([_digest(x) for x in items]), pa.array([h > 0 for h in hits], pa.bool_()), col("longest").cast(LONGEST)],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id",
                       item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` without any window of ``benchmark``, with all their columns; a scan per block, no shuffle."""
-    for block in blocks_of(benchmark, item_id, item_text, block_words):
+    """The rows of ``docs`` without any window of ``benchmark``, with all their columns, whatever their names.
+
+    Null and empty texts stay, items without an id count too, repeated rows are judged each, an empty table stays empty and
+    an empty benchmark takes nothing. A scan for each block of items, the result written between two; no shuffle.
+    """
+    for i, block in enumerate(blocks_of(benchmark, item_id, item_text, block_words)):
         def run(batch: pa.RecordBatch, tests: list = [], block=block) -> pa.RecordBatch:  # noqa: B006  (kept per task)
             if not tests:
                 tests.append(TestSet(block, window))
             items, _, _ = shard_matches(tests[0], [words_of(t) for t in texts_of(batch, text_col)])
             return batch.filter(pa.array([not x for x in items], pa.bool_()))
+        docs = stored(docs, "decontaminate") if i else docs
         docs = docs.mapInArrow(per_batch(run, text_col, SHARD_BYTES), docs.schema)
     return docs

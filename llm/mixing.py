@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import WORD, stored
+from llm.common import WORD, free_name, stored
 
 WEIGHTS = (3, 1, 2)
 TIMES, CAP, SLICES = 1.5, 2, 64
@@ -35,6 +35,11 @@ def size_class(size: Column) -> Column:
     return (bits * 8 + F.call_function("shiftright", (size + 1) * 8, bits - 1)).cast("int")
 
 
+def id_slice(key: Column, slices: int) -> Column:
+    """A slice by a hash of the id, so that ids of any pattern spread."""
+    return F.coalesce(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % slices, F.lit(0)).cast("int")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: float = TIMES, cap: int = CAP) -> DataFrame:
     """Per ``_src``: ``source_size`` and ``target``, from rows (``_src``, ``size``).
 
@@ -71,7 +76,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: floa
     base = docs.select(F.col(id_col).alias("_id"), source_key(F.col(source_col)).alias("_src"), n_words(F.col(text_col)).alias("size"))
     base = stored(base, "mixing-sizes")  # texts are read once, though targets, cells and ranks use the sizes
     targets = source_targets(base.select("_src", "size"), weights, times, cap)
-    base = base.withColumn("_class", size_class(F.col("size"))).withColumn("_slice", F.coalesce(F.pmod(F.col("_id"), F.lit(slices)), F.lit(0)).cast("int"))
+    base = base.withColumn("_class", size_class(F.col("size"))).withColumn("_slice", id_slice(F.col("_id"), slices))
     cells = base.groupBy("_src", "_class", "_slice").agg(F.count("*").alias("_n"))
     classes = cells.groupBy("_src", "_class").agg(F.sum("_n").alias("_n"))
     classes = classes.select(F.col("_src").alias("c_src"), F.col("_class").alias("c_class"),
@@ -94,10 +99,25 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: floa
                       copies.cast("int").alias("copies"))
 
 
-def sample_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its copies, with all its columns.
+def sample_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its copies, with all its columns, whatever their names.
 
-    Rows that repeat an identifier are emitted as often as the most favoured of them."""
-    copies = mix_sources(docs, id_col=id_col, **how).groupBy(F.col(id_col).alias("_mixed")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mixed")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    Null and empty texts are taken as the mix takes documents without words, and add none; a null source is a source of
+    its own. Rows that repeat an identifier share the copies that all of them together get, the first rows by source and
+    size one more each where these don't divide; an empty table stays empty.
+    """
+    key, src, size, copies, place, share = (free_name(docs, n) for n in ("mixed", "mixed_source", "mixed_size", "copies", "place", "share"))
+    taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    per = taken.groupBy(F.col(id_col).alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(share))
+    several = per.where(F.col(share) > 1)
+    once = docs.join(per.where((F.col(share) == 1) & (F.col(copies) > 0)), docs[id_col].eqNullSafe(F.col(key)))
+    once = once.withColumn(place, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if several.isEmpty():
+        return once
+    # Rows of repeated ids, few or none in sound data, are numbered within their id.
+    again = docs.join(several, docs[id_col].eqNullSafe(F.col(key)))
+    again = again.withColumn(src, source_key(F.col(f"`{source_col}`"))).withColumn(size, n_words(F.col(f"`{text_col}`")))
+    again = again.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(src, size, F.xxhash64(f"`{text_col}`"))))
+    own = F.floor(F.col(copies) / F.col(share)) + (F.col(place) <= F.col(copies) % F.col(share)).cast("int")
+    again = again.withColumn(share, own).where(F.col(share) > 0).withColumn(place, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(share))))
+    return once.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))

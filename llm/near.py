@@ -10,7 +10,8 @@ buckets); members are compared with the hub first, then those still apart with a
 buckets that still span several components are compared with each other, in blocks of bounded size inside tasks,
 and only across components: a link between two documents of one component could not change the result. Before
 that, shingles that no other document of these buckets has are counted: they bound how much a document can share
-with any other, which rules most of them out exactly. Documents with the same words are one vertex from the start.
+with any other, which rules most of them out exactly. Documents with the same words are one vertex from the start; a vertex is a
+text and not an identifier, so rows that repeat an identifier keep the links of each of their texts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import LOWER, flat_words, gram_hashes, per_batch, stored, texts_of, word_hashes
+from llm.common import LOWER, flat_words, free_name, gram_hashes, per_batch, stored, texts_of, word_hashes
 from llm.graph import components
 
 SHINGLE, PERCENT = 4, 80
@@ -44,7 +45,7 @@ def multipliers(n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, size: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``words`` (digest of the word sequence), ``sig`` (null without words)."""
+    """``doc_id``, ``raw``, ``n_shingles``, ``words`` (digest of the word sequence), ``sig`` (null without words)."""
     factors = multipliers(size)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -65,9 +66,9 @@ def signatures(docs: DataFrame, k: int, size: int) -> DataFrame:
         for i, s in zip(full, out):
             sigs[i] = s.tobytes()
         digests = [hashlib.blake2b(b" ".join(words[a:b]), digest_size=16).digest() if b > a else None for a, b in zip(starts, starts[1:])]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())],
-                                          ["doc_id", "n_shingles", "words", "sig"])
-    return docs.mapInArrow(per_batch(run, "text"), "doc_id long, n_shingles long, words binary, sig binary")
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())],
+                                          ["doc_id", "raw", "n_shingles", "words", "sig"])
+    return docs.select("doc_id", "raw", "text").mapInArrow(per_batch(run, "text"), "doc_id long, raw long, n_shingles long, words binary, sig binary")
 
 
 @lru_cache
@@ -236,18 +237,33 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """Per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` (its id is its component's).
 
     Documents link if 100 * intersection >= ``percent`` * union of their sets of ``shingle`` words (A-Z in lower
-    case); fewer words are one shingle. Null, empty and wordless texts have no shingles and link with nothing.
-    Identifiers are expected to be unique and not null; rows that repeat one share its component. An empty table
-    gives an empty result; other columns of ``docs`` are not looked at. A true pair is missed with a chance of
-    (1 - s ** rows) ** bands for similarity s, and of ``miss`` per batch afterwards.
+    case); fewer words are one shingle. Null, empty and wordless texts have no shingles and link with nothing. Texts of
+    any length are read whole. Each row is answered by its own text, also where rows repeat an identifier; a null
+    identifier is its component's only where that has no other. An empty table gives an empty result; other columns of
+    ``docs`` are not looked at, whatever their names. A true pair is missed with a chance of (1 - s ** rows) ** bands
+    for similarity s, and of ``miss`` per batch afterwards.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = near_rows(docs, shingle, percent, bands, rows, miss, id_col, text_col, block)
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_rows(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int, miss: float, id_col: str, text_col: str, block: int) -> DataFrame:
+    """Per document: ``doc_id``, ``raw`` (hash of its text), ``n_shingles``, and ``component_id`` and ``component_raw``, the
+    identifier and text hash of the first document of its component (null without words)."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("raw", F.xxhash64("text"))
     info = stored(signatures(base, shingle, bands * rows), "near-signatures")
-    least = info.where("words is not null").groupBy(F.col("words").alias("_words")).agg(F.min("doc_id").alias("vertex"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw"))
+    least = info.where("words is not null").groupBy(F.col("words").alias("_words")).agg(first.alias("_first"))
+    # Vertices are numbered in the order of their first documents, so a component's least vertex is that of its least document.
+    least = least.repartitionByRange("_first").sortWithinPartitions("_first").select("_words", F.col("_first.doc_id").alias("_least"),
+                                                                                   F.col("_first.raw").alias("_raw"), F.monotonically_increasing_id().alias("vertex"))
+    least = stored(least, "near-least")
     # One byte of each hash for the block comparison.
     low = F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1"))
-    sigs = info.where("sig is not null").join(least.select("vertex"), F.col("doc_id") == F.col("vertex"), "left_semi")
-    sigs = stored(sigs.dropDuplicates(["doc_id"]).select("doc_id", "sig", low.alias("low")), "near-vertices")
+    mine = info.join(least, F.col("words") == F.col("_words"))
+    heads = mine.where(F.col("doc_id").eqNullSafe(F.col("_least")) & (F.col("raw") == F.col("_raw"))).dropDuplicates(["vertex"])
+    heads = stored(heads.select(F.col("vertex").alias("doc_id"), "sig", low.alias("low"), F.col("doc_id").alias("_own"), "raw", "n_shingles"), "near-vertices")
+    sigs = heads.select("doc_id", "sig", "low")
     width = rows * 4
     keys = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(sig, {b * width + 1}, {width})")) for b in range(bands)])
     band = sigs.select("doc_id", F.explode(keys).alias("key"))
@@ -256,8 +272,10 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     hub = band.groupBy("doc_id").agg(F.sum("_n").alias("hub")).withColumnRenamed("doc_id", "_doc")
     members = stored(band.join(hub, F.col("doc_id") == F.col("_doc")).select("key", "doc_id", "hub"), "near-members")
     # The texts of all documents that share a bucket are picked once; a merge join at every size, so costs grow evenly.
-    shared = members.select(F.col("doc_id").alias("_w")).distinct()
-    texts = stored(base.hint("merge").join(shared, F.col("doc_id") == F.col("_w"), "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    shared = heads.join(members.select(F.col("doc_id").alias("_w")).distinct(), F.col("doc_id") == F.col("_w"), "left_semi")
+    shared = shared.select(F.col("doc_id").alias("_vertex"), "_own", F.col("raw").alias("_raw"))
+    texts = base.hint("merge").join(shared, F.col("doc_id").eqNullSafe(F.col("_own")) & (F.col("raw") == F.col("_raw")))
+    texts = stored(texts.select(F.col("_vertex").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "near-texts")
     top = F.max(F.struct("hub", (-F.col("doc_id")).alias("minus")))
 
     def pairs_with(rest: DataFrame, of: DataFrame) -> DataFrame:
@@ -278,17 +296,38 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             rest = open_.where("component != first")
             found = verify_exactly(verify_batches(pairs_with(rest, rest), sigs, percent, miss), texts, shingle, percent)
         else:
-            sizes = info.select(F.col("doc_id").alias("_doc"), F.col("n_shingles").alias("n")).dropDuplicates(["_doc"])
+            sizes = heads.select(F.col("doc_id").alias("_doc"), F.col("n_shingles").alias("n"))
             counted = with_unique(open_, texts, shingle).join(sizes, F.col("doc_id") == F.col("_doc")).drop("_doc")
             found = across(counted, sigs, texts, shingle, percent, miss, block)
         links = stored(links.unionByName(found).distinct(), "near-links")
-    comps = components(links).select(F.col("doc_id").alias("_doc"), "component_id")
-    vertex = info.join(least, F.col("words") == F.col("_words"), "left").select("doc_id", "n_shingles", F.coalesce("vertex", "doc_id").alias("vertex"))
-    out = vertex.join(comps, F.col("vertex") == F.col("_doc"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "vertex").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose document stays, with all their columns."""
-    gone = near_components(docs, id_col=id_col, text_col=text_col, **how).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    comps = components(links).select(F.col("doc_id").alias("_doc"), F.col("component_id").alias("_comp"))
+    # Of each vertex the first document of its component; most vertices are components of their own and need no look-up.
+    named = least.select(F.col("vertex").alias("_v"), F.col("_least").alias("_comp_least"), F.col("_raw").alias("_comp_raw"))
+    comps = comps.join(named, F.col("_comp") == F.col("_v")).select("_doc", "_comp_least", "_comp_raw")
+    vertex = info.join(least, F.col("words") == F.col("_words"), "left").join(comps, F.col("vertex") == F.col("_doc"), "left")
+    linked = F.col("_doc").isNotNull()
+    return vertex.select("doc_id", "raw", "n_shingles", F.when(linked, F.col("_comp_least")).otherwise(F.col("_least")).alias("component_id"),
+                         F.when(linked, F.col("_comp_raw")).otherwise(F.col("_raw")).alias("component_raw"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
+              rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """One row of each group of near duplicates, that of the smallest identifier, with all columns, whatever their names.
+
+    Rows are told apart by identifier and text: a row whose identifier another text has too is judged by its own text, and
+    of rows that repeat both one stays. Null, empty and wordless texts stay, but repeats of them with the same identifier
+    go too; an empty table stays empty.
+    """
+    found = stored(near_rows(docs, shingle, percent, bands, rows, miss, id_col, text_col, block), "near-rows")
+    gone_id, gone_raw = free_name(docs, "gone"), free_name(docs, "gone_raw")
+    raw = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    same = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("raw").eqNullSafe(F.col("component_raw"))
+    gone = found.where(F.col("component_raw").isNotNull() & ~same).select(F.col("doc_id").alias(gone_id), F.col("raw").alias(gone_raw)).distinct()
+    left = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col(gone_id)) & (raw == F.col(gone_raw)), "left_anti")
+    twice = found.groupBy(F.col("doc_id").alias(gone_id), F.col("raw").alias(gone_raw)).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if twice.isEmpty():
+        return left
+    # Exact repeats of rows, none in sound data: one of each is picked.
+    repeats = docs[id_col].cast("long").eqNullSafe(F.col(gone_id)) & (raw == F.col(gone_raw))
+    single = left.join(twice, repeats, "left_anti")
+    return single.unionByName(left.join(twice, repeats, "left_semi").dropDuplicates([id_col, text_col]))

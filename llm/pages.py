@@ -4,10 +4,13 @@ A page is a sequence of tokens: opening tags and text pieces, each told apart by
 occurrence vector lists how often each page of the host has it; here a sum of hashes of (page, count), which adds
 up in any order, stands for the vector. Tokens of one host with the same vector form an equivalence class. A class
 is valid if it is frequent (in most pages of the host) and large, and its tokens nest: what contains each one is
-frequent too. Valid classes are the host's template; the gaps between template tokens are slots. On every
-page text that belongs to the template and slots of links are dropped first; what tags and names say (furniture,
-article, main part) is a check of what is left. A page all of whose text is template repeats other pages: there the
-classes can't tell, and tags and names decide alone.
+frequent too. Valid classes are the host's template; the gaps between template tokens are slots.
+
+The slots tell where the main text is, not what of it is kept: the main region is the container that holds the slots
+with text outside furniture and link lists, widened to the article or main elements where the page has any. All of
+the region is kept, text that the host repeats too (a heading, a standing paragraph, a shared list), but for what tags
+and names say is furniture. So an article reads the same on a page alone on its host and among others. A page without
+slots (alone on its host, or a copy of others) and without such elements keeps all that isn't furniture.
 
 Counting per host is pre-aggregated in each task, so a host with a third of all pages is a few rows per task.
 """
@@ -24,10 +27,8 @@ from pyspark.sql import functions as F
 
 from llm.common import mix, per_batch, stored, texts_of, word_hashes
 
-# A class must be in this share of a host's pages, in so many pages and have so many tokens.
-SHARE, LEAST_PAGES, LEAST_TOKENS = 0.9, 3, 3
-# An article that template text fills by more than so many characters and more than half is a copy of other pages' articles.
-COPY_CHARS = 500
+# A class must be in this share of a host's pages and have so many tokens.
+SHARE, LEAST_TOKENS = 0.9, 3
 # A container whose text is links to this share over the host's pages is a menu.
 LINK_SHARE = 0.6
 # Templates that are broadcast, by their counted size; slices of a host where they are not.
@@ -46,6 +47,8 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense s
                   "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget "
                   "pagination pager comment comments commentlist respond reply replies disqus search form toolbar contentinfo complementary".split())
 COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
+# Elements that hold a piece of text rather than a part of the page.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption table thead tbody tfoot tr td th caption address hr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
@@ -226,7 +229,7 @@ def templates(counted: DataFrame) -> DataFrame:
     """Per host: ``template`` (tokens of valid classes) and ``menus`` (containers whose text is mostly links)."""
     whole = int(numbers(["*"])[0])
     total = counted.where(F.col("token") == whole).select(F.col("host").alias("_host"), F.col("pages").alias("_pages"))
-    frequent = counted.join(total, F.col("host") == F.col("_host")).where((F.col("pages") >= SHARE * F.col("_pages")) & (F.col("_pages") >= LEAST_PAGES))
+    frequent = counted.join(total, F.col("host") == F.col("_host")).where(F.col("pages") >= SHARE * F.col("_pages"))
     # Only tokens of nearly every page are left: a few per host, however many pages it has.
     classes = frequent.groupBy("host", "vector").agg(F.collect_list(F.struct("token", "container")).alias("members"), F.collect_list(
         F.when((F.col("chars") > 0) & (F.col("links") >= LINK_SHARE * F.col("chars")), F.col("token"))).alias("menus"))
@@ -240,23 +243,51 @@ def templates(counted: DataFrame) -> DataFrame:
 
 
 def extract(source: str, template: set[int], menus: set[int]) -> str:
-    """Text of the slots that belong to the article, one block a line."""
+    """Text of the main region, one block a line."""
     blocks, _ = parse(source)
-    body = marked(slots(blocks, template, menus)) if template else marked(blocks)
-    if template:
-        whole = marked(blocks)
-        lost = sum(len(b.text) for b in whole) - sum(len(b.text) for b in body)
-        copied = whole[:1] and whole[0].article and lost > COPY_CHARS and 2 * lost > sum(len(b.text) for b in whole)
-        # An article without a slot of its own is a copy; a block outside of it must not take its place.
-        if copied or not body or min(whole[0].article, 2) > min(body[0].article, 2):
-            body = whole
+    body = marked(blocks)
+    if template and body and body[0].article < 2:
+        body = region(blocks, body, template, menus)
     return "\n".join(b.text for b in body)
 
 
-def slots(blocks: list[Block], template: set[int], menus: set[int]) -> list[Block]:
-    """Blocks that are neither template text nor in a container of links."""
+def container(block: Block) -> list[str]:
+    """The parts of the page that a block lies in, from the outside."""
+    parts = block.path.split("<")[1:]
+    while parts and parts[-1].split(".")[0] in LEAVES:
+        parts.pop()
+    return parts
+
+
+def region(blocks: list[Block], body: list[Block], template: set[int], menus: set[int]) -> list[Block]:
+    """Of ``body`` (blocks outside furniture) what lies in the container of the slots.
+
+    The container is the innermost one that holds all slots, and wider ones as long as they bring no furniture. Where
+    slots have nothing in common but the page's body, parts of it without a slot are left out."""
     texts, paths = numbers([f"{b.path}#{b.text}" for b in blocks]).tolist(), numbers([b.path for b in blocks]).tolist()
-    return [b for b, t, p in zip(blocks, texts, paths) if t not in template and p not in menus]
+    links = {id(b) for b, p in zip(blocks, paths) if p in menus}
+    slots = [b for b, t in zip(blocks, texts) if t not in template and id(b) not in links]
+    inside = {id(b) for b in body}
+    places = [container(b) for b in slots if id(b) in inside]
+    if not places:
+        return body
+    body = [b for b in body if id(b) not in links]
+    common = places[0]
+    for place in places:
+        common = common[:next((i for i, (x, y) in enumerate(zip(common, place)) if x != y), min(len(common), len(place)))]
+    outer = lambda place: not place or place[-1].split(".")[0] in ("html", "body")
+    where = {id(b): container(b) for b in blocks}
+    while not outer(common) and not outer(common[:-1]):
+        wider = common[:-1]
+        if any((b.furniture or id(b) in links) and where[id(b)][:len(wider)] == wider for b in blocks):
+            break
+        common = wider
+    n = len(common)
+    held = [b for b in body if where[id(b)][:n] == common]
+    if outer(common):
+        filled = {tuple(p[:n + 1]) for p in places}
+        held = [b for b in held if len(where[id(b)]) == n or tuple(where[id(b)][:n + 1]) in filled]
+    return held
 
 
 def marked(blocks: list[Block]) -> list[Block]:
@@ -285,12 +316,11 @@ def with_template(pages: DataFrame, known: DataFrame, most: int = BROADCAST_BYTE
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: ``page_id``, ``url``, ``text``, ``n_chars``.
 
-    Null html is empty and gives an empty text; a page of a host with fewer than three pages has nothing to be
-    compared with and is judged by its own markup. On all others template text and menus go first, in articles too;
-    of what is left, page furniture goes by its tags or names (menus, headers, footers, sidebars, notices, adverts,
-    forms, comments), and a page with an article (or else a main part) keeps only that. Pages that repeat a whole
-    article, or a long one for the greater part, keep it. Repeated rows are
-    each answered; an empty table gives an empty result; other columns are not looked at.
+    Null html is empty and gives an empty text; html of any length is read whole. Page furniture (menus, headers,
+    footers, sidebars, notices, adverts, forms, comments by their tags or names) goes. A page with articles or main
+    elements keeps all the rest of them; any other page keeps the rest of the region where the host's pages differ, or,
+    where they don't differ or the page is alone, all the rest. Repeated rows are each answered, null ids too; an empty
+    table gives an empty result; other columns are not looked at, whatever their names.
     """
     base = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("row"),
                         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))

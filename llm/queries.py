@@ -25,7 +25,7 @@ MIX_SQL = r"""
 with base as (
   select doc_id, coalesce('s' || source, 't') src, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size from {documents}),
 named as (select *, length(bin(size + 1)) bits from base),
-cells as (select *, bits * 8 + ((size + 1) * 8 >> (bits - 1)::int) cls, coalesce(((doc_id % 64) + 64) % 64, 0) slice from named),
+cells as (select *, bits * 8 + ((size + 1) * 8 >> (bits - 1)::int) cls, coalesce(('0x' || substr(md5(doc_id::varchar), 1, 4))::int % 64, 0) slice from named),
 per as (select src, sum(size)::bigint source_size from base group by src),
 weighed as (select *, case (row_number() over (order by encode(src)) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end w from per),
 filled as (

@@ -35,20 +35,52 @@ def plain(k, host):
 def test_template_of_a_host(spark):
     rows = [(plain(k, "h"), k, f"http://h.example/{k}", None, 1) for k in range(20)]
     got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {k: f"Body & text number {k}\nsecond part {k}" for k in range(20)}
+    assert got == {k: f"Body & text number {k}\nsecond part {k}\nRead by permission of h." for k in range(20)}
 
 
-@pytest.mark.parametrize("n", [4, 20])
-def test_template_inside_articles(spark, n):
-    """The host's own lines go from its articles, on small hosts too; an article that is repeated whole stays."""
-    lines = "<p>By our staff</p>{}<div><p>Read more on this site</p><p>Licence: all of it is ours</p></div>"
-    rows = [(f"<html><body><article><h1>Head {k}</h1>{lines.format(f'<p>Story {k}</p>')}</article><p>Town</p></body></html>", k, "http://h.example/", None, 1)
-            for k in range(n)]
-    rows += [("<html><body><article><h1>Same</h1><p>copy</p></article></body></html>", n + k, "http://copies/", None, 1) for k in range(n)]
-    rows += [("<article><p>" + "long " * 200 + f"</p><h1>edit {k}</h1><p>end</p></article>", 2 * n + k, "http://edits/", None, 1) for k in range(n)]
+def shared(k):
+    """A page whose article shares headings, a list, a paragraph and a table head with all others of its host."""
+    return (f"""<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><header><h1>Site</h1></header><article><h1>Dish {k}</h1><h2>Ingredients</h2>
+<ul><li>salt</li><li>pepper</li><li>item {k}</li></ul><h2>Method</h2><p>Stir {k} times.</p><p>Serve <a href="/hot">hot</a>.</p><div class="note-box"><p>A note.</p></div>
+<table><tr><th>Energy</th><td>{k} kJ</td></tr></table><section class="share-buttons"><p>Share it</p></section></article><aside><p>Also {k}</p></aside><footer>Legal</footer></body></html>""",
+            f"Dish {k}\nIngredients\nsalt\npepper\nitem {k}\nMethod\nStir {k} times.\nServe hot.\nA note.\nEnergy\n{k} kJ")
+
+
+def whole(k):
+    """Pages whose articles are the same on all of a host but for a word, or in all."""
+    return f"<body><div class=menu>m</div><main><p>{'long ' * 200}</p><p>edit {k}</p><p>end</p></main></body>", ("long " * 200).strip() + f"\nedit {k}\nend"
+
+
+def same(k):
+    return "<body><article><h1>Same</h1><p>copy</p></article><div id=footer>f</div></body>", "Same\ncopy"
+
+
+def bare(k):
+    """No article: headings and standing text inside the part that differs stay, a legal part without a name goes where hosts tell."""
+    return (f"<body><div id=x><div class=head><h2>Ingredients</h2></div><div class=t><p>flour {k}</p></div><div class=t><p>Always the same.</p></div></div></body>",
+            f"Ingredients\nflour {k}\nAlways the same.")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 20])
+def test_region_keeps_what_hosts_repeat(spark, n):
+    """Each page against its own text, on hosts of one, two, three and twenty pages: the same whatever its neighbours."""
+    rows, want = [], {}
+    for h, kind in enumerate((shared, whole, same, bare)):
+        for k in range(n):
+            source, text = kind(k)
+            want[h * 100 + k] = text
+            rows.append((source, h * 100 + k, f"http://{kind.__name__}.example/{k}", "x", 7))
     got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == ({k: f"Head {k}\nStory {k}" for k in range(n)} | {n + k: "Same\ncopy" for k in range(n)}
-                   | {2 * n + k: ("long " * 200).strip() + f"\nedit {k}\nend" for k in range(n)})
+    assert got == want
+
+
+def test_given_pages_alone(spark):
+    """Given pages, each alone on its host, read as they do among the others of their host."""
+    from pyspark.sql import functions as F
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    together = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
+    alone = main_text(pages.withColumn("url", F.concat(F.lit("http://h"), "page_id", F.lit("/")))).collect()
+    assert {r["page_id"]: r["text"] for r in alone} == together
 
 
 def test_large_templates_are_not_broadcast(spark):

@@ -28,8 +28,8 @@ def lower(text):
     return bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).decode()
 
 
-@pytest.mark.parametrize("keep,fan,levels", [("largest", 16, 2), ("smallest", 2, 5), ("largest", 3, 1)])
-def test_exact(spark, keep, fan, levels):
+@pytest.mark.parametrize("keep,fan,run_rows", [("largest", 4, 65_536), ("smallest", 2, 20), ("largest", 3, 9), ("smallest", 16, 1)])
+def test_exact(spark, keep, fan, run_rows):
     rows = rows_of()
     groups = {}
     for r in rows:
@@ -37,7 +37,7 @@ def test_exact(spark, keep, fan, levels):
     pick = max if keep == "largest" else min
     want = {(i, pick(g), len(g), i == pick(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
     docs = spark.createDataFrame(rows, SCHEMA)
-    assert {tuple(r) for r in exact.exact_groups(docs, keep=keep, fan=fan, levels=levels).collect()} == want
+    assert {tuple(r) for r in exact.exact_groups(docs, keep=keep, fan=fan, run_rows=run_rows).collect()} == want
     left = exact.drop_exact(docs, keep=keep)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {i for i, *_, k, _ in want if k}
     assert exact.exact_groups(docs.limit(0)).collect() == []
