@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from llm.common import held_out, per_batch, texts_of
 
-# Sample of labelled rows that the automata are built from: documents a language, and characters of distinct words.
-DOCS_PER_LANG, CHARS_PER_LANG = 60, 80_000
+# Sample of labelled rows that the automata are built from: documents a language, and languages, those of most rows.
+DOCS_PER_LANG, LANGS = 60, 200
 # Words whose parse a worker remembers.
 CACHE_ENTRIES = 500_000
 LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -125,31 +125,35 @@ def identifier(key: str, samples: dict[str, str]) -> Identifier:
 
 
 def language_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                     docs_per_lang: int = DOCS_PER_LANG, chars: int = CHARS_PER_LANG) -> dict[str, str]:
+                     docs_per_lang: int = DOCS_PER_LANG, langs: int = LANGS) -> dict[str, str]:
     """Distinct words of a bounded sample per language, from rows that are not held out.
 
-    The sample (``docs_per_lang`` rows by hash of the id) comes to the driver, its ids are broadcast."""
+    The sample is ``docs_per_lang`` whole texts by hash of the id, of the ``langs`` languages with the most labelled rows
+    (as many rows: the first by code point); others are not learnt. Its ids, at most so many times so many, are broadcast."""
     named = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang")).where("_id is not null and _lang is not null")
     named = named.where(~held_out("_id"))
+    most = named.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(langs).select(F.col("_lang").alias("_known"))
+    named = named.join(F.broadcast(most), F.col("_lang") == F.col("_known"), "left_semi")
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     chosen = named.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= docs_per_lang).select(F.col("_id").alias("_chosen"), "_lang", "_rank")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_own"))
     rows = texts.join(F.broadcast(chosen), (F.col("_id") == F.col("_chosen")) & (F.col("_own") == F.col("_lang")))
-    out: dict[str, dict[str, None]] = {}
-    size: dict[str, int] = {}
-    for lang, _, text in sorted((r["_lang"], r["_rank"], r["_text"] or "") for r in rows.select("_lang", "_rank", "_text").toLocalIterator()):
-        words = out.setdefault(lang, {})
-        for w in LETTERS(text.lower()):
-            if w not in words and size.get(lang, 0) < chars:
-                words[w] = None
-                size[lang] = size.get(lang, 0) + len(w) + 1
-    return {lang: " " + " ".join(words) + " " for lang, words in out.items() if words}
+
+    def distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [" ".join(dict.fromkeys(LETTERS(t.decode("utf-8", "replace").lower()))) for t in texts_of(batch, "_text")]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.string())], ["_lang", "_rank", "words"])
+    words: dict[str, dict[str, None]] = {}
+    got = rows.select("_lang", "_rank", "_text").mapInArrow(per_batch(distinct, "_text"), "_lang string, _rank int, words string")
+    for lang, _, own in sorted(map(tuple, got.collect())):
+        words.setdefault(lang, {}).update(dict.fromkeys(own.split()))
+    return {lang: " " + " ".join(w) + " " for lang, w in words.items() if w}
 
 
 def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``held_out``, ``lang_pred``, ``score`` (share of the winner, 0 to 1).
 
-    Null, empty and letterless texts are ``und`` with score 0, as is everything where no language was learnt.
+    Null, empty and letterless texts are ``und`` with score 0, as is everything where no language was learnt. Whole
+    texts are read, a very long one in a piece of its own.
     Equal entropies go to the first language by code point. Repeated rows are each answered; an empty table
     gives an empty result; other columns are not looked at.
     """

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import flat_words, held_out, per_batch, texts_of, word_hashes
+from llm.common import flat_words, held_out, per_batch, stored, texts_of, word_hashes
 from llm.decontaminate import TABLE
 
 # The sample of labelled rows that the machine is fitted on: at most so many of each class, chosen by hash of the id.
@@ -75,26 +75,39 @@ class Machine:
         return 1 / (1 + np.exp(-x)) if np.isfinite(self.bias) else np.zeros(len(texts))
 
 
-def chosen_terms(owner: np.ndarray, terms: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms whose presence depends on the label (chi-square with one degree of freedom), and their log odds."""
-    found, df = np.unique(terms, return_counts=True)
-    toxic, seen = np.unique(terms[y[owner] > 0], return_counts=True)
-    a = np.zeros(len(found))
-    a[np.searchsorted(found, toxic)] = seen
-    n1, n = y.sum(), len(y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = n * (a * n - df * n1) ** 2 / (df * (n - df) * n1 * (n - n1))
-    chosen = (df >= 3) & (chi2 >= LEAST_CHI2)
-    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((df - a + 0.5) / (n - n1 + 1))
-    return found[chosen], odds[chosen]
+def log_odds(toxic: np.ndarray, df: np.ndarray, n1: float, n: int) -> np.ndarray:
+    """Of terms in ``df`` of ``n`` texts, ``toxic`` of them among the ``n1`` toxic ones."""
+    return np.log((toxic + 0.5) / (n1 + 1)) - np.log((df - toxic + 0.5) / (n - n1 + 1))
 
 
-def fit_machine(owner: np.ndarray, terms: np.ndarray, y: np.ndarray) -> Machine:
-    """Logistic loss by AdaGrad over shuffled batches; the same sample gives the same machine."""
+def chosen_terms(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Terms whose presence depends on the label (chi-square with one degree of freedom), ascending, and their log odds.
+
+    Counted by an aggregate over (``_y``, ``_terms``); only the chosen ones come to the driver."""
+    sizes = dict(rows.groupBy("_y").count().collect())
+    n1, n = sizes.get(1, 0), sizes.get(0, 0) + sizes.get(1, 0)
+    if not 0 < n1 < n:
+        return np.zeros(0, np.uint32), np.zeros(0)
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        terms = [np.frombuffer(t, np.uint32) for t in batch.column(1).to_pylist()]
+        y = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(t) for t in terms])
+        found, at = np.unique(np.concatenate(terms), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.bincount(at, minlength=len(found))), pa.array(np.bincount(at, y, len(found)).astype(np.int64))],
+                                          ["term", "df", "toxic"])
+    counted = rows.select("_y", "_terms").mapInArrow(per_batch(count, "_terms"), "term long, df long, toxic long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("toxic").alias("toxic"))
+    df, a = F.col("df").cast("double"), F.col("toxic").cast("double")
+    chi2 = F.try_divide(n * F.pow(a * n - df * n1, 2), df * (n - df) * n1 * (n - n1))
+    got = sorted(map(tuple, counted.where((df >= 3) & (chi2 >= LEAST_CHI2)).select("term", "toxic", "df").collect()))
+    terms, toxic, seen = (np.array(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
+    return terms.astype(np.uint32), log_odds(toxic, seen, n1, n)
+
+
+def fit_machine(owner: np.ndarray, terms: np.ndarray, y: np.ndarray, chosen: np.ndarray, odds: np.ndarray) -> Machine:
+    """Logistic loss over the ``chosen`` terms by AdaGrad over shuffled batches; the same sample gives the same machine."""
     if not len(y):
         return Machine()
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    chosen, odds = chosen_terms(owner, terms, y) if 0 < y.sum() < len(y) else (np.zeros(0, np.uint32), np.zeros(0))
     m = Machine(float(np.log(share / (1 - share))), chosen)
     rng = np.random.default_rng(SEED)
     # Weights start from a part of the log odds, so a term that few documents show alone counts alone too.
@@ -127,8 +140,8 @@ def fit_machine(owner: np.ndarray, terms: np.ndarray, y: np.ndarray) -> Machine:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSITIVE, negative: int = SAMPLE_NEGATIVE,
                  id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """Fit on labelled rows that are not held out. The sample's identifiers (a bounded number) are broadcast, its
-    terms come to the driver. The classes are sampled at different rates, which depend on the table's size; the bias
+    """Fit on labelled rows that are not held out. The sample's identifiers (a bounded number) are broadcast; of its
+    terms only those that an aggregate chooses come to the driver. The classes are sampled at different rates, which depend on the table's size; the bias
     is corrected for them by the counts of all labelled rows, so that a score means the same on any size. Several
     labels of one document: any 1 wins; null labels and ids don't count."""
     known = (labels.select(F.col(id_col).cast("long").alias("_label_id"), F.col(label_col).cast("int").alias("_y"))
@@ -148,14 +161,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSI
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(
             [terms[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["_id", "_y", "_terms"])
 
-    got = sorted((tuple(r) for r in rows.mapInArrow(per_batch(extract, "_text"), "_id long, _y int, _terms binary").collect()), key=lambda r: (r[0], r[2]))
+    rows = stored(rows.mapInArrow(per_batch(extract, "_text"), "_id long, _y int, _terms binary"), "toxicity-sample")
+    chosen, odds = chosen_terms(rows)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.intersect1d(np.frombuffer(t, np.uint32), chosen, assume_unique=True).tobytes() for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary())], ["_id", "_y", "_terms"])
+    got = sorted((tuple(r) for r in rows.mapInArrow(per_batch(keep, "_terms"), rows.schema).collect()), key=lambda r: (r[0], r[2]))
     if not got:
         return Machine()
     terms = [np.frombuffer(r[2], np.uint32) for r in got]
     owner = np.repeat(np.arange(len(got), dtype=np.int32), [len(t) for t in terms])
     y = np.array([r[1] for r in got], float)
     del got
-    machine = fit_machine(owner, np.concatenate(terms), y)
+    machine = fit_machine(owner, np.concatenate(terms), y, chosen, odds)
     if counts.get(1) and counts.get(0):
         machine.bias -= float(np.log(min(1, positive / counts[1]) / min(1, negative / counts[0])))
     return machine
@@ -177,7 +196,10 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns, in one scan."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever their names, in one scan.
+
+    Null and empty texts are scored as texts without terms; repeated rows stay or go alike; an empty table stays empty;
+    without any labelled row all stay. Whole texts are scored, a very long one in a piece of its own."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(machine.score(texts_of(batch, text_col)) < threshold))
 

@@ -82,3 +82,15 @@ def test_bound_never_drops_a_likely_pair():
     for n in (30, 60, 150):
         assert (rng.binomial(n, 0.8, 20000) < least_matches(n, 80, 1e-6)).mean() == 0
         assert least_matches(n, 80, 1e-6) > 0.3 * n
+
+
+def test_repeated_ids_keep_the_links_of_each_text(spark):
+    from llm.near import drop_near
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(a, 1), (a + " more", 5), (b, 2), (b + " more", 5), (b + " again", None), ("alone " * 9, 5), ("none", None), ("", 5), ("", 5), ("alone " * 9, 5)]
+    docs = spark.createDataFrame([(t, i, "x", 1) for t, i in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_components(docs).collect()), key=str)
+    assert got == sorted([(1, 1, True), (5, 1, False), (2, 2, True), (5, 2, False), (None, 2, False), (5, 5, True), (None, None, True), (5, 5, True), (5, 5, True), (5, 5, True)], key=str)
+    left = drop_near(docs)
+    assert left.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, [(1, a), (2, b), (5, "alone " * 9), (None, "none"), (5, "")]))

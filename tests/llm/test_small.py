@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm import common, decontaminate, exact, language, mixing, tokens, toxicity
 
@@ -50,6 +51,88 @@ def test_exact_with_repeated_and_null_ids(spark):
         "Row(doc_id=None, keep_id=1, group_size=3, kept=False)", "Row(doc_id=None, keep_id=None, group_size=1, kept=True)"])
 
 
+def test_exact_rounds(spark):
+    """Every round leaves one row per run and text, a ``fan``-th of the runs, and the verified identifier, though one text
+    holds a third of the rows; a round is an exchange by run and stretch, a sort, and an aggregate over sorted rows."""
+    rows = [("hot" if i % 3 == 0 else f"t{i % 90}", None, i, *[None] * 5) for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    base = docs.select(F.col("doc_id").alias("_id"), F.unhex(F.sha2("text", 256)).alias("_sha"), F.xxhash64("text").alias("_check"), F.octet_length("text").alias("_length"),
+                       F.conv(F.hex(F.substring(F.unhex(F.sha2("text", 256)), 1, 4)), 16, 10).cast("long").alias("_at"), F.pmod(F.xxhash64("doc_id"), F.lit(27)).alias("_run"))
+    tree = exact.merge_rounds(base, "largest", 3, 3)
+    run_of = {r["_id"]: r["_run"] for r in base.collect()}
+    text_of = {hashlib.sha256(r[0].encode()).digest(): r[0] for r in rows}
+    for level, runs in enumerate(tree):
+        want = {}
+        for r in rows:
+            want.setdefault((run_of[r[2]] // 3 ** level, r[0]), []).append(r[2])
+        got = [(r["_run"], text_of[bytes(r["_sha"])], r["_keep"], r["_n"]) for r in runs.collect()]
+        assert sorted(got) == sorted((*k, max(v), len(v)) for k, v in want.items())
+        assert sum(t == "hot" for _, t, _, _ in got) == 27 // 3 ** level
+    plan = exact.sorted_runs(tree[0], F.floor(F.col("_run") / 3), 256, F.max, F.col("_keep").isNotNull())._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    # Equal digests of other texts are told apart by the second hash and the length.
+    forged = base.withColumn("_sha", F.lit(b"x" * 32)).withColumn("_at", F.lit(1))
+    assert exact.merge_rounds(forged, "largest", 3, 3)[-1].count() == len({r[0] for r in rows})
+
+
+NASTY = ("_id _text _sha _check _length _run _keep _n _at _stretch stay _stay gone _gone gone_raw mixed _mixed mixed_source mixed_size _copy _copies copies "
+         "place share key raw vertex words sig _words _least _raw _comp _doc size _src _class _slice n rows hit items longest _key term tf at shard block item").split()
+
+
+def test_clashing_names(spark):
+    """Extra columns that are named like the operators' own change nothing; stages hand them on."""
+    from llm import near, pii, search, substrings, whitening
+    plain = [(i, None if i % 9 == 0 else f"{'same words here and there now' if i % 4 == 0 else f'own words {i} a b c d e f g'} x{i % 5} ring me at a{i}@b.co",
+              None if i % 5 == 0 else f"s{i % 3}", "en", 3) for i in range(40)]
+    docs = spark.createDataFrame(plain, "doc_id long, text string, source string, lang string, n_chars long")
+    nasty = docs
+    for c in NASTY:
+        nasty = nasty.withColumn(c, F.lit("x"))
+    bench = spark.createDataFrame([(1, "own words 7 a b c d e f g"), (2, "zz")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, toxic int, quality int")
+    whole = {
+        "exact": exact.exact_groups, "mix": mixing.mix_sources, "near": near.near_components, "leaks": lambda d: decontaminate.find_contamination(d, bench),
+        "toxic": lambda d: toxicity.score_toxicity(d, toxicity.fit_toxicity(d, labels)), "language": lambda d: language.identify(d, language.language_samples(d)),
+        "substrings": substrings.dedup_substrings, "pii": pii.personal_data, "search": lambda d: search.search(d, bench),
+        "tokens": lambda d: tokens.write_tokens(d, common.shared_dir(spark, "t"), VOCABULARY).select("doc_id", "start", "n_tokens", "ids_crc32")}
+    for name, fn in whole.items():
+        assert sorted(map(str, fn(nasty).collect())) == sorted(map(str, fn(docs).collect())), name
+    stages = {"exact": exact.drop_exact, "mix": mixing.sample_mix, "near": near.drop_near, "leaks": lambda d: decontaminate.drop_contaminated(d, bench),
+              "toxic": lambda d: toxicity.drop_toxic(d, toxicity.Machine(), threshold=2.0)}
+    for name, fn in stages.items():
+        got, want = fn(nasty), fn(docs)
+        assert got.columns == nasty.columns, name
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in want.collect()), name
+    vectors = spark.createDataFrame([(i, [float(i), float(i * i % 7)]) for i in range(9)], "vec_id long, embedding array<double>")
+    assert sorted(map(str, whitening.whiten(vectors.withColumn("_x", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("component", F.lit("c"))).collect())) == sorted(
+        map(str, whitening.whiten(vectors).collect()))
+
+
+def test_mix_of_repeated_ids(spark):
+    """Rows that share an id share its copies, so the words taken stay near the target."""
+    rows = [("w " * (1 + i % 7), "a" if i % 3 else "b", i // 2 if i < 80 else i, *[None] * 5) for i in range(300)] + [("q", "a", None, *[None] * 5)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken = mixing.mix_sources(docs).collect()
+    got = mixing.sample_mix(docs).collect()
+    assert len(got) == sum(r["copies"] for r in taken)
+    for key in {r[2] for r in rows}:
+        assert sum(r["doc_id"] == key for r in got) == sum(r["copies"] for r in taken if r["doc_id"] == key)
+
+
+def test_items_without_an_id(spark):
+    """They hit words, are not named and not counted; blocks of any size agree."""
+    text = "one two three four five six seven eight nine ten eleven"
+    items = [(None, text), (5, "a b c d e f g h i j"), (None, "a b c d e f g h i j"), (None, None)]
+    rows = [(text, 1), ("a b c d e f g h i j " + text, 2), ("nothing", 3), ("a b c d e f g h i j " + text, 2)]
+    docs = spark.createDataFrame([(t, None, i, *[None] * 5) for t, i in rows], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = sorted([(1, 11, 11, 0, sha(""), True), (2, 21, 21, 1, sha("5"), True), (2, 21, 21, 1, sha("5"), True), (3, 1, 0, 0, sha(""), False)])
+    for block_words in (3, 10_000):
+        assert sorted(tuple(r)[:6] for r in decontaminate.find_contamination(docs, bench, block_words=block_words).collect()) == want
+        assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench, block_words=block_words).collect()] == [3]
+
+
 def filled(sizes):
     """Targets by sharing again and again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -198,7 +281,13 @@ def test_machine_learns_pairs():
         a, b = rng.random() < .5, rng.random() < .5
         texts.append(" ".join(["insult"] * a + ["group"] * b + [f"n{rng.randrange(50)}" for _ in range(5)]).encode())
         y.append(float(a and b))
-    machine = toxicity.fit_machine(*toxicity.terms_of(texts), np.array(y))
+    owner, terms = toxicity.terms_of(texts)
+    y = np.array(y)
+    found, df = np.unique(terms, return_counts=True)
+    toxic = np.array([int(y[owner[terms == t]].sum()) for t in found])
+    n, n1 = len(y), y.sum()
+    chosen = n * (toxic * n - df * n1) ** 2 / (df * (n - df) * n1 * (n - n1)) >= toxicity.LEAST_CHI2
+    machine = toxicity.fit_machine(owner, terms, y, found[chosen], toxicity.log_odds(toxic, df, n1, n)[chosen])
     score = lambda t: machine.score([t])[0]
     assert score(b"insult group n1") > .8 and max(score(b"insult n1"), score(b"group n1"), score(b"")) < .2
 
@@ -231,6 +320,55 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.drop_toxic(docs, machine, threshold=2.0).count() == 3
 
 
+def test_toxicity_score_against_all_pairs(spark):
+    """The score of the fitted machine as a plain sum over terms and over all pairs of terms."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.fit_toxicity(docs, labels)
+    place = {int(t): i for i, t in enumerate(machine.terms)}
+    assert len(place) > 10
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.limit(150).collect()} | {-1: "", -2: "a", -3: "É ok"}
+    split = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    got = dict(zip(texts, machine.score([t.encode() for t in texts.values()])))
+    for i, text in texts.items():
+        words = {w.encode() for w in split.findall(lower(text))}
+        keys = set(words) | {w[:n] + b"*" for w in words for n in toxicity.PREFIXES if len(w) > n}
+        at = sorted({place[t] for t in (int(common.word_hashes([k])[0]) >> 32 for k in keys) if t in place})
+        raw = machine.bias + sum(machine.w[a] for a in at) + sum(float(machine.v[a] @ machine.v[b]) for x, a in enumerate(at) for b in at[x + 1:])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-max(-40.0, min(40.0, raw)))), rel=1e-9), i
+
+
+def test_language_against_a_plain_parser(spark):
+    """Predictions by searching the labelled text itself for every longest match, word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(25)
+    samples = {k: v[:6000] for k, v in language.language_samples(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).items()}
+    assert len(samples) > 1
+
+    def phrases(word, text):
+        count, at = 0, 0
+        while at < len(word):
+            n = 1
+            while at + n < len(word) and word[at:at + n + 1] in text:
+                n += 1
+            count, at = count + 1, at + n
+        return count
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, samples).collect()}
+    for r in docs.collect():
+        words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        bits = {k: sum(phrases(f" {w} ", t) for w in words) * np.log2(len(t) + 2) for k, t in samples.items()}
+        if words:
+            best = min(sorted(bits), key=bits.get)
+            assert got[r["doc_id"]][0] == best
+            assert got[r["doc_id"]][1] == pytest.approx(1 / sum(2 ** (-(b - bits[best]) / len(words)) for b in bits.values()), rel=1e-4)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(f"word{i % 7} text{i}", None, i, f"l{i % 5}" if i % 2 else "l0", *[None] * 4) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("lang", F.col("keep_id"))
+    assert set(language.language_samples(docs)) == {f"l{k}" for k in range(5)}
+    few = language.language_samples(docs, docs_per_lang=3, langs=2)
+    assert set(few) == {"l0", "l1"} and all(len(t.split()) <= 6 for t in few.values())
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(docs, language.language_samples(docs)).join(docs, "doc_id").where("held_out").collect()
