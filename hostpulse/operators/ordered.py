@@ -105,19 +105,20 @@ def asof(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry,
         return both.withColumn(out, latest.over(w)).where(~F.col("__mark")).drop("__x", "__mark", _PAYLOAD)
 
     cell = F.call_function("div", F.col("__x"), F.lit(slice_width).cast("bigint"))
-    # the only shuffle of rows; borders and result are both taken from it
-    both = both.withColumn(_SLICE, cell).repartition(*by, _SLICE)
+    # the last mark of every slice that has some, chained over slices to those that hold points: a row per slice
     pick = F.max_by if back else F.min_by
-    edges = both.groupBy(*by, _SLICE).agg(pick(_PAYLOAD, F.when(F.col("__mark"), F.struct("__x", _PAYLOAD))).alias(_EDGE))
+    edges = right.withColumn(_SLICE, cell).groupBy(*by, _SLICE).agg(pick(_PAYLOAD, F.struct("__x", _PAYLOAD)).alias(_EDGE))
+    needed = left.select(*by, cell.alias(_SLICE)).distinct().withColumn("__need", F.lit(True))
     step = F.col(_SLICE).asc() if back else F.col(_SLICE).desc()
-    # everything in slices strictly before (forward: after) the own one: a row per slice
-    across = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    seeds = (edges.withColumn(_SEED, F.last(_EDGE, ignorenulls=True).over(across)).where(F.col(_SEED).isNotNull())
-             .select(*[F.col(c).alias(f"__s_{c}") for c in by], F.col(_SLICE).alias("__s_slice"), _SEED))
-    on = C.all_of([F.col(c) == F.col(f"__s_{c}") for c in by] + [F.col(_SLICE) == F.col("__s_slice")])
-    within = Window.partitionBy(*by, _SLICE).orderBy(*ordering()).rowsBetween(Window.unboundedPreceding, 0)
-    return (both.join(seeds, on, "left").withColumn(out, F.coalesce(latest.over(within), F.col(_SEED)))
-            .where(~F.col("__mark")).drop("__x", "__mark", _PAYLOAD, _SLICE, _SEED, "__s_slice", *[f"__s_{c}" for c in by]))
+    across = Window.partitionBy(*by).orderBy(step).rangeBetween(Window.unboundedPreceding, -1)
+    seeds = (needed.unionByName(edges, allowMissingColumns=True).repartition(*by)
+             .withColumn(_PAYLOAD, F.last(_EDGE, ignorenulls=True).over(across)).where(F.col("__need") & F.col(_PAYLOAD).isNotNull())
+             .select(*by, _SLICE, _PAYLOAD, F.lit(True).alias("__mark"), F.lit(True).alias(_SEED)))
+    both = (both.withColumn(_SLICE, cell).withColumn(_SEED, F.lit(False))
+            .unionByName(seeds, allowMissingColumns=True).repartition(*by, _SLICE))
+    within = Window.partitionBy(*by, _SLICE).orderBy(*ordering(F.col(_SEED).desc())).rowsBetween(Window.unboundedPreceding, 0)
+    return (both.withColumn(out, latest.over(within)).where(~F.col("__mark"))
+            .drop("__x", "__mark", _PAYLOAD, _SLICE, _SEED))
 
 
 def asof_both(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry, before: str, after: str,

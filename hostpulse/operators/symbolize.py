@@ -6,10 +6,7 @@ samples themselves meet the result in a single equi join.
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hostpulse.functions import columns as C
 from hostpulse.operators.ordered import asof
@@ -39,33 +36,23 @@ def kernel_names(addresses: DataFrame, kernel_symbols: DataFrame, slice_width: i
 def flatten_maps(proc_maps: DataFrame) -> DataFrame:
     """Address-space maps cut into disjoint pieces, each owned by the first map that covers it.
 
-    One group is one process: the kernel bounds the number of its maps.
+    Maps of a process that touch no others are pieces as they are; those that overlap form islands, found by a running
+    maximum of ends, and only within an island are borders cut and owners sought.  The kernel bounds the maps of a process.
     """
-    unique = (proc_maps.groupBy("host", "pid", "start", "end", "offset", "path")
+    unique = (proc_maps.where(F.col("start") < F.col("end")).groupBy("host", "pid", "start", "end", "offset", "path")
               .agg(F.min("ord").alias("ord")))
-    texts = unique.select("host", "pid", *[F.col(c).cast("string") for c in ("start", "end", "offset")], "path", "ord")
-    schema = "host STRING, pid BIGINT, piece STRING, piece_end STRING, start STRING, offset STRING, path STRING"
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = sorted((int(s), int(e), int(o), str(off), p) for s, e, o, off, p in
-                       zip(pdf["start"], pdf["end"], pdf["ord"], pdf["offset"], pdf["path"]))
-        edges = sorted({x for s, e, *_ in spans for x in (s, e)})
-        pieces, active, nxt = [], [], 0
-        for lo, hi in zip(edges, edges[1:]):
-            while nxt < len(spans) and spans[nxt][0] <= lo:
-                s, e, o, off, p = spans[nxt]
-                heapq.heappush(active, (o, s, e, off, p))
-                nxt += 1
-            while active and active[0][2] <= lo:
-                heapq.heappop(active)
-            if active:
-                o, s, e, off, p = active[0]
-                pieces.append((pdf["host"].iloc[0], pdf["pid"].iloc[0], str(lo), str(hi), str(s), off, p))
-        return pd.DataFrame(pieces, columns=["host", "pid", "piece", "piece_end", "start", "offset", "path"])
-
-    flat = texts.groupBy("host", "pid").applyInPandas(cut, schema)
-    return flat.select("host", "pid", "path", *[F.col(c).cast(C.ADDRESS).alias(c)
-                                                for c in ("piece", "piece_end", "start", "offset")])
+    in_order = Window.partitionBy("host", "pid").orderBy("start", "end", "ord")
+    reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = (reached.isNull() | (F.col("start") >= reached)).cast("int")
+    islands = unique.withColumn("__new", begins).withColumn("__island", F.sum("__new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    maps = (islands.groupBy("host", "pid", "__island")
+            .agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "offset", "path"))).alias("__maps")))
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform("__maps", lambda m: m["start"]), F.transform("__maps", lambda m: m["end"]))))
+    cut = maps.withColumn("__edges", edges).select("host", "pid", "__maps", F.explode(F.arrays_zip(
+        F.slice("__edges", F.lit(1), F.size("__edges") - 1).alias("piece"), F.slice("__edges", F.lit(2), F.size("__edges") - 1).alias("piece_end"))).alias("__p"))
+    owner = F.try_element_at(F.filter("__maps", lambda m: (m["start"] <= F.col("__p.piece")) & (m["end"] > F.col("__p.piece"))), F.lit(1))
+    owned = cut.select("host", "pid", "__p.piece", "__p.piece_end", owner.alias("__m")).where(F.col("__m").isNotNull())
+    return owned.select("host", "pid", "__m.path", "piece", "piece_end", "__m.start", "__m.offset")
 
 
 def user_names(addresses: DataFrame, proc_maps: DataFrame, elf_symbols: DataFrame,
@@ -113,12 +100,15 @@ def _apply_names(samples: DataFrame, stack: str, keys, names: DataFrame) -> Data
     keys = list(keys)
     addresses = F.transform(stack, lambda f: f["address"])
     keyed = samples.withColumn("__a", addresses)
-    stacks = keyed.select(*keys, "__a").distinct()
-    frames = stacks.select(*keys, "__a", F.posexplode("__a").alias("__pos", "address"))
+    stacks = keyed.where(F.size(stack) > 0).select(*keys, "__a").distinct().withColumn("__h", F.xxhash64(*keys, "__a"))
+    frames = stacks.select(*keys, "__h", "__a", F.posexplode("__a").alias("__pos", "address"))
     # a stack has at most as many frames as the sampler's depth limit
-    named = (frames.join(names, [*keys, "address"], "left").groupBy(*keys, "__a")
-             .agg(F.array_sort(F.collect_list(F.struct("__pos", "name"))).alias("__n")))
-    out = keyed.join(named, [*keys, "__a"], "left")
+    named = (frames.join(names, [*keys, "address"], "left").groupBy("__h", *keys, "__a")
+             .agg(F.array_sort(F.collect_list(F.struct("__pos", "name"))).alias("__n"))
+             .select("__h", *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__a").alias("__b"), "__n"))
+    # rows meet by one number, keys and addresses only confirm
+    same = C.all_of([F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__a") == F.col("__b")])
+    out = keyed.withColumn("__g", F.xxhash64(*keys, "__a")).join(named, (F.col("__g") == F.col("__h")) & same, "left")
     renamed = F.zip_with(F.col(stack), F.col("__n"), lambda f, n: F.struct(
         f["address"].alias("address"), F.coalesce(n["name"], f["function_name"]).alias("function_name"),
         f["file_name"].alias("file_name"), f["line_number"].alias("line_number"),

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "true"}
+# Event time that waiting rows of a bucket share.
+BUCKET_MS = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -47,53 +49,85 @@ class _Keyed(StatefulProcessor):
 
     With a watermark, rows wait in the state until it has passed them and are then handled in event-time order:
     later arrivals can no longer come before them, and rows that are too late are dropped and counted by Spark.
-    Without one, rows are handled as they arrive; a row that is older than the last one handled gets no
+    Waiting rows lie in buckets of event time, in a part for each micro-batch that brought some, and each bucket has a
+    timer at its oldest row.  A micro-batch writes its own rows only, and a timer reads its bucket only, so a key with
+    very many waiting rows costs no more per row than any other.
+    Without a watermark, rows are handled as they arrive; a row that is older than the last one handled gets no
     predecessor, so no negative duration is ever made.  ``ttl_ms`` after its last row a key is forgotten.
     """
 
-    def __init__(self, order, time_name, ttl_ms, width: int):
-        self.order, self.time_name, self.ttl_ms, self.width = order, time_name, ttl_ms, width
+    def __init__(self, order, time_name, ttl_ms, width: int, bucket_ms: int = BUCKET_MS):
+        self.order, self.time_name, self.ttl_ms, self.width, self.bucket_us = order, time_name, ttl_ms, width, bucket_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("last", "state STRING")
-        self.pending = handle.getListState("pending", "at BIGINT, ord STRING, row STRING") if self.time_name else None
+        if self.time_name:
+            self.pending = handle.getMapState("pending", "bucket BIGINT, part BIGINT", "rows STRING")
+            self.parts = handle.getMapState("parts", "bucket BIGINT", "n BIGINT")
+            self.open = handle.getValueState("open", "n BIGINT")
 
     def handleInputRows(self, key, rows, timerValues):
         arrived = []
-        for pdf in rows:        # chunk by chunk
-            ordered = list(zip(_comparable(pdf, self.order), *[pdf[c] for c in self.columns()]))
-            if self.time_name:
-                at = [int(t.value // 1000) for t in pdf[self.time_name]]
-                self.pending.appendList([(a, json.dumps(o), json.dumps([_plain(x) for x in rest])) for a, (o, *rest) in zip(at, ordered)])
-            else:               # bounded by the trigger's input limit
-                arrived += [(None, o, rest) for o, *rest in ordered]
-        if self.time_name:
-            self.arm()
-        elif arrived:
-            yield self.emit(sorted(arrived, key=lambda r: r[1]))
-
-    def arm(self) -> None:
-        """One timer per key: when the oldest waiting row is due, else when the key may be forgotten."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        waiting = [r[0] for r in self.pending.get()] if self.pending.exists() else []
-        if waiting:
-            self.handle.registerTimer(-(-min(waiting) // 1000))
-        elif self.ttl_ms and self.value.exists():
-            self.handle.registerTimer(json.loads(self.value.get()[0])["at"] // 1000 + self.ttl_ms)
+        for pdf in rows:        # bounded by the trigger's input limit
+            ordered = zip(_comparable(pdf, self.order), *[pdf[c] for c in self.columns()])
+            at = [int(t.value // 1000) for t in pdf[self.time_name]] if self.time_name else [None] * len(pdf)
+            arrived += [(a, o, [_plain(x) for x in rest]) for a, (o, *rest) in zip(at, ordered)]
+        if not self.time_name:
+            if arrived:
+                yield self.emit(sorted(arrived, key=lambda r: r[1]))
+            return
+        buckets: dict[int, list] = {}
+        for row in arrived:
+            buckets.setdefault(row[0] // self.bucket_us, []).append(row)
+        for bucket, some in buckets.items():
+            n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+            self._keep(bucket, n, some)
+        self._count(len(arrived))
+
+    def _keep(self, bucket: int, part: int, rows: list) -> None:
+        self.pending.updateValue((bucket, part), (json.dumps(rows),))
+        self.parts.updateValue((bucket,), (part + 1,))
+        self.handle.registerTimer(-(-min(r[0] for r in rows) // 1000))
+
+    def _count(self, more: int) -> int:
+        left = (self.open.get()[0] if self.open.exists() else 0) + more
+        self.open.update((left,))
+        return left
+
+    def _due(self, bucket: int, passed: int) -> list:
+        """Rows of a bucket that the watermark has passed, in order; the others stay as one part with a new timer."""
+        if not self.parts.containsKey((bucket,)):
+            return []
+        n, rows = self.parts.getValue((bucket,))[0], []
+        for part in range(n):
+            rows += json.loads(self.pending.getValue((bucket, part))[0])
+        due = [(a, tuple(o), r) for a, o, r in rows if a <= passed]
+        if not due:
+            return []
+        for part in range(n):
+            self.pending.removeKey((bucket, part))
+        self.parts.removeKey((bucket,))
+        rest = [r for r in rows if r[0] > passed]
+        if rest:
+            self._keep(bucket, 0, rest)
+        return sorted(due, key=lambda r: (r[1], r[0]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.pending.get()) if self.pending.exists() else []
-        due = sorted(((tuple(json.loads(o)), a, r) for a, o, r in waiting if a <= passed))
-        if due:
-            rest = [r for r in waiting if r[0] > passed]
-            self.pending.put(rest) if rest else self.pending.clear()
-            yield self.emit([(a, o, json.loads(r)) for o, a, r in due])
-        elif not waiting and self.ttl_ms:
-            self.value.clear()
-        self.arm()
+        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # a timer is its row's time in whole milliseconds, so the row may lie in the bucket before
+        for bucket in sorted({(at - 999) // self.bucket_us, at // self.bucket_us}):
+            due = self._due(bucket, passed)
+            if due:
+                yield self.emit(due)
+                self._count(-len(due))
+        if self.ttl_ms and self.value.exists():
+            forget = json.loads(self.value.get()[0])["at"] // 1000 + self.ttl_ms
+            if passed // 1000 < forget:
+                self.handle.registerTimer(forget)
+            elif not self._count(0):
+                self.value.clear()
 
     def emit(self, rows) -> pd.DataFrame:
         known = json.loads(self.value.get()[0]) if self.value.exists() else None
