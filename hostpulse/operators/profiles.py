@@ -130,22 +130,38 @@ def _names(df, keys):
     return df.select(*keys).columns if keys else []
 
 
+def _tree_nodes(paths: DataFrame, names) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the tree without their paths, and the stacks that they come from.
+
+    A node's id is a running hash of the names down to it (two numbers, so that ids don't collide), so a stack is
+    shuffled as one short row per level; each node names one stack (``__sa``, ``__sb``) that passes through it.
+    """
+    def step(acc, name):
+        last = F.element_at(acc, F.lit(-1))
+        return F.concat(acc, F.array(F.struct(F.xxhash64(F.lit(1), last["a"], name).alias("a"), F.xxhash64(F.lit(2), last["b"], name).alias("b"))))
+    zero = F.lit(0).cast("bigint")
+    ids = F.aggregate("path", F.array(F.struct(zero.alias("a"), zero.alias("b"))), step)
+    stacks = paths.withColumn("__ids", ids).withColumn("__leaf", F.element_at("__ids", F.lit(-1)))
+    levels = F.arrays_zip(F.col("__ids").alias("id"), F.concat(F.array(F.lit(ROOT)), F.col("path")).alias("name"))
+    rows = stacks.select(*names, "weight", F.size("path").alias("__size"), F.col("__leaf.a").alias("__sa"), F.col("__leaf.b").alias("__sb"), F.posexplode(levels).alias("depth", "__n"))
+    own = F.when(F.col("depth") == F.col("__size"), F.col("weight")).otherwise(0)
+    nodes = (rows.groupBy(*names, F.col("__n.id.a").alias("__a"), F.col("__n.id.b").alias("__b"))
+             .agg(F.sum("weight").alias("value"), F.sum(own).alias("self_value"), F.first("__n.name").alias("name"), F.first("depth").alias("depth"),
+                  F.first("__sa").alias("__sa"), F.first("__sb").alias("__sb")))
+    return nodes, stacks
+
+
 def flame_tree(samples: DataFrame, offcpu: bool = False, keys=()) -> DataFrame:
     """Tree as a table: ``path``, ``depth``, ``name``, inclusive ``value`` and ``self_value``.
 
-    The root has an empty path and depth 0.
+    The root has an empty path and depth 0.  A node takes its path from the one stack that it names, so shuffled bytes
+    grow with the depth of stacks and not with its square.
     """
     names = _names(samples, keys)
-    paths = sample_paths(samples, offcpu, keys)
-    size = F.size("path")
-    nodes = paths.select(*names, "weight", F.col("path").alias("__full"),
-                         F.explode(F.sequence(F.lit(0), size)).alias("depth"))
-    return (nodes.select(*names, F.slice("__full", F.lit(1), F.col("depth")).alias("path"), "weight",
-                         F.when(F.col("depth") == F.size("__full"), F.col("weight")).otherwise(0).alias("__self"))
-            .groupBy(*names, "path").agg(F.sum("weight").alias("value"), F.sum("__self").alias("self_value"))
-            .select(*names, "path", F.size("path").alias("depth"),
-                    F.when(F.size("path") == 0, ROOT).otherwise(F.try_element_at("path", F.lit(-1))).alias("name"),
-                    "value", "self_value"))
+    nodes, stacks = _tree_nodes(sample_paths(samples, offcpu, keys), names)
+    full = stacks.select(*[F.col(n).alias(f"__k{i}") for i, n in enumerate(names)], F.col("__leaf.a").alias("__la"), F.col("__leaf.b").alias("__lb"), F.col("path").alias("__full"))
+    same = C.all_of([F.col("__sa") == F.col("__la"), F.col("__sb") == F.col("__lb")] + [F.col(n).eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(names)])
+    return nodes.join(full, same).select(*names, F.slice("__full", F.lit(1), F.col("depth")).alias("path"), "depth", "name", "value", "self_value")
 
 
 def profile_snapshots(samples: DataFrame, window="5 seconds", keep: int | None = None,
@@ -164,7 +180,7 @@ def profile_snapshots(samples: DataFrame, window="5 seconds", keep: int | None =
     if keep is not None:
         newest = top_per_key(keyed.select(*keys).distinct(), keys[:2], [F.col("window_ns").desc()], keep)
         keyed = keyed.join(newest, keys, "left_semi")
-    tree = flame_tree(keyed, keys=keys)
+    tree, _ = _tree_nodes(sample_paths(keyed, keys=keys), keys)
     nodes = tree.groupBy(*keys).agg(F.count(F.lit(1)).alias("node_count"),
                                     F.max(F.when(F.col("depth") == 0, F.col("value"))).alias("value"))
     sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
