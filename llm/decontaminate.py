@@ -9,7 +9,6 @@ number of words, one at a time, so the benchmark may grow; texts are never shuff
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -126,17 +125,16 @@ def block_table(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
     return stored(items.mapInArrow(run, "block string, item_id string, text string"), "decontaminate-items")
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Items block by block: the driver and a task hold one block at a time. An empty benchmark is one empty block."""
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[tuple[bool, list[tuple[str | None, bytes]]]]:
+    """Whether more follow, and the items, block by block: the driver and a task hold one block at a time. An empty
+    benchmark is one empty block."""
     table = block_table(benchmark, id_col, text_col, block_words)
-    names = [r[0] for r in table.select("block").distinct().orderBy("block").toLocalIterator()]
-    for name in names or [""]:
-        yield [(r[0], r[1].encode()) for r in table.where(F.col("block") == name).select("item_id", "text").collect()]
+    names = [r[0] for r in table.select("block").distinct().orderBy("block").toLocalIterator()] or [""]
+    for name in names:
+        yield name != names[-1], [(r[0], r[1].encode()) for r in table.where(F.col("block") == name).select("item_id", "text").collect()]
 
 
-PART = "doc_id long, key long, n_words long, rows long, hit binary, items array<string>, longest array<struct<item_id:string,words:long,position:long>>"
-FINAL = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-         "longest array<struct<item_id:string,words:long,position:long>>")
+PART = "doc_id long, key long, n_words long, hit array<int>, items array<string>, longest array<struct<item_id:string,words:long,position:long>>"
 LONGEST = pa.list_(pa.struct([("item_id", pa.string()), ("words", pa.int64()), ("position", pa.int64())]))
 
 
@@ -151,21 +149,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     count once. Empty ``docs`` give an empty result; an empty benchmark hits nothing. Other columns are not looked at.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    parts = None
-    # One pass a block, each written before the next block is fetched. The first pass counts every row, the others
-    # bring only hits; rows with the same id and text have the same result.
-    for i, block in enumerate(blocks_of(benchmark, item_id, item_text, block_words)):
-        part = stored(base.mapInArrow(per_batch(_scan(block, window, i == 0), "text", SHARD_BYTES), PART), "decontaminate-part")
-        parts = part if parts is None else parts.unionByName(part)
-    grouped = parts.groupBy("doc_id", "key").agg(
-        F.max("n_words").alias("n_words"), F.sum("rows").alias("rows"), F.collect_set("hit").alias("hits"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_set("longest"))).alias("longest"))
-    each = grouped.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
-    return each.select("doc_id", "n_words", "hits", "items", "longest").mapInArrow(_merge, FINAL)
-
-
-def _digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    every, hits = None, None
+    # One pass a block, each written before the next block is fetched. The first pass answers every row, the others
+    # bring hits only; rows with the same id and text have the same ones.
+    for more, block in blocks_of(benchmark, item_id, item_text, block_words):
+        part = base.mapInArrow(per_batch(_scan(block, window, every is None), "text", SHARD_BYTES), PART)
+        part = stored(part, "decontaminate-part") if more else part
+        if every is None:
+            every = part
+        else:
+            hits = part if hits is None else hits.unionByName(part)
+    if hits is not None:
+        lists = ("hit", "items", "longest")
+        later = hits.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(*[F.array_distinct(F.flatten(F.collect_set(c))).alias(f"_{c}") for c in lists])
+        both = every.join(later, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+        every = both.select("doc_id", "n_words", *[F.when(F.col("_key").isNull(), F.col(c)).otherwise(F.array_union(c, f"_{c}")).alias(c) for c in lists])
+    names = F.array_sort("items")
+    return every.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"), "longest")
 
 
 def _scan(block, window: int, every: bool):
@@ -177,30 +178,14 @@ def _scan(block, window: int, every: bool):
         words = [words_of(t) for t in texts_of(batch, "text")]
         items, hit, longest = shard_matches(tests[0], words)
         out = pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array([len(w) for w in words], pa.int64()), pa.array([int(every)] * len(words), pa.int64()),
-             pa.array([np.packbits(h).tobytes() if h.any() else None for h in hit], pa.binary()), pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string())),
+            [*batch.columns[:2], pa.array([len(w) for w in words], pa.int64()), pa.array([np.flatnonzero(h).astype(np.int32) for h in hit], pa.list_(pa.int32())),
+             pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string())),
              pa.array([[{"item_id": k, "words": n, "position": p} for k, (n, p) in sorted(x.items(), key=str)] for x in longest], LONGEST)],
-            [f.split()[0] for f in PART.split(", ")[:6]] + ["longest"])
+            ["doc_id", "key", "n_words", "hit", "items", "longest"])
         return out if every else out.filter(pa.array([bool(x) for x in items], pa.bool_()))
     return run
 
 
-def _merge(it):
-    for batch in it:
-        col = lambda n: batch.column(batch.schema.get_field_index(n))
-        hits = []
-        for masks in col("hits").to_pylist():
-            total = 0
-            for m in masks:
-                total |= int.from_bytes(m, "big")
-            hits.append(total.bit_count())
-        items = col("items").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [col("doc_id"), col("n_words"), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-             pa.array([_digest(x) for x in items]), pa.array([h > 0 for h in hits], pa.bool_()), col("longest").cast(LONGEST)],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id",
                       item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` without any window of ``benchmark``, with all their columns, whatever their names.
@@ -208,12 +193,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     Null and empty texts stay, items without an id count too, repeated rows are judged each, an empty table stays empty and
     an empty benchmark takes nothing. A scan for each block of items, the result written between two; no shuffle.
     """
-    for i, block in enumerate(blocks_of(benchmark, item_id, item_text, block_words)):
+    for more, block in blocks_of(benchmark, item_id, item_text, block_words):
         def run(batch: pa.RecordBatch, tests: list = [], block=block) -> pa.RecordBatch:  # noqa: B006  (kept per task)
             if not tests:
                 tests.append(TestSet(block, window))
             items, _, _ = shard_matches(tests[0], [words_of(t) for t in texts_of(batch, text_col)])
             return batch.filter(pa.array([not x for x in items], pa.bool_()))
-        docs = stored(docs, "decontaminate") if i else docs
         docs = docs.mapInArrow(per_batch(run, text_col, SHARD_BYTES), docs.schema)
+        docs = stored(docs, "decontaminate") if more else docs
     return docs
