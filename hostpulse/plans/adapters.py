@@ -21,7 +21,7 @@ TABLES = {
     "ev": "select event_id as seq, $NS(ts) as timestamp_ns, user_id, event_type, value, "
           "concat('h', cast(event_id % 2 as string)) as host from {events}",
     "rec": "select host, concat('feed_', cast(user_id % 3 as string)) as feed, seq, timestamp_ns, event_type, "
-           "user_id, value, seq % 40 as batch_id from ev",
+           "user_id, value, seq $DIV 250 as batch_id from ev",
     "sched": """
         select host, seq, timestamp_ns, cpu, event_type, next_pid, prev_pid,
                concat('proc_', cast(next_pid % 10 as string)) as next_comm,

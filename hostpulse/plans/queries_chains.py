@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostpulse.functions import columns as C
-from hostpulse.operators import pairing
+from hostpulse.operators import filters, pairing, stats
 from hostpulse.operators.aggregators import Aggregator, aggregate
 from hostpulse.plans import adapters as A
 from hostpulse.plans import queries_cases, registry  # noqa: F401  (registers the other parts)
@@ -13,6 +13,7 @@ from hostpulse.plans.queries import query, r
 from hostpulse.plans.queries_more import _event_stream
 from hostpulse.plans import sql as S
 from hostpulse.session import durable_dir
+from hostpulse.sinks import text
 from hostpulse.sources import datasource
 
 EVENT_SCHEMA = "host STRING, seq BIGINT, ts TIMESTAMP, timestamp_ns BIGINT, event_type STRING, prev_pid BIGINT, next_pid BIGINT, next_comm STRING, prev_comm STRING, cpu BIGINT"
@@ -235,3 +236,100 @@ def sql_function_totals(spark, sf):
     _sql_views(spark, sf)
     return S.run_sql(spark, """select * from function_totals(TABLE(select * from flame_tree(TABLE(
         select * from merge_stacks(TABLE(select * from samples_now where sample_type = 'oncpu'), 'comm')))))""")
+
+
+# ---------------------------------------------------------------------------------------------
+# branches that other queries leave out
+
+KINDS_SQL = """
+, k as (select host, cpu, ts_us, user_j, system_j, idle_j from cpu_counters)
+select 'cpu_total' as kind, host, '' as cpu, ts_us, user_j::double as v1, 0.0::double as v2, (user_j + 2 * system_j)::double as irq_all from k
+union all select 'cpu_core', host, cpu, ts_us, user_j::double, idle_j::double, 0.0::double from k
+union all select 'system_counters', host, '', ts_us, system_j::double, 0.0::double, null from k
+union all select 'loadavg', host, '', ts_us, 0.0::double, idle_j::double, null from k
+union all select 'runqueue', host, '', ts_us, user_j::double, system_j::double, null from k"""
+
+
+@query("metric_kinds", A.duck_with("cpu_counters") + KINDS_SQL)
+def metric_kinds(spark, sf):
+    """All five kinds of typed tables, with missing fields and the sum of both interrupt shares."""
+    c = A.with_ts(A.table(spark, sf, "cpu_counters")).withColumn("timestamp_ns", F.unix_micros("ts") * 1000)
+    n = lambda name: F.col(name).cast("double")
+
+    def records(kind, fields, **labels):
+        pairs = [x for k, v in labels.items() for x in (F.lit(k), v)]
+        return c.select("host", "timestamp_ns", F.create_map(F.lit("type"), F.lit(kind), *pairs).alias("labels"),
+                        F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]).alias("fields"))
+    rows = records("cpu_total", {"user_pct": n("user_j"), "irq_pct": n("user_j"), "softirq_pct": 2 * n("system_j")})
+    rows = rows.unionByName(records("cpu_core", {"user_pct": n("user_j"), "idle_pct": n("idle_j")}, cpu=F.col("cpu")))
+    rows = rows.unionByName(records("system_counters", {"context_switches_per_sec": n("system_j")}))
+    rows = rows.unionByName(records("loadavg", {"load_5m": n("idle_j")}))
+    rows = rows.unionByName(records("runqueue", {"procs_running": n("user_j"), "procs_blocked": n("system_j")}))
+    kinds = filters.pivot_cpu_metrics(rows)
+    shown = {"cpu_total": ("user_pct", "idle_pct"), "cpu_core": ("user_pct", "idle_pct"), "system_counters": ("context_switches_per_sec", "interrupts_per_sec"),
+             "loadavg": ("load_1m", "load_5m"), "runqueue": ("procs_running", "procs_blocked")}
+    out = None
+    for kind, (a, b) in shown.items():
+        t = kinds[kind]
+        cpu, irq = (F.col("cpu"), F.col("irq_all")) if "irq_all" in t.columns else (F.lit(""), F.lit(None).cast("double"))
+        t = t.select(F.lit(kind).alias("kind"), "host", cpu.alias("cpu"), C.int_div("timestamp_ns", 1000).alias("ts_us"),
+                     F.col(a).alias("v1"), F.col(b).alias("v2"), irq.alias("irq_all"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query("flush_profile", A.duck_with("stacks") + """
+select host, timestamp_ns - timestamp_ns % 2592000000000000 as window_ns, pid, tid, count(*) filter (where cnt < 0) as bad, sum(cnt)::bigint as total from stacks
+group by 1, 2, 3, 4""")
+def flush_profile(spark, sf):
+    """The other half of a flush: profile samples, summed over windows of thirty days."""
+    _, profile = stats.flush(A.type_records(spark, sf), A.stack_samples(spark, sf), "30 days")
+    return profile.groupBy("host", "window_ns", "pid", "tid").agg(F.count_if(F.col("count") < 0).alias("bad"), F.sum("count").alias("total"))
+
+
+@query("flush_both", A.duck_with("rec", "stacks") + """
+select 'metrics' as half, host, timestamp_ns - timestamp_ns % 86400000000000 as window_ns, event_type as name, count(*)::double as n from rec group by 2, 3, 4
+union all select 'profile', host, timestamp_ns - timestamp_ns % 86400000000000, max(comm), sum(cnt)::double from stacks
+ group by host, timestamp_ns - timestamp_ns % 86400000000000, pid, tid""")
+def flush_both(spark, sf):
+    """Both results of one flush over the same window length."""
+    metrics, profile = stats.flush(A.type_records(spark, sf), A.stack_samples(spark, sf), "1 day")
+    a = metrics.select(F.lit("metrics").alias("half"), "host", F.col("timestamp_ns").alias("window_ns"), F.try_element_at("labels", F.lit("type")).alias("name"),
+                       F.try_element_at("fields", F.lit("value_count")).alias("n"))
+    b = profile.groupBy("host", "window_ns", "pid", "tid").agg(F.max("comm").alias("name"), F.sum("count").cast("double").alias("n"))
+    return a.unionByName(b.select(F.lit("profile").alias("half"), "host", "window_ns", "name", "n"))
+
+
+@query("sql_row_limit", A.duck_with("rec") + "select seq, event_type from rec order by seq desc limit 1000")
+def sql_row_limit(spark, sf):
+    """The row cap of the query console, over more rows than it shows."""
+    _sql_views(spark, sf)
+    return S.run_sql(spark, "select seq, labels['type'] as event_type from records_now order by seq desc", limit=1000)
+
+
+@query("variant_gauges", A.duck_with("rec") + """
+, v as (select event_type, arg_max(seq, timestamp_ns) as seq, arg_max(value, timestamp_ns) as value from rec group by 1)
+select 'app_flag' as metric, event_type as type, case when seq % 2 = 1 then 1.0 else 0.0 end as value from v
+union all select 'app_number', event_type, value from v union all select 'app_text', event_type, 0.0 from v union all select 'app_gone', event_type, 0.0 from v""")
+def variant_gauges(spark, sf):
+    """Gauges of fields of any kind: numbers, flags, text and nulls."""
+    text_of = F.to_json(F.struct(F.col("fields")["value"].alias("number"), (F.col("seq") % 2 == 1).alias("flag"), F.lit("x").alias("text"), F.lit(None).cast("string").alias("gone")),
+                        {"ignoreNullFields": "false"})
+    rec = A.type_records(spark, sf).drop("fields_str", "fields_bool").withColumn("fields", F.from_json(text_of, "map<string,variant>"))
+    return text.last_gauges(rec, "app").select("metric", F.col("labels")[0]["value"].alias("type"), "value")
+
+
+@query("window_stats_all_labels", A.duck_with("rec") + """
+select host, timestamp_ns - timestamp_ns % 86400000000000 as window_ns, 'type=' || event_type || ';user=' || user_id || ';' as labels, round(avg(value), 9) as avg,
+  min(value) as min, max(value) as max, count(*) as count, round(case when count(*) >= 4 then quantile_cont(value, 0.99) end, 9) as p99 from rec group by 1, 2, 3""")
+def window_stats_all_labels(spark, sf):
+    """Statistics per whole label map, of two labels."""
+    out = stats.window_stats(A.records(spark, sf), "1 day")
+    return out.select("host", "window_ns", C.labels_text("labels").alias("labels"), r("avg", 9), "min", "max", "count", r("p99", 9))
+
+
+@query("passthrough_rows", A.duck_with("rec") + "select host, seq, timestamp_ns, event_type, value from rec")
+def passthrough_rows(spark, sf):
+    """Passthrough row by row."""
+    out = filters.passthrough(A.records(spark, sf))
+    return out.select("host", "seq", "timestamp_ns", F.col("labels")["type"].alias("event_type"), F.col("fields")["value"].alias("value"))

@@ -102,7 +102,7 @@ THREADS = A.duck_with("proc_counters", "thread_counters") + THREADS[len(A.duck_w
 
 
 def _threads(spark, sf):
-    return series.thread_cpu(A.with_ts(A.table(spark, sf, "thread_counters")), _procs(spark, sf, 50), [3, 4], 30.0)
+    return series.thread_cpu(A.with_ts(A.table(spark, sf, "thread_counters")), _procs(spark, sf, None), [3, 4], 30.0)
 
 
 @query("thread_cpu", THREADS + """select host, ts_us, pid, tid, comm, round(u, 6) as cpu_user_pct, round(s, 6) as cpu_sys_pct,
@@ -115,7 +115,7 @@ def thread_cpu(spark, sf):
 @query("process_tree", THREADS + """select proc.host, proc.ts_us, proc.pid, coalesce(string_agg(thr.tid, ',' order by thr.tid), '')
  as tids from proc left join thr on thr.host = proc.host and thr.ts_us = proc.ts_us and thr.pid = proc.pid group by 1, 2, 3""")
 def process_tree(spark, sf):
-    tree = series.process_tree(_procs(spark, sf, 50), _threads(spark, sf))
+    tree = series.process_tree(_procs(spark, sf, None), _threads(spark, sf))
     return tree.select("host", micros(), "pid", F.array_join(F.transform("threads", lambda t: t["tid"].cast("string")),
                                                              ",").alias("tids"))
 
@@ -448,7 +448,7 @@ def stack_text(spark, sf):
 
 @query("batch_documents", A.duck_with("rec", "stacks") + f"""
 , doc as (select feed, batch_id, string_agg({RECORD_JSON}, ',' order by timestamp_ns, seq) as recs from rec group by 1, 2),
-sam as (select 'feed_' || seq % 3 as feed, seq % 20 as batch_id, string_agg('{{"pid":' || pid || ',"tid":' || tid || ',"cpu":' || cpu || ',"count":'
+sam as (select 'feed_' || seq % 3 as feed, seq // 640000000000 as batch_id, string_agg('{{"pid":' || pid || ',"tid":' || tid || ',"cpu":' || cpu || ',"count":'
   || cnt || ',"comm":"' || comm || '","type":' || case when sample_type = 'offcpu' then 1 else 0 end || case when duration_ns > 0 then
   ',"duration_ns":' || duration_ns else '' end || ',"kernel_stack":[' || array_to_string(list_transform(kernel_names,
   lambda n: '{{"address":0,"function_name":"' || n || '"}}'), ',') || '],"user_stack":[' || array_to_string(list_transform(user_names,
@@ -457,18 +457,18 @@ select feed as pipeline_name, batch_id, '{{"pipeline":"' || feed || '","records"
   case when sams is not null then ',"stack_samples":[' || sams || ']' else '' end || '}}' as document from doc full join sam using (feed, batch_id)""")
 def batch_documents(spark, sf):
     samples = A.stack_samples(spark, sf).withColumn("pipeline", F.concat(F.lit("feed_"), F.col("seq") % 3)).withColumn(
-        "batch_id", F.col("seq") % 20)
+        "batch_id", C.int_div("seq", 640000000000))
     docs = text.batch_json(A.records(spark, sf), samples)
     return docs.select(F.col("pipeline").alias("pipeline_name"), "batch_id", "document")
 
 
 @query("recent_batches", A.duck_with("rec") + """
-select feed, batch_id, seq from rec where batch_id > 40 - 1 - 5""")
+select feed, batch_id, seq from (select *, dense_rank() over (partition by feed order by batch_id desc) as age from rec) where age <= 5""")
 def recent_batches(spark, sf):
     return tables.recent_batches(A.records(spark, sf), "pipeline", 5).select(F.col("pipeline").alias("feed"), "batch_id", "seq")
 
 
-@query("latest_batch", A.duck_with("rec") + "select feed, batch_id, seq from rec where batch_id = 39")
+@query("latest_batch", A.duck_with("rec") + "select feed, batch_id, seq from (select *, max(batch_id) over (partition by feed) as newest from rec) where batch_id = newest")
 def latest_batch(spark, sf):
     return tables.latest_batch(A.records(spark, sf)).select(F.col("pipeline").alias("feed"), "batch_id", "seq")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hostpulse.functions import columns as C
+from hostpulse.operators.ordered import rank_in_order
 
 FIELD_MAPS = ("fields", "fields_str", "fields_bool")
+# Time that rows of a slice share when the rows of a batch are ranked.
+PART_SLICE_NS = 60 * 10**9
 
 
 def _maps(df: DataFrame) -> list[str]:
@@ -14,8 +17,11 @@ def _maps(df: DataFrame) -> list[str]:
 
 
 def gauge_fields(records: DataFrame, *keep) -> DataFrame:
-    """One row per (record, field) with its gauge value: numbers, booleans as 1/0, text and null as 0."""
-    value_of = {"fields": lambda v: F.coalesce(v, F.lit(0.0)), "fields_str": lambda v: F.lit(0.0),
+    """One row per (record, field) with its gauge value: numbers, booleans as 1/0, text and null as 0.
+
+    ``fields`` may hold numbers, next to ``fields_str`` and ``fields_bool``, or values of any kind (variants)."""
+    loose = "variant" in records.schema["fields"].dataType.simpleString() if "fields" in records.columns else False
+    value_of = {"fields": C.to_gauge if loose else lambda v: F.coalesce(v, F.lit(0.0)), "fields_str": lambda v: F.lit(0.0),
                 "fields_bool": lambda v: F.coalesce(v.cast("int").cast("double"), F.lit(0.0))}
 
     def pairs(m):
@@ -93,13 +99,14 @@ def numbered_lines(exposition: DataFrame) -> DataFrame:
 def document_parts(df: DataFrame, keys, order, max_items: int | None = None) -> DataFrame:
     """Add ``part``: 0, or with ``max_items`` consecutive stretches of ``order`` of so many rows each.
 
-    Without ``max_items`` a batch is one document, as a task must then hold it; rows of a batch are ranked in one
-    task too, so bound batches by the trigger.
+    Without ``max_items`` a batch is one document, which a task must then hold; bound batches by the trigger.  With it
+    rows are ranked slice of time by slice, so no task holds a batch, and a part is what a task holds.
     """
     if max_items is None:
         return df.withColumn("part", F.lit(0).cast("bigint"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("part", F.floor((rank - 1) / max_items))
+    kind = F.col("kind") if "kind" in order else F.lit(0)
+    by_time = F.struct(kind.alias("kind"), C.int_div("timestamp_ns", PART_SLICE_NS).alias("at"))
+    return rank_in_order(df, keys, order, by_time, "__rank").withColumn("part", C.int_div("__rank", max_items)).drop("__rank")
 
 
 def _joined(piece: Column, order) -> Column:
