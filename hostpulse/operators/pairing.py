@@ -45,6 +45,15 @@ def runqueue_latency(sched_raw: DataFrame, slice_ns: int | None = SLICE_NS) -> D
     return rows.withColumn("latency_ns", latency).drop("__before", "__waits")
 
 
+def _event_time(df: DataFrame) -> list[str]:
+    """The column of a stream's watermark, if it has one."""
+    if not df.isStreaming:
+        return []
+    from hostpulse.streaming.stateful import event_time_column
+    name = event_time_column(df)
+    return [name] if name else []
+
+
 def offcpu_intervals(switches: DataFrame, min_duration_ns: int = 100_000,
                      slice_ns: int | None = SLICE_NS) -> DataFrame:
     """Intervals a task spent off CPU: leave (as prev_pid) to return (as next_pid).
@@ -53,11 +62,12 @@ def offcpu_intervals(switches: DataFrame, min_duration_ns: int = 100_000,
     ``min_duration_ns`` are dropped but still use up their leave.
     """
     has_stacks = "kernel_stack_id" in switches.columns
+    time = _event_time(switches)        # a stream's rows wait for its watermark
     stack = {c: F.col(c) if has_stacks else F.lit(0) for c in ("kernel_stack_id", "user_stack_id")}
     leave = F.struct(F.lit(0).alias("ord"), F.col("prev_pid").alias("pid"), F.col("prev_comm").alias("comm"))
     back = F.struct(F.lit(1).alias("ord"), F.col("next_pid").alias("pid"), F.col("next_comm").alias("comm"))
     rows = (switches.where(F.col("event_type") == "switch")
-            .select("host", "seq", "timestamp_ns", "cpu", *[c.alias(n) for n, c in stack.items()],
+            .select("host", "seq", "timestamp_ns", "cpu", *time, *[c.alias(n) for n, c in stack.items()],
                     F.inline(F.array(leave, back)))
             .where(F.col("pid") != 0))
     pairs = pair_events(rows, ["host", "pid"], ["timestamp_ns", "seq", "ord"], F.col("ord") == 0,

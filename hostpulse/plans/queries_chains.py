@@ -15,6 +15,7 @@ from hostpulse.plans import sql as S
 from hostpulse.session import durable_dir
 from hostpulse.sinks import text
 from hostpulse.sources import datasource
+from hostpulse.streaming import run
 
 EVENT_SCHEMA = "host STRING, seq BIGINT, ts TIMESTAMP, timestamp_ns BIGINT, event_type STRING, prev_pid BIGINT, next_pid BIGINT, next_comm STRING, prev_comm STRING, cpu BIGINT"
 
@@ -333,3 +334,55 @@ def passthrough_rows(spark, sf):
     """Passthrough row by row."""
     out = filters.passthrough(A.records(spark, sf))
     return out.select("host", "seq", "timestamp_ns", F.col("labels")["type"].alias("event_type"), F.col("fields")["value"].alias("value"))
+
+
+# ---------------------------------------------------------------------------------------------
+# pairing of rows out of order, with the last flush: the batch answer for every row that isn't too late
+
+def _jittered(spark, rows, name):
+    """``rows`` as a stream of files that overlap by up to two days."""
+    rows = rows.withColumn("ts", F.timestamp_micros(F.floor(F.col("timestamp_ns") / 1000)))
+    first = rows.agg(F.min("timestamp_ns")).first()[0]
+    jitter = F.pmod(F.xxhash64("seq"), F.lit(2 * 86400)) * 10**9
+    part = F.floor((F.col("timestamp_ns") + jitter - first) / F.lit(8 * 86400 * 10**9)).cast("int")
+    path = durable_dir(spark, name)
+    parted = rows.withColumn("file", part)
+    for i in sorted(x[0] for x in parted.select("file").distinct().collect()):
+        parted.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    closing = run.Closing(spark, durable_dir(spark, "end"), "3 days", "1 minute")
+    return closing.attach(stream), closing
+
+
+def _drained(spark, df, closing):
+    out = durable_dir(spark, "paired")
+    run.run_available(df, [lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")], closing=closing)
+    return spark.read.parquet(out)
+
+
+@query("stream_block_io_disorder", A.duck_with("block") + """
+, b as (select *, lag(phase) over w as pp, lag(timestamp_ns) over w as pn, lag(pid) over w as ppid from block where phase in ('issue', 'complete')
+  window w as (partition by host, sector order by timestamp_ns, seq))
+select seq, timestamp_ns - pn as latency_ns, ppid as pid from b where phase = 'complete' and pp = 'issue'""")
+def stream_block_io_disorder(spark, sf):
+    stream, closing = _jittered(spark, A.table(spark, sf, "block"), "block")
+    return _drained(spark, pairing.block_io_latency(stream), closing).select("seq", "latency_ns", "pid")
+
+
+@query("stream_allocations_disorder", A.duck_with("alloc") + """
+, a as (select *, lag(op) over w as po, lag(size) over w as psize from alloc where op in ('alloc', 'free') and addr <> 0
+  window w as (partition by host, addr order by timestamp_ns, seq))
+select seq, op, case when op = 'free' then psize else size end as size from a where op = 'alloc' or po = 'alloc'""")
+def stream_allocations_disorder(spark, sf):
+    stream, closing = _jittered(spark, A.table(spark, sf, "alloc"), "alloc")
+    return _drained(spark, pairing.pair_allocations(stream), closing).select("seq", "op", "size")
+
+
+@query("stream_offcpu_disorder", A.duck_with("sched") + """
+, moves as (select host, seq, timestamp_ns, 0 as ord, prev_pid as pid from sched where event_type = 'switch' and prev_pid <> 0
+  union all select host, seq, timestamp_ns, 1, next_pid from sched where event_type = 'switch' and next_pid <> 0),
+w as (select *, lag(ord) over w as before, lag(timestamp_ns) over w as since from moves window w as (partition by host, pid order by timestamp_ns, seq, ord))
+select pid, since as timestamp_ns, timestamp_ns - since as duration_ns from w where ord = 1 and before = 0 and timestamp_ns - since >= 100000""")
+def stream_offcpu_disorder(spark, sf):
+    stream, closing = _jittered(spark, A.sched(spark, sf), "switches")
+    return _drained(spark, pairing.offcpu_intervals(stream), closing).select("pid", "timestamp_ns", "duration_ns")

@@ -35,7 +35,9 @@ def event_time_column(df: DataFrame) -> str | None:
 def _group_columns(df: DataFrame, keys, order):
     """Keys as text (NULL-safe) and order columns, next to the JSON row."""
     key_text = F.to_json(F.struct(*[F.col(k) for k in keys]), JSON_OPTIONS)
-    return [key_text.alias("pair_key"), *[F.col(o).alias(f"ord{i}") for i, o in enumerate(order)]]
+    # times as numbers, so that a row has one event-time column only
+    place = [F.unix_micros(o) if df.schema[o].dataType.typeName() == "timestamp" else F.col(o) for o in order]
+    return [key_text.alias("pair_key"), *[p.alias(f"ord{i}") for i, p in enumerate(place)]]
 
 
 def _comparable(pdf: pd.DataFrame, order) -> list[tuple]:

@@ -273,3 +273,111 @@ print("LATENCY", [r["latency_ns"] for r in got.where("event_type = 'switch'").co
     env = {**{k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}, "PATH": __import__("os").environ["PATH"], "HOME": str(tmp_path)}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "LATENCY [20]" in done.stdout, done.stderr[-2000:]
+
+
+class Timers:
+    """A state handle in plain Python that counts what is read."""
+
+    class Value:
+        def __init__(self):
+            self.row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+        def clear(self):
+            self.row = None
+
+    class Map:
+        def __init__(self, owner):
+            self.rows, self.owner = {}, owner
+
+        def containsKey(self, key):
+            return key in self.rows
+
+        def getValue(self, key):
+            self.owner.read += len(str(self.rows[key]))
+            return self.rows[key]
+
+        def updateValue(self, key, value):
+            self.owner.written += len(str(value))
+            self.rows[key] = value
+
+        def removeKey(self, key):
+            del self.rows[key]
+
+    def __init__(self):
+        self.read = self.written = 0
+        self.timers, self.maps = set(), {}
+
+    def getValueState(self, name, schema):
+        return Timers.Value()
+
+    def getMapState(self, name, key, value):
+        return self.maps.setdefault(name, Timers.Map(self))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.ms
+
+
+@pytest.mark.parametrize("bucket_ms", [1, 50, 10_000])
+def test_work_of_a_hot_key_follows_its_rows(bucket_ms):
+    """Twenty times the micro-batches of one key, out of order within the watermark, cost twenty times as much, in order."""
+    import pandas as pd
+
+    from hostpulse.streaming.stateful import _Previous
+
+    def work(batches):
+        rnd, handle = random.Random(2), Timers()
+        keyed = _Previous(["ord0"], "ts", None, 1, bucket_ms)
+        keyed.init(handle)
+        out, mark, newest = [], 0, 0
+        for b in range(batches):
+            at = [b * 100_000 + rnd.randrange(-40_000, 100_000) for _ in range(30)]     # microseconds
+            at = [a for a in at if a > mark * 1000]
+            newest = max(newest, *at)
+            frame = pd.DataFrame({"ord0": at, "row_text": [str(a) for a in at], "payload_text": [str(a) for a in at], "ts": pd.to_datetime(at, unit="us")})
+            assert list(keyed.handleInputRows(("k",), iter([frame]), Mark(mark))) == []
+            mark = max(mark, (newest - 50_000) // 1000)
+            while handle.timers and min(handle.timers) <= mark:
+                at = min(handle.timers)
+                handle.timers.remove(at)
+                for pdf in keyed.handleExpiredTimer(("k",), Mark(mark), Mark(at)):
+                    out += list(zip(pdf["row_text"].astype(int), pdf["before_text"]))
+        rows = [r for r, _ in out]
+        assert rows == sorted(rows) and all(r <= mark * 1000 for r in rows)
+        assert [b for _, b in out][1:] == [str(r) for r in rows][:-1] or len(set(rows)) < len(rows)
+        waiting = sum(len(eval(v[0].replace("null", "None"))) for v in handle.maps["pending"].rows.values())
+        assert waiting == keyed.open.get()[0]
+        return handle.read + handle.written
+    few, many = work(10), work(200)
+    assert many < 2 * 20 * few
+
+
+def test_key_is_forgotten_after_its_ttl(spark):
+    from hostpulse.streaming import live
+    path = durable_dir(spark, "ttl")
+    base = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    for i, (secs, op) in enumerate([(0, "open"), (100, "other"), (200, "other"), (201, "close")]):
+        spark.createDataFrame([("k" if op != "other" else "z", i, base + timedelta(seconds=secs), op)], "k STRING, seq BIGINT, ts TIMESTAMP, op STRING").coalesce(1).write.mode("append").parquet(path)
+    for ttl, matched in ((60_000, 0), (600_000, 1)):
+        stream = spark.readStream.schema("k STRING, seq BIGINT, ts TIMESTAMP, op STRING").option("maxFilesPerTrigger", 1).parquet(path)
+        closing = run.Closing(spark, durable_dir(spark, "end"), "1 second", "1 minute")
+        out = durable_dir(spark, "pairs")
+        paired = live.stream_pair(closing.attach(stream).where("op <> 'none'"), ["k"], ["ts", "seq"], F.col("op") == "open", F.col("op") == "close", ["seq"], ttl_ms=ttl)
+        run.run_available(paired, [lambda df, i, out=out: df.write.mode("overwrite").parquet(f"{out}/b={i}")], closing=closing)
+        got = [r for r in spark.read.parquet(out).collect() if r["op"] == "close"]
+        assert len(got) == 1 and (got[0]["opened"] is not None) == bool(matched)
