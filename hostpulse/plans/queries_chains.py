@@ -386,3 +386,16 @@ select pid, since as timestamp_ns, timestamp_ns - since as duration_ns from w wh
 def stream_offcpu_disorder(spark, sf):
     stream, closing = _jittered(spark, A.sched(spark, sf), "switches")
     return _drained(spark, pairing.offcpu_intervals(stream), closing).select("pid", "timestamp_ns", "duration_ns")
+
+
+@query("stream_folded", A.duck_with("stacks") + """
+select comm || ';' || array_to_string(list_reverse(user_names), ';') as stack, cast(sum(cnt) as bigint) as count from stacks group by 1""")
+def stream_folded(spark, sf):
+    """Folded stacks of a stream: every micro-batch is kept."""
+    path, out = durable_dir(spark, "samples"), durable_dir(spark, "folded")
+    samples = A.stack_samples(spark, sf)
+    samples.repartition(3, "seq").write.parquet(path)
+    registry.register_source("stored_samples", lambda s: s.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    registry.run_available(spark, {"name": "folded", "source": "stored_samples", "sinks": [{"type": "folded", "options": {"path": out}}]})
+    lines = spark.read.text(out).select(F.regexp_extract("value", "^(.*) (\\d+)$", 1).alias("stack"), F.regexp_extract("value", "^(.*) (\\d+)$", 2).cast("bigint").alias("n"))
+    return lines.groupBy("stack").agg(F.sum("n").alias("count"))

@@ -259,7 +259,7 @@ def _recent_batches(df, batch_id, path, n=30, key="pipeline"):
 
 @register_sink("folded")
 def _folded(df, batch_id, path):
-    tables.write_folded(df, path)
+    tables.write_folded(df, path, batch_id)
 
 
 @register_sink("exposition")

@@ -68,11 +68,13 @@ def write_jsonl(records: DataFrame, path: str, include_ts: bool = False) -> None
     export_jsonl(records, include_ts).write.mode("append").text(path)
 
 
-def write_folded(samples: DataFrame, path: str) -> None:
-    """Folded-stack text, replacing what is there."""
+def write_folded(samples: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Folded-stack text, replacing what is there; a micro-batch has a folder of its own and replaces only that.
+
+    Readers of a stream's folder add the counts of equal stacks."""
     from hostpulse.operators.profiles import folded_stacks
     lines = folded_stacks(samples).select(F.concat("stack", F.lit(" "), F.col("count").cast("string")).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    lines.write.mode("overwrite").text(path if batch_id is None else f"{path}/batch={batch_id}")
 
 
 def write_exposition(records: DataFrame, path: str, prefix: str = "hostpulse") -> None:

@@ -71,7 +71,8 @@ def exposition_lines(gauges: DataFrame) -> DataFrame:
     values = gauges.withColumn("labels_text", text)
     samples = values.select("metric", F.lit(2).alias("ord"), "labels_text",
                             F.concat("metric", "labels_text", F.lit(" "), F.col("value").cast("string")).alias("line"))
-    names = gauges.select("metric").distinct()
+    # counting the values keeps the plan of the gauges whole, so both branches share its shuffle
+    names = gauges.groupBy("metric").agg(F.count("value").alias("series"))
     heads = names.select("metric", F.inline(F.array(
         F.struct(F.lit(0).alias("ord"), F.lit("").alias("labels_text"),
                  F.concat(F.lit("# HELP "), "metric", F.lit(" gauge of "), "metric").alias("line")),
