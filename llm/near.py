@@ -283,10 +283,11 @@ def near_rows(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int
         out = rest.join(hubs, F.col("key") == F.col("_key")).where("doc_id != _hub")
         return out.select(F.greatest("doc_id", "_hub").alias("a"), F.least("doc_id", "_hub").alias("b")).distinct()
 
-    links = stored(verify_exactly(verify_batches(pairs_with(members, members), sigs, percent, miss), texts, shingle, percent), "near-links")
+    # Each step starts from the components known so far, which hold all that earlier links say, and adds its own links.
+    comps = components(stored(verify_exactly(verify_batches(pairs_with(members, members), sigs, percent, miss), texts, shingle, percent), "near-links"))
     for step in ("second", "blocks"):
-        comps = components(links).select(F.col("doc_id").alias("_doc"), "component_id")
-        named = members.join(comps, F.col("doc_id") == F.col("_doc"), "left").select("key", "doc_id", "hub", F.coalesce("component_id", "doc_id").alias("component"))
+        known = comps.select(F.col("doc_id").alias("_doc"), "component_id")
+        named = members.join(known, F.col("doc_id") == F.col("_doc"), "left").select("key", "doc_id", "hub", F.coalesce("component_id", "doc_id").alias("component"))
         named = stored(named, "near-named")
         tops = named.groupBy("key").agg(F.max(F.struct("hub", (-F.col("doc_id")).alias("minus"), "component"))["component"].alias("first"),
                                         F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y")
@@ -299,8 +300,10 @@ def near_rows(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int
             sizes = heads.select(F.col("doc_id").alias("_doc"), F.col("n_shingles").alias("n"))
             counted = with_unique(open_, texts, shingle).join(sizes, F.col("doc_id") == F.col("_doc")).drop("_doc")
             found = across(counted, sigs, texts, shingle, percent, miss, block)
-        links = stored(links.unionByName(found).distinct(), "near-links")
-    comps = components(links).select(F.col("doc_id").alias("_doc"), F.col("component_id").alias("_comp"))
+        found = stored(found.select("a", "b"), "near-links")
+        if not found.isEmpty():
+            comps = components(comps.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(found))
+    comps = comps.select(F.col("doc_id").alias("_doc"), F.col("component_id").alias("_comp"))
     # Of each vertex the first document of its component; most vertices are components of their own and need no look-up.
     named = least.select(F.col("vertex").alias("_v"), F.col("_least").alias("_comp_least"), F.col("_raw").alias("_comp_raw"))
     comps = comps.join(named, F.col("_comp") == F.col("_v")).select("_doc", "_comp_least", "_comp_raw")
