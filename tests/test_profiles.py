@@ -124,4 +124,19 @@ def test_tree_does_not_expand_samples(spark):
     """The plan sums by raw stack before it builds paths and prefixes."""
     s = samples(spark, [("a", 1, 1, ["f"], [], 1)])
     plan = profiles.flame_tree(s)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Generate explode") < plan.index("Aggregate [comm")
+    assert plan.index("Generate posexplode") < plan.index("Aggregate [comm")
+
+
+def test_deep_stacks_are_shuffled_level_by_level(spark):
+    """Stacks of 127 frames with shared beginnings, against prefixes made one by one; levels carry no path."""
+    deep = [("a", 1, 1, [f"f{i if i < 100 + 9 * k else i * 1000 + k}" for i in range(126, -1, -1)], [], 2 + k) for k in range(4)]
+    s = samples(spark, deep + [("a", 1, 1, [], [], 1)])
+    want = {}
+    for comm, _, _, user, _, n in [*deep, ("a", 1, 1, [], [], 1)]:
+        path = (comm, *reversed(user)) if user else (comm, "[no stack]")
+        for d in range(len(path) + 1):
+            want[path[:d]] = want.get(path[:d], 0) + n
+    assert {tuple(r["path"]): r["value"] for r in profiles.flame_tree(s).collect()} == want
+    nodes, _ = profiles._tree_nodes(profiles.sample_paths(s), [])
+    shuffled = nodes._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert shuffled.startswith("Aggregate") and "path" not in shuffled and "slice" not in shuffled

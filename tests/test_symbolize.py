@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,25 @@ def test_stat_lines(spark):
     cpu, system = textdumps.parse_proc_stat(df, ("host",))
     assert [(r["cpu"], r["user"], r["steal"]) for r in cpu.collect()] == [("cpu", 1, 8), ("cpu0", 1, 0)]
     assert tuple(system.select("ctxt", "intr", "procs_running", "procs_blocked").first()) == (55, 9, 2, None)
+
+
+def test_user_symbols_run_without_python(spark):
+    from hostpulse.plans import adapters as A
+    sf = "/root/testdata/sf0.001"
+    out = symbolize.symbolize_user(A.user_samples(spark, sf), A.proc_maps(spark, sf), A.table(spark, sf, "elf"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_maps_that_touch_or_repeat(spark):
+    """Borders that meet, maps inside others, equal and empty ranges; the first map of the file owns an address."""
+    rows = [(0, 10, 5), (10, 20, 4), (12, 14, 1), (13, 30, 9), (40, 40, 0), (50, 60, 3), (50, 60, 2), (55, 58, 8), (70, 60, 7)]
+    maps = spark.createDataFrame([("h", 1, Decimal(a), Decimal(b), Decimal(0), f"/m{o}", o) for a, b, o in rows],
+                                 "host STRING, pid BIGINT, start DECIMAL(20,0), end DECIMAL(20,0), offset DECIMAL(20,0), path STRING, ord BIGINT")
+    pieces = [(int(r["piece"]), int(r["piece_end"]), r["path"], int(r["start"])) for r in symbolize.flatten_maps(maps).collect()]
+    owned = {}
+    for lo, hi, path, _ in pieces:
+        for x in range(lo, hi):
+            assert x not in owned
+            owned[x] = path
+    assert owned == {x: f"/m{min((o, a) for a, b, o in rows if a <= x < b)[0]}" for x in range(80) if any(a <= x < b for a, b, _ in rows)}
