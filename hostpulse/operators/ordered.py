@@ -86,8 +86,8 @@ def asof(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry,
     least) payload wins, so results do not depend on row order.
     """
     by = list(by)
-    left = points.withColumn("__x", _ordinal(points, point)).withColumn("__mark", F.lit(False))
-    right = marks.select(*by, _ordinal(marks, mark).alias("__x"), F.struct(*carry).alias(_PAYLOAD),
+    left = points.withColumn("__x", ordinal(points, point)).withColumn("__mark", F.lit(False))
+    right = marks.select(*by, ordinal(marks, mark).alias("__x"), F.struct(*carry).alias(_PAYLOAD),
                          F.lit(True).alias("__mark"))
     both = left.unionByName(right, allowMissingColumns=True)
     back = direction == "backward"
@@ -125,8 +125,8 @@ def asof_both(points: DataFrame, marks: DataFrame, by, point: str, mark: str, ca
               slice_width: int) -> DataFrame:
     """Structs ``before`` and ``after``: marks nearest at or below and at or above ``point``, from one shuffle."""
     by = list(by)
-    left = points.withColumn("__x", _ordinal(points, point)).withColumn("__mark", F.lit(False))
-    right = marks.select(*by, _ordinal(marks, mark).alias("__x"), F.struct(*carry).alias(_PAYLOAD),
+    left = points.withColumn("__x", ordinal(points, point)).withColumn("__mark", F.lit(False))
+    right = marks.select(*by, ordinal(marks, mark).alias("__x"), F.struct(*carry).alias(_PAYLOAD),
                          F.lit(True).alias("__mark"))
     cell = F.call_function("div", F.col("__x"), F.lit(slice_width).cast("bigint"))
     at = F.struct("__x", _PAYLOAD)
@@ -154,11 +154,11 @@ def asof_both(points: DataFrame, marks: DataFrame, by, point: str, mark: str, ca
             .where(~F.col("__mark")).drop("__x", "__mark", _PAYLOAD, _SLICE, _SEED))
 
 
-def _ordinal(df: DataFrame, name: str) -> Column:
-    """Sort position of a column: unsigned addresses become BIGINT in the same order (cheap to sort)."""
+def ordinal(df: DataFrame, name: str, more: int = 0) -> Column:
+    """Sort position of a column (plus ``more``): unsigned addresses become BIGINT in the same order (cheap to sort)."""
     if not df.schema[name].dataType.typeName().startswith("decimal"):
-        return F.col(name)
-    return (F.col(name).cast("decimal(21,0)") - F.lit("9223372036854775808").cast("decimal(21,0)")).cast("bigint")
+        return F.col(name) + more if more else F.col(name)
+    return (F.col(name).cast("decimal(21,0)") - F.lit(str(2**63 - more)).cast("decimal(21,0)")).cast("bigint")
 
 
 def rank_in_order(df: DataFrame, keys, order, slice_by: Column, out: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hostpulse.functions import columns as C
-from hostpulse.operators.ordered import asof
+from hostpulse.operators.ordered import asof, ordinal
 
 CODE_TYPES = ("t", "T", "w", "W")
 SYMBOL_TYPES = ("FUNC", "IFUNC", "OBJECT")
@@ -33,26 +33,58 @@ def kernel_names(addresses: DataFrame, kernel_symbols: DataFrame, slice_width: i
     return hit.select("host", "address", F.coalesce(F.nullif("__s.name", F.lit("")), fallback).alias("name"))
 
 
+def _bits(op: str, value, n):
+    return F.call_function(op, value, n)
+
+
+def _blocks(maps: DataFrame) -> DataFrame:
+    """Rows ``__level``, ``__block`` for each map: the aligned blocks of 2^level addresses that it consists of.
+
+    A map of n addresses is at most two blocks of each size up to n, and exactly one of them holds any address of it.
+    """
+    most = F.least(F.lit(63), (F.floor(F.log2((F.col("end") - F.col("start")).cast("double"))) + 1).cast("int"))
+    rows = maps.withColumn("__level", F.explode(F.sequence(F.lit(0), most)))
+
+    level, high = F.col("__level"), _bits("shiftleft", F.lit(-1).cast("bigint"), F.col("__level"))
+    first, last = _bits("shiftright", F.col("__lo"), level), _bits("shiftright", F.col("__hi"), level)
+    # only blocks that lie in the map as a whole: its first address has no low bits, its last one all of them
+    first = F.when(F.col("__lo").bitwiseAND(high) == F.col("__lo"), first).otherwise(first + 1)
+    last = F.when(F.col("__hi").bitwiseOR(high) == -1, last).otherwise(last - 1)
+    rows = rows.withColumn("__first", first).withColumn("__last", last).where(F.col("__first") <= F.col("__last"))
+    odd, even = F.col("__first").bitwiseAND(1) == 1, F.col("__last").bitwiseAND(1) == 0
+    after = F.when(odd, F.col("__first") + 1).otherwise(F.col("__first"))
+    ends = F.array(F.when(odd, F.col("__first")), F.when(even & (after <= F.col("__last")), F.col("__last")))
+    return rows.withColumn("__block", F.explode(ends)).where(F.col("__block").isNotNull()).drop("__first", "__last")
+
+
 def flatten_maps(proc_maps: DataFrame) -> DataFrame:
     """Address-space maps cut into disjoint pieces, each owned by the first map that covers it.
 
-    Maps of a process that touch no others are pieces as they are; those that overlap form islands, found by a running
-    maximum of ends, and only within an island are borders cut and owners sought.  The kernel bounds the maps of a process.
+    Maps of a process that touch no others are pieces as they are.  Those that overlap are cut at all their borders, and
+    a piece finds its owner among the aligned blocks of addresses around its start, of which each keeps its first map:
+    the work follows the number of maps, however many of them overlap.  The kernel bounds the maps of a process.
     """
     unique = (proc_maps.where(F.col("start") < F.col("end")).groupBy("host", "pid", "start", "end", "offset", "path")
               .agg(F.min("ord").alias("ord")))
     in_order = Window.partitionBy("host", "pid").orderBy("start", "end", "ord")
     reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = (reached.isNull() | (F.col("start") >= reached)).cast("int")
-    islands = unique.withColumn("__new", begins).withColumn("__island", F.sum("__new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    maps = (islands.groupBy("host", "pid", "__island")
-            .agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "offset", "path"))).alias("__maps")))
-    edges = F.array_sort(F.array_distinct(F.concat(F.transform("__maps", lambda m: m["start"]), F.transform("__maps", lambda m: m["end"]))))
-    cut = maps.withColumn("__edges", edges).select("host", "pid", "__maps", F.explode(F.arrays_zip(
-        F.slice("__edges", F.lit(1), F.size("__edges") - 1).alias("piece"), F.slice("__edges", F.lit(2), F.size("__edges") - 1).alias("piece_end"))).alias("__p"))
-    owner = F.try_element_at(F.filter("__maps", lambda m: (m["start"] <= F.col("__p.piece")) & (m["end"] > F.col("__p.piece"))), F.lit(1))
-    owned = cut.select("host", "pid", "__p.piece", "__p.piece_end", owner.alias("__m")).where(F.col("__m").isNotNull())
-    return owned.select("host", "pid", "__m.path", "piece", "piece_end", "__m.start", "__m.offset")
+    begins = unique.withColumn("__new", reached.isNull() | (F.col("start") >= reached))
+    lone = begins.withColumn("__lone", F.col("__new") & F.coalesce(F.lead("__new").over(in_order), F.lit(True)))
+    alone = lone.where(F.col("__lone")).select("host", "pid", "path", F.col("start").alias("piece"), F.col("end").alias("piece_end"), "start", "offset")
+    maps = lone.where(~F.col("__lone")).select("host", "pid", "start", "end", F.struct("ord", "start", "end", "offset", "path").alias("__m"))
+
+    blocks = (_blocks(maps.select("host", "pid", "start", "end", "__m", ordinal(maps, "start").alias("__lo"), ordinal(maps, "end", -1).alias("__hi")))
+              .groupBy(F.col("host").alias("__host"), F.col("pid").alias("__pid"), "__level", "__block").agg(F.min("__m").alias("__m")))
+    edges = maps.select("host", "pid", F.explode(F.array("start", "end")).alias("piece")).distinct()
+    following = Window.partitionBy("host", "pid").orderBy("piece")
+    pieces = edges.withColumn("piece_end", F.lead("piece").over(following)).where(F.col("piece_end").isNotNull())
+    same = F.col("host").eqNullSafe(F.col("__host")) & F.col("pid").eqNullSafe(F.col("__pid"))
+    sizes = blocks.groupBy("__host", "__pid").agg(F.collect_set("__level").alias("__levels"))
+    around = (pieces.withColumn("__lo", ordinal(pieces, "piece")).join(sizes, same).drop("__host", "__pid")
+              .withColumn("__l", F.explode("__levels")).withColumn("__b", _bits("shiftright", F.col("__lo"), F.col("__l"))))
+    owned = (around.join(blocks, same & (F.col("__l") == F.col("__level")) & (F.col("__b") == F.col("__block")))
+             .groupBy("host", "pid", "piece", "piece_end").agg(F.min("__m").alias("__m")))
+    return alone.unionByName(owned.select("host", "pid", "__m.path", "piece", "piece_end", "__m.start", "__m.offset"))
 
 
 def user_names(addresses: DataFrame, proc_maps: DataFrame, elf_symbols: DataFrame,

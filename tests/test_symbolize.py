@@ -116,3 +116,28 @@ def test_maps_that_touch_or_repeat(spark):
             assert x not in owned
             owned[x] = path
     assert owned == {x: f"/m{min((o, a) for a, b, o in rows if a <= x < b)[0]}" for x in range(80) if any(a <= x < b for a, b, _ in rows)}
+
+
+def test_maps_that_all_overlap(spark):
+    """A chain of maps where each one reaches into the next, and long ones below all of them: work follows their number."""
+    rnd = random.Random(5)
+    top = 2**64
+    rows = [(k * 4096, k * 4096 + 8192, 3000 + k) for k in range(2000)] + [(4096 * rnd.randrange(2000) + rnd.randrange(3), 4096 * 2200, 9000 + i) for i in range(20)]
+    rows += [(top - 4096, top, 1), (top - 8192, top - 1, 2), (0, top, 10_000)]
+    maps = spark.createDataFrame([("h" if o % 2 else None, 1, Decimal(a), Decimal(b), Decimal(0), f"/m{o}", o) for a, b, o in rows],
+                                 "host STRING, pid BIGINT, start DECIMAL(20,0), end DECIMAL(20,0), offset DECIMAL(20,0), path STRING, ord BIGINT")
+    out = symbolize.flatten_maps(maps)
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["host"], []).append((int(r["piece"]), int(r["piece_end"]), r["path"]))
+    for host, odd in (("h", 1), (None, 0)):
+        mine, pieces = [x for x in rows if x[2] % 2 == odd], sorted(got[host])
+        assert all(a[1] <= b[0] for a, b in zip(pieces, pieces[1:]))
+        covered, reach = 0, 0
+        for a, b, _ in sorted(mine):
+            covered, reach = covered + max(0, b - max(a, reach)), max(reach, b)
+        assert sum(b - a for a, b, _ in pieces) == covered
+        for lo, hi, path in pieces:
+            for x in (lo, hi - 1):
+                assert path == f"/m{min((o, a) for a, b, o in mine if a <= x < b)[0]}"
