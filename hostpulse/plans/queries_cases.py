@@ -168,6 +168,25 @@ def runqueue_latency_minutes(spark, sf):
     return out.where("event_type = 'switch'").select("seq", "latency_ns")
 
 
+# Rows of one file of a stream's input.
+FILE_ROWS = 1_000_000
+
+
+def write_parts(spark, parted, path, file_rows: int = FILE_ROWS) -> int:
+    """``parted`` as files that a stream reads one ``file`` number after the other; returns how many files a number has.
+
+    Rows are dealt to the numbers once; each is then written as equally many files, so that no task takes a whole number."""
+    staged, schema = durable_dir(spark, "staged"), parted.drop("file").schema
+    parted.write.partitionBy("file").parquet(staged)
+    counts = {r["file"]: r["count"] for r in spark.read.parquet(staged).groupBy("file").count().collect()}
+    # a file without rows would not be written
+    each = max(1, min(-(-max(counts.values()) // file_rows), min(counts.values()) // 100))
+    for i in sorted(counts):
+        part = spark.read.schema(schema).parquet(f"{staged}/file={i}")
+        (part.repartition(each) if each > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return each
+
+
 LATE_SQL = A.duck_with("sched") + """
 , kept as (select * from sched where seq % 50 <> 7 or timestamp_ns // 1000 > (select min(timestamp_ns // 1000) from sched) + 1296000000000),
 w as (select *, lag(event_type) over w as pt, lag(timestamp_ns) over w as pn from kept where event_type <> 'migrate'
@@ -188,10 +207,8 @@ def stream_out_of_order(spark, sf):
     late = (F.col("seq") % 50 == 7) & (F.floor(F.col("timestamp_ns") / 1000) <= first // 1000 + 15 * 86400 * 10**6)
     part = F.when(late, 9).otherwise(F.least(F.lit(8), F.floor((F.col("timestamp_ns") + jitter - first) / F.lit(4 * DAY)))).cast("int")
     path = durable_dir(spark, "parts")
-    parted = rows.withColumn("file", part).select(*[c.split()[0] for c in schema.split(", ")], "file")
-    for i in sorted(x[0] for x in parted.select("file").distinct().collect()):
-        parted.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "2 days")
+    each = write_parts(spark, rows.withColumn("file", part).select(*[c.split()[0] for c in schema.split(", ")], "file"), path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", each).parquet(path).withWatermark("ts", "2 days")
     out = run.to_table(pairing.runqueue_latency(stream))
     return out.where("event_type = 'switch'").select("seq", "latency_ns")
 

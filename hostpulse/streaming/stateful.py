@@ -8,14 +8,18 @@ and nested columns pass the Python boundary unchanged.
 from __future__ import annotations
 
 import json
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "true"}
-# Event time that waiting rows of a bucket share.
-BUCKET_MS = 10_000
+# Keys meet in so many shards: a call of Python, its frame and its timer serve all keys of a shard.
+SHARDS = 512
+# Waiting rows that lie in one value of the state, and rows of a frame that goes back to Spark.
+CHUNK = 1000
+FRAME_ROWS = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -47,99 +51,151 @@ def _comparable(pdf: pd.DataFrame, order) -> list[tuple]:
 
 
 class _Keyed(StatefulProcessor):
-    """Rows of a key in order, whatever micro-batch they come in.
+    """Rows of every key in order, whatever micro-batch they come in.
 
+    Spark groups by shards of keys, and a shard holds the last row of each of its keys.
     With a watermark, rows wait in the state until it has passed them and are then handled in event-time order:
     later arrivals can no longer come before them, and rows that are too late are dropped and counted by Spark.
-    Waiting rows lie in buckets of event time, in a part for each micro-batch that brought some, and each bucket has a
-    timer at its oldest row.  A micro-batch writes its own rows only, and a timer reads its bucket only, so a key with
-    very many waiting rows costs no more per row than any other.
+    Waiting rows lie in chunks of event time with one timer at the oldest row of the shard.  A micro-batch writes its own
+    rows (small chunks are merged as they come), and when the watermark moves only the chunks that it has reached are
+    read, so a key with very many waiting rows costs no more per row than any other.
     Without a watermark, rows are handled as they arrive; a row that is older than the last one handled gets no
     predecessor, so no negative duration is ever made.  ``ttl_ms`` after its last row a key is forgotten.
     """
 
-    def __init__(self, order, time_name, ttl_ms, width: int, bucket_ms: int = BUCKET_MS):
-        self.order, self.time_name, self.ttl_ms, self.width, self.bucket_us = order, time_name, ttl_ms, width, bucket_ms * 1000
+    def __init__(self, order, time_name, ttl_ms, width: int, chunk: int = CHUNK):
+        self.order, self.time_name, self.ttl_ms, self.width, self.chunk = order, time_name, ttl_ms, width, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("last", "state STRING")
+        self.last = handle.getMapState("last", "pair_key STRING", "state STRING")
         if self.time_name:
-            self.pending = handle.getMapState("pending", "bucket BIGINT, part BIGINT", "rows STRING")
-            self.parts = handle.getMapState("parts", "bucket BIGINT", "n BIGINT")
-            self.open = handle.getValueState("open", "n BIGINT")
+            self.pending = handle.getMapState("pending", "chunk BIGINT", "rows STRING")
+            self.open = handle.getValueState("open", "n BIGINT, chunks STRING")
+        if self.ttl_ms:
+            self.waiting = handle.getMapState("waiting", "pair_key STRING", "n BIGINT")
+            self.ends = handle.getMapState("ends", "at BIGINT", "keys STRING")
 
     def handleInputRows(self, key, rows, timerValues):
-        arrived = []
+        arrived = []            # [time, order, values, key]
         for pdf in rows:        # bounded by the trigger's input limit
-            ordered = zip(_comparable(pdf, self.order), *[pdf[c] for c in self.columns()])
-            at = [int(t.value // 1000) for t in pdf[self.time_name]] if self.time_name else [None] * len(pdf)
-            arrived += [(a, o, [_plain(x) for x in rest]) for a, (o, *rest) in zip(at, ordered)]
+            at = [int(t.value // 1000) for t in pdf[self.time_name]] if self.time_name else [0] * len(pdf)
+            values = [[_plain(x) for x in rest] for rest in zip(*[pdf[c] for c in self.columns()])]
+            keys = pdf["pair_key"] if "pair_key" in pdf else [key[0]] * len(pdf)
+            arrived += zip(at, _comparable(pdf, self.order), values, keys)
         if not self.time_name:
-            if arrived:
-                yield self.emit(sorted(arrived, key=lambda r: r[1]))
-            return
-        buckets: dict[int, list] = {}
-        for row in arrived:
-            buckets.setdefault(row[0] // self.bucket_us, []).append(row)
-        for bucket, some in buckets.items():
-            n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
-            self._keep(bucket, n, some)
-        self._count(len(arrived))
-
-    def _keep(self, bucket: int, part: int, rows: list) -> None:
-        self.pending.updateValue((bucket, part), (json.dumps(rows),))
-        self.parts.updateValue((bucket,), (part + 1,))
-        self.handle.registerTimer(-(-min(r[0] for r in rows) // 1000))
-
-    def _count(self, more: int) -> int:
-        left = (self.open.get()[0] if self.open.exists() else 0) + more
-        self.open.update((left,))
-        return left
-
-    def _due(self, bucket: int, passed: int) -> list:
-        """Rows of a bucket that the watermark has passed, in order; the others stay as one part with a new timer."""
-        if not self.parts.containsKey((bucket,)):
-            return []
-        n, rows = self.parts.getValue((bucket,))[0], []
-        for part in range(n):
-            rows += json.loads(self.pending.getValue((bucket, part))[0])
-        due = [(a, tuple(o), r) for a, o, r in rows if a <= passed]
-        if not due:
-            return []
-        for part in range(n):
-            self.pending.removeKey((bucket, part))
-        self.parts.removeKey((bucket,))
-        rest = [r for r in rows if r[0] > passed]
-        if rest:
-            self._keep(bucket, 0, rest)
-        return sorted(due, key=lambda r: (r[1], r[0]))
+            yield from self.emit(arrived)
+        elif arrived:
+            index = self._index()
+            self._keep(index, arrived)
+            self._save(index, len(arrived))
+            self._wait(arrived, 1)
+
+    def _index(self) -> dict:
+        """Chunks ``[id, oldest, rows]``, the timers that are set, and the next free id."""
+        return json.loads(self.open.get()[1]) if self.open.exists() else {"next": 0, "timers": [], "chunks": []}
+
+    def _save(self, index: dict, more: int) -> None:
+        oldest = min((c[1] for c in index["chunks"]), default=None)
+        if oldest is not None and -(-oldest // 1000) < min(index["timers"], default=float("inf")):
+            index["timers"].append(-(-oldest // 1000))
+            self.handle.registerTimer(index["timers"][-1])
+        n = self.open.get()[0] if self.open.exists() else 0
+        self.open.update((n + more, json.dumps(index)))
+
+    def _take(self, chunk) -> list:
+        rows = json.loads(self.pending.getValue((chunk[0],))[0])
+        self.pending.removeKey((chunk[0],))
+        return rows
+
+    def _keep(self, index: dict, rows: list, merge: bool = True) -> None:
+        chunks = index["chunks"]
+        # as in a binary counter, so that a row is written again few times
+        while merge and chunks and chunks[-1][2] <= len(rows) and chunks[-1][2] + len(rows) <= self.chunk:
+            rows = self._take(chunks.pop()) + rows
+        rows = sorted(rows, key=lambda r: r[0])
+        added = []
+        for i in range(0, len(rows), self.chunk):
+            some = rows[i:i + self.chunk]
+            self.pending.updateValue((index["next"],), (json.dumps(some),))
+            added.append([index["next"], some[0][0], len(some)])
+            index["next"] += 1
+        index["chunks"] = chunks + added if merge else added + chunks
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        # a timer is its row's time in whole milliseconds, so the row may lie in the bucket before
-        for bucket in sorted({(at - 999) // self.bucket_us, at // self.bucket_us}):
-            due = self._due(bucket, passed)
-            if due:
-                yield self.emit(due)
-                self._count(-len(due))
-        if self.ttl_ms and self.value.exists():
-            forget = json.loads(self.value.get()[0])["at"] // 1000 + self.ttl_ms
-            if passed // 1000 < forget:
-                self.handle.registerTimer(forget)
-            elif not self._count(0):
-                self.value.clear()
-
-    def emit(self, rows) -> pd.DataFrame:
-        known = json.loads(self.value.get()[0]) if self.value.exists() else None
-        out, state = self.handle_rows(rows, known)
-        last = max(rows, key=lambda r: r[1])
-        newest = list(last[1]) if not known or last[1] > tuple(known["ord"]) else known["ord"]
-        self.value.update((json.dumps({"ord": newest, "at": last[0] or 0, "state": state}),))
-        if self.time_name:
-            out[self.time_name] = pd.to_datetime([r[0] for r in rows], unit="us")
-        return pd.DataFrame(out)
+        index = self._index()
+        reached = [c for c in index["chunks"] if c[1] <= passed]
+        if reached:
+            index["chunks"] = [c for c in index["chunks"] if c[1] > passed]
+            index["timers"] = [t for t in index["timers"] if t * 1000 > passed]
+            rows = [r for c in reached for r in self._take(c)]
+            due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+            self._keep(index, rest, merge=False)
+            self._save(index, -len(due))
+            self._wait(due, -1)
+            yield from self.emit(due)
+            self._age({r[3] for r in due}, passed // 1000)
+        self._forget(expiredTimerInfo.getExpiryTimeInMs(), passed // 1000)
+
+    def _wait(self, rows: list, sign: int) -> None:
+        """Count the waiting rows of each key, where keys are forgotten."""
+        counts: dict[str, int] = {}
+        for r in rows if self.ttl_ms else ():
+            counts[r[3]] = counts.get(r[3], 0) + sign
+        for k, n in counts.items():
+            n += self.waiting.getValue((k,))[0] if self.waiting.containsKey((k,)) else 0
+            if n:
+                self.waiting.updateValue((k,), (n,))
+            else:
+                self.waiting.removeKey((k,))
+
+    def _age(self, keys, passed_ms: int) -> None:
+        """Note when ``keys`` are to be forgotten, unless a row comes first."""
+        ends: dict[int, list] = {}
+        for k in sorted(keys) if self.ttl_ms else ():
+            end = json.loads(self.last.getValue((k,))[0])["at"] // 1000 + self.ttl_ms
+            if end > passed_ms:
+                ends.setdefault(end, []).append(k)
+            elif not self.waiting.containsKey((k,)):
+                self.last.removeKey((k,))
+        for end, some in ends.items():
+            known = json.loads(self.ends.getValue((end,))[0]) if self.ends.containsKey((end,)) else None
+            self.ends.updateValue((end,), (json.dumps((known or []) + some),))
+            if known is None:
+                self.handle.registerTimer(end)
+
+    def _forget(self, at_ms: int, passed_ms: int) -> None:
+        if not self.ttl_ms or not self.ends.containsKey((at_ms,)):
+            return
+        for k in set(json.loads(self.ends.getValue((at_ms,))[0])):
+            if self.last.containsKey((k,)) and not self.waiting.containsKey((k,)) and json.loads(self.last.getValue((k,))[0])["at"] // 1000 + self.ttl_ms <= passed_ms:
+                self.last.removeKey((k,))
+        self.ends.removeKey((at_ms,))
+
+    def emit(self, rows):
+        """Frames of ``rows``, handled key by key in order."""
+        out: dict[str, list] = {}
+        for k, mine in groupby(sorted(rows, key=lambda r: (r[3], tuple(r[1]), r[0])), key=lambda r: r[3]):
+            mine = [(at, tuple(order), values) for at, order, values, _ in mine]
+            known = json.loads(self.last.getValue((k,))[0]) if self.last.containsKey((k,)) else None
+            made, state = self.handle_rows(mine, known)
+            newest = list(mine[-1][1]) if not known or mine[-1][1] > tuple(known["ord"]) else known["ord"]
+            self.last.updateValue((k,), (json.dumps({"ord": newest, "at": mine[-1][0], "state": state}),))
+            if self.time_name:
+                made[self.time_name] = [r[0] for r in mine]
+            for c, values in made.items():
+                out.setdefault(c, []).extend(values)
+            if len(out["row_text"]) >= FRAME_ROWS:
+                yield self._frame(out)
+                out = {}
+        if out:
+            yield self._frame(out)
+
+    def _frame(self, out: dict) -> pd.DataFrame:
+        numbers = {c: pd.Series(v, dtype="float64") for c, v in out.items() if c not in ("row_text", "before_text", self.time_name)}
+        at = {self.time_name: pd.to_datetime(out[self.time_name], unit="us")} if self.time_name else {}
+        return pd.DataFrame({c: numbers.get(c, at.get(c, v)) for c, v in out.items()})
 
     def close(self) -> None:
         pass
@@ -182,8 +238,6 @@ class _Ema(_Keyed):
                 if x is not None:
                     values[i] = x if values[i] is None else self.alpha * x + (1 - self.alpha) * values[i]
                 out[f"y{i}"].append(values[i])
-        for i in range(self.width):
-            out[f"y{i}"] = pd.array(out[f"y{i}"], dtype="float64") if None not in out[f"y{i}"] else pd.Series(out[f"y{i}"], dtype="float64").to_numpy()
         return out, values
 
 
@@ -193,7 +247,8 @@ def _run(df, rows, processor, schema, time_name):
     mode = "EventTime" if time_name else "None"
     kwargs = {"eventTimeColumnName": time_name} if time_name else {}
     _use_rocksdb(df)
-    return rows.groupBy("pair_key").transformWithStateInPandas(processor, schema, "Append", mode, **kwargs)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("pair_key"), F.lit(SHARDS)).cast("int"))
+    return rows.groupBy("shard").transformWithStateInPandas(processor, schema, "Append", mode, **kwargs)
 
 
 def previous_row(df: DataFrame, keys, order, carry, out: str, ttl_ms: int | None = None) -> DataFrame:

@@ -381,3 +381,38 @@ def test_key_is_forgotten_after_its_ttl(spark):
         run.run_available(paired, [lambda df, i, out=out: df.write.mode("overwrite").parquet(f"{out}/b={i}")], closing=closing)
         got = [r for r in spark.read.parquet(out).collect() if r["op"] == "close"]
         assert len(got) == 1 and (got[0]["opened"] is not None) == bool(matched)
+
+
+def test_state_calls_follow_shards_not_rows():
+    """Rows of many keys, far apart in event time, share the chunks and the timer of their shard; each key keeps its own order."""
+    import pandas as pd
+
+    from hostpulse.streaming.stateful import _Previous
+    handle, out, rnd = Timers(), {}, random.Random(3)
+    keyed = _Previous(["ord0"], "ts", None, 1)
+    keyed.init(handle)
+    at = sorted(rnd.sample(range(1, 10**9), 3000))
+    times = pd.to_datetime([a * 1000 for a in at], unit="us")
+    frame = pd.DataFrame({"pair_key": [f"k{i % 700}" for i in range(3000)], "ord0": at, "row_text": [str(a) for a in at], "payload_text": [str(a) for a in at], "ts": times})
+    assert list(keyed.handleInputRows((1,), iter([frame]), Mark(0))) == []
+    assert len(handle.maps["pending"].rows) == 3 and len(handle.timers) == 1
+    fired = 0
+    for mark in (5 * 10**8, 10**9):
+        while handle.timers and min(handle.timers) <= mark:
+            first = min(handle.timers)
+            handle.timers.remove(first)
+            fired += 1
+            for pdf in keyed.handleExpiredTimer((1,), Mark(mark), Mark(first)):
+                out |= dict(zip(pdf["row_text"].astype(int), pdf["before_text"]))
+    assert fired == 2 and keyed.open.get()[0] == 0
+    assert out == {a: str(at[i - 700]) if i >= 700 else None for i, a in enumerate(at)}
+
+
+def test_parts_of_a_stream_are_several_files(spark):
+    from hostpulse.plans.queries_cases import write_parts
+    path = durable_dir(spark, "many")
+    rows = spark.range(3000).withColumn("file", F.when(F.col("id") < 2000, 0).otherwise(1))
+    assert write_parts(spark, rows, path, 500) == 4
+    files = spark.read.parquet(path).select("id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_modification_time").alias("t"))
+    per = files.groupBy("f").agg(F.min("t").alias("t"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).orderBy("t").collect()
+    assert len(per) == 8 and sum(r["n"] for r in per) == 3000 and all((r["hi"] < 2000) == (i < 4) and (r["lo"] >= 2000) == (i >= 4) for i, r in enumerate(per))
