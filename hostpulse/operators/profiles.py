@@ -70,15 +70,12 @@ def merge_stacks(samples: DataFrame, by: str = "comm", include_kernel: bool = Tr
     stacks = ["user_stack"] + (["kernel_stack"] if include_kernel else [])
     first = ["timestamp_ns", "pid", "tid"] + (["seq"] if "seq" in samples.columns else [])
     rest = [c for c in samples.columns if c not in (*group, *stacks, "count")]
-    at = F.struct(*first)
-    # the hash in front makes the sort of wide stack keys a sort of numbers
-    raw = samples.groupBy(F.xxhash64(*group, *stacks).alias("__h"), *group, *stacks).agg(
+    paths = [f"__p_{c}" for c in stacks]
+    keyed = samples.select("*", *[_labels(c).alias(p) for c, p in zip(stacks, paths)])
+    # rows are shuffled once, after they are summed in their tasks; the hash in front makes the sort of wide keys a sort of numbers
+    merged = keyed.groupBy(F.xxhash64(*group, *paths).alias("__h"), *group, *paths).agg(
         F.sum("count").alias("count"), F.sum("duration_ns").alias("duration_ns_sum"),
-        F.min_by(F.struct(*rest), at).alias("__rest"), F.min(at).alias("__at"))
-    path = [_labels(c) for c in stacks]
-    merged = raw.groupBy(*group, *[p.alias(f"__p_{c}") for p, c in zip(path, stacks)]).agg(
-        F.sum("count").alias("count"), F.sum("duration_ns_sum").alias("duration_ns_sum"),
-        F.min_by(F.struct("__rest", *stacks), "__at").alias("__first"))
+        F.min_by(F.struct(F.struct(*rest).alias("__rest"), *stacks), F.struct(*first)).alias("__first"))
     return merged.select(*group, "count", "duration_ns_sum", "__first.__rest.*",
                          *[F.col(f"__first.{c}").alias(c) for c in stacks])
 
