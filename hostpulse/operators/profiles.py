@@ -44,14 +44,16 @@ def attach_stacks(samples: DataFrame, stack_frames: DataFrame, depth: int | None
     return out
 
 
-def window_profile(samples: DataFrame, window="10 seconds") -> DataFrame:
-    """Sum of counts per process, thread and address stacks; comm of the last sample."""
+def window_profile(samples: DataFrame, window="10 seconds", comm_of: str = "last") -> DataFrame:
+    """Sum of counts per process, thread and address stacks; comm of the last sample, or the ``greatest`` one."""
+    if comm_of not in ("last", "greatest"):
+        raise ValueError(f"comm_of is last or greatest, not {comm_of}")
     start = C.floor_to("timestamp_ns", C.duration_ns(window))
     keyed = samples.withColumn("window_ns", start).withColumn("__u", _addresses("user_stack")) \
         .withColumn("__k", _addresses("kernel_stack"))
     at = F.struct("timestamp_ns", "comm")
     return (keyed.groupBy("host", "window_ns", "pid", "tid", "__u", "__k")
-            .agg(F.max_by("comm", at).alias("comm"), F.sum("count").alias("count"),
+            .agg((F.max_by("comm", at) if comm_of == "last" else F.max("comm")).alias("comm"), F.sum("count").alias("count"),
                  F.min_by(F.struct("user_stack", "kernel_stack"), at).alias("__s"))
             .select("host", "window_ns", "pid", "tid", "comm", "count", F.col("__s.user_stack").alias("user_stack"),
                     F.col("__s.kernel_stack").alias("kernel_stack")))

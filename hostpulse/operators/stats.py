@@ -153,10 +153,10 @@ def stats_records(stats: DataFrame, percentiles=(0.5, 0.99)) -> DataFrame:
                     F.map_from_entries("entries").alias("fields")))
 
 
-def flush(records: DataFrame, samples: DataFrame, window=DEFAULT_WINDOW, **kw) -> tuple[DataFrame, DataFrame]:
+def flush(records: DataFrame, samples: DataFrame, window=DEFAULT_WINDOW, comm_of: str = "last", **kw) -> tuple[DataFrame, DataFrame]:
     """Both results of a flush: window statistics of the records and the aggregated profile."""
     from hostpulse.operators.profiles import window_profile
-    return window_stats(records, window, wide=True, **kw), window_profile(samples, window)
+    return window_stats(records, window, wide=True, **kw), window_profile(samples, window, comm_of)
 
 
 # --- latest values, shares, health ------------------------------------------------------------

@@ -109,6 +109,20 @@ def test_window_profile(spark):
     assert len(r) == 1 and r[0]["count"] == 8 and r[0]["comm"] == "b"
 
 
+def test_greatest_comm_of_a_flush(spark):
+    """The last sample isn't the one with the greatest name."""
+    s = samples(spark, [("b", 1, 2, ["f"], [], 3), ("a", 1, 2, ["f"], [], 5)])
+    assert [r["comm"] for r in profiles.window_profile(s).collect()] == ["a"]
+    assert [r["comm"] for r in profiles.window_profile(s, comm_of="greatest").collect()] == ["b"]
+
+
+@pytest.mark.parametrize("by", ["comm", "pid", "tid", "global"])
+def test_merging_shuffles_once(spark, by):
+    s = samples(spark, [("a", 1, 2, ["f"], [], 3), ("a", 1, 2, ["f"], [], 5)])
+    plan = profiles.merge_stacks(s, by)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_attach_stacks(spark):
     frames = spark.createDataFrame([("h", 1, ["10", "20", "0", "30"]), ("h", 0, ["9"])], "host STRING, stack_id INT, a ARRAY<STRING>")
     frames = frames.select("host", "stack_id", F.transform("a", lambda x: x.cast(C.ADDRESS)).alias("addresses"))
