@@ -158,7 +158,9 @@ def flame_tree(samples: DataFrame, offcpu: bool = False, keys=()) -> DataFrame:
     """
     names = _names(samples, keys)
     nodes, stacks = _tree_nodes(sample_paths(samples, offcpu, keys), names)
-    full = stacks.select(*[F.col(n).alias(f"__k{i}") for i, n in enumerate(names)], F.col("__leaf.a").alias("__la"), F.col("__leaf.b").alias("__lb"), F.col("path").alias("__full"))
+    # never null, and said so: a filter on the hash of a path would be moved to the scan and hash every sample
+    ends = [F.coalesce(F.col(f"__leaf.{x}"), F.lit(0).cast("bigint")).alias(f"__l{x}") for x in ("a", "b")]
+    full = stacks.select(*[F.col(n).alias(f"__k{i}") for i, n in enumerate(names)], *ends, F.col("path").alias("__full"))
     same = C.all_of([F.col("__sa") == F.col("__la"), F.col("__sb") == F.col("__lb")] + [F.col(n).eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(names)])
     return nodes.join(full, same).select(*names, F.slice("__full", F.lit(1), F.col("depth")).alias("path"), "depth", "name", "value", "self_value")
 

@@ -123,6 +123,13 @@ def test_merging_shuffles_once(spark, by):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_tree_hashes_stacks_after_they_are_summed(spark):
+    """No filter on the hash of a path reaches the scan, where it would hash every sample."""
+    s = samples(spark, [("a", 1, 2, ["f"], [], 3)])
+    plan = profiles.flame_tree(s)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "aggregate(" in x]
+
+
 def test_attach_stacks(spark):
     frames = spark.createDataFrame([("h", 1, ["10", "20", "0", "30"]), ("h", 0, ["9"])], "host STRING, stack_id INT, a ARRAY<STRING>")
     frames = frames.select("host", "stack_id", F.transform("a", lambda x: x.cast(C.ADDRESS)).alias("addresses"))
