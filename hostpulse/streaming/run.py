@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,8 +15,30 @@ from hostpulse.session import durable_dir
 from hostpulse.sinks.tables import FanOut
 
 
+# A stream with keyed state has a state store for each core, but no fewer than these.
+LEAST_PARTITIONS = 8
+
+
+@contextmanager
+def _partitions(stream: DataFrame, n: int | None):
+    """The shuffle partitions of a stream that starts within: ``n``, or for keyed state one for each core.
+
+    Every micro-batch starts a Python worker and commits a store for each of them, whether it has rows or not.  The first
+    run of a checkpoint fixes the number; the session's own setting is an upper limit where ``n`` isn't given.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    if n is None and "TransformWithState" in stream._jdf.queryExecution().analyzed().toString():
+        n = min(int(before), max(stream.sparkSession.sparkContext.defaultParallelism, LEAST_PARTITIONS))
+    conf.set(key, str(n or before))
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 def start(stream: DataFrame, sinks, checkpoint: str | None = None, available_now: bool = False,
-          every: str | None = None, name: str | None = None) -> StreamingQuery:
+          every: str | None = None, name: str | None = None, partitions: int | None = None) -> StreamingQuery:
     """Start a stream that hands each micro-batch to every sink ``(df, batch_id)``."""
     checkpoint = checkpoint or durable_dir(stream.sparkSession, "stream")
     target = sinks if isinstance(sinks, FanOut) else FanOut(sinks)
@@ -27,7 +50,8 @@ def start(stream: DataFrame, sinks, checkpoint: str | None = None, available_now
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=every)
-    return writer.start()
+    with _partitions(stream, partitions):
+        return writer.start()
 
 
 class Closing:
@@ -94,8 +118,10 @@ def to_table(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Run ``stream`` to completion into a parquet table (exactly once) and read it back."""
     spark = stream.sparkSession
     path = path or durable_dir(spark, "table")
-    query = (stream.writeStream.format("parquet").outputMode("append").option("path", path)
-             .option("checkpointLocation", durable_dir(spark, "stream")).trigger(availableNow=True).start())
+    writer = (stream.writeStream.format("parquet").outputMode("append").option("path", path)
+              .option("checkpointLocation", durable_dir(spark, "stream")).trigger(availableNow=True))
+    with _partitions(stream, None):
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 

@@ -8,6 +8,7 @@ and nested columns pass the Python boundary unchanged.
 from __future__ import annotations
 
 import json
+import zlib
 from itertools import groupby
 
 import pandas as pd
@@ -19,6 +20,9 @@ JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNul
 SHARDS = 512
 # Waiting rows that lie in one value of the state, and rows of a frame that goes back to Spark.
 CHUNK = 1000
+# Keys whose last rows lie in one value of the state: a value is read and written by one call each, which costs as much
+# as parsing some hundred keys.
+CELL_KEYS = 500
 FRAME_ROWS = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -53,7 +57,8 @@ def _comparable(pdf: pd.DataFrame, order) -> list[tuple]:
 class _Keyed(StatefulProcessor):
     """Rows of every key in order, whatever micro-batch they come in.
 
-    Spark groups by shards of keys, and a shard holds the last row of each of its keys.
+    Spark groups by shards of keys, and a shard holds the last row of each of its keys, in cells of up to ``CELL_KEYS`` keys
+    by hash (their number doubles as keys come), so a micro-batch makes a few calls for a cell and none for a key.
     With a watermark, rows wait in the state until it has passed them and are then handled in event-time order:
     later arrivals can no longer come before them, and rows that are too late are dropped and counted by Spark.
     Waiting rows lie in chunks of event time with one timer at the oldest row of the shard.  A micro-batch writes its own
@@ -68,7 +73,8 @@ class _Keyed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getMapState("last", "pair_key STRING", "state STRING")
+        self.last = handle.getMapState("last", "cell BIGINT", "states STRING")
+        self.cells = handle.getValueState("cells", "n BIGINT")
         if self.time_name:
             self.pending = handle.getMapState("pending", "chunk BIGINT", "rows STRING")
             self.open = handle.getValueState("open", "n BIGINT, chunks STRING")
@@ -86,22 +92,22 @@ class _Keyed(StatefulProcessor):
         if not self.time_name:
             yield from self.emit(arrived)
         elif arrived:
-            index = self._index()
+            n, index = self._index()
             self._keep(index, arrived)
-            self._save(index, len(arrived))
+            self._save(index, n + len(arrived))
             self._wait(arrived, 1)
 
-    def _index(self) -> dict:
-        """Chunks ``[id, oldest, rows]``, the timers that are set, and the next free id."""
-        return json.loads(self.open.get()[1]) if self.open.exists() else {"next": 0, "timers": [], "chunks": []}
+    def _index(self) -> tuple[int, dict]:
+        """Waiting rows; and chunks ``[id, oldest, rows]``, the timers that are set, and the next free id."""
+        known = self.open.get()
+        return (known[0], json.loads(known[1])) if known else (0, {"next": 0, "timers": [], "chunks": []})
 
-    def _save(self, index: dict, more: int) -> None:
+    def _save(self, index: dict, n: int) -> None:
         oldest = min((c[1] for c in index["chunks"]), default=None)
         if oldest is not None and -(-oldest // 1000) < min(index["timers"], default=float("inf")):
             index["timers"].append(-(-oldest // 1000))
             self.handle.registerTimer(index["timers"][-1])
-        n = self.open.get()[0] if self.open.exists() else 0
-        self.open.update((n + more, json.dumps(index)))
+        self.open.update((n, json.dumps(index)))
 
     def _take(self, chunk) -> list:
         rows = json.loads(self.pending.getValue((chunk[0],))[0])
@@ -124,7 +130,7 @@ class _Keyed(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        index = self._index()
+        n, index = self._index()
         reached = [c for c in index["chunks"] if c[1] <= passed]
         if reached:
             index["chunks"] = [c for c in index["chunks"] if c[1] > passed]
@@ -132,10 +138,10 @@ class _Keyed(StatefulProcessor):
             rows = [r for c in reached for r in self._take(c)]
             due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
             self._keep(index, rest, merge=False)
-            self._save(index, -len(due))
+            self._save(index, n - len(due))
             self._wait(due, -1)
             yield from self.emit(due)
-            self._age({r[3] for r in due}, passed // 1000)
+            self._age(due, passed // 1000)
         self._forget(expiredTimerInfo.getExpiryTimeInMs(), passed // 1000)
 
     def _wait(self, rows: list, sign: int) -> None:
@@ -150,15 +156,19 @@ class _Keyed(StatefulProcessor):
             else:
                 self.waiting.removeKey((k,))
 
-    def _age(self, keys, passed_ms: int) -> None:
-        """Note when ``keys`` are to be forgotten, unless a row comes first."""
-        ends: dict[int, list] = {}
-        for k in sorted(keys) if self.ttl_ms else ():
-            end = json.loads(self.last.getValue((k,))[0])["at"] // 1000 + self.ttl_ms
+    def _age(self, rows: list, passed_ms: int) -> None:
+        """Note when the keys of ``rows``, just handled, are to be forgotten, unless a row comes first."""
+        newest: dict[str, tuple] = {}
+        for r in rows if self.ttl_ms else ():
+            newest[r[3]] = max(newest.get(r[3], ((),)), (tuple(r[1]), r[0]))
+        ends, gone = {}, []
+        for k, (_, at) in sorted(newest.items()):
+            end = at // 1000 + self.ttl_ms
             if end > passed_ms:
                 ends.setdefault(end, []).append(k)
             elif not self.waiting.containsKey((k,)):
-                self.last.removeKey((k,))
+                gone.append(k)
+        self._drop(gone, passed_ms)
         for end, some in ends.items():
             known = json.loads(self.ends.getValue((end,))[0]) if self.ends.containsKey((end,)) else None
             self.ends.updateValue((end,), (json.dumps((known or []) + some),))
@@ -168,29 +178,70 @@ class _Keyed(StatefulProcessor):
     def _forget(self, at_ms: int, passed_ms: int) -> None:
         if not self.ttl_ms or not self.ends.containsKey((at_ms,)):
             return
-        for k in set(json.loads(self.ends.getValue((at_ms,))[0])):
-            if self.last.containsKey((k,)) and not self.waiting.containsKey((k,)) and json.loads(self.last.getValue((k,))[0])["at"] // 1000 + self.ttl_ms <= passed_ms:
-                self.last.removeKey((k,))
+        keys = set(json.loads(self.ends.getValue((at_ms,))[0]))
+        self._drop([k for k in keys if not self.waiting.containsKey((k,))], passed_ms)
         self.ends.removeKey((at_ms,))
 
+    def _drop(self, keys, passed_ms: int) -> None:
+        """Forget those of ``keys`` whose last row is ``ttl_ms`` old."""
+        cell = self._cell_of() if keys else None
+        for c, some in groupby(sorted(keys, key=cell), key=cell):
+            states = self._states(c)
+            for k in some:
+                if k in states and states[k]["at"] // 1000 + self.ttl_ms <= passed_ms:
+                    del states[k]
+            if states:
+                self.last.updateValue((c,), (json.dumps(states),))
+            elif self.last.containsKey((c,)):
+                self.last.removeKey((c,))
+
+    def _cell_of(self):
+        """Function from keys of this shard to the numbers of their cells."""
+        known = self.cells.get()
+        self.n_cells = known[0] if known else 1
+        return lambda k: zlib.crc32(k.encode()) % self.n_cells
+
+    def _states(self, cell: int) -> dict:
+        return json.loads(self.last.getValue((cell,))[0]) if self.last.containsKey((cell,)) else {}
+
+    def _split(self, widest: int) -> None:
+        """More cells, so that the widest holds ``CELL_KEYS`` keys or fewer: a cell's keys stay in cells congruent to it."""
+        n, self.n_cells = self.n_cells, self.n_cells << (-(-widest // CELL_KEYS) - 1).bit_length()
+        self.cells.update((self.n_cells,))
+        for c in range(n):
+            parts: dict[int, dict] = {}
+            for k, state in self._states(c).items():
+                parts.setdefault(zlib.crc32(k.encode()) % self.n_cells, {})[k] = state
+            if parts and c not in parts:
+                self.last.removeKey((c,))
+            for part, states in parts.items():
+                self.last.updateValue((part,), (json.dumps(states),))
+
     def emit(self, rows):
-        """Frames of ``rows``, handled key by key in order."""
+        """Frames of ``rows``, handled cell by cell and key by key in order."""
         out: dict[str, list] = {}
-        for k, mine in groupby(sorted(rows, key=lambda r: (r[3], tuple(r[1]), r[0])), key=lambda r: r[3]):
-            mine = [(at, tuple(order), values) for at, order, values, _ in mine]
-            known = json.loads(self.last.getValue((k,))[0]) if self.last.containsKey((k,)) else None
-            made, state = self.handle_rows(mine, known)
-            newest = list(mine[-1][1]) if not known or mine[-1][1] > tuple(known["ord"]) else known["ord"]
-            self.last.updateValue((k,), (json.dumps({"ord": newest, "at": mine[-1][0], "state": state}),))
-            if self.time_name:
-                made[self.time_name] = [r[0] for r in mine]
-            for c, values in made.items():
-                out.setdefault(c, []).extend(values)
-            if len(out["row_text"]) >= FRAME_ROWS:
-                yield self._frame(out)
-                out = {}
+        cell, widest = self._cell_of(), 0
+        for c, some in groupby(sorted(rows, key=lambda r: (cell(r[3]), r[3], tuple(r[1]), r[0])), key=lambda r: cell(r[3])):
+            states = self._states(c)
+            for k, mine in groupby(some, key=lambda r: r[3]):
+                mine = [(at, tuple(order), values) for at, order, values, _ in mine]
+                known = states.get(k)
+                made, state = self.handle_rows(mine, known)
+                newest = list(mine[-1][1]) if not known or mine[-1][1] > tuple(known["ord"]) else known["ord"]
+                states[k] = {"ord": newest, "at": mine[-1][0], "state": state}
+                if self.time_name:
+                    made[self.time_name] = [r[0] for r in mine]
+                for name, values in made.items():
+                    out.setdefault(name, []).extend(values)
+                if len(out["row_text"]) >= FRAME_ROWS:
+                    yield self._frame(out)
+                    out = {}
+            self.last.updateValue((c,), (json.dumps(states),))
+            widest = max(widest, len(states))
         if out:
             yield self._frame(out)
+        if widest > CELL_KEYS:
+            self._split(widest)
 
     def _frame(self, out: dict) -> pd.DataFrame:
         numbers = {c: pd.Series(v, dtype="float64") for c, v in out.items() if c not in ("row_text", "before_text", self.time_name)}

@@ -416,3 +416,44 @@ def test_parts_of_a_stream_are_several_files(spark):
     files = spark.read.parquet(path).select("id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_modification_time").alias("t"))
     per = files.groupBy("f").agg(F.min("t").alias("t"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).orderBy("t").collect()
     assert len(per) == 8 and sum(r["n"] for r in per) == 3000 and all((r["hi"] < 2000) == (i < 4) and (r["lo"] >= 2000) == (i >= 4) for i, r in enumerate(per))
+
+
+def test_last_rows_of_many_keys_share_cells(monkeypatch):
+    """A later row of every key costs some calls of the state for each cell, not for each key, and cells stay small."""
+    import pandas as pd
+
+    from hostpulse.streaming import stateful
+    monkeypatch.setattr(stateful, "CELL_KEYS", 50)
+    handle, calls, out = Timers(), [], {}
+    for name in ("containsKey", "getValue", "updateValue", "removeKey"):
+        own = getattr(Timers.Map, name)
+        monkeypatch.setattr(Timers.Map, name, lambda self, *a, own=own: calls.append(a) or own(self, *a))
+    keyed = stateful._Previous(["ord0"], None, None, 1)
+    keyed.init(handle)
+    for b, keys in enumerate(([0, 1], range(700), range(700), [3], range(300, 1000))):
+        calls.clear()
+        frame = pd.DataFrame({"pair_key": [f"k{k}" for k in keys], "ord0": [b] * len(keys), "row_text": [f"{k} {b}" for k in keys], "payload_text": [f"{k} {b}" for k in keys]})
+        for pdf in keyed.handleInputRows((1,), iter([frame]), Mark(0)):
+            out |= dict(zip(pdf["row_text"], pdf["before_text"]))
+        assert len(calls) < len(keys) / 2 + 4
+    cells = [eval(v[0]) for v in handle.maps["last"].rows.values()]
+    assert sum(map(len, cells)) == 1000 and max(map(len, cells)) <= 100 and len({k for c in cells for k in c}) == 1000
+    seen = {}
+    for b, keys in enumerate(([0, 1], range(700), range(700), [3], range(300, 1000))):
+        for k in keys:
+            assert out[f"{k} {b}"] == seen.get(k)
+            seen[k] = f"{k} {b}"
+
+
+def test_keyed_state_has_a_store_per_core(spark, folder):
+    """Of 64 shuffle partitions a keyed stream uses as many as there are cores (eight at least); others keep them, as does the session."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        used = []
+        for df in (pairing.runqueue_latency(stream(spark, folder)), stream(spark, folder).withWatermark("ts", "1 minute").dropDuplicates(["seq", "ts"])):
+            q = run.run_available(df, [lambda b, i: b.count()])
+            used.append(int(q.lastProgress.stateOperators[0].numShufflePartitions))
+        assert used == [8, 64] and spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
