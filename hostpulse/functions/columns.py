@@ -133,6 +133,21 @@ def address_hex(address) -> Column:
     return F.lower(F.hex(signed.cast("bigint")))
 
 
+def address_position(address) -> Column:
+    """An unsigned 64-bit address as BIGINT in the same order: cheaper to hash, sort and move than the decimal."""
+    return (_col(address).cast("decimal(21,0)") - F.lit(_TWO_63).cast("decimal(21,0)")).cast("bigint")
+
+
+def position_address(position) -> Column:
+    """The address at a position of ``address_position``."""
+    return (_col(position).cast("decimal(21,0)") + F.lit(_TWO_63).cast("decimal(21,0)")).cast(ADDRESS)
+
+
+def position_hex(position) -> Column:
+    """``address_hex`` of the address at a position."""
+    return F.lower(F.hex(_col(position).bitwiseXOR(F.lit(-2**63).cast("bigint"))))
+
+
 def parse_hex(text) -> Column:
     """Hex digits to DECIMAL(20,0)."""
     return F.conv(_col(text), 16, 10).cast(ADDRESS)

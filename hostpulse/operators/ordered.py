@@ -116,7 +116,8 @@ def asof(points: DataFrame, marks: DataFrame, by, point: str, mark: str, carry,
              .select(*by, _SLICE, _PAYLOAD, F.lit(True).alias("__mark"), F.lit(True).alias(_SEED)))
     both = (both.withColumn(_SLICE, cell).withColumn(_SEED, F.lit(False))
             .unionByName(seeds, allowMissingColumns=True).repartition(*by, _SLICE))
-    within = Window.partitionBy(*by, _SLICE).orderBy(*ordering(F.col(_SEED).desc())).rowsBetween(Window.unboundedPreceding, 0)
+    # the slice first: rows are sorted by number before they are compared by key
+    within = Window.partitionBy(_SLICE, *by).orderBy(*ordering(F.col(_SEED).desc())).rowsBetween(Window.unboundedPreceding, 0)
     return (both.withColumn(out, latest.over(within)).where(~F.col("__mark"))
             .drop("__x", "__mark", _PAYLOAD, _SLICE, _SEED))
 

@@ -22,15 +22,22 @@ def prepare_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.where(F.col("type").isin(*SYMBOL_TYPES) & named & ~((F.col("value") == 0) & (F.col("size") == 0)))
 
 
-def kernel_names(addresses: DataFrame, kernel_symbols: DataFrame, slice_width: int = ADDRESS_SLICE) -> DataFrame:
-    """Name of each distinct (host, address): the symbol at or below it, else ``[kernel 0x...]``."""
-    distinct = addresses.select("host", "address").where(F.col("address") != 0).distinct()
+def _kernel_names(positions: DataFrame, kernel_symbols: DataFrame, slice_width: int) -> DataFrame:
+    """Name of each distinct (host, ``__p``), where ``__p`` is the position of an address."""
+    distinct = positions.where(F.col("__p") != F.lit(-2**63).cast("bigint")).distinct()
     code = kernel_symbols.where(F.col("type").isin(*CODE_TYPES)) if "type" in kernel_symbols.columns \
         else kernel_symbols
-    hit = asof(distinct, code.withColumnRenamed("address", "__at"), ["host"], "address", "__at", ["name"],
-               "__s", slice_width)
-    fallback = F.concat(F.lit("[kernel 0x"), C.address_hex("address"), F.lit("]"))
-    return hit.select("host", "address", F.coalesce(F.nullif("__s.name", F.lit("")), fallback).alias("name"))
+    code = code.select("host", "name", C.address_position("address").alias("__at"))
+    hit = asof(distinct, code, ["host"], "__p", "__at", ["name"], "__s", slice_width)
+    fallback = F.concat(F.lit("[kernel 0x"), C.position_hex("__p"), F.lit("]"))
+    return hit.select("host", "__p", F.coalesce(F.nullif("__s.name", F.lit("")), fallback).alias("name"))
+
+
+def kernel_names(addresses: DataFrame, kernel_symbols: DataFrame, slice_width: int = ADDRESS_SLICE) -> DataFrame:
+    """Name of each distinct (host, address): the symbol at or below it, else ``[kernel 0x...]``."""
+    names = _kernel_names(addresses.select("host", C.address_position("address").alias("__p")), kernel_symbols, slice_width)
+    address = C.position_address("__p").cast(addresses.schema["address"].dataType)
+    return names.select("host", address.alias("address"), "name")
 
 
 def _bits(op: str, value, n):
@@ -127,20 +134,38 @@ def _demangled(names: DataFrame, demangle) -> DataFrame:
     return names.join(distinct, "name").withColumn("name", F.coalesce("__d", "name")).drop("__d")
 
 
-def _apply_names(samples: DataFrame, stack: str, keys, names: DataFrame) -> DataFrame:
+def _stacks(samples: DataFrame, stack: str, keys) -> DataFrame:
+    """Distinct stacks as arrays ``__a`` of address positions.  Addresses are looked up and names written back for these.
+
+    Empty stacks are kept and exploded as outer rows: filters on the array, also those that a plain explode brings along,
+    would build it again for every sample and differ between the two uses, which then could not share one shuffle.
+    """
+    return samples.select(*keys, _positions(stack).alias("__a")).distinct()
+
+
+def _positions(stack: str):
+    return F.transform(stack, lambda f: C.address_position(f["address"]))
+
+
+def _addresses(stacks: DataFrame, keys) -> DataFrame:
+    return stacks.select(*keys, F.explode_outer("__a").alias("__p"))
+
+
+def _apply_names(samples: DataFrame, stack: str, keys, stacks: DataFrame, names: DataFrame) -> DataFrame:
     """Fill ``function_name`` of one stack column; frames with address 0 keep what they have."""
     keys = list(keys)
-    addresses = F.transform(stack, lambda f: f["address"])
-    keyed = samples.withColumn("__a", addresses)
-    stacks = keyed.where(F.size(stack) > 0).select(*keys, "__a").distinct().withColumn("__h", F.xxhash64(*keys, "__a"))
-    frames = stacks.select(*keys, "__h", "__a", F.posexplode("__a").alias("__pos", "address"))
+    keyed = samples.withColumn("__a", _positions(stack)).withColumn("__g", F.xxhash64(*keys, "__a"))
+    frames = stacks.select(*keys, F.xxhash64(*keys, "__a").alias("__h"), "__a", F.posexplode_outer("__a").alias("__pos", "__p"))
+    names = names.select(F.col("__p").alias("__q"), "name", *[F.col(k).alias(f"__k_{k}") for k in keys])
+    # null keys meet too, as in the lookup; a plain join would filter them from one use of the stacks only
+    here = C.all_of([F.col("__p") == F.col("__q")] + [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
     # a stack has at most as many frames as the sampler's depth limit
-    named = (frames.join(names, [*keys, "address"], "left").groupBy("__h", *keys, "__a")
+    named = (frames.join(names, here, "left").groupBy("__h", *keys, "__a")
              .agg(F.array_sort(F.collect_list(F.struct("__pos", "name"))).alias("__n"))
              .select("__h", *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__a").alias("__b"), "__n"))
-    # rows meet by one number, keys and addresses only confirm
-    same = C.all_of([F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__a") == F.col("__b")])
-    out = keyed.withColumn("__g", F.xxhash64(*keys, "__a")).join(named, (F.col("__g") == F.col("__h")) & same, "left")
+    # rows meet by one number, keys and addresses only confirm: as terms of least() they don't become sort keys of the join
+    same = F.least(*[F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], F.col("__a").eqNullSafe(F.col("__b")))
+    out = keyed.join(named, (F.col("__g") == F.col("__h")) & same, "left")
     renamed = F.zip_with(F.col(stack), F.col("__n"), lambda f, n: F.struct(
         f["address"].alias("address"), F.coalesce(n["name"], f["function_name"]).alias("function_name"),
         f["file_name"].alias("file_name"), f["line_number"].alias("line_number"),
@@ -148,17 +173,18 @@ def _apply_names(samples: DataFrame, stack: str, keys, names: DataFrame) -> Data
     return out.withColumn(stack, F.when(F.size(stack) > 0, renamed).otherwise(F.col(stack))).select(*samples.columns)
 
 
-def _addresses(samples: DataFrame, stack: str, keys) -> DataFrame:
-    return samples.select(*keys, F.explode(F.array_distinct(F.transform(stack, lambda f: f["address"]))).alias("address"))
-
-
 def symbolize_kernel(samples: DataFrame, kernel_symbols: DataFrame, demangle=None,
                      slice_width: int = ADDRESS_SLICE) -> DataFrame:
-    names = kernel_names(_addresses(samples, "kernel_stack", ["host"]), kernel_symbols, slice_width)
-    return _apply_names(samples, "kernel_stack", ["host"], _demangled(names, demangle))
+    stacks = _stacks(samples, "kernel_stack", ["host"])
+    names = _kernel_names(_addresses(stacks, ["host"]), kernel_symbols, slice_width)
+    return _apply_names(samples, "kernel_stack", ["host"], stacks, _demangled(names, demangle))
 
 
 def symbolize_user(samples: DataFrame, proc_maps: DataFrame, elf_symbols: DataFrame, demangle=None,
                    slice_width: int = ADDRESS_SLICE) -> DataFrame:
-    names = user_names(_addresses(samples, "user_stack", ["host", "pid"]), proc_maps, elf_symbols, slice_width)
-    return _apply_names(samples, "user_stack", ["host", "pid"], _demangled(names, demangle))
+    keys = ["host", "pid"]
+    stacks = _stacks(samples, "user_stack", keys)
+    addresses = _addresses(stacks, keys).select(*keys, C.position_address("__p").alias("address"))
+    names = user_names(addresses, proc_maps, elf_symbols, slice_width)
+    names = names.select(*keys, C.address_position("address").alias("__p"), "name")
+    return _apply_names(samples, "user_stack", keys, stacks, _demangled(names, demangle))

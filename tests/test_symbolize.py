@@ -1,4 +1,5 @@
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -141,3 +142,38 @@ def test_maps_that_all_overlap(spark):
         for lo, hi, path in pieces:
             for x in (lo, hi - 1):
                 assert path == f"/m{min((o, a) for a, b, o in mine if a <= x < b)[0]}"
+
+
+def test_kernel_stacks_are_read_once(spark, tmp_path):
+    """Lookup and write-back share one shuffle of distinct stacks, whose addresses travel as numbers."""
+    rows = [("h" if i % 3 else None, i, [str(BASE + i % 7), "0", str(BASE + i % 5 * 100), str(BASE + i % 7)][:i % 5]) for i in range(200)] + [("h", 200, None)]
+    (spark.createDataFrame(rows, "host STRING, pid BIGINT, a ARRAY<STRING>").select("host", "pid", C.frames_from_addresses("a").alias("kernel_stack"))
+     .write.parquet(str(tmp_path / "samples")))
+    syms = [("h", BASE + 3, "a"), ("h", BASE + 100, "b"), (None, BASE + 5, "c"), (None, BASE + 300, "d")]
+    ksyms = dec(spark.createDataFrame([(h, str(x), "T", n) for h, x, n in syms], "host STRING, address STRING, type STRING, name STRING"), "address")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = symbolize.symbolize_kernel(spark.read.parquet(str(tmp_path / "samples")), ksyms, slice_width=64)
+        got = {r["pid"]: r["kernel_stack"] and [f["function_name"] for f in r["kernel_stack"]] for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+    def name(host, x):
+        below = [(a, n) for h, a, n in syms if h == host and a <= x]
+        return max(below)[1] if below else f"[kernel 0x{x:x}]" if x else ""
+    assert {p: s or None for p, s in got.items()} == {p: [name(h, int(x)) for x in a] if a else None for h, p, a in rows}
+    assert got[200] is None and got[5] == []
+    assert plan.count("FileScan parquet") == 2  # the samples themselves and their distinct stacks
+    keys = [line for line in plan.splitlines() if "SortMergeJoin" in line and "__g" in line]
+    assert len(keys) == 1 and re.search(r"SortMergeJoin(\(skew=true\))? \[__g#\d+L\], \[__h#\d+L\]", keys[0])
+
+
+def test_user_symbols_of_unknown_host(spark):
+    """Samples and maps without a host meet each other."""
+    s = spark.createDataFrame([(None, 1, ["4106", "9"])], "host STRING, pid BIGINT, a ARRAY<STRING>").select("host", "pid", C.frames_from_addresses("a").alias("user_stack"))
+    maps = spark.createDataFrame([(None, 1, Decimal(4096), Decimal(8192), Decimal(0), "/m", 0)],
+                                 "host STRING, pid BIGINT, start DECIMAL(20,0), end DECIMAL(20,0), offset DECIMAL(20,0), path STRING, ord BIGINT")
+    elf = dec(spark.createDataFrame([("/m", 8, 4, "f", "FUNC")], "path STRING, value BIGINT, size BIGINT, name STRING, type STRING"), "value", "size")
+    assert [f["function_name"] for f in symbolize.symbolize_user(s, maps, elf).first()["user_stack"]] == ["f", "[0x9]"]
